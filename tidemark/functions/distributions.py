@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EULER_GAMMA = 0.5772156649
 
@@ -67,12 +68,12 @@ def t_two_sided(t, df) -> np.ndarray:
 
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _phi(z: pd.Series) -> pd.Series:
     return z.astype(float).map(lambda v: float("nan") if math.isnan(v) else 0.5 * math.erfc(-v / math.sqrt(2.0)))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.distributions import expected_max_z, norm_cdf, t_p_value
+from tidemark.operators.cv import purged_kfold
 from tidemark.operators.ordered import MAX_GROUP_ROWS, average_rank, grouped_percentile, ordinal
 
 
@@ -152,6 +154,28 @@ def horizon_summary(df: DataFrame, value: str, keys: Sequence[str], horizon: str
     return out.withColumn("annualized", F.col("mean") * 252 / F.col(horizon))
 
 
+def portfolio_return(df: DataFrame, keys: Sequence[str], ret: str, out: str = "ret") -> DataFrame:
+    """Equal-weight mean over the names that have a return."""
+    return df.groupBy(*keys).agg(F.avg(clean(ret)).alias(out))
+
+
+def walk_forward_ic(
+    df: DataFrame, x: str, y: str, ts: str, tie: Sequence[str], n_splits: int = 5,
+    horizon: timedelta = timedelta(days=28), embargo: timedelta = timedelta(days=5), min_test: int = 30,
+    p_value: bool = True, max_rows: int = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Per purged fold its sizes, test span and test IC; folds with too few test rows are left out."""
+    rows = df.withColumn("_x", clean(x)).withColumn("_y", clean(y)).dropna(subset=["_x", "_y"])
+    folds = purged_kfold(rows, ts, tie, n_splits, horizon, embargo, max_rows)
+    test = F.col("role") == "test"
+    sizes = folds.groupBy("fold").agg(
+        F.count_if(~test).alias("n_train"), F.count_if(test).alias("n_test"),
+        F.min(F.when(test, F.col(ts))).alias("test_start"), F.max(F.when(test, F.col(ts))).alias("test_end"),
+    )
+    ic = information_coefficient(folds.where(test), "_x", "_y", ["fold"], min_test, p_value=p_value)
+    return sizes.join(ic.drop("n"), "fold")
+
+
 def benjamini_hochberg(
     df: DataFrame, p: str, keys: Sequence[str] = (), fdr: float = 0.10, out: str = "rejected", max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:

@@ -267,6 +267,18 @@ def complete_dates(series: DataFrame, required: Sequence[str], key="series_id",
     return series.join(full, date, "left_semi")
 
 
+def differentials(series: DataFrame, base: DataFrame, signs: dict[str, int], date: str = "date") -> DataFrame:
+    """Value minus the base series of the day, and the value under each series' quoting sign.
+
+    ``signs`` holds -1 for series quoted the other way round (a short spec, kept as a CASE).
+    """
+    sign = F.lit(1)
+    for name, s in signs.items():
+        sign = F.when(F.col("series_id") == name, F.lit(s)).otherwise(sign)
+    out = series.join(base, date)
+    return out.withColumn("differential", F.col("value") - F.col("base")).withColumn("usd_value", sign * F.col("value")).drop("base")
+
+
 def publication_lag_join(daily: DataFrame, monthly: DataFrame, by: Sequence[str], date: str, value: str, days: int) -> DataFrame:
     """A monthly figure becomes visible ``days`` after its own date."""
     visible = monthly.withColumn("_visible", F.date_add(date, days))

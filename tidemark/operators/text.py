@@ -231,7 +231,10 @@ def layout_cascade(parsed: Sequence[tuple[str, DataFrame]], release: str, units:
 
 
 def release_date(html: Column, url_date: Column) -> Column:
-    """(date, source): linked PDF name, then the URL's date, then a written date in title or text."""
+    """(date, source): linked PDF name, then the URL's date, then a written date in title or text.
+
+    The whole text is searched for the written date.
+    """
     pdf = F.try_to_date(F.nullif(F.regexp_extract(html, r"(?i)files/BeigeBook_(\d{8})\.pdf", 1), F.lit("")), "yyyyMMdd")
     url = F.try_to_date(url_date, "yyyyMMdd")
     written = r"([A-Z][a-z]+ \d{1,2},\s*\d{4})"
@@ -244,8 +247,7 @@ def release_date(html: Column, url_date: Column) -> Column:
         ), raw), "MMMM d, yyyy")
 
     title = spelled(strip_html(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)))
-    # the written date is looked for in the page head, as the rule defines it
-    head = spelled(F.substr(strip_html(html), F.lit(1), F.lit(4000)))
+    head = spelled(strip_html(html))
     day = F.coalesce(pdf, url, title, head)
     source = (
         F.when(pdf.isNotNull(), "pdf_link").when(url.isNotNull(), "url_date").when(day.isNotNull(), "title")
