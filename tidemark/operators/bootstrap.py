@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import clean
+from tidemark.session import durable
 
 
 def block_sums(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
@@ -59,9 +60,11 @@ def block_bootstrap_ic(
     df: DataFrame, block: str, x: str, y: str, n_boot: int = 10_000, seed: int = 20260731, ci: Sequence[float] = (0.025, 0.975)
 ) -> DataFrame:
     """Observed IC, confidence interval, SE, centred two-sided p and SE inflation, in one row."""
-    sums = block_sums(df, block, x, y)
+    # calendar-sized and resample-sized tables, read several times below
+    sums = durable(block_sums(df, block, x, y))
     observed = sums.agg(ic_from_sums().alias("ic"), F.sum("n").alias("n_obs"), F.count("*").alias("n_blocks"))
-    draws = bootstrap_draws(sums, n_boot, seed).where(F.col("ic").isNotNull()).withColumnRenamed("ic", "draw")
+    drawn = bootstrap_draws(sums, n_boot, seed).where(F.col("ic").isNotNull())
+    draws = durable(drawn.withColumnRenamed("ic", "draw"))
     centre = draws.agg(F.avg("draw").alias("_mean"))
     paired = draws.join(centre).join(observed.select(F.col("ic").alias("_obs")))  # two one-row tables
     spread = paired.agg(

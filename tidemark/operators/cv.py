@@ -39,7 +39,7 @@ def _blocks(df: DataFrame, ts: str, tie: Sequence[str], k: int, max_rows: int) -
         firsts.append(at)
         at += size
     lasts = [f + s - 1 for f, s in zip(firsts, sizes)]
-    found = order_statistics(df, [ts, *tie], firsts + lasts, max_rows)
+    found = order_statistics(df, [ts, *tie], firsts + lasts, max_rows, total=n)
     return [Block(i, found[f], found[f][0], found[l][0]) for i, (f, l) in enumerate(zip(firsts, lasts))]
 
 

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidemark.operators.evaluate import clean, information_coefficient
 
@@ -304,7 +305,7 @@ def predict_regimes(panel: DataFrame, entity: str, date: str, features: Sequence
     """M6: most likely regime path per entity (Viterbi)."""
     names = list(features)
     rows = panel.select(entity, date, *[clean(c).alias(c) for c in names]).dropna()
-    schema = rows.select(entity, date).schema.add("regime", "int")
+    schema = rows.select(entity, date).schema.add("regime", IntegerType())
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)
@@ -403,7 +404,7 @@ def run_lengths(
     daily-panel contract bounds it by the calendar.
     """
     rows = panel.select(entity, date, clean(value).alias("_x")).dropna(subset=["_x"])
-    schema = rows.select(entity, date).schema.add("run_length", "int")
+    schema = rows.select(entity, date).schema.add("run_length", IntegerType())
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(date)

@@ -68,10 +68,14 @@ def ordinal(
     keys: Sequence[str] = (),
     out: str = "idx",
     max_rows: int = MAX_GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
-    """1-based row number per key (or over the whole table) in ``order``."""
+    """1-based row number per key (or over the whole table) in ``order``.
+
+    ``largest`` passes on the size of the biggest group when it is known.
+    """
     keys, order = list(keys), _as_columns(order)
-    if largest_group(df, keys) <= max_rows:
+    if (largest if largest is not None else largest_group(df, keys)) <= max_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
     frozen = ordered_ranges(df, [F.col(k) for k in keys] + order, _parts_for(df.count(), max_rows))
@@ -115,7 +119,8 @@ def running_total(
 
 
 def order_statistics(
-    df: DataFrame, order: Sequence[str], positions: Sequence[int], max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, order: Sequence[str], positions: Sequence[int], max_rows: int = MAX_GROUP_ROWS,
+    total: int | None = None,
 ) -> dict[int, tuple]:
     """The exact rows at the given 1-based positions of the total order.
 
@@ -125,7 +130,7 @@ def order_statistics(
     wanted = sorted(set(positions))
     if not wanted:
         return {}
-    placed = ordinal(df.select(*order), list(order), out="_idx", max_rows=max_rows)
+    placed = ordinal(df.select(*order), list(order), out="_idx", max_rows=max_rows, largest=total)
     hits = placed.where(F.col("_idx").isin(wanted)).collect()
     return {int(r["_idx"]): tuple(r[c] for c in order) for r in hits}
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date as Date
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
@@ -28,22 +30,58 @@ def daily_bars(rows: DataFrame, entity: str, ts: str, value: str, tie: str) -> D
 # ---------------------------------------------------------------- calendar
 
 
+MAX_DAYS = 200_000  # five centuries of days; more means the column is no date
+
+
 @dataclass(frozen=True)
 class Calendar:
-    """Ordered trading days ``(date, idx)``; one row per day, so it stays small."""
+    """Ordered trading days ``(date, idx)``.
+
+    A calendar is bounded by time, not by data, so it is read once, checked
+    against ``MAX_DAYS`` and kept as a local table that every join broadcasts.
+    """
 
-    days: DataFrame
-    first: Date
-    last: Date
-    size: int
+    spark: SparkSession
+    dates: tuple[Date, ...]
+
+    @property
+    def size(self) -> int:
+        return len(self.dates)
+
+    @property
+    def days(self) -> DataFrame:
+        numbers = pa.array(range(1, self.size + 1), pa.int64())
+        return self._local({"date": pa.array(self.dates, pa.date32()), "idx": numbers})
+
+    def rolled_forward(self, strict: bool) -> DataFrame:
+        """Every natural day up to the last session with the session it rolls to."""
+        day, session, number = [], [], []
+        before = self.dates[0] - timedelta(days=1)
+        for i, current in enumerate(self.dates, 1):
+            # strict: days [before, current) roll to current; else (before, current]
+            shift = 0 if strict else 1
+            for k in range((current - before).days):
+                day.append(before + timedelta(days=k + shift))
+                session.append(current)
+                number.append(i)
+            before = current
+        return self._local(
+            {"_day": pa.array(day, pa.date32()), "_date": pa.array(session, pa.date32()), "_idx": pa.array(number, pa.int64())}
+        )
+
+    def _local(self, columns: dict) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame(pa.table(columns)))
 
 
-def trading_calendar(panel: DataFrame, date: str = "date") -> Calendar:
-    """Shared row index of a panel. The window runs over distinct days only."""
-    distinct = panel.select(F.to_date(date).alias("date")).where(F.col("date").isNotNull()).distinct()
-    days = distinct.withColumn("idx", F.row_number().over(Window.orderBy("date")).cast("long"))
-    lo, hi, n = distinct.agg(F.min("date"), F.max("date"), F.count("*")).first()
-    return Calendar(days, lo, hi, int(n))
+def trading_calendar(rows: DataFrame, date: str = "date") -> Calendar:
+    """Shared row index of a panel, from the distinct days of any date or instant column."""
+    distinct = rows.select(F.to_date(date).alias("date")).where(F.col("date").isNotNull()).distinct()
+    found = sorted(r[0] for r in distinct.limit(MAX_DAYS + 1).collect())
+    if len(found) > MAX_DAYS:
+        raise ValueError(f"{date} has more than {MAX_DAYS} distinct days")
+    if not found:
+        raise ValueError(f"{date} has no days to build a calendar from")
+    return Calendar(rows.sparkSession, tuple(found))
 
 
 def next_trading_day(
@@ -51,22 +89,13 @@ def next_trading_day(
 ) -> DataFrame:
     """First trading day after (or on) ``date``; NULL past the calendar's end.
 
-    The calendar is unrolled to one row per natural day, which turns the
-    forward as-of into an equi-join against a table of days.
+    A forward as-of against days is an equi-join once the calendar is unrolled
+    to natural days, and that table is small enough to broadcast.
     """
-    before = F.lag("date").over(Window.orderBy("date"))
-    gap_start = F.coalesce(before, F.date_sub("date", 1)) if strict else F.coalesce(F.date_add(before, 1), F.col("date"))
-    gap_end = F.date_sub("date", 1) if strict else F.col("date")
-    by_day = (
-        calendar.days.withColumn("_from", gap_start)
-        .withColumn("_to", gap_end)
-        .select(
-            F.explode(F.sequence("_from", "_to")).alias("_day"), F.col("date").alias(out), F.col("idx").alias(out_idx)
-        )
-    )
+    by_day = calendar.rolled_forward(strict).withColumnsRenamed({"_date": out, "_idx": out_idx})
     # anything earlier than the calendar rolls forward to its first day
-    floor = F.date_sub(F.lit(calendar.first), 1) if strict else F.lit(calendar.first)
-    probe = F.greatest(F.to_date(date), floor)
+    floor = calendar.dates[0] - timedelta(days=1) if strict else calendar.dates[0]
+    probe = F.greatest(F.to_date(date), F.lit(floor))
     return df.withColumn("_day", F.when(F.col(date).isNotNull(), probe)).join(by_day, "_day", "left").drop("_day")
 
 

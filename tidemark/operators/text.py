@@ -7,6 +7,7 @@ per-section scores are grouped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -88,112 +89,125 @@ def length_ok(text: Column, units: Units = Units()) -> Column:
     return word_count(text).between(units.min_words, units.max_words)
 
 
-def unit_of(label: Column, units: Units, need_prefix: bool) -> Column:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later steps read instead of recomputing.
+
+    Catalyst inlines a projected expression wherever it is used, filters
+    included, which repeats long regex chains. A generator's output is not
+    inlined, so a one-element explode pins the value without a shuffle.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
+def unit_of(label: Column, units: Units) -> Column:
     """Canonical unit whose name or alias ends the label, else NULL."""
+    known = dict([*((n.lower(), n) for n in units.names), *units.aliases])
     low = F.trim(F.regexp_replace(F.lower(label), "[^a-z. ]", ""))
-    out = None
-    for alias, name in [*((n.lower(), n) for n in units.names), *units.aliases]:
-        hit = low.endswith(alias)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.when(label.contains(units.prefix), out) if need_prefix else out
+    ending = "(" + "|".join(re.escape(a) for a in sorted(known, key=len, reverse=True)) + ")$"
+    names = F.create_map(*[F.lit(v) for pair in known.items() for v in pair])
+    return F.try_element_at(names, F.regexp_extract(low, ending, 1))
 
 
 def _pieces(pages: DataFrame, html: str, units: Units) -> DataFrame:
-    """Split at headings; ``_segs`` holds the pieces, ``_heads`` their position and labels."""
-    segs = pages.withColumn("_segs", F.split(F.col(html), _AT_HEADING))
-
-    def head(seg: Column, i: Column) -> Column:
-        label = strip_html(F.regexp_extract(seg, _HEADING, 2))
-        return F.struct(i.alias("pos"), unit_of(label, units, True).alias("strict"), unit_of(label, units, False).alias("bare"))
-
-    return segs.withColumn("_heads", F.transform("_segs", head))
-
-
-def _sections(df: DataFrame, keep: Sequence[str], chosen: str, units: Units) -> DataFrame:
-    """Rows (unit, body) for the chosen heads; a body runs through the next chosen heading."""
-    end = F.size("_segs")
-    ordered = F.array_sort(F.transform(F.col(chosen), lambda c: F.struct(c["pos"].alias("pos"), c["unit"].alias("unit"))))
-    placed = df.withColumn("_o", ordered).withColumn(
-        "_s",
-        F.transform(
-            "_o",
-            lambda m, i: F.struct(
-                m["unit"].alias("unit"), m["pos"].alias("pos"),
-                F.coalesce(F.try_element_at(F.col("_o"), i + 2)["pos"], end).alias("next"),
-            ),
+    """Split at headings: ``_segs`` are the pieces, ``_heads`` their position, unit and prefix flag."""
+    df = once(pages, "_segs", F.split(F.col(html), _AT_HEADING))
+    df = once(df, "_labels", F.transform("_segs", lambda s: strip_html(F.regexp_extract(s, _HEADING, 2))))
+    df = once(df, "_units", F.transform("_labels", lambda label: unit_of(label, units)))
+    heads = F.transform(
+        F.arrays_zip("_labels", "_units"),
+        lambda z, i: F.struct(
+            i.alias("pos"), z["_units"].alias("unit"), z["_labels"].contains(units.prefix).alias("prefixed")
+        ),
+    )
+    return once(df, "_heads", F.filter(heads, lambda h: h["unit"].isNotNull())).drop("_labels", "_units")
+
+
+def _gated(df: DataFrame, raw: Column, html: bool, keep: Sequence[str], units: Units) -> DataFrame:
+    """Raw section to (keep..., unit, body) within the accepted length."""
+    df = once(df, "_raw", raw)
+    if html:
+        df = once(df, "_raw", strip_html(F.col("_raw")))
+    df = once(df, "body", trim_at(F.col("_raw"), SECTION_FOOTERS))
+    return df.where(length_ok(F.col("body"), units)).select(*keep, "unit", "body")
+
+
+def _sections(df: DataFrame, keep: Sequence[str], units: Units) -> DataFrame:
+    """Rows (unit, body) for the heads in ``_chosen``; a body runs through the next chosen heading."""
+    df = once(df, "_o", F.array_sort(F.transform("_chosen", lambda c: F.struct(c["pos"].alias("pos"), c["unit"].alias("unit")))))
+    spans = F.transform(
+        "_o",
+        lambda m, i: F.struct(
+            m["unit"].alias("unit"), m["pos"].alias("pos"),
+            F.coalesce(F.try_element_at(F.col("_o"), i + 2)["pos"], F.size("_segs")).alias("next"),
         ),
     )
-    each = placed.select(*keep, "_segs", F.explode("_s").alias("_m"))
-    own = F.regexp_replace(F.element_at("_segs", F.col("_m.pos") + 1), _HEADING, "")
-    rest = F.concat_ws("", F.slice("_segs", F.col("_m.pos") + 2, F.col("_m.next") - F.col("_m.pos") - 1))
-    next_head = F.coalesce(F.regexp_extract(F.try_element_at("_segs", F.col("_m.next") + 1), _HEADING, 0), F.lit(""))
-    body = trim_at(strip_html(F.concat(own, rest, next_head)), SECTION_FOOTERS)
-    out = each.select(*keep, F.col("_m.unit").alias("unit"), body.alias("body"))
-    return out.where(length_ok(F.col("body"), units))
+    each = df.select(*keep, "_segs", F.explode(spans).alias("_m"))
+    pos, following = F.col("_m.pos"), F.col("_m.next")
+    own = F.regexp_replace(F.element_at("_segs", pos + 1), _HEADING, "")
+    rest = F.concat_ws("", F.slice("_segs", pos + 2, following - pos - 1))
+    next_head = F.coalesce(F.regexp_extract(F.try_element_at("_segs", following + 1), _HEADING, 0), F.lit(""))
+    each = each.withColumn("unit", F.col("_m.unit"))
+    return _gated(each, F.concat(own, rest, next_head), True, keep, units)
+
+
+def _first_head(name: str, test) -> Column:
+    """Position of the first head of unit ``name`` that passes ``test``."""
+    return F.array_min(
+        F.transform(F.filter(F.col("_heads"), lambda h: (h["unit"] == name) & test(h)), lambda h: h["pos"])
+    )
+
+
+def _chosen(units: Units, positions: Sequence[Column]) -> Column:
+    pairs = [F.struct(p.alias("pos"), F.lit(n).alias("unit")) for p, n in zip(positions, units.names)]
+    return F.filter(F.array(*pairs), lambda c: c["pos"].isNotNull())
 
 
 def parse_headings(pages: DataFrame, keep: Sequence[str], html: str = "html", units: Units = Units()) -> DataFrame:
     """Sections under headings that name a unit with the required prefix; first heading per unit."""
-    marked = _pieces(pages, html, units).withColumn("_marks", F.filter("_heads", lambda h: h["strict"].isNotNull()))
-    marked = marked.where(F.size("_marks") >= units.min_sections)
-    firsts = F.filter(
-        F.transform(
-            F.array(*[F.lit(n) for n in units.names]),
-            lambda n: F.struct(
-                F.array_min(F.transform(F.filter(F.col("_marks"), lambda m: m["strict"] == n), lambda m: m["pos"])).alias("pos"),
-                n.alias("unit"),
-            ),
-        ),
-        lambda c: c["pos"].isNotNull(),
-    )
-    return _sections(marked.withColumn("_chosen", firsts), keep, "_chosen", units)
+    marked = _pieces(pages, html, units)
+    marked = marked.where(F.size(F.filter("_heads", lambda h: h["prefixed"])) >= units.min_sections)
+    first = [_first_head(n, lambda h: h["prefixed"]) for n in units.names]
+    return _sections(once(marked, "_chosen", _chosen(units, first)), keep, units)
 
 
 def parse_headings_gap_filled(pages: DataFrame, keep: Sequence[str], html: str = "html", units: Units = Units()) -> DataFrame:
     """As T1, then a missing unit may take a bare heading between its canonical neighbours."""
     df = _pieces(pages, html, units)
-
-    def first(test) -> Column:
-        return F.array_min(F.transform(F.filter(F.col("_heads"), test), lambda h: h["pos"]))
-
-    for i, name in enumerate(units.names):
-        df = df.withColumn(f"_p{i}", first(lambda h, n=name: h["strict"] == n))
+    df = once(df, "_at", F.array(*[_first_head(n, lambda h: h["prefixed"]) for n in units.names]))
+    # units are filled in canonical order; a filled unit is a neighbour for the later ones
     for i, name in enumerate(units.names):
-        before = [F.col(f"_p{j}") for j in range(i)]
-        after = [F.col(f"_p{j}") for j in range(i + 1, len(units.names))]
-        lo = F.greatest(F.lit(None).cast("int"), F.lit(None).cast("int"), *before)
-        hi = F.least(F.lit(None).cast("int"), F.lit(None).cast("int"), *after)
-        df = df.withColumn("_lo", F.coalesce(lo, F.lit(-1))).withColumn("_hi", F.coalesce(hi, F.size("_segs") + 1))
-        bare = first(
-            lambda h, n=name: (h["bare"] == n) & (h["pos"] > F.col("_lo")) & (h["pos"] < F.col("_hi"))
+        lo = F.coalesce(F.array_max(F.slice("_at", 1, i)), F.lit(-1)) if i else F.lit(-1)
+        hi = F.coalesce(F.array_min(F.slice("_at", i + 2, len(units.names))), F.size("_segs") + 1)
+        bare = _first_head(name, lambda h: (h["pos"] > lo) & (h["pos"] < hi))  # noqa: B023
+        here = F.col("_at")[i]
+        filled = F.concat(
+            F.slice("_at", 1, i), F.array(F.coalesce(here, bare)), F.slice("_at", i + 2, len(units.names))
         )
-        df = df.withColumn(f"_p{i}", F.coalesce(F.col(f"_p{i}"), bare))
-    chosen = F.filter(
-        F.array(*[F.struct(F.col(f"_p{i}").alias("pos"), F.lit(n).alias("unit")) for i, n in enumerate(units.names)]),
-        lambda c: c["pos"].isNotNull(),
-    )
-    df = df.withColumn("_chosen", chosen).where(F.size("_chosen") >= units.min_sections)
-    return _sections(df, keep, "_chosen", units)
+        df = once(df, "_at", F.when(here.isNotNull(), F.col("_at")).otherwise(filled))
+    df = once(df, "_chosen", _chosen(units, [F.col("_at")[i] for i in range(len(units.names))]))
+    return _sections(df.where(F.size("_chosen") >= units.min_sections), keep, units)
 
 
 def parse_literal_headers(pages: DataFrame, keep: Sequence[str], html: str = "html", units: Units = Units()) -> DataFrame:
     """Sections found by literal headers in plain text; each runs to the next header or the end."""
-    df = pages.withColumn("_t", trim_at(strip_html(F.col(html)), DOCUMENT_FOOTERS))
+    df = once(pages, "_plain", strip_html(F.col(html)))
+    df = once(df, "_t", trim_at(F.col("_plain"), DOCUMENT_FOOTERS))
     heads = units.headers
+    df = once(df, "_at", F.array(*[F.instr("_t", h) for h in heads]))
     found = []
     for i, (name, header) in enumerate(zip(units.names, heads)):
-        at = F.instr(F.col("_t"), header)
+        at = F.col("_at")[i]
+        end = F.lit(0)
         if i + 1 < len(heads):
-            following = F.call_function("locate", F.lit(heads[i + 1]), F.col("_t"), F.greatest(at, F.lit(1)))
-            end = F.when(following > 0, following).otherwise(F.length("_t") + 1)
-        else:
-            end = F.length("_t") + 1
-        start = at + len(header)
-        found.append(F.when(at > 0, F.struct(F.lit(name).alias("unit"), F.substr(F.col("_t"), start, end - start).alias("raw"))))
-    each = df.select(*keep, F.explode(F.filter(F.array(*found), lambda s: s.isNotNull())).alias("_s"))
-    body = trim_at(F.trim(F.col("_s.raw")), SECTION_FOOTERS)
-    out = each.select(*keep, F.col("_s.unit").alias("unit"), body.alias("body"))
-    return out.where(length_ok(F.col("body"), units))
+            # the next header counts only behind this one
+            end = F.call_function("locate", F.lit(heads[i + 1]), F.col("_t"), F.greatest(at, F.lit(1)))
+        found.append(
+            F.when(at > 0, F.struct(F.lit(name).alias("unit"), (at + len(header)).alias("from"), end.alias("to")))
+        )
+    each = df.select(*keep, "_t", F.explode(F.filter(F.array(*found), lambda s: s.isNotNull())).alias("_s"))
+    to = F.when(F.col("_s.to") > 0, F.col("_s.to")).otherwise(F.length("_t") + 1)
+    raw = F.trim(F.substr(F.col("_t"), F.col("_s.from"), to - F.col("_s.from")))
+    return _gated(each.withColumn("unit", F.col("_s.unit")), raw, False, keep, units)
 
 
 def parse_single_unit_page(
@@ -201,21 +215,18 @@ def parse_single_unit_page(
 ) -> DataFrame:
     """T5: one page per unit. ``split`` starts at its first heading, ``legacy`` after the navigation."""
     if layout == "split":
-        df = _pieces(pages, html, units).withColumn(
-            "_at", F.array_min(F.transform(F.filter("_heads", lambda h: h["strict"].isNotNull()), lambda h: h["pos"]))
-        )
-        df = df.where(F.col("_at").isNotNull())
+        df = _pieces(pages.withColumn("unit", F.col(unit)), html, units)
+        first = F.array_min(F.transform(F.filter("_heads", lambda h: h["prefixed"]), lambda h: h["pos"]))
+        df = once(df, "_at", first).where(F.col("_at").isNotNull())
         own = F.regexp_replace(F.element_at("_segs", F.col("_at") + 1), _HEADING, "")
-        text = strip_html(F.concat(own, F.concat_ws("", F.slice("_segs", F.col("_at") + 2, F.size("_segs")))))
-    elif layout == "legacy":
-        df = pages.withColumn("_x", strip_html(F.col(html)))
-        at = F.instr("_x", NAVIGATION_END)
-        after = F.substr(F.col("_x"), at + len(NAVIGATION_END), F.length("_x"))
-        text = F.when(at > 0, after).otherwise(F.col("_x"))
-    else:
+        raw = F.concat(own, F.concat_ws("", F.slice("_segs", F.col("_at") + 2, F.size("_segs"))))
+        return _gated(df, raw, True, keep, units)
+    if layout != "legacy":
         raise ValueError("layout must be split or legacy")
-    out = df.select(*keep, F.col(unit).alias("unit"), trim_at(text, SECTION_FOOTERS).alias("body"))
-    return out.where(length_ok(F.col("body"), units))
+    df = once(pages.withColumn("unit", F.col(unit)), "_x", strip_html(F.col(html)))
+    at = F.instr("_x", NAVIGATION_END)
+    after = F.substr(F.col("_x"), at + len(NAVIGATION_END), F.length("_x"))
+    return _gated(df, F.when(at > 0, after).otherwise(F.col("_x")), False, keep, units)
 
 
 def layout_cascade(parsed: Sequence[tuple[str, DataFrame]], release: str, units: Units = Units()) -> DataFrame:
@@ -230,29 +241,36 @@ def layout_cascade(parsed: Sequence[tuple[str, DataFrame]], release: str, units:
     return earliest(kept, [release, "unit"], ["_rank", "body"], ["body", "layout"])
 
 
-def release_date(html: Column, url_date: Column) -> Column:
-    """(date, source): linked PDF name, then the URL's date, then a written date in title or text.
+_WRITTEN = r"([A-Z][a-z]+ \d{1,2},\s*\d{4})"
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+
+
+def _spelled(text: Column) -> Column:
+    """First written date of a text; NULL when the word before the day is no month."""
+    raw = F.regexp_replace(F.nullif(F.regexp_extract(text, _WRITTEN, 1), F.lit("")), r",\s*", ", ")
+    raw = F.regexp_replace(raw, r"\s+", " ")
+    return F.try_to_date(F.when(raw.rlike(f"^({_MONTHS}) "), raw), "MMMM d, yyyy")
+
+
+def release_date(pages: DataFrame, html: str = "html", url_date: str = "url_date") -> DataFrame:
+    """adds (release_date, date_source): linked PDF name, the URL's date, a written date in title or text.
 
     The whole text is searched for the written date.
     """
-    pdf = F.try_to_date(F.nullif(F.regexp_extract(html, r"(?i)files/BeigeBook_(\d{8})\.pdf", 1), F.lit("")), "yyyyMMdd")
-    url = F.try_to_date(url_date, "yyyyMMdd")
-    written = r"([A-Z][a-z]+ \d{1,2},\s*\d{4})"
-
-    def spelled(text: Column) -> Column:
-        raw = F.regexp_replace(F.nullif(F.regexp_extract(text, written, 1), F.lit("")), r"\s+", " ")
-        raw = F.regexp_replace(raw, r",(\d)", ", $1")
-        return F.try_to_date(F.when(raw.rlike(
-            r"^(January|February|March|April|May|June|July|August|September|October|November|December) "
-        ), raw), "MMMM d, yyyy")
-
-    title = spelled(strip_html(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)))
-    head = spelled(strip_html(html))
-    day = F.coalesce(pdf, url, title, head)
+    pdf_name = F.regexp_extract(html, r"(?i)files/BeigeBook_(\d{8})\.pdf", 1)
+    df = once(pages, "_pdf", F.try_to_date(F.nullif(pdf_name, F.lit("")), "yyyyMMdd"))
+    df = once(df, "_url", F.try_to_date(F.col(url_date), "yyyyMMdd"))
+    # only pages without either date pay for the text search
+    undated = F.col("_pdf").isNull() & F.col("_url").isNull()
+    df = once(df, "_title", F.when(undated, strip_html(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1))))
+    df = once(df, "_text", F.when(undated, strip_html(F.col(html))))
+    df = once(df, "_said", F.coalesce(_spelled(F.col("_title")), _spelled(F.col("_text"))))
     source = (
-        F.when(pdf.isNotNull(), "pdf_link").when(url.isNotNull(), "url_date").when(day.isNotNull(), "title")
+        F.when(F.col("_pdf").isNotNull(), "pdf_link").when(F.col("_url").isNotNull(), "url_date")
+        .when(F.col("_said").isNotNull(), "title")
     )
-    return F.struct(day.alias("release_date"), source.alias("date_source"))
+    out = df.withColumn("release_date", F.coalesce("_pdf", "_url", "_said")).withColumn("date_source", source)
+    return out.drop("_pdf", "_url", "_title", "_text", "_said")
 
 
 def tokens(text: Column) -> Column:

@@ -14,6 +14,7 @@ from tidemark.operators.panel import (
     change, daily_bars, densify, equal_weight_basket, forward_excess, next_trading_day, simple_return,
     trading_calendar, trailing_zscore,
 )
+from tidemark.session import durable
 
 HORIZONS = (3, 5, 10)
 BASELINE = 8
@@ -37,6 +38,11 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return raw.withColumn("ticker", F.col("ticker").cast("string")).withColumn("close", F.col("close") + 100)
 
 
+def calendar(spark: SparkSession, sf: str):
+    """Days on which anything traded."""
+    return trading_calendar(table(spark, sf, "events"), "ts")
+
+
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """purchase events as price requests."""
     return table(spark, sf, "events").where(F.col("event_type") == "purchase").select(
@@ -52,8 +58,7 @@ def district_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def padded_returns(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf)
-    return simple_return(densify(b, trading_calendar(b)))
+    return simple_return(densify(bars(spark, sf), calendar(spark, sf)))
 
 
 def baskets(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +80,7 @@ def sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
 def study_panel(spark: SparkSession, sf: str, horizons=HORIZONS) -> DataFrame:
     """One row per release and district: z-score, change, entry date and forward excess returns."""
-    cal = trading_calendar(bars(spark, sf))
+    cal = calendar(spark, sf)
     s = trailing_zscore(sentiment(spark, sf), "polarity", BASELINE, "district", "release_date", "z8")
     s = change(s, "polarity", "district", "release_date", "chg")
     s = next_trading_day(s, "release_date", cal).where(F.col("entry_date").isNotNull()).drop("entry_idx")
@@ -87,9 +92,14 @@ def study_panel(spark: SparkSession, sf: str, horizons=HORIZONS) -> DataFrame:
     return out
 
 
+def staged_panel(spark: SparkSession, sf: str, horizons=HORIZONS) -> DataFrame:
+    """study_panel written out once, for evaluations that pass over it several times."""
+    return durable(study_panel(spark, sf, horizons))
+
+
 def long_panel(spark: SparkSession, sf: str, horizons=HORIZONS) -> DataFrame:
     """study_panel unpivoted to one row per feature and horizon."""
-    p = study_panel(spark, sf, horizons)
+    p = staged_panel(spark, sf, horizons)
     p = p.unpivot(["release_date", "entry_date", "district", *[f"fwd_{h}" for h in horizons]], ["z8", "chg"], "feature", "x")
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("y")) for h in horizons])
     return p.withColumn("_p", F.explode(pairs)).select(

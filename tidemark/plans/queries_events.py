@@ -241,7 +241,7 @@ def x3(spark, sf):
     signups = b.table(spark, sf, "events").where(F.col("event_type") == "signup").select(
         F.col("user_id").cast("string").alias("ticker"), F.to_date("ts").alias("date")
     )
-    out = es.exclusion_window(signups, px, pn.trading_calendar(px), 2, "ticker")
+    out = es.exclusion_window(signups, px, b.calendar(spark, sf), 2, "ticker")
     return out.select("ticker", text("date"))
 
 

@@ -1 +1,141 @@
-""
+"""Model queries: ridge by fold, stacking, meta-labels, regimes, changepoints."""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.sql import functions as F
+
+from tidemark.operators import cv
+from tidemark.operators import evaluate as ev
+from tidemark.operators import models as md
+from tidemark.plans import bindings as b
+from tidemark.plans import sqlparts as q
+from tidemark.plans.registry import query, rnd
+
+DAY = timedelta(days=1)
+
+
+def _rows(spark, sf):
+    p = b.staged_panel(spark, sf).select("entry_date", "release_date", "district", "chg", "z8", "fwd_5")
+    return p.dropna(subset=["chg", "fwd_5"])
+
+
+def _folds(spark, sf):
+    return cv.purged_kfold(_rows(spark, sf), "entry_date", ["release_date", "district"], 5, 4 * DAY, DAY)
+
+
+_FOLDS = f"""{q.PANEL}, c AS (SELECT entry_date, release_date, district, chg AS x, fwd_5 AS y FROM panel WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL),
+s AS (SELECT *, ntile(5) OVER (ORDER BY entry_date, release_date, district) - 1 AS blk FROM c),
+f AS (SELECT blk AS fold, min(entry_date) AS a, max(entry_date) AS z FROM s GROUP BY 1),
+r AS (SELECT fold, s.*, CASE WHEN blk = fold THEN 'test' WHEN NOT ((entry_date <= z AND entry_date + 4 >= a)
+    OR (entry_date > z AND entry_date <= z + 1)) THEN 'train' END AS role FROM s, f)"""
+_RIDGE = """beta AS (SELECT {k}, regr_sxy(y, x) / (regr_sxx(y, x) + 1.0) AS b, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM r WHERE role = 'train' GROUP BY 1)"""
+
+
+@query(
+    "M2_ridge_by_fold",
+    f"""WITH {_FOLDS}, {_RIDGE.format(k='fold')} SELECT CAST(fold AS INTEGER) AS fold, round(b, 8) + 0 AS beta, round(my - b * mx, 8) + 0 AS intercept, n AS n_train FROM beta""",
+)
+def m2(spark, sf):
+    out = md.ridge_by_fold(_folds(spark, sf), ["chg"], "fwd_5", 1.0)
+    return out.select("fold", rnd(F.col("beta")[0], 8, "beta"), rnd("intercept", 8), "n_train")
+
+
+@query(
+    "M2_out_of_sample_ic",
+    f"""WITH {_FOLDS}, {_RIDGE.format(k='fold')} SELECT CAST(r.fold AS INTEGER) AS fold, count(*) AS n, round(corr(my + b * (x - mx), y), 6) + 0 AS ic
+    FROM r JOIN beta USING (fold) WHERE role = 'test' GROUP BY 1""",
+)
+def m2_ic(spark, sf):
+    return md.out_of_sample_ic(_folds(spark, sf), ["chg"], "fwd_5").select("fold", "n", rnd("ic"))
+
+
+@query("M2_ridge_two_features")
+def m2_two(spark, sf):
+    return md.out_of_sample_ic(_folds(spark, sf), ["chg", "z8"], "fwd_5", p_value=True)
+
+
+def _walk_sql(anchored: bool) -> str:
+    start = "lo" if anchored else "a - 12"
+    return f"""{q.PANEL}, c AS (SELECT entry_date, chg AS x, fwd_5 AS y FROM panel WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL),
+    g AS (SELECT min(entry_date) AS lo, max(entry_date) AS hi FROM c),
+    w AS (SELECT i AS fold, lo, lo + 12 + CAST(i AS INTEGER) * 4 AS a FROM g, range(0, 20) t(i) WHERE lo + 12 + CAST(i AS INTEGER) * 4 + 4 <= hi),
+    r AS (SELECT fold, x, y, CASE WHEN entry_date >= a AND entry_date < a + 4 THEN 'test' WHEN entry_date >= {start} AND entry_date < a - 1 THEN 'train' END AS role FROM c, w),
+    {_RIDGE.format(k='fold')}
+    SELECT CAST(r.fold AS INTEGER) AS fold, count(*) AS n, round(corr(my + b * (x - mx), y), 6) + 0 AS ic FROM r JOIN beta USING (fold) WHERE role = 'test' GROUP BY 1"""
+
+
+@query("M3_walk_forward_anchored", f"WITH {_walk_sql(True)}")
+def m3(spark, sf):
+    folds = cv.walk_forward(_rows(spark, sf), "entry_date", 12 * DAY, 4 * DAY, 4 * DAY, True, DAY)
+    return md.out_of_sample_ic(folds, ["chg"], "fwd_5").select("fold", "n", rnd("ic"))
+
+
+@query("M3_walk_forward_rolling", f"WITH {_walk_sql(False)}")
+def m3_rolling(spark, sf):
+    folds = cv.walk_forward(_rows(spark, sf), "entry_date", 12 * DAY, 4 * DAY, 4 * DAY, False, DAY)
+    return md.out_of_sample_ic(folds, ["chg"], "fwd_5").select("fold", "n", rnd("ic"))
+
+
+_CPCV = f"""{q.PANEL}, c AS (SELECT entry_date, release_date, district, chg AS x, fwd_5 AS y FROM panel WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL),
+s AS (SELECT *, ntile(6) OVER (ORDER BY entry_date, release_date, district) - 1 AS blk FROM c),
+f AS (SELECT blk AS fold, min(entry_date) AS a, max(entry_date) AS z FROM s GROUP BY 1),
+combos AS (SELECT row_number() OVER (ORDER BY a.fold, c.fold) - 1 AS combo, a.fold AS f1, c.fold AS f2 FROM f a JOIN f c ON a.fold < c.fold),
+shut AS (SELECT s.*, fold, (entry_date <= z AND entry_date + 3 >= a) OR (entry_date > z AND entry_date <= z + 1) AS out FROM s, f),
+r AS (SELECT combo, entry_date, release_date, district, any_value(x) AS x, any_value(y) AS y,
+  CASE WHEN any_value(blk) IN (any_value(f1), any_value(f2)) THEN 'test' WHEN NOT bool_or(out) THEN 'train' END AS role
+  FROM combos JOIN shut ON fold IN (f1, f2) GROUP BY 1, 2, 3, 4),
+{_RIDGE.format(k='combo')}, sc AS (SELECT combo, sign(my + b * (x - mx)) * y AS v FROM r JOIN beta USING (combo) WHERE role = 'test'),
+paths AS (SELECT combo, count(v) AS n_obs, CASE WHEN stddev_samp(v) > 0 THEN avg(v) / stddev_samp(v) * sqrt(252) ELSE 0 END AS sharpe FROM sc GROUP BY 1)"""
+
+
+def _paths(spark, sf):
+    folds = cv.combinatorial_purged(_rows(spark, sf), "entry_date", ["release_date", "district"], 6, 2, 3 * DAY, DAY)
+    return md.path_sharpes(folds, ["chg"], "fwd_5")
+
+
+@query("M4_path_sharpes", f"WITH {_CPCV} SELECT CAST(combo AS INTEGER) AS combo, n_obs, round(sharpe, 5) + 0 AS sharpe FROM paths")
+def m4(spark, sf):
+    return _paths(spark, sf).select("combo", "n_obs", rnd("sharpe", 5))
+
+
+@query("M4_overfitting", f"WITH {_CPCV} SELECT round(avg(CASE WHEN sharpe < 0 THEN 1.0 ELSE 0.0 END), 8) AS pbo FROM paths")
+def m4_pbo(spark, sf):
+    return ev.overfitting_share(_paths(spark, sf), "sharpe").select(rnd("pbo", 8))
+
+
+@query("M1_stacked_ensemble")
+def m1(spark, sf):
+    rows = _rows(spark, sf).dropna()
+    x = VectorAssembler(inputCols=["chg", "z8"], outputCol="features").transform(rows)
+    folds = cv.purged_kfold(x, "entry_date", ["release_date", "district"], 3, 4 * DAY, DAY)
+    learners = {
+        "ridge": LinearRegression(regParam=0.01, standardization=False),
+        "tree": DecisionTreeRegressor(maxDepth=3, seed=7),
+    }
+    model, oof = md.fit_stack(folds, ["entry_date", "release_date", "district"], "fwd_5", learners)
+    scored = model.predict(x)
+    return scored.select("entry_date", "release_date", "district", "ridge", "tree", "prediction")
+
+
+@query("M5_meta_labels")
+def m5(spark, sf):
+    rows = _rows(spark, sf).dropna().withColumn("call", F.signum("chg"))
+    model = md.fit_meta_label(rows, ["chg", "z8"], "call", "fwd_5")
+    out = md.size_positions(rows, model, ["chg", "z8"], "call", 0.5)
+    return out.select("entry_date", "release_date", "district", "call", "confidence", "position")
+
+
+@query("M6_regimes")
+def m6(spark, sf):
+    r = b.padded_returns(spark, sf).where(F.col("ret").isNotNull()).select("ticker", "date", "ret", F.abs("ret").alias("vol"))
+    params = md.fit_regimes(r, "ticker", "date", ["ret", "vol"], 2, 5)
+    return md.predict_regimes(r, "ticker", "date", ["ret", "vol"], params)
+
+
+@query("M7_changepoints")
+def m7(spark, sf):
+    return md.run_lengths(b.bars(spark, sf), "ticker", "date", "close", md.ChangepointPrior(mu0=100.0))

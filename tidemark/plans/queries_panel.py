@@ -19,7 +19,7 @@ SPARSE = """sparse AS (
 def _sparse(spark, sf):
     """Dense panel whose single-trade days count as gaps."""
     px = b.bars(spark, sf)
-    dense = pn.densify(px, pn.trading_calendar(px))
+    dense = pn.densify(px, b.calendar(spark, sf))
     return dense.withColumn("close", F.when(F.col("volume") > 1, F.col("close")))
 
 

@@ -141,7 +141,7 @@ def j7(spark, sf):
 )
 def j8(spark, sf):
     px = b.bars(spark, sf)
-    out = pn.fixed_horizon_return(b.requests(spark, sf), px, pn.trading_calendar(px), "as_of", [1, 5, 20])
+    out = pn.fixed_horizon_return(b.requests(spark, sf), px, b.calendar(spark, sf), "as_of", [1, 5, 20])
     return out.select("event_id", "ticker", "horizon", rnd("fwd_ret"))
 
 
@@ -161,7 +161,7 @@ def j8(spark, sf):
 def p22(spark, sf):
     px = b.bars(spark, sf)
     bench = px.groupBy("date").agg(F.avg("close").alias("close"))
-    out = pn.excess_over_benchmark(b.requests(spark, sf), px, bench, pn.trading_calendar(px), "as_of", [1, 5, 20])
+    out = pn.excess_over_benchmark(b.requests(spark, sf), px, bench, b.calendar(spark, sf), "as_of", [1, 5, 20])
     return out.select("event_id", "horizon", rnd("excess"))
 
 

@@ -123,7 +123,7 @@ def w14(spark, sf):
     SELECT district, n, CASE WHEN n >= 16 THEN round(ic, 6) + 0 END AS ic FROM g""",
 )
 def a6(spark, sf):
-    ic = ev.information_coefficient(b.study_panel(spark, sf), "z8", "fwd_5", ["district"], 16, "one", p_value=False)
+    ic = ev.information_coefficient(b.staged_panel(spark, sf), "z8", "fwd_5", ["district"], 16, "one", p_value=False)
     return ic.select("district", "n", rnd("ic"))
 
 
@@ -174,14 +174,14 @@ fwd AS (
 
 def _portfolio(spark, sf):
     """Mean forward return per (manager, filing, horizon), managers being event types."""
-    from tidemark.operators.panel import fixed_horizon_return, trading_calendar
+    from tidemark.operators.panel import fixed_horizon_return
 
     px = b.bars(spark, sf)
     e = b.table(spark, sf, "events").select(
         "event_id", F.col("event_type").alias("manager"), F.to_date("ts").alias("filing_date"),
         F.col("user_id").cast("string").alias("ticker"),
     )
-    fwd = fixed_horizon_return(e, px, trading_calendar(px), "filing_date", [1, 5, 20])
+    fwd = fixed_horizon_return(e, px, b.calendar(spark, sf), "filing_date", [1, 5, 20])
     return ev.portfolio_return(fwd, ["manager", "filing_date", "horizon"], "fwd_ret")
 
 
@@ -255,7 +255,7 @@ def p2(spark, sf):
     FROM panel p LEFT JOIN m USING (district)""",
 )
 def p16(spark, sf):
-    p = b.study_panel(spark, sf)
+    p = b.staged_panel(spark, sf)
     p = ev.median_sign_strategy(p, "chg", "fwd_5", ["district"], "by_median")
     return p.select(
         "district", text("release_date"), rnd(ev.sign_strategy(F.col("chg"), F.col("fwd_5")), 6, "by_sign"),
@@ -304,7 +304,7 @@ def p20(spark, sf):
       round(avg(fwd_5) FILTER (hi <= 3) - avg(fwd_5) FILTER (lo <= 3), 6) + 0 AS ls FROM r WHERE n >= 6 GROUP BY ALL""",
 )
 def w15(spark, sf):
-    out = ev.long_short(b.study_panel(spark, sf), "chg", "fwd_5", ["release_date", "entry_date"], "district", 3)
+    out = ev.long_short(b.staged_panel(spark, sf), "chg", "fwd_5", ["release_date", "entry_date"], "district", 3)
     return out.select(text("release_date"), text("entry_date"), rnd("long"), rnd("short"), rnd("ls"))
 
 
@@ -371,7 +371,7 @@ def a28(spark, sf):
     SELECT CAST(k AS INTEGER) AS "offset", count(*) AS n, round(corr(chg, fwd_5), 6) + 0 AS ic FROM o GROUP BY 1""",
 )
 def a30(spark, sf):
-    out = ev.alternate_subsamples(b.study_panel(spark, sf), "release_date", "chg", "fwd_5", p_value=False)
+    out = ev.alternate_subsamples(b.staged_panel(spark, sf), "release_date", "chg", "fwd_5", p_value=False)
     return out.select("offset", "n", rnd("ic"))
 
 
@@ -382,13 +382,13 @@ def a30(spark, sf):
     FROM panel WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL GROUP BY 1""",
 )
 def a29_sums(spark, sf):
-    s = bs.block_sums(b.study_panel(spark, sf), "release_date", "chg", "fwd_5")
+    s = bs.block_sums(b.staged_panel(spark, sf), "release_date", "chg", "fwd_5")
     return s.select(text("block"), "n", rnd("sx"), rnd("sy"), rnd("sxx", 5), rnd("syy"), rnd("sxy"))
 
 
 @query("A29_block_bootstrap")
 def a29(spark, sf):
-    return bs.block_bootstrap_ic(b.study_panel(spark, sf), "release_date", "chg", "fwd_5", 2_000)
+    return bs.block_bootstrap_ic(b.staged_panel(spark, sf), "release_date", "chg", "fwd_5", 2_000)
 
 
 @query(
@@ -398,7 +398,7 @@ def a29(spark, sf):
       n >= 100 AND ic > 0 AND mean > 0.002 AS passes FROM c""",
 )
 def a39(spark, sf):
-    p = b.study_panel(spark, sf).where(F.col("chg").isNotNull() & F.col("fwd_5").isNotNull())
+    p = b.staged_panel(spark, sf).where(F.col("chg").isNotNull() & F.col("fwd_5").isNotNull())
     m = p.agg(F.corr("chg", "fwd_5").alias("ic"), F.count("*").alias("n"), F.avg("fwd_5").alias("mean"))
     rules = {"enough": F.col("n") >= 100, "right_sign": F.col("ic") > 0, "beats_cost": F.col("mean") > 0.002}
     return reports.decide(m, rules).drop("mean").withColumn("ic", rnd("ic"))
@@ -504,7 +504,7 @@ def c3_rolling(spark, sf):
       round(corr(chg, fwd_5) FILTER (role = 'test'), 6) + 0 AS ic FROM r GROUP BY 1 HAVING count(*) FILTER (role = 'test') >= 30""",
 )
 def a27(spark, sf):
-    p = b.study_panel(spark, sf).select("entry_date", "release_date", "district", "chg", "fwd_5")
+    p = b.staged_panel(spark, sf).select("entry_date", "release_date", "district", "chg", "fwd_5")
     out = ev.walk_forward_ic(
         p, "chg", "fwd_5", "entry_date", ["release_date", "district"], 5, 4 * DAY, DAY, p_value=False
     )
@@ -513,7 +513,7 @@ def a27(spark, sf):
 
 @query("A27_walk_forward_p")
 def a27_p(spark, sf):
-    p = b.study_panel(spark, sf).select("entry_date", "release_date", "district", "chg", "fwd_5")
+    p = b.staged_panel(spark, sf).select("entry_date", "release_date", "district", "chg", "fwd_5")
     return ev.walk_forward_ic(p, "chg", "fwd_5", "entry_date", ["release_date", "district"], 5, 4 * DAY, DAY)
 
 
@@ -522,7 +522,7 @@ def a27_p(spark, sf):
 
 @query("X5_rank_ic_bootstrap")
 def x5(spark, sf):
-    return cl.rank_ic_bootstrap(b.study_panel(spark, sf), "chg", "fwd_5", "release_date", 1_000)
+    return cl.rank_ic_bootstrap(b.staged_panel(spark, sf), "chg", "fwd_5", "release_date", 1_000)
 
 
 @query(
@@ -539,7 +539,7 @@ def x5(spark, sf):
       round(greatest(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN ic < 0 THEN 1.0 ELSE 0 END)), 6) AS sign_stability FROM ic GROUP BY 1""",
 )
 def x7(spark, sf):
-    p = b.study_panel(spark, sf).select("entry_date", "release_date", "district", "z8", "chg", "fwd_5").dropna()
+    p = b.staged_panel(spark, sf).select("entry_date", "release_date", "district", "z8", "chg", "fwd_5").dropna()
     folds = cv.purged_kfold(p, "entry_date", ["release_date", "district"], 5, 2 * DAY, DAY)
     out = cl.screen_features(folds, ["z8", "chg"], "fwd_5", ["release_date", "district"])
     return out.select("feature", "n_folds", rnd("mean_ic", 5), rnd("sign_stability"))
@@ -564,13 +564,13 @@ def x7_mi(spark, sf):
     SELECT CAST(release_date AS VARCHAR) AS release_date, district, round(z8 - (i + s * chg), 4) + 0 AS residual FROM m""",
 )
 def x8(spark, sf):
-    out = cl.residualize_one(b.study_panel(spark, sf), "z8", "chg", ["release_date"])
+    out = cl.residualize_one(b.staged_panel(spark, sf), "z8", "chg", ["release_date"])
     return out.select(text("release_date"), "district", rnd("residual", 4))
 
 
 @query("X8_residualize_many")
 def x8_many(spark, sf):
-    p = b.study_panel(spark, sf)
+    p = b.staged_panel(spark, sf)
     return cl.residualize(p, "fwd_5", ["z8", "chg"], ["release_date"]).select("release_date", "district", "residual")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from tidemark.operators.models import ChangepointPrior, RunLengths
 
@@ -21,7 +22,7 @@ def stream_run_lengths(
     ``max_run + 1`` numbers, so it does not grow with the length of the stream.
     """
     rows = stream.select(entity, date, value).where(f"{value} IS NOT NULL AND NOT isnan({value})")
-    output = rows.select(entity, date).schema.add("run_length", "int")
+    output = rows.select(entity, date).schema.add("run_length", IntegerType())
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         runs = RunLengths.unpack(state.get[0]) if state.exists else RunLengths.fresh(prior)
