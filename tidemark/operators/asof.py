@@ -50,10 +50,16 @@ def asof_join(
     # at equal instants the right row comes first unless equality is excluded
     right_side, left_side = (1, 0) if strict else (0, 1)
     rights = carried.select(
-        *by, "_ts", F.lit(right_side).alias("_side"), "_tie", F.lit(None).cast(left_type).alias("_l"), "_r"
+        *by, F.lit(0).cast("long").alias("_spread"), "_ts", F.lit(right_side).alias("_side"), "_tie",
+        F.lit(None).cast(left_type).alias("_l"), "_r",
     )
+    # a missing key or instant matches nothing: such rows are dealt out instead of piling up in one group
+    hopeless = F.col(left_ts).isNull()
+    for key in by:
+        hopeless = hopeless | F.col(key).isNull()
     lefts = left.select(
         *by,
+        F.when(hopeless, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(65_536))).otherwise(F.lit(0)).alias("_spread"),
         F.col(left_ts).cast(carried.schema["_ts"].dataType).alias("_ts"),
         F.lit(left_side).alias("_side"),
         F.lit(None).cast(tie_type).alias("_tie"),
@@ -61,6 +67,7 @@ def asof_join(
         F.lit(None).cast(right_type).alias("_r"),
     )
     both = rights.unionByName(lefts)
+    group = [*by, "_spread"]
     if direction == "backward":
         order = [F.col("_ts").asc(), F.col("_side").asc(), F.col("_tie").asc()]
     else:
@@ -69,10 +76,10 @@ def asof_join(
     upto = (Window.unboundedPreceding, Window.currentRow)
 
     def plain(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(*upto)
         return rows.withColumn("_hit", F.last("_r", ignorenulls=True).over(w))
 
-    hot = both.groupBy(*by).count().where(F.col("count") > max_rows)
+    hot = both.where(F.col("_spread") == 0).groupBy(*by).count().where(F.col("count") > max_rows)
     sizes = hot.agg(F.sum("count")).first()[0]
     if not sizes:
         walked = plain(both)

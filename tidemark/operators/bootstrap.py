@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import clean
+from tidemark.operators.ordered import ordinal
 from tidemark.session import durable
 
 
 def block_sums(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
-    """Sufficient statistics of each block; ``slot`` numbers the blocks 0..K-1.
-
-    Blocks are release dates or weeks, so this table is calendar-sized.
-    """
+    """Sufficient statistics of each block, staged once; ``slot`` numbers the blocks 0..K-1."""
     rows = df.select(F.col(block).alias("block"), clean(x).alias("_x"), clean(y).alias("_y")).dropna(
         subset=["_x", "_y"]
     )
@@ -27,7 +25,7 @@ def block_sums(df: DataFrame, block: str, x: str, y: str) -> DataFrame:
         F.sum(F.col("_y") * F.col("_y")).alias("syy"),
         F.sum(F.col("_x") * F.col("_y")).alias("sxy"),
     )
-    return sums.withColumn("slot", (F.row_number().over(Window.orderBy("block")) - 1).cast("long"))
+    return ordinal(durable(sums), ["block"], out="slot").withColumn("slot", F.col("slot") - 1)
 
 
 def ic_from_sums() -> Column:
@@ -60,8 +58,7 @@ def block_bootstrap_ic(
     df: DataFrame, block: str, x: str, y: str, n_boot: int = 10_000, seed: int = 20260731, ci: Sequence[float] = (0.025, 0.975)
 ) -> DataFrame:
     """Observed IC, confidence interval, SE, centred two-sided p and SE inflation, in one row."""
-    # calendar-sized and resample-sized tables, read several times below
-    sums = durable(block_sums(df, block, x, y))
+    sums = block_sums(df, block, x, y)
     observed = sums.agg(ic_from_sums().alias("ic"), F.sum("n").alias("n_obs"), F.count("*").alias("n_blocks"))
     drawn = bootstrap_draws(sums, n_boot, seed).where(F.col("ic").isNotNull())
     draws = durable(drawn.withColumnRenamed("ic", "draw"))

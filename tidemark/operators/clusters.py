@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark.operators.bootstrap import block_bootstrap_ic
 from tidemark.operators.evaluate import clean, rank_information_coefficient
 from tidemark.operators.eventstudy import quantile_bucket, quantile_edges
-from tidemark.operators.ordered import MAX_GROUP_ROWS, average_rank, top_n
+from tidemark.operators.ordered import MAX_GROUP_ROWS, MAX_PERCENTILE_ROWS, average_rank, top_n
 from tidemark.operators.panel import Calendar, next_trading_day
 
 
@@ -95,13 +95,12 @@ def rank_ic_bootstrap(
 
 def decile_spread(
     df: DataFrame, signal: str, net: str, keys: Sequence[str] = (), band: str = "adv_bucket", n: int = 10,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_PERCENTILE_ROWS,
 ) -> DataFrame:
     """Top-minus-bottom signal decile of net returns, by cost band."""
-    rows = df.withColumn("_all", F.lit(1))
-    by = list(keys) or ["_all"]
-    edges = quantile_edges(rows, by, signal, n, max_rows)
-    sized = rows.join(edges, by).withColumn("decile", quantile_bucket(F.col(signal), F.col("edges"), n))
+    edges = quantile_edges(df, keys, signal, n, max_rows)
+    rows = df.join(edges, list(keys)) if keys else df.join(F.broadcast(edges))  # a single row without keys
+    sized = rows.withColumn("decile", quantile_bucket(F.col(signal), F.col("edges"), n))
     out = sized.groupBy(*keys, band).agg(
         F.avg(F.when(F.col("decile") == n, F.col(net))).alias("top"),
         F.avg(F.when(F.col("decile") == 1, F.col(net))).alias("bottom"),
@@ -110,7 +109,7 @@ def decile_spread(
     return out.withColumn("spread", F.col("top") - F.col("bottom"))
 
 
-def momentum_tercile(df: DataFrame, date: str, momentum: str, n: int = 3, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def momentum_tercile(df: DataFrame, date: str, momentum: str, n: int = 3, max_rows: int = MAX_PERCENTILE_ROWS) -> DataFrame:
     """Momentum bucket per date, to be used as the extra control key."""
     edges = quantile_edges(df, [date], momentum, n, max_rows)
     out = df.join(edges, date, "left")
@@ -130,14 +129,14 @@ def screen_features(
     )
 
 
-def mutual_information(df: DataFrame, x: str, y: str, bins: int = 5, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def mutual_information(df: DataFrame, x: str, y: str, bins: int = 5, max_rows: int = MAX_PERCENTILE_ROWS) -> DataFrame:
     """Mutual information (nats) of two columns over quantile bins."""
-    rows = df.select(clean(x).alias("_x"), clean(y).alias("_y")).dropna().withColumn("_all", F.lit(1))
+    rows = df.select(clean(x).alias("_x"), clean(y).alias("_y")).dropna()
     for c in ("_x", "_y"):
-        edges = quantile_edges(rows, ["_all"], c, bins, max_rows)
-        rows = rows.join(edges, "_all").withColumn(f"{c}b", quantile_bucket(F.col(c), F.col("edges"), bins)).drop("edges")
+        edges = F.broadcast(quantile_edges(rows, [], c, bins, max_rows))  # a single row
+        rows = rows.join(edges).withColumn(f"{c}b", quantile_bucket(F.col(c), F.col("edges"), bins)).drop("edges")
     # at most bins * bins rows from here on
-    cells = rows.groupBy("_all", "_xb", "_yb").agg(F.count("*").alias("n"))
+    cells = rows.groupBy(F.lit(1).alias("_all"), "_xb", "_yb").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("_all"))
     px, py = F.sum("n").over(Window.partitionBy("_all", "_xb")), F.sum("n").over(Window.partitionBy("_all", "_yb"))
     share = F.col("n") / total

@@ -117,33 +117,32 @@ def walk_forward(
     Folds without train or without test rows are removed, as they cannot be scored.
     """
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()
-    windows, at = [], lo + train_window
-    while at + test_window <= hi:
-        windows.append((len(windows), lo if anchored else at - train_window, at, at + test_window))
+    windows, at = [], None if lo is None else lo + train_window
+    while at is not None and at + test_window <= hi:
+        windows.append((len(windows), lo if anchored else at - train_window, at - embargo, at, at + test_window))
         at = at + step
     if not windows:
         raise ValueError("the time span is shorter than one train plus one test window")
-    spec = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("fold"), F.lit(a).alias("train_start"), F.lit(a2 - embargo).alias("train_end"),
-                F.lit(a2).alias("test_start"), F.lit(b).alias("test_end"),
-            )
-            for i, a, a2, b in windows
-        ]
-    )
     t = F.col(ts)
-    in_train = lambda w: (t >= w["train_start"]) & (t < w["train_end"])
-    in_test = lambda w: (t >= w["test_start"]) & (t < w["test_end"])
-    hits = F.filter(spec, lambda w: in_train(w) | in_test(w))
-    out = df.withColumn("_w", F.explode(hits))
-    out = out.select(
-        *df.columns, F.col("_w.fold").alias("fold"), F.col("_w.test_start").alias("test_start"),
-        F.col("_w.test_end").alias("test_end"),
-        F.when((t >= F.col("_w.test_start")), "test").otherwise("train").alias("role"),
-    )
-    usable = out.groupBy("fold").agg(F.countDistinct("role").alias("_k")).where(F.col("_k") == 2)
-    return out.join(usable, "fold", "left_semi")
+
+    def placed(rows: DataFrame, specs: list) -> DataFrame:
+        fields = ("fold", "train_start", "train_end", "test_start", "test_end")
+        spec = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, w)]) for w in specs])
+        hits = F.filter(
+            spec,
+            lambda w: ((t >= w["train_start"]) & (t < w["train_end"])) | ((t >= w["test_start"]) & (t < w["test_end"])),
+        )
+        out = rows.withColumn("_w", F.explode(hits))
+        role = F.when(t >= F.col("_w.test_start"), "test").otherwise("train")
+        return out.select(*rows.columns, "_w.fold", "_w.test_start", "_w.test_end", role.alias("role"))
+
+    # one row per fold comes back to the driver, which then leaves unusable folds out of the spec
+    sides = placed(df.select(ts), windows).groupBy("fold").agg(F.countDistinct("role").alias("k")).collect()
+    usable = {r["fold"] for r in sides if r["k"] == 2}
+    kept = [w for w in windows if w[0] in usable]
+    if not kept:
+        raise ValueError("no fold has both train and test rows")
+    return placed(df, kept)
 
 
 def fold_sizes(folds: DataFrame, key: str = "fold") -> DataFrame:

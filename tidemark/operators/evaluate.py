@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.distributions import expected_max_z, norm_cdf, t_p_value
 from tidemark.operators.cv import purged_kfold
-from tidemark.operators.ordered import MAX_GROUP_ROWS, average_rank, grouped_percentile, ordinal
+from tidemark.operators.ordered import MAX_GROUP_ROWS, MAX_PERCENTILE_ROWS, average_rank, grouped_percentile, ordinal
 
 
 def clean(column: str) -> Column:
@@ -183,20 +183,17 @@ def benjamini_hochberg(
     keys = list(keys)
     held = df.withColumn("_p", F.coalesce(F.col(p), F.lit(1.0)))
     ranked = ordinal(held, ["_p"], keys, "_i", max_rows)
-    grouped = ranked if keys else ranked.withColumn("_all", F.lit(1))
-    by = keys or ["_all"]
-    sizes = grouped.groupBy(*by).agg(F.count("*").alias("_n"))
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("_n"))
     passed = F.col("_p") <= F.col("_i") / F.col("_n") * F.lit(fdr)
-    cutoff = (
-        grouped.join(sizes, by)
-        .groupBy(*by)
-        .agg(F.max(F.when(passed, F.col("_i"))).alias("_cut"))
-    )
-    return (
-        grouped.join(cutoff, by)
-        .withColumn(out, F.coalesce(F.col("_i") <= F.col("_cut"), F.lit(False)))
-        .drop("_p", "_i", "_cut", "_all")
-    )
+    last = F.max(F.when(passed, F.col("_i"))).alias("_cut")
+
+    def attach(table: DataFrame) -> DataFrame:
+        # without keys the side is a single row
+        return ranked.join(table, keys) if keys else ranked.join(F.broadcast(table))
+
+    cutoff = attach(sizes).groupBy(*keys).agg(last)
+    verdict = F.coalesce(F.col("_i") <= F.col("_cut"), F.lit(False))
+    return attach(cutoff).withColumn(out, verdict).drop("_p", "_i", "_cut")
 
 
 def harvey_liu_zhu_bar(n_tests: Column) -> Column:
@@ -304,7 +301,7 @@ def long_or_short(feature: Column, ret: Column) -> Column:
     return F.when(feature > 0, ret).otherwise(-ret)
 
 
-def median_sign_strategy(df: DataFrame, feature: str, ret: str, keys: Sequence[str], out: str = "strategy", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def median_sign_strategy(df: DataFrame, feature: str, ret: str, keys: Sequence[str], out: str = "strategy", max_rows: int = MAX_PERCENTILE_ROWS) -> DataFrame:
     """Hold in the direction of (feature - group median)."""
     med = grouped_percentile(df, keys, feature, [0.5], "_m", max_rows).withColumn("_m", F.col("_m")[0])
     return df.join(med, list(keys), "left").withColumn(out, F.signum(F.col(feature) - F.col("_m")) * F.col(ret)).drop("_m")

@@ -16,7 +16,7 @@ from tidemark.config import (
 )
 from tidemark.operators.asof import asof_join
 from tidemark.operators.gates import Check, gate, gate_rows, require_columns
-from tidemark.operators.ordered import MAX_GROUP_ROWS, grouped_percentile
+from tidemark.operators.ordered import MAX_PERCENTILE_ROWS, grouped_percentile
 from tidemark.operators.panel import Calendar, next_trading_day, trailing_median_dollar_volume
 
 EASTERN = "America/New_York"
@@ -146,7 +146,7 @@ def attrition(df: DataFrame, reason: str, label: str = "qualifies") -> DataFrame
     return counts.withColumn("pct", F.round(F.col("n_rows") * 100.0 / total, 2))
 
 
-def quantile_edges(universe: DataFrame, by: Sequence[str], cap: str, n: int, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def quantile_edges(universe: DataFrame, by: Sequence[str], cap: str, n: int, max_rows: int = MAX_PERCENTILE_ROWS) -> DataFrame:
     """The n+1 linear quantile edges of ``cap`` per group, as array ``edges``."""
     return grouped_percentile(universe, by, cap, [i / n for i in range(n + 1)], "edges", max_rows)
 
@@ -179,7 +179,7 @@ def check_known_after_period(events: DataFrame) -> Check:
 
 def matched_control(
     events: DataFrame, pool: DataFrame, universe: DataFrame, config: ControlConfig = ControlConfig(), date: str = "date",
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_PERCENTILE_ROWS,
 ) -> DataFrame:
     """Mean forward return of candidates sharing date, sector and size bucket.
 
@@ -240,7 +240,7 @@ def band_gaps(buckets: DataFrame) -> DataFrame:
 
 def run_event_study(
     events: DataFrame, pool: DataFrame, universe: DataFrame, returns: DataFrame,
-    schedule: CostSchedule = CostSchedule(), config: ControlConfig = ControlConfig(), max_rows: int = MAX_GROUP_ROWS,
+    schedule: CostSchedule = CostSchedule(), config: ControlConfig = ControlConfig(), max_rows: int = MAX_PERCENTILE_ROWS,
 ) -> DataFrame:
     """Every event with its control, cost and net return, or the stage it left at.
 

@@ -88,19 +88,18 @@ def require_resolved(resolved: DataFrame, name: str = "ticker_resolution") -> Ch
 def find_conflicts(history: DataFrame) -> DataFrame:
     """One ticker on two CIKs at once, with the overlap.
 
-    Only rows that start before an earlier row of the ticker has ended can be
-    the later half of a conflict. A running maximum finds them, and they alone
-    go through the month-binned join. Each pair is reported once, in the month
-    where its overlap begins.
+    Tickers with a single CIK drop out by a plain aggregate. The rest is
+    binned by month: the later-starting interval is looked up in the month it
+    starts, so a pair meets once, and a long ticker history is spread over its
+    months instead of being paired as a whole.
     """
     h = prepare_history(history)
-    # rows equal in all that matters give one interval
-    h = h.groupBy("ticker", "cik", "valid_from", "valid_to").agg(F.count("*").alias("copies"))
-    w = Window.partitionBy("ticker").orderBy("valid_from", "cik", "valid_to")
-    reach = F.max("valid_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = h.withColumn("_reach", reach)
-    busy = numbered.where(F.col("_reach") >= F.col("valid_from")).select("ticker").distinct()
-    suspects = numbered.join(busy, "ticker", "left_semi").drop("_reach")
+    shared = h.groupBy("ticker").agg(F.min("cik").alias("_a"), F.max("cik").alias("_b"))
+    shared = shared.where(F.col("_a") != F.col("_b")).select("ticker")
+    # equal rows give one interval and a count
+    suspects = h.join(shared, "ticker", "left_semi").groupBy("ticker", "cik", "valid_from", "valid_to").agg(
+        F.count("*").alias("copies")
+    )
     horizon = F.to_date(F.lit(str(h.agg(F.max("valid_from")).first()[0] or "1970-01-01")))
     later = suspects.select(
         "ticker", F.col("cik").alias("cik_b"), F.col("valid_from").alias("from_b"), F.col("valid_to").alias("to_b"),
@@ -110,7 +109,6 @@ def find_conflicts(history: DataFrame) -> DataFrame:
         "ticker", "_bin", F.col("cik").alias("cik_a"), F.col("valid_from").alias("from_a"),
         F.col("valid_to").alias("to_a"), F.col("copies").alias("copies_a"),
     )
-    # the later-starting interval is looked up in the month it starts, so a pair meets once
     ordered = (F.col("from_a") < F.col("from_b")) | (
         (F.col("from_a") == F.col("from_b")) & (F.col("cik_a") < F.col("cik_b"))
     )
@@ -158,13 +156,14 @@ def match_names(
     """
     t = float(min_similarity)
 
-    def grams(df: DataFrame, ident: str, side: str) -> DataFrame:
-        named = df.select(
-            F.col(ident).alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("state").alias(f"{side}_state")
-        )
+    def grams(df: DataFrame, side: str) -> DataFrame:
+        named = df.select(F.col("name").alias(f"{side}_name"), F.col("state").alias(f"{side}_state"), f"{side}_id")
         return named.withColumn(f"{side}_grams", trigrams(normal_name(F.col(f"{side}_name"))))
 
-    a, b = grams(wanted, "key", "w"), grams(known, "cert", "k")
+    # a name asked for a million times is matched once, and equal institutions count as the first of them
+    asked = wanted.select("name", "state").distinct()
+    a = grams(asked.withColumn("w_id", F.struct("name", "state")), "w")
+    b = grams(known.groupBy("name", "state").agg(F.min("cert").alias("k_id")), "k")
     every = a.select(F.explode("w_grams").alias("gram")).unionAll(b.select(F.explode("k_grams").alias("gram")))
     rarity = every.groupBy("gram").agg(F.count("*").alias("freq"))
 
@@ -182,24 +181,22 @@ def match_names(
     dice = 2.0 * shared / (F.size("w_grams") + F.size("k_grams"))
     scored = scored.withColumn("similarity", F.round(dice, 3)).where(dice >= t)
     scored = scored.withColumn("same_state", F.coalesce(F.col("w_state") == F.col("k_state"), F.lit(False)))
-    best = top_n(scored, ["w_id"], [F.desc("same_state"), F.desc("similarity"), F.asc("k_id")], runners_up + 1)
+    order = [F.desc("same_state"), F.desc("similarity"), F.asc("k_id")]
+    best = top_n(scored, ["w_id"], order, runners_up + 1)
+    others = F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("rn") > 1, F.struct("rn", "k_name", "k_state")))),
+        lambda r: F.concat(r["k_name"], F.lit("("), r["k_state"], F.lit(")")),
+    )
     picked = best.groupBy("w_id").agg(
         F.min_by(F.struct("k_id", "k_name", "k_state", "similarity", "same_state"), "rn").alias("_b"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("rn") > 1, F.struct("rn", "k_name", "k_state")))),
-                lambda r: F.concat(r["k_name"], F.lit("("), r["k_state"], F.lit(")")),
-            ),
-            "; ",
-        ).alias("runners_up"),
-    )
-    out = a.drop("w_grams").join(picked, "w_id", "left")
+        F.array_join(others, "; ").alias("runners_up"),
+    ).select("w_id.name", "w_id.state", "_b", "runners_up")
+    out = wanted.join(picked, ["name", "state"], "left")
     status = F.when(F.col("_b").isNull(), "not_found").when(~F.col("_b.same_state"), "state_mismatch").otherwise("ok")
     return out.select(
-        F.col("w_id").alias("key"), F.col("w_name").alias("name"), F.col("w_state").alias("state"),
-        F.col("_b.k_id").alias("cert"), F.col("_b.k_name").alias("matched_name"),
-        F.col("_b.k_state").alias("matched_state"), F.col("_b.similarity").alias("similarity"),
-        F.col("runners_up"), status.alias("status"),
+        "key", "name", "state", F.col("_b.k_id").alias("cert"), F.col("_b.k_name").alias("matched_name"),
+        F.col("_b.k_state").alias("matched_state"), F.col("_b.similarity").alias("similarity"), "runners_up",
+        status.alias("status"),
     )
 
 

@@ -66,11 +66,11 @@ def ridge_by_fold(
 
 
 def predict_linear(rows: DataFrame, coefficients: DataFrame, features: Sequence[str], fold: str = "fold", out: str = "prediction") -> DataFrame:
-    """Score rows with their fold's coefficients (one row per fold, so the join is against a tiny table)."""
+    """Score rows with their fold's coefficients: one row per configured fold, hence broadcast."""
     score = F.col("intercept")
     for i, c in enumerate(features):
         score = score + F.col("beta")[i] * F.col(c)
-    return rows.join(coefficients, fold).withColumn(out, score).drop("intercept", "beta", "n_train")
+    return rows.join(F.broadcast(coefficients), fold).withColumn(out, score).drop("intercept", "beta", "n_train")
 
 
 def out_of_sample_ic(

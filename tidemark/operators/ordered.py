@@ -22,6 +22,9 @@ from tidemark.session import durable
 # Rows one task may hold in a single ordered group (window buffers spill beyond memory).
 MAX_GROUP_ROWS = 4_000_000
 
+# Distinct values the built-in exact percentile may hold in one aggregation buffer.
+MAX_PERCENTILE_ROWS = 1_000_000
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition number << 33 | row position
 
 
@@ -164,7 +167,7 @@ def grouped_percentile(
     value: str,
     probs: Sequence[float],
     out: str = "pct",
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_PERCENTILE_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key as an array column.
 
@@ -181,7 +184,8 @@ def grouped_percentile(
         rows = rows.withColumn("_all", F.lit(1))
         return grouped_percentile(rows, ["_all"], "_v", probs, out, max_rows).drop("_all")
     sizes = rows.groupBy(*keys).count().withColumnRenamed("count", "_n")
-    hot = sizes.where(F.col("_n") > max_rows)
+    # at most (rows / max_rows) groups can be this large
+    hot = F.broadcast(sizes.where(F.col("_n") > max_rows))
     if not hot.take(1):
         return rows.groupBy(*keys).agg(direct)
     cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(direct)

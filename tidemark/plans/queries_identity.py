@@ -242,7 +242,21 @@ def f1(spark, sf):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", idn.normal_name(F.col("raw")).alias("name"))
 
 
-@query("J27_match_names")
+def _grams_sql(name: str) -> str:
+    padded = f"('  ' || {name} || ' ')"
+    return f"list_distinct(list_transform(generate_series(1, length({name}) + 1), lambda i: substr({padded}, i, 3)))"
+
+
+@query(
+    "J27_match_names",
+    f"""WITH w AS (SELECT DISTINCT p_name || ' ' || p_brand AS name, p_brand AS state FROM part),
+    k AS (SELECT DISTINCT lower(p_type) || ' ' || p_name AS name, 'Brand#' || (p_size % 25 + 1) AS state FROM part),
+    wg AS (SELECT *, {_grams_sql('lower(name)')} AS g FROM w), kg AS (SELECT *, {_grams_sql('lower(name)')} AS g, name || '|' || state AS id FROM k),
+    s AS (SELECT wg.name, wg.state, kg.id, kg.name AS kn, kg.state AS ks, wg.state = kg.state AS same, 2.0::DOUBLE * len(list_intersect(wg.g, kg.g)) / (len(wg.g) + len(kg.g)) AS d FROM wg, kg),
+    r AS (SELECT *, round(d, 3) AS sim, row_number() OVER (PARTITION BY name, state ORDER BY same DESC, round(d, 3) DESC, id) AS rn FROM s WHERE d >= 0.55)
+    SELECT w.name || '|' || w.state AS key, r.id AS cert, r.sim AS similarity, CASE WHEN r.id IS NULL THEN 'not_found' WHEN r.same THEN 'ok' ELSE 'state_mismatch' END AS status
+    FROM w LEFT JOIN r ON r.name = w.name AND r.state = w.state AND r.rn = 1""",
+)
 def j27(spark, sf):
     p = b.table(spark, sf, "part")
     wanted = p.select(F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_brand").alias("state")).distinct()
@@ -252,4 +266,4 @@ def j27(spark, sf):
         F.concat(F.lit("Brand#"), F.pmod("p_size", F.lit(25)) + 1).alias("state"),
     ).distinct()
     known = known.withColumn("cert", F.concat_ws("|", "name", "state"))
-    return idn.match_names(wanted, known)
+    return idn.match_names(wanted, known).select("key", "cert", "similarity", "status")
