@@ -82,7 +82,7 @@ def read_filing_zips(spark: SparkSession, path: str, table: str, chunk_rows: int
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file, as text, with its file name."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("value").alias("json"), F.input_file_name().alias("file")
     )
 
