@@ -15,9 +15,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from tidemark.operators.evaluate import clean, information_coefficient
+from tidemark.operators.evaluate import clean, information_coefficient, sharpe_ratio
+from tidemark.session import durable
 
 # ---------------------------------------------------------------- ridge from sums
 
@@ -86,8 +87,6 @@ def path_sharpes(
     folds: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, fold: str = "combo", periods: int = 252
 ) -> DataFrame:
     """M4: Sharpe of sign(prediction) * label on each combination's test rows."""
-    from tidemark.operators.evaluate import sharpe_ratio
-
     fitted = ridge_by_fold(folds, features, label, alpha, fold)
     scored = predict_linear(folds.where(F.col("role") == "test"), fitted, features, fold)
     return sharpe_ratio(scored.withColumn("_s", F.signum("prediction") * F.col(label)), "_s", [fold], periods)
@@ -231,99 +230,160 @@ def _log_density(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarr
     return out
 
 
+CHUNK_CELLS = 2_000_000  # series x days worked on at once inside a task
+
+
+def regime_series(panel: DataFrame, entity: str, date: str, features: Sequence[str]) -> DataFrame:
+    """One row per entity: its dates and features as arrays in date order.
+
+    A series is one entity's daily panel, so an array is bounded by the
+    calendar. Fitting then needs no further shuffle, whatever the iterations.
+    """
+    names = list(features)
+    rows = panel.select(entity, date, *[clean(c).alias(c) for c in names]).dropna()
+    lists = rows.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(date, *names))).alias("_s"))
+    return lists.select(entity, *[F.col(f"_s.{c}").alias(c) for c in (date, *names)])
+
+
+def _padded(pdf: pd.DataFrame, names: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray, pd.DataFrame]]:
+    """Cut a batch into chunks of similar work: (values E x T x d, lengths, rows)."""
+    lengths = pdf[names[0]].map(len).to_numpy()
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        width = 1
+        while at + width < len(order) and (width + 1) * lengths[order[at + width]] <= CHUNK_CELLS:
+            width += 1
+        part = pdf.iloc[order[at : at + width]]
+        size = lengths[order[at : at + width]]
+        x = np.zeros((len(part), size.max(), len(names)))
+        for c, name in enumerate(names):
+            for e, values in enumerate(part[name]):
+                x[e, : size[e], c] = values
+        yield x, size, part
+        at += width
+
+
 def fit_regimes(
     panel: DataFrame, entity: str, date: str, features: Sequence[str], n_regimes: int = 2, iterations: int = 20,
     ridge: float = 1e-4,
 ) -> Regimes:
     """M6: Gaussian HMM shared by a panel of series, fitted by Baum-Welch on Spark.
 
-    Each iteration runs forward-backward per entity in Arrow batches and sums
-    the expected counts in Spark; the driver sees one parameter-sized row.
-    A series is one entity's daily panel, so a task holds one calendar at most.
+    Series are gathered once and staged. Each iteration is a map over them,
+    vectorised across the series of an Arrow batch, plus a sum of expected
+    counts; the driver sees one parameter-sized row.
     """
     d, k = len(features), n_regimes
     names = list(features)
-    rows = panel.select(entity, date, *[clean(c).alias(c) for c in names]).dropna()
-    first = rows.agg(
+    series = durable(regime_series(panel, entity, date, names))
+    values = series.select(F.explode(F.arrays_zip(*names)).alias("v")).select("v.*")
+    first = values.agg(
         F.array(*[F.avg(c) for c in names]).alias("m"), F.array(*[F.var_pop(c) for c in names]).alias("v")
     ).first()
     mean, var = np.array(first["m"], dtype=float), np.array(first["v"], dtype=float) + ridge
     # deterministic start: regimes spread along the pooled standard deviation
     steps = np.linspace(-1.0, 1.0, k)[:, None]
-    params = Regimes(
-        np.full(k, 1.0 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)),
-        mean + steps * np.sqrt(var), np.array([np.diag(var)] * k), -math.inf,
-    )
-    size = k + k * k + k + k * d + k * d * d + 1
+    stay = 0.9 if k > 1 else 1.0
+    trans = np.full((k, k), (1 - stay) / max(k - 1, 1))
+    np.fill_diagonal(trans, stay)
+    params = Regimes(np.full(k, 1.0 / k), trans, mean + steps * np.sqrt(var), np.array([np.diag(var)] * k), -math.inf)
     for _ in range(iterations):
-        params = _baum_welch_step(rows, entity, date, names, params, size, ridge)
+        params = _baum_welch_step(series, names, params, ridge)
     return params.ordered()
 
 
-def _baum_welch_step(rows, entity, date, names, params: Regimes, size: int, ridge: float) -> Regimes:
+def _expected_counts(x: np.ndarray, size: np.ndarray, p: Regimes) -> np.ndarray:
+    """Sums of one E-step over a padded chunk, flattened: start, moves, weight, x, xx, log-likelihood."""
+    n, width, d = x.shape
+    k = len(p.means)
+    live = np.arange(width)[None, :] < size[:, None]
+    log_b = _log_density(x.reshape(-1, d), p.means, p.covs).reshape(n, width, k)
+    top = log_b.max(axis=2, keepdims=True)
+    b = np.exp(log_b - top)
+    fwd, scale = np.zeros((n, width, k)), np.ones((n, width))
+    for t in range(width):
+        prior = np.broadcast_to(p.start, (n, k)) if t == 0 else fwd[:, t - 1] @ p.trans
+        a = prior * b[:, t]
+        scale[:, t] = a.sum(axis=1)
+        fwd[:, t] = a / scale[:, t, None]
+    back = np.ones((n, width, k))
+    moves = np.zeros((k, k))
+    for t in range(width - 2, -1, -1):
+        on = live[:, t + 1]
+        ahead = b[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
+        back[:, t] = np.where(on[:, None], ahead @ p.trans.T, 1.0)
+        moves += p.trans * (fwd[on, t].T @ ahead[on])
+    post = fwd * back
+    post = np.where(live[:, :, None], post / post.sum(axis=2, keepdims=True), 0.0)
+    sums = np.einsum("ntk,ntd->kd", post, x)
+    outer = np.einsum("ntk,nti,ntj->kij", post, x, x, optimize=True)
+    ll = np.where(live, np.log(scale) + top[:, :, 0], 0.0).sum()
+    return np.concatenate([post[:, 0].sum(axis=0), moves.ravel(), post.sum(axis=(0, 1)), sums.ravel(), outer.ravel(), [ll]])
+
+
+def _baum_welch_step(series: DataFrame, names: Sequence[str], params: Regimes, ridge: float) -> Regimes:
     k, d = params.means.shape
 
-    def expect(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(date)[names].to_numpy(dtype=float)
-        log_b = _log_density(x, params.means, params.covs)
-        top = log_b.max(axis=1, keepdims=True)
-        b = np.exp(log_b - top)
-        n = len(x)
-        fwd, scale = np.empty((n, k)), np.empty(n)
-        for t in range(n):
-            prior = params.start if t == 0 else fwd[t - 1] @ params.trans
-            a = prior * b[t]
-            scale[t] = a.sum()
-            fwd[t] = a / scale[t]
-        back = np.ones((n, k))
-        moves = np.zeros((k, k))
-        for t in range(n - 2, -1, -1):
-            ahead = b[t + 1] * back[t + 1] / scale[t + 1]
-            back[t] = params.trans @ ahead
-            moves += fwd[t][:, None] * params.trans * ahead[None, :]
-        post = fwd * back
-        post /= post.sum(axis=1, keepdims=True)
-        sums = post.T @ x
-        outer = np.einsum("tk,ti,tj->kij", post, x, x)
-        ll = float(np.log(scale).sum() + top.sum())
-        flat = np.concatenate([post[0], moves.ravel(), post.sum(axis=0), sums.ravel(), outer.ravel(), [ll]])
-        return pd.DataFrame({"i": np.arange(size), "v": flat})
-
-    stats = rows.groupBy(entity).applyInPandas(expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    flat = np.zeros(size)
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            for x, size, _ in _padded(pdf, names):
+                part = _expected_counts(x, size, params)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total), dtype="int32"), "v": total})
+
+    stats = series.select(*names).mapInPandas(expect, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    at = np.cumsum([0, k, k * k, k, k * d, k * d * d])
+    flat = np.zeros(at[-1] + 1)
     for r in stats.collect():  # parameter-sized, whatever the data
         flat[r["i"]] = r["v"]
-    at = np.cumsum([0, k, k * k, k, k * d, k * d * d])
     start, moves, weight = flat[: at[1]], flat[at[1] : at[2]].reshape(k, k), flat[at[2] : at[3]]
     sums, outer = flat[at[3] : at[4]].reshape(k, d), flat[at[4] : at[5]].reshape(k, d, d)
     means = sums / weight[:, None]
     covs = outer / weight[:, None, None] - np.einsum("ki,kj->kij", means, means) + ridge * np.eye(d)
-    return Regimes(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), means, covs, float(flat[-1]))
+    leave = moves.sum(axis=1, keepdims=True)
+    trans = np.where(leave > 0, moves / np.where(leave > 0, leave, 1.0), params.trans)
+    return Regimes(start / start.sum(), trans, means, covs, float(flat[-1]))
 
 
 def predict_regimes(panel: DataFrame, entity: str, date: str, features: Sequence[str], params: Regimes) -> DataFrame:
-    """M6: most likely regime path per entity (Viterbi)."""
+    """M6: most likely regime path per entity (Viterbi), one row per entity and day."""
     names = list(features)
-    rows = panel.select(entity, date, *[clean(c).alias(c) for c in names]).dropna()
-    schema = rows.select(entity, date).schema.add("regime", IntegerType())
+    series = regime_series(panel, entity, date, names)
+    schema = series.select(entity, date).schema.add("_path", ArrayType(IntegerType()))
+    with np.errstate(divide="ignore"):
+        log_t, log_start = np.log(params.trans), np.log(params.start)
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        log_b = _log_density(pdf[names].to_numpy(dtype=float), params.means, params.covs)
-        with np.errstate(divide="ignore"):
-            log_t, score = np.log(params.trans), np.log(params.start) + log_b[0]
-        came = np.zeros(log_b.shape, dtype=int)
-        for t in range(1, len(log_b)):
-            step = score[:, None] + log_t
-            came[t] = step.argmax(axis=0)
-            score = step.max(axis=0) + log_b[t]
-        path = np.empty(len(log_b), dtype=int)
-        path[-1] = int(score.argmax())
-        for t in range(len(log_b) - 1, 0, -1):
-            path[t - 1] = came[t, path[t]]
-        return pd.DataFrame({entity: pdf[entity].to_numpy(), date: pdf[date].to_numpy(), "regime": path.astype("int32")})
-
-    return rows.groupBy(entity).applyInPandas(decode, schema)
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, size, part in _padded(pdf, names):
+                n, width, d = x.shape
+                log_b = _log_density(x.reshape(-1, d), params.means, params.covs).reshape(n, width, -1)
+                score = log_start + log_b[:, 0]
+                came = np.zeros(log_b.shape, dtype="int32")
+                final = score.copy()
+                for t in range(1, width):
+                    step = score[:, :, None] + log_t
+                    came[:, t] = step.argmax(axis=1)
+                    score = step.max(axis=1) + log_b[:, t]
+                    final[size > t] = score[size > t]
+                path = np.zeros((n, width), dtype="int32")
+                state = final.argmax(axis=1)
+                for t in range(width - 1, -1, -1):
+                    inside = size > t
+                    path[inside, t] = state[inside]
+                    state = np.where(inside, came[np.arange(n), t, state], state) if t else state
+                out = part[[entity, date]].copy()
+                out["_path"] = [path[e, : size[e]] for e in range(n)]
+                yield out
+
+    decoded = series.mapInPandas(decode, schema)
+    days = F.arrays_zip(F.col(date).alias("d"), F.col("_path").alias("p"))
+    return decoded.select(entity, F.explode(days).alias("_z")).select(
+        entity, F.col("_z.d").alias(date), F.col("_z.p").alias("regime")
+    )
 
 
 def regime_means(params: Regimes, features: Sequence[str]) -> list[dict]:
@@ -344,55 +404,64 @@ class ChangepointPrior:
     max_run: int = 1000  # run lengths kept; beyond it the longest absorbs the rest
 
 
+_GAMMA_RATIOS: dict[float, np.ndarray] = {}
+
+
+def _gamma_ratios(alpha0: float, n: int) -> np.ndarray:
+    """log Gamma(a + 1/2) - log Gamma(a) for a = alpha0 + run/2; grown on demand, shared by all series of a task."""
+    known = _GAMMA_RATIOS.get(alpha0)
+    if known is None or len(known) < n:
+        alphas = alpha0 + np.arange(max(n, 64, 0 if known is None else 2 * len(known))) / 2
+        known = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alphas])
+        _GAMMA_RATIOS[alpha0] = known
+    return known[:n]
+
+
 @dataclass
 class RunLengths:
-    """M7 state of one series: a distribution over run lengths and its sufficient statistics."""
+    """M7 state of one series: weight, mean and beta per run length.
+
+    The other two parameters of the conjugate prior depend on the run length
+    alone (kappa0 + run, alpha0 + run/2) and are not kept.
+    """
 
     weight: np.ndarray
     mu: np.ndarray
-    kappa: np.ndarray
-    alpha: np.ndarray
     beta: np.ndarray
 
     @staticmethod
     def fresh(p: ChangepointPrior) -> "RunLengths":
-        one = np.ones(1)
-        return RunLengths(one.copy(), one * p.mu0, one * p.kappa0, one * p.alpha0, one * p.beta0)
+        return RunLengths(np.ones(1), np.full(1, p.mu0), np.full(1, p.beta0))
 
     def observe(self, x: float, p: ChangepointPrior) -> int:
         """Fold in one value and return the most likely run length."""
+        run = np.arange(len(self.weight))
+        kappa, alpha = p.kappa0 + run, p.alpha0 + run / 2
+        gap2 = (x - self.mu) ** 2
+        # Student-t predictive with 2*alpha degrees of freedom
+        spread = 2 * self.beta * (kappa + 1) / kappa
+        log_pdf = _gamma_ratios(p.alpha0, len(run)) - 0.5 * np.log(math.pi * spread) - (alpha + 0.5) * np.log1p(gap2 / spread)
+        joint = self.weight * np.exp(log_pdf)
         hazard = 1.0 / p.hazard_lambda
-        dof = 2.0 * self.alpha
-        var = self.beta * (self.kappa + 1.0) / (self.alpha * self.kappa)
-        lg = np.vectorize(math.lgamma, otypes=[float])
-        z2 = (x - self.mu) ** 2 / var
-        pdf = np.exp(
-            lg((dof + 1) / 2) - lg(dof / 2) - 0.5 * np.log(dof * math.pi * var) - (dof + 1) / 2 * np.log1p(z2 / dof)
-        )
-        joint = self.weight * pdf
         weight = np.concatenate(([joint.sum() * hazard], joint * (1.0 - hazard)))
         total = weight.sum()
         if total > 0:
             weight = weight / total
-        gap = x - self.mu
-        mu = np.concatenate(([p.mu0], (self.kappa * self.mu + x) / (self.kappa + 1)))
-        kappa = np.concatenate(([p.kappa0], self.kappa + 1))
-        alpha = np.concatenate(([p.alpha0], self.alpha + 0.5))
-        beta = np.concatenate(([p.beta0], self.beta + self.kappa * gap**2 / (2 * (self.kappa + 1))))
+        mu = np.concatenate(([p.mu0], (kappa * self.mu + x) / (kappa + 1)))
+        beta = np.concatenate(([p.beta0], self.beta + kappa * gap2 / (2 * (kappa + 1))))
         if len(weight) > p.max_run + 1:
             # the longest kept run absorbs the mass of longer ones
             weight[p.max_run] += weight[p.max_run + 1 :].sum()
-            cut = slice(0, p.max_run + 1)
-            weight, mu, kappa, alpha, beta = weight[cut], mu[cut], kappa[cut], alpha[cut], beta[cut]
-        self.weight, self.mu, self.kappa, self.alpha, self.beta = weight, mu, kappa, alpha, beta
+            weight, mu, beta = weight[: p.max_run + 1], mu[: p.max_run + 1], beta[: p.max_run + 1]
+        self.weight, self.mu, self.beta = weight, mu, beta
         return int(np.argmax(weight))
 
     def pack(self) -> list[float]:
-        return np.concatenate([self.weight, self.mu, self.kappa, self.alpha, self.beta]).tolist()
+        return np.concatenate([self.weight, self.mu, self.beta]).tolist()
 
     @staticmethod
     def unpack(flat: Sequence[float]) -> "RunLengths":
-        return RunLengths(*[a.copy() for a in np.asarray(flat, dtype=float).reshape(5, -1)])
+        return RunLengths(*[a.copy() for a in np.asarray(flat, dtype=float).reshape(3, -1)])
 
 
 def run_lengths(

@@ -134,20 +134,18 @@ def _gated(df: DataFrame, raw: Column, html: bool, keep: Sequence[str], units: U
 def _sections(df: DataFrame, keep: Sequence[str], units: Units) -> DataFrame:
     """Rows (unit, body) for the heads in ``_chosen``; a body runs through the next chosen heading."""
     df = once(df, "_o", F.array_sort(F.transform("_chosen", lambda c: F.struct(c["pos"].alias("pos"), c["unit"].alias("unit")))))
-    spans = F.transform(
-        "_o",
-        lambda m, i: F.struct(
-            m["unit"].alias("unit"), m["pos"].alias("pos"),
-            F.coalesce(F.try_element_at(F.col("_o"), i + 2)["pos"], F.size("_segs")).alias("next"),
-        ),
-    )
-    each = df.select(*keep, "_segs", F.explode(spans).alias("_m"))
-    pos, following = F.col("_m.pos"), F.col("_m.next")
-    own = F.regexp_replace(F.element_at("_segs", pos + 1), _HEADING, "")
-    rest = F.concat_ws("", F.slice("_segs", pos + 2, following - pos - 1))
-    next_head = F.coalesce(F.regexp_extract(F.try_element_at("_segs", following + 1), _HEADING, 0), F.lit(""))
-    each = each.withColumn("unit", F.col("_m.unit"))
-    return _gated(each, F.concat(own, rest, next_head), True, keep, units)
+    segs = F.col("_segs")
+
+    def span(m: Column, i: Column) -> Column:
+        pos = m["pos"]
+        following = F.coalesce(F.try_element_at(F.col("_o"), i + 2)["pos"], F.size(segs))
+        own = F.regexp_replace(F.element_at(segs, pos + 1), _HEADING, "")
+        rest = F.concat_ws("", F.slice(segs, pos + 2, following - pos - 1))
+        next_head = F.coalesce(F.regexp_extract(F.try_element_at(segs, following + 1), _HEADING, 0), F.lit(""))
+        return F.struct(m["unit"].alias("unit"), F.concat(own, rest, next_head).alias("raw"))
+
+    each = df.select(*keep, F.explode(F.transform("_o", span)).alias("_m"))
+    return _gated(each.withColumn("unit", F.col("_m.unit")), F.col("_m.raw"), True, keep, units)
 
 
 def _first_head(name: str, test) -> Column:

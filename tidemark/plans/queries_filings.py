@@ -366,13 +366,13 @@ _CANDIDATES = f"""{_JUMPS}, {q.ITEM202}, firsts AS (
   SELECT f.cik, f.period_day AS period_end, coalesce(a, CAST(filed_day AS TIMESTAMP)) AS known_at,
     CASE WHEN a IS NULL THEN '10q_fallback' ELSE '8k_item202' END AS event_source FROM firsts f LEFT JOIN said USING (cik, period)
 ), px AS (
-  SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close, count(*) AS volume
+  SELECT c_mktsegment || c_nationkey AS ticker, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close, count(*) AS volume
   FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2
 ), adv AS (
   SELECT ticker, date, CASE WHEN count(*) OVER w = 20 THEN quantile_cont(close * volume, 0.5) OVER w END AS adv
   FROM px WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
 ), rows0 AS (
-  SELECT s.cik, s.period_end, s.shares_outstanding, s.implausible_jump, k.known_at, k.event_source, c_mktsegment AS ticker,
+  SELECT s.cik, s.period_end, s.shares_outstanding, s.implausible_jump, k.known_at, k.event_source, c_mktsegment || c_nationkey AS ticker,
     CASE WHEN c_nationkey < 20 THEN 'NYSE' WHEN c_nationkey < 23 THEN 'OTC' END AS listing,
     CAST((k.known_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS day,
     hour((k.known_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') >= 16 AS printed
@@ -401,10 +401,10 @@ def _candidates(spark, sf):
     c = b.table(spark, sf, "customer")
     nation = F.col("c_nationkey")
     listings = c.select(
-        fl.pad_cik(F.col("c_custkey")).alias("cik"), F.col("c_mktsegment").alias("ticker"), F.lit("").alias("sic_code"),
+        fl.pad_cik(F.col("c_custkey")).alias("cik"), F.concat("c_mktsegment", nation.cast("string")).alias("ticker"), F.lit("").alias("sic_code"),
         F.when(nation < 20, "NYSE").when(nation < 23, "OTC").alias("listing_exchange"),
     )
-    o = b.table(spark, sf, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("ticker")), "o_custkey")
+    o = b.table(spark, sf, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), F.concat("c_mktsegment", nation.cast("string")).alias("ticker")), "o_custkey")
     prices = o.groupBy("ticker", F.to_date("o_orderdate").alias("date")).agg(
         F.max("o_totalprice").alias("close"), F.count("*").alias("volume")
     )

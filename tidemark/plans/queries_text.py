@@ -8,6 +8,7 @@ from tidemark.operators import text as tx
 from tidemark.plans import bindings as b
 from tidemark.plans import sqlparts as q
 from tidemark.plans.registry import query, rnd, text
+from tidemark.session import spread
 
 UNITS = tx.Units(min_words=3, max_words=1_000_000)
 MARKERS = ["les", "der", "of"]
@@ -47,13 +48,13 @@ def _headed(i, line):
 
 def _heading_pages(spark, sf):
     """Each document as a release page: one heading per line, units in turn."""
-    d = b.table(spark, sf, "documents")
+    d = spread(b.table(spark, sf, "documents"))
     return d.select("doc_id", F.concat_ws("", F.transform(_lines(), lambda x, i: _headed(i, x))).alias("html"))
 
 
 def _literal_pages(spark, sf):
     """Each document in the old layout: literal headers, first twelve lines headed."""
-    d = b.table(spark, sf, "documents")
+    d = spread(b.table(spark, sf, "documents"))
     headers = F.array(*[F.lit(h) for h in UNITS.headers])
     piece = lambda x, i: F.concat(F.lit("<p>"), F.coalesce(F.try_element_at(headers, i + 1), F.lit("")), F.lit(" "), x, F.lit("</p>"))
     return d.select("doc_id", F.concat_ws("", F.transform(_lines(), piece)).alias("html"))
@@ -104,7 +105,7 @@ _T3 = (
 @query("T3_gap_filled_sections", f"WITH {_T3} SELECT doc_id, unit, CAST(n_words AS INTEGER) AS n_words, body_md5 FROM t3s")
 def t3(spark, sf):
     """As T1, but Cleveland's headings lost their prefix and a decoy stands before the first unit."""
-    d = b.table(spark, sf, "documents")
+    d = spread(b.table(spark, sf, "documents"))
 
     def piece(x, i):
         bare = F.concat(F.lit("<h4>Cleveland</h4><p>"), x, F.lit("</p>"))
@@ -128,7 +129,7 @@ _LEX_ROWS = sorted(set(_LEXICON))
 )
 def t4(spark, sf):
     lexicon = spark.createDataFrame(_LEX_ROWS, "word string, sign int")
-    out = tx.lexicon_scores(b.table(spark, sf, "documents"), ["doc_id"], "text", lexicon)
+    out = tx.lexicon_scores(spread(b.table(spark, sf, "documents")), ["doc_id"], "text", lexicon)
     return out.withColumn("polarity", rnd("polarity")).withColumn("subjectivity", rnd("subjectivity"))
 
 
@@ -138,7 +139,7 @@ def t4(spark, sf):
     SELECT page_id, url AS unit, CAST({_words_sql('body')} AS INTEGER) AS n_words, md5(body) AS body_md5 FROM s WHERE {_words_sql('body')} >= 3""",
 )
 def t5(spark, sf):
-    p = b.table(spark, sf, "pages").select(
+    p = spread(b.table(spark, sf, "pages")).select(
         "page_id", "url", F.concat(F.lit("junk before <h4>Federal Reserve Bank of Dallas</h4>"), "html").alias("html")
     )
     out = tx.parse_single_unit_page(p, ["page_id"], "url", units=UNITS)
@@ -151,7 +152,7 @@ def t5(spark, sf):
     SELECT page_id, url AS unit, CAST({_words_sql('body')} AS INTEGER) AS n_words, md5(body) AS body_md5 FROM s WHERE {_words_sql('body')} >= 3""",
 )
 def t5_legacy(spark, sf):
-    p = b.table(spark, sf, "pages").select("page_id", "url", F.replace("html", F.lit("</nav>"), F.lit("Full report</nav>")).alias("html"))
+    p = spread(b.table(spark, sf, "pages")).select("page_id", "url", F.replace("html", F.lit("</nav>"), F.lit("Full report</nav>")).alias("html"))
     out = tx.parse_single_unit_page(p, ["page_id"], "url", layout="legacy", units=UNITS)
     return out.select("page_id", "unit", tx.word_count(F.col("body")).alias("n_words"), F.md5("body").alias("body_md5"))
 
@@ -173,7 +174,7 @@ def t6(spark, sf):
 
 @query("F2_strip_html", f"SELECT page_id, md5({_strip_sql('html')}) AS text_md5 FROM pages")
 def f2(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", F.md5(tx.strip_html(F.col("html"))).alias("text_md5"))
+    return spread(b.table(spark, sf, "pages")).select("page_id", F.md5(tx.strip_html(F.col("html"))).alias("text_md5"))
 
 
 @query(
@@ -182,7 +183,7 @@ def f2(spark, sf):
     SELECT doc_id, md5(trim(CASE WHEN c IS NULL THEN text ELSE substr(text, 1, c - 1) END, ' ')) AS kept_md5 FROM t""",
 )
 def f3(spark, sf):
-    return b.table(spark, sf, "documents").select("doc_id", F.md5(tx.trim_at(F.col("text"), MARKERS)).alias("kept_md5"))
+    return spread(b.table(spark, sf, "documents")).select("doc_id", F.md5(tx.trim_at(F.col("text"), MARKERS)).alias("kept_md5"))
 
 
 _SQUEEZED = "trim(regexp_replace(text, '[\\s\\x{00a0}\\x{0085}\\x{2028}\\x{2029}\\x0b]+', ' ', 'g'))"
@@ -193,7 +194,7 @@ _SQUEEZED = "trim(regexp_replace(text, '[\\s\\x{00a0}\\x{0085}\\x{2028}\\x{2029}
     f"SELECT doc_id, CAST({_words_sql(_SQUEEZED)} AS INTEGER) AS n_words, {_words_sql(_SQUEEZED)} BETWEEN 100 AND 6000 AS ok FROM documents",
 )
 def f4(spark, sf):
-    return b.table(spark, sf, "documents").select(
+    return spread(b.table(spark, sf, "documents")).select(
         "doc_id", tx.word_count(F.col("text")).alias("n_words"), tx.length_ok(F.col("text")).alias("ok")
     )
 
@@ -209,7 +210,7 @@ def f10(spark, sf):
         k == 2, F.replace("html", F.lit("<title>"), F.lit("<title>March 7, 2018 - "))
     ).otherwise(F.col("html"))
     url = F.when(k <= 1, "20190717").when(k == 3, "20191399")
-    p = tx.release_date(b.table(spark, sf, "pages").select("page_id", html.alias("html"), url.alias("url_date")))
+    p = tx.release_date(spread(b.table(spark, sf, "pages")).select("page_id", html.alias("html"), url.alias("url_date")))
     return p.select("page_id", text("release_date"), "date_source")
 
 

@@ -47,3 +47,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage onto reliable storage, so a lost executor costs a re-read only."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out before per-row work that is heavy on the CPU, if the input has too few splits.
+
+    A small table may sit in one file split and so in one task. Large inputs
+    have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -18,7 +18,7 @@ def stream_run_lengths(
     """Append one row per new observation with its most likely run length.
 
     A key's values must arrive in date order across micro-batches; inside a
-    batch they are sorted. State per key is five arrays of at most
+    batch they are sorted. State per key is three arrays of at most
     ``max_run + 1`` numbers, so it does not grow with the length of the stream.
     """
     rows = stream.select(entity, date, value).where(f"{value} IS NOT NULL AND NOT isnan({value})")
