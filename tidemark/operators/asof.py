@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,31 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import MAX_GROUP_ROWS, _parts_for, ordered_ranges
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys too large for one task; at most (rows / max_rows) of them, so they are held locally."""
+
+    frame: DataFrame | None
+    rows: int
+
+
+def find_hot_keys(frames: Sequence[DataFrame], by: Sequence[str], max_rows: int = MAX_GROUP_ROWS) -> HotKeys:
+    """One counting pass over the key columns of ``frames`` together.
+
+    Chained as-of joins on the same keys share the answer, since a left join
+    neither adds nor removes left rows.
+    """
+    keys = None
+    for frame in frames:
+        part = frame.select(*by).dropna()
+        keys = part if keys is None else keys.unionByName(part)
+    counts = keys.groupBy(*by).count().where(F.col("count") > max_rows).collect()
+    if not counts:
+        return HotKeys(None, 0)
+    local = keys.sparkSession.createDataFrame([tuple(r[:-1]) for r in counts], keys.schema)
+    return HotKeys(F.broadcast(local), sum(r[-1] for r in counts))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -23,6 +49,7 @@ def asof_join(
     tolerance: Column | None = None,
     matched_ts: str | None = None,
     max_rows: int = MAX_GROUP_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Left join each left row to its nearest right row on the time axis.
 
@@ -31,7 +58,7 @@ def asof_join(
     ``tolerance`` (an interval column) drops matches farther away than that.
     ``matched_ts`` names an output column for the right-hand instant. A key
     above ``max_rows`` is cut into time ranges, and the last right row of each
-    range is handed to the next.
+    range is handed to the next; ``hot`` passes on keys found earlier.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, not {direction!r}")
@@ -79,15 +106,14 @@ def asof_join(
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(*upto)
         return rows.withColumn("_hit", F.last("_r", ignorenulls=True).over(w))
 
-    hot = both.where(F.col("_spread") == 0).groupBy(*by).count().where(F.col("count") > max_rows)
-    sizes = hot.agg(F.sum("count")).first()[0]
-    if not sizes:
+    if hot is None:
+        hot = find_hot_keys([left, right], by, max_rows)
+    if hot.frame is None:
         walked = plain(both)
     else:
-        hot = hot.select(*by)
-        cold = plain(both.join(hot, by, "left_anti"))
+        cold = plain(both.join(hot.frame, by, "left_anti"))
         ranged = ordered_ranges(
-            both.join(hot, by, "left_semi"), [F.col(k) for k in by] + order, _parts_for(sizes, max_rows)
+            both.join(hot.frame, by, "left_semi"), [F.col(k) for k in by] + order, _parts_for(hot.rows, max_rows)
         )
         inside = Window.partitionBy("_part", *by).orderBy("_pos").rowsBetween(*upto)
         tails = ranged.groupBy("_part", *by).agg(

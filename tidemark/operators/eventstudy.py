@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.config import (
     EASTERN_END_OF_DAY, LEGACY_UTC_MIDNIGHT, ControlConfig, CostSchedule, EventStudyConfig, UniverseConfig,
 )
-from tidemark.operators.asof import asof_join
+from tidemark.operators.asof import HotKeys, asof_join, find_hot_keys
 from tidemark.operators.gates import Check, gate, gate_rows, require_columns
 from tidemark.operators.ordered import MAX_PERCENTILE_ROWS, grouped_percentile
 from tidemark.operators.panel import Calendar, next_trading_day, trailing_median_dollar_volume
@@ -74,25 +74,31 @@ def choose_known_at(filing: Column, announcement: Column, window_days: int = 5)
 # ---------------------------------------------------------------- prices
 
 
-def price_as_of(requests: DataFrame, prices: DataFrame, as_of: str, out: str = "price") -> DataFrame:
+def price_as_of(
+    requests: DataFrame, prices: DataFrame, as_of: str, out: str = "price", hot: HotKeys | None = None
+) -> DataFrame:
     """Close of the last bar on or before ``as_of``."""
     px = prices.select("ticker", "date", F.col("close").alias(out))
-    return asof_join(requests, px, ["ticker"], as_of, "date", [out])
+    return asof_join(requests, px, ["ticker"], as_of, "date", [out], hot=hot)
 
 
-def last_printed_close(requests: DataFrame, prices: DataFrame, known_at: str = "known_at", out: str = "last_close") -> DataFrame:
+def last_printed_close(
+    requests: DataFrame, prices: DataFrame, known_at: str = "known_at", out: str = "last_close", hot: HotKeys | None = None
+) -> DataFrame:
     """Close of the last bar that had printed at ``known_at``."""
     day, printed = price_bound(F.col(known_at))
     bound = requests.withColumn("_bound", F.when(printed, day).otherwise(F.date_sub(day, 1)))
-    return price_as_of(bound, prices, "_bound", out).drop("_bound")
+    return price_as_of(bound, prices, "_bound", out, hot).drop("_bound")
 
 
-def entry_bar_close(requests: DataFrame, prices: DataFrame, known_at: str = "known_at", out: str = "entry_close") -> DataFrame:
+def entry_bar_close(
+    requests: DataFrame, prices: DataFrame, known_at: str = "known_at", out: str = "entry_close", hot: HotKeys | None = None
+) -> DataFrame:
     """Close of the first bar that prints after ``known_at``."""
     day, printed = price_bound(F.col(known_at))
     bound = requests.withColumn("_bound", F.when(printed, F.date_add(day, 1)).otherwise(day))
     px = prices.select("ticker", "date", F.col("close").alias(out))
-    return asof_join(bound, px, ["ticker"], "_bound", "date", [out], direction="forward").drop("_bound")
+    return asof_join(bound, px, ["ticker"], "_bound", "date", [out], direction="forward", hot=hot).drop("_bound")
 
 
 def entry_date(events: DataFrame, calendar: Calendar, known_at: str = "known_at", cutoff_hour: int = 16) -> DataFrame:
@@ -327,12 +333,13 @@ def market_cap_candidates(
     days = prices.groupBy("ticker").agg(F.count("*").alias("trading_days"))
     rows = rows.join(days, "ticker", "left").withColumn("trading_days", F.coalesce("trading_days", F.lit(0).cast("long")))
     rows = rows.withColumn("low_trading_days", F.col("trading_days") < min_days)
-    rows = last_printed_close(rows, prices)
-    rows = entry_bar_close(rows, prices)
+    hot = find_hot_keys([rows, prices], ["ticker"])  # one count serves the three lookups
+    rows = last_printed_close(rows, prices, hot=hot)
+    rows = entry_bar_close(rows, prices, hot=hot)
     day, _ = price_bound(F.col("known_at"))
     rows = asof_join(
         rows.withColumn("_day", day), trailing_median_dollar_volume(prices, window, "adv_20d"), ["ticker"], "_day",
-        "date", ["adv_20d"], strict=True,
+        "date", ["adv_20d"], strict=True, hot=hot,
     ).drop("_day")
     rows = rows.withColumn("market_cap", F.col("shares_outstanding") * F.col("last_close"))
     rows = rows.withColumn("entry_market_cap", F.col("shares_outstanding") * F.col("entry_close"))

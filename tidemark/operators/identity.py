@@ -144,53 +144,69 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def match_names(
-    wanted: DataFrame, known: DataFrame, min_similarity: float = 0.55, runners_up: int = 3
-) -> DataFrame:
-    """Best-named institution, in the expected state if any clears the bar there.
+def similar_names(asked: DataFrame, known: DataFrame, min_similarity: float) -> DataFrame:
+    """Every pair of distinct texts whose trigram sets have a Dice share of at least ``min_similarity``.
 
-    ``wanted`` (key, name, state), ``known`` (cert, name, state). Similarity is
-    the Dice share of common trigrams. Two names above the bar must share one
-    of their rarest trigrams (prefix filter), so candidates come from an
-    equi-join on rare trigrams and every pair above the bar is found.
+    ``asked`` and ``known`` have one text column each, ``w`` and ``k``. Two
+    sets above the bar must share one of their rarest trigrams (prefix
+    filter), so candidates come from an equi-join on rare trigrams and none is
+    missed.
     """
     t = float(min_similarity)
-
-    def grams(df: DataFrame, side: str) -> DataFrame:
-        named = df.select(F.col("name").alias(f"{side}_name"), F.col("state").alias(f"{side}_state"), f"{side}_id")
-        return named.withColumn(f"{side}_grams", trigrams(normal_name(F.col(f"{side}_name"))))
-
-    # a name asked for a million times is matched once, and equal institutions count as the first of them
-    asked = wanted.select("name", "state").distinct()
-    a = grams(asked.withColumn("w_id", F.struct("name", "state")), "w")
-    b = grams(known.groupBy("name", "state").agg(F.min("cert").alias("k_id")), "k")
+    a = asked.distinct().withColumn("w_grams", trigrams(F.col("w")))
+    b = known.distinct().withColumn("k_grams", trigrams(F.col("k")))
     every = a.select(F.explode("w_grams").alias("gram")).unionAll(b.select(F.explode("k_grams").alias("gram")))
     rarity = every.groupBy("gram").agg(F.count("*").alias("freq"))
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
-        sized = df.select(f"{side}_id", F.size(f"{side}_grams").alias("_n"), F.explode(f"{side}_grams").alias("gram"))
-        w = Window.partitionBy(f"{side}_id").orderBy("freq", "gram")
+        """Rarest grams: ``short`` marks those enough when this text is the smaller of the two."""
+        n = F.col(f"{side}_n")
+        sized = df.select(side, F.size(f"{side}_grams").alias(f"{side}_n"), F.explode(f"{side}_grams").alias("gram"))
+        w = Window.partitionBy(side).orderBy("freq", "gram")
         # a name has tens of grams, so this window is tiny per name
         ranked = sized.join(rarity, "gram").withColumn("_i", F.row_number().over(w))
-        keep = F.col("_n") - F.ceil(F.col("_n") * t / (2 - t) - 1e-9) + 1
-        return ranked.where(F.col("_i") <= keep).select(f"{side}_id", "gram")
+        ranked = ranked.where(F.col("_i") <= n - F.ceil(n * t / (2 - t) - 1e-9) + 1)
+        return ranked.withColumn(f"{side}_short", F.col("_i") <= n - F.ceil(n * t - 1e-9) + 1).drop("_i")
 
-    pairs = prefix(a, "w").join(prefix(b, "k"), "gram").select("w_id", "k_id").distinct()
-    scored = pairs.join(a, "w_id").join(b, "k_id")
+    smaller = (F.col("w_short") & (F.col("w_n") <= F.col("k_n"))) | (F.col("k_short") & (F.col("k_n") <= F.col("w_n")))
+    pairs = prefix(a, "w").join(prefix(b, "k"), "gram").where(smaller).select("w", "k").distinct()
     shared = F.size(F.array_intersect("w_grams", "k_grams"))
     dice = 2.0 * shared / (F.size("w_grams") + F.size("k_grams"))
-    scored = scored.withColumn("similarity", F.round(dice, 3)).where(dice >= t)
-    scored = scored.withColumn("same_state", F.coalesce(F.col("w_state") == F.col("k_state"), F.lit(False)))
+    scored = pairs.join(a, "w").join(b, "k").withColumn("_dice", dice)
+    return scored.where(F.col("_dice") >= t).select("w", "k", F.round("_dice", 3).alias("similarity"))
+
+
+def match_names(
+    wanted: DataFrame, known: DataFrame, min_similarity: float = 0.55, runners_up: int = 3
+) -> DataFrame:
+    """Best-named institution, in the expected state if any clears the bar there.
+
+    ``wanted`` (key, name, state), ``known`` (cert, name, state). Normalised
+    names are compared once each, however many rows carry them; of equal
+    institutions the first counts. Per similar name only the same-state row
+    and the first few others can end up on the list, so no more are built.
+    """
+    asked = wanted.select("name", "state").distinct().withColumn("w", normal_name(F.col("name")))
+    listed = known.groupBy("name", "state").agg(F.min("cert").alias("k_id")).select(
+        "k_id", F.col("name").alias("k_name"), F.col("state").alias("k_state"), normal_name(F.col("name")).alias("k")
+    )
+    close = similar_names(asked.select("w"), listed.select("k"), min_similarity)
+    candidates = asked.join(close, "w").drop("w")
+    at_home = candidates.join(listed.withColumn("state", F.col("k_state")), ["k", "state"])
+    first = top_n(listed, ["k"], ["k_id"], runners_up + 2, "_i").drop("_i")
+    anywhere = candidates.join(first, "k")
+    home = F.coalesce(F.col("state") == F.col("k_state"), F.lit(False))
+    scored = at_home.unionByName(anywhere).drop("k").distinct().withColumn("same_state", home)
     order = [F.desc("same_state"), F.desc("similarity"), F.asc("k_id")]
-    best = top_n(scored, ["w_id"], order, runners_up + 1)
+    best = top_n(scored, ["name", "state"], order, runners_up + 1)
     others = F.transform(
         F.array_sort(F.collect_list(F.when(F.col("rn") > 1, F.struct("rn", "k_name", "k_state")))),
         lambda r: F.concat(r["k_name"], F.lit("("), r["k_state"], F.lit(")")),
     )
-    picked = best.groupBy("w_id").agg(
+    picked = best.groupBy("name", "state").agg(
         F.min_by(F.struct("k_id", "k_name", "k_state", "similarity", "same_state"), "rn").alias("_b"),
         F.array_join(others, "; ").alias("runners_up"),
-    ).select("w_id.name", "w_id.state", "_b", "runners_up")
+    )
     out = wanted.join(picked, ["name", "state"], "left")
     status = F.when(F.col("_b").isNull(), "not_found").when(~F.col("_b.same_state"), "state_mismatch").otherwise("ok")
     return out.select(
