@@ -174,10 +174,14 @@ def build_events(df: DataFrame, prefix: str = "h11") -> DataFrame:
     )
 
 
+def known_too_early(known_at: Column, period_end: Column) -> Column:
+    """Known, on the Eastern wall clock, no later than the end of the period described."""
+    return to_eastern(known_at) <= period_end.cast("timestamp_ntz")
+
+
 def check_known_after_period(events: DataFrame) -> Check:
-    """An event known no later than the end of its own period is fatal."""
-    violation = to_eastern(F.col("known_at")) <= F.col("period_end").cast("timestamp_ntz")
-    return gate_rows(events, "known_at_after_period_end", violation)
+    """P4 as a hard gate: one such event stops the pipeline."""
+    return gate_rows(events, "known_at_after_period_end", known_too_early(F.col("known_at"), F.col("period_end")))
 
 
 # ---------------------------------------------------------------- controls and costs

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
+from tidemark.operators.gates import gate
 
 
 def daily_bars(rows: DataFrame, entity: str, ts: str, value: str, tie: str) -> DataFrame:
@@ -328,3 +329,39 @@ def drop_short_series(df: DataFrame, key: str = "ticker", min_rows: int = 100) -
     """Keep series with at least ``min_rows`` rows."""
     long_enough = df.groupBy(key).count().where(F.col("count") >= min_rows)
     return df.join(long_enough, key, "left_semi")
+
+
+# ---------------------------------------------------------------- holdings and maps
+
+
+def sum_holdings(holdings: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """A10: one row per key; split positions are added up."""
+    return holdings.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def mapped_with_prices(mapping: DataFrame, prices: DataFrame, key: str = "ticker") -> DataFrame:
+    """Keep mapping rows whose ticker has at least one price."""
+    return mapping.join(prices.select(key).distinct(), key, "left_semi")
+
+
+def active_with_prices(rows: DataFrame, prices: DataFrame, status: str = "status", wanted: str = "active", key: str = "ticker") -> DataFrame:
+    """Active rows that also have prices."""
+    return mapped_with_prices(rows.where(F.col(status) == wanted), prices, key)
+
+
+def benchmark_series(returns: DataFrame, ticker: str, date: str = "date", ret: str = "ret") -> DataFrame:
+    """The benchmark's daily return; a missing benchmark stops the study."""
+    series = returns.where(F.col("ticker") == ticker).select(date, F.col(ret).alias("bench_ret"))
+    gate("benchmark_present", bool(series.take(1)), ticker)
+    return series
+
+
+def attach_forward(features: DataFrame, forward: DataFrame, unit: str, horizons: Sequence[int], date: str = "date") -> DataFrame:
+    """Forward returns on (entry_date, unit); rows without one stay with NULL."""
+    legs = forward.select(F.col(date).alias("entry_date"), unit, *[f"fwd_{h}" for h in horizons])
+    return features.join(legs, ["entry_date", unit], "left")
+
+
+def ordered_output(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """O1: totally ordered by ``keys`` (range partitioned, so every task sorts its own range)."""
+    return df.orderBy(*keys)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import clean
 from tidemark.operators.panel import (
-    change, daily_bars, densify, equal_weight_basket, forward_excess, next_trading_day, simple_return,
+    attach_forward, change, daily_bars, densify, equal_weight_basket, forward_excess, next_trading_day, simple_return,
     trading_calendar, trailing_zscore,
 )
 from tidemark.session import durable
@@ -85,8 +85,7 @@ def study_panel(spark: SparkSession, sf: str, horizons=HORIZONS) -> DataFrame:
     s = change(s, "polarity", "district", "release_date", "chg")
     s = next_trading_day(s, "release_date", cal).where(F.col("entry_date").isNotNull()).drop("entry_idx")
     fwd = forward_excess(baskets(spark, sf), benchmark_returns(spark, sf), horizons, "district", ret="basket_ret")
-    fwd = fwd.select(F.col("date").alias("entry_date"), "district", *[f"fwd_{h}" for h in horizons])
-    out = s.join(fwd, ["entry_date", "district"], "left")
+    out = attach_forward(s, fwd, "district", horizons)
     for c in ["z8", "chg", *[f"fwd_{h}" for h in horizons]]:
         out = out.withColumn(c, clean(c))
     return out

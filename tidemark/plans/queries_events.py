@@ -276,3 +276,56 @@ def a33(spark, sf):
     s = reports.request_summary(log)
     status = [F.coalesce(F.try_element_at("status_distribution", F.lit(k)), F.lit(0).cast("long")).alias(f"n_{k}") for k in ("503", "200", "no_response")]
     return s.select("total_requests", "failed_requests", "any_rate_limit_headers", "total_bytes", "total_seconds", *status)
+
+
+@query(
+    "P5_event_rows",
+    """SELECT o_orderkey AS ref, 'h11_' || lpad(CAST(o_custkey AS VARCHAR), 10, '0') || '_' || strftime(o_orderdate, '%Y%m%d') AS event_id FROM orders""",
+)
+def p5(spark, sf):
+    from tidemark.operators.filings import pad_cik
+
+    o = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("ref"), pad_cik(F.col("o_custkey")).alias("entity_id"), F.lit("").alias("ticker"),
+        F.to_date("o_orderdate").alias("period_end"), F.col("o_orderdate").alias("known_at"),
+    )
+    return es.build_events(o).select("ref", "event_id")
+
+
+@query(
+    "P4_known_before_period",
+    """SELECT l_returnflag, count(*) AS n, count(*) FILTER ((l_shipdate AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' <= o_orderdate) AS n_violations
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""",
+)
+def p4(spark, sf):
+    o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("period_end"))
+    joined = b.table(spark, sf, "lineitem").withColumnRenamed("l_shipdate", "known_at").join(o, "l_orderkey")
+    bad = es.known_too_early(F.col("known_at"), F.col("period_end"))
+    return joined.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(bad).alias("n_violations"))
+
+
+@query(
+    "P18_sized_position",
+    """SELECT o_orderkey, CASE WHEN (o_totalprice % 100.0) / 100 >= 0.55 THEN round((CASE WHEN o_orderstatus = 'P' THEN -1 ELSE 1 END) * (o_totalprice % 100.0) / 100, 6) ELSE 0 END AS position FROM orders""",
+)
+def p18(spark, sf):
+    from tidemark.operators.models import sized_position
+
+    call = F.when(F.col("o_orderstatus") == "P", -1).otherwise(1)
+    conf = F.pmod(F.col("o_totalprice"), F.lit(100.0)) / 100
+    return b.table(spark, sf, "orders").select("o_orderkey", rnd(sized_position(call, conf), 6, "position"))
+
+
+@query(
+    "K6_replace_ticker",
+    f"""WITH {q.BARS} SELECT ticker, CAST(date AS VARCHAR) AS date, close FROM bars WHERE ticker NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')
+    UNION ALL SELECT CAST(o_custkey AS VARCHAR), CAST(CAST(o_orderdate AS DATE) AS VARCHAR), o_totalprice FROM orders WHERE o_orderstatus = 'P'""",
+)
+def k6(spark, sf):
+    from tidemark.sources.sinks import with_ticker_replaced
+
+    new = b.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
+        F.col("o_custkey").cast("string").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.col("o_totalprice").alias("close")
+    )
+    out = with_ticker_replaced(b.bars(spark, sf).select("ticker", "date", "close"), new)
+    return out.select("ticker", text("date"), "close")

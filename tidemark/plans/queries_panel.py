@@ -103,11 +103,11 @@ def w13(spark, sf):
 
 
 def _holdings(spark, sf):
-    li = b.table(spark, sf, "lineitem")
-    return li.groupBy(
+    li = b.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("manager"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("filing_date"),
-        F.col("l_partkey").alias("cusip"),
-    ).agg(F.sum("l_extendedprice").alias("value"))
+        F.col("l_partkey").alias("cusip"), F.col("l_extendedprice").alias("value"),
+    )
+    return pn.sum_holdings(li, ["manager", "filing_date", "cusip"], "value")
 
 
 @query(
@@ -292,7 +292,7 @@ def j25(spark, sf):
     f"WITH {q.BARS} SELECT c_custkey AS ticker, c_nationkey AS district FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT ticker FROM bars)",
 )
 def j28(spark, sf):
-    kept = b.district_of(spark, sf).join(b.bars(spark, sf), "ticker", "left_semi")
+    kept = pn.mapped_with_prices(b.district_of(spark, sf), b.bars(spark, sf))
     return kept.withColumn("ticker", F.col("ticker").cast("long"))
 
 
@@ -302,8 +302,8 @@ def j28(spark, sf):
     WHERE o_orderstatus = 'O' AND CAST(o_custkey AS VARCHAR) IN (SELECT ticker FROM bars)""",
 )
 def p13(spark, sf):
-    o = b.table(spark, sf, "orders").where(F.col("o_orderstatus") == "O").withColumn("ticker", F.col("o_custkey").cast("string"))
-    return o.join(b.bars(spark, sf), "ticker", "left_semi").select("o_orderkey", "o_custkey")
+    o = b.table(spark, sf, "orders").withColumn("ticker", F.col("o_custkey").cast("string"))
+    return pn.active_with_prices(o, b.bars(spark, sf), "o_orderstatus", "O").select("o_orderkey", "o_custkey")
 
 
 @query(
@@ -359,7 +359,7 @@ def a44(spark, sf):
     f"WITH {q.BARS} SELECT ticker, CAST(date AS VARCHAR) AS date, close FROM bars ORDER BY 1, 2",
 )
 def o1(spark, sf):
-    return b.bars(spark, sf).orderBy("ticker", "date").select("ticker", text("date"), "close")
+    return pn.ordered_output(b.bars(spark, sf), ["ticker", "date"]).select("ticker", text("date"), "close")
 
 
 @query(

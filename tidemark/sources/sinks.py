@@ -59,11 +59,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def replace_ticker(prices: DataFrame, new_rows: DataFrame, path: str) -> None:
-    """K6: drop the ticker's old rows, append the new ones, write to a new folder."""
+def with_ticker_replaced(prices: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """K6: the tickers of ``new_rows`` lose their old rows and get the new ones."""
     tickers = new_rows.select("ticker").distinct()
     kept = prices.join(tickers, "ticker", "left_anti")
-    kept.unionByName(new_rows, allowMissingColumns=True).write.mode("errorifexists").parquet(path)
+    return kept.unionByName(new_rows, allowMissingColumns=True)
+
+
+def replace_ticker(prices: DataFrame, new_rows: DataFrame, path: str) -> None:
+    """K6 into a new folder, so the old one stays readable while this job runs."""
+    with_ticker_replaced(prices, new_rows).write.mode("errorifexists").parquet(path)
 
 
 def request_log(spark: SparkSession, records: list[dict]) -> DataFrame:
