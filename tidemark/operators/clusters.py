@@ -87,7 +87,7 @@ def rank_ic_bootstrap(
     df: DataFrame, x: str, y: str, date: str, n_boot: int = 10_000, seed: int = 20260731, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Rank IC with a block bootstrap by week."""
-    pairs = df.select(F.date_trunc("week", F.col(date)).alias("week"), clean(x).alias("_x"), clean(y).alias("_y"))
+    pairs = df.select(F.trunc(F.to_date(date), "week").alias("week"), clean(x).alias("_x"), clean(y).alias("_y"))
     pairs = pairs.dropna(subset=["_x", "_y"])
     ranked = average_rank(average_rank(pairs, "_x", (), "_rx", max_rows), "_y", (), "_ry", max_rows)
     return block_bootstrap_ic(ranked, "week", "_rx", "_ry", n_boot, seed)
@@ -99,7 +99,7 @@ def decile_spread(
 ) -> DataFrame:
     """Top-minus-bottom signal decile of net returns, by cost band."""
     edges = quantile_edges(df, keys, signal, n, max_rows)
-    rows = df.join(edges, list(keys)) if keys else df.join(F.broadcast(edges))  # a single row without keys
+    rows = df.join(edges, list(keys)) if keys else df.join(edges)  # a single row without keys
     sized = rows.withColumn("decile", quantile_bucket(F.col(signal), F.col("edges"), n))
     out = sized.groupBy(*keys, band).agg(
         F.avg(F.when(F.col("decile") == n, F.col(net))).alias("top"),
@@ -133,7 +133,7 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 5, max_rows: i
     """Mutual information (nats) of two columns over quantile bins."""
     rows = df.select(clean(x).alias("_x"), clean(y).alias("_y")).dropna()
     for c in ("_x", "_y"):
-        edges = F.broadcast(quantile_edges(rows, [], c, bins, max_rows))  # a single row
+        edges = quantile_edges(rows, [], c, bins, max_rows)  # a single row
         rows = rows.join(edges).withColumn(f"{c}b", quantile_bucket(F.col(c), F.col("edges"), bins)).drop("edges")
     # at most bins * bins rows from here on
     cells = rows.groupBy(F.lit(1).alias("_all"), "_xb", "_yb").agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import MAX_GROUP_ROWS, bucket_of, order_statistics
+from tidemark.operators.ordered import MAX_GROUP_ROWS, bucket_of, order_statistics, typed_lit
 
 
 @dataclass(frozen=True)
@@ -43,15 +43,16 @@ def _blocks(df: DataFrame, ts: str, tie: Sequence[str], k: int, max_rows: int) -
     return [Block(i, found[f], found[f][0], found[l][0]) for i, (f, l) in enumerate(zip(firsts, lasts))]
 
 
-def _block_number(ts: str, tie: Sequence[str], blocks: Sequence[Block]) -> Column:
-    return bucket_of([ts, *tie], [b.first_key for b in blocks[1:]])
+def _block_number(df: DataFrame, ts: str, tie: Sequence[str], blocks: Sequence[Block]) -> Column:
+    return bucket_of([ts, *tie], [b.first_key for b in blocks[1:]], df.schema)
 
 
-def _shut_out(ts: str, block: Block, horizon: timedelta, embargo: timedelta) -> Column:
+def _shut_out(df: DataFrame, ts: str, block: Block, horizon: timedelta, embargo: timedelta) -> Column:
     """Label window [t, t+horizon] touches the block, or t lies in the embargo after it."""
-    t = F.col(ts)
-    overlaps = (t <= F.lit(block.end)) & (t >= F.lit(block.start - horizon))
-    cooling = (t > F.lit(block.end)) & (t <= F.lit(block.end + embargo))
+    t, kind = F.col(ts), df.schema[ts].dataType
+    start, end, cool = (typed_lit(v, kind) for v in (block.start - horizon, block.end, block.end + embargo))
+    overlaps = (t <= end) & (t >= start)
+    cooling = (t > end) & (t <= cool)
     return overlaps | cooling
 
 
@@ -62,12 +63,12 @@ def purged_kfold(
 ) -> DataFrame:
     """Every row of ``df`` once per fold with ``role`` train or test; purged rows are absent."""
     blocks = _blocks(df, ts, tie, n_splits, max_rows)
-    tagged = df.withColumn("_b", _block_number(ts, tie, blocks))
+    tagged = df.withColumn("_b", _block_number(df, ts, tie, blocks))
     roles = [
         F.struct(
             F.lit(b.number).alias("fold"),
             F.when(F.col("_b") == b.number, "test")
-            .when(~_shut_out(ts, b, horizon, embargo), "train")
+            .when(~_shut_out(df, ts, b, horizon, embargo), "train")
             .alias("role"),
         )
         for b in blocks
@@ -92,10 +93,10 @@ def combinatorial_purged(
     barred = F.lit(0).cast("long")
     for b in blocks:
         barred = barred.bitwiseOR(
-            F.when(_shut_out(ts, b, horizon, embargo), F.lit(1 << b.number)).otherwise(F.lit(0)).cast("long")
+            F.when(_shut_out(df, ts, b, horizon, embargo), F.lit(1 << b.number)).otherwise(F.lit(0)).cast("long")
         )
     own = F.element_at(F.array(*[F.lit(1 << b.number).cast("long") for b in blocks]), F.col("_b") + 1)
-    tagged = df.withColumn("_b", _block_number(ts, tie, blocks)).withColumn("_own", own).withColumn("_bar", barred)
+    tagged = df.withColumn("_b", _block_number(df, ts, tie, blocks)).withColumn("_own", own).withColumn("_bar", barred)
     combos = [
         F.struct(F.lit(i).alias("combo"), F.lit(sum(1 << g for g in c)).cast("long").alias("mask"))
         for i, c in enumerate(combinations(range(n_groups), n_test))
@@ -127,7 +128,7 @@ def walk_forward(
 
     def placed(rows: DataFrame, specs: list) -> DataFrame:
         fields = ("fold", "train_start", "train_end", "test_start", "test_end")
-        spec = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, w)]) for w in specs])
+        spec = F.array(*[F.struct(*[typed_lit(v, df.schema[ts].dataType).alias(f) for f, v in zip(fields, w)]) for w in specs])
         hits = F.filter(
             spec,
             lambda w: ((t >= w["train_start"]) & (t < w["train_end"])) | ((t >= w["test_start"]) & (t < w["test_end"])),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.distributions import expected_max_z, norm_cdf, t_p_value
 from tidemark.operators.cv import purged_kfold
 from tidemark.operators.ordered import MAX_GROUP_ROWS, MAX_PERCENTILE_ROWS, average_rank, grouped_percentile, ordinal
+from tidemark.session import small_side
 
 
 def clean(column: str) -> Column:
@@ -303,7 +304,7 @@ def long_or_short(feature: Column, ret: Column) -> Column:
 
 def median_sign_strategy(df: DataFrame, feature: str, ret: str, keys: Sequence[str], out: str = "strategy", max_rows: int = MAX_PERCENTILE_ROWS) -> DataFrame:
     """Hold in the direction of (feature - group median)."""
-    med = grouped_percentile(df, keys, feature, [0.5], "_m", max_rows).withColumn("_m", F.col("_m")[0])
+    med = small_side(grouped_percentile(df, keys, feature, [0.5], "_m", max_rows).withColumn("_m", F.col("_m")[0]))
     return df.join(med, list(keys), "left").withColumn(out, F.signum(F.col(feature) - F.col("_m")) * F.col(ret)).drop("_m")
 
 

@@ -18,6 +18,7 @@ from tidemark.operators.asof import HotKeys, asof_join, find_hot_keys
 from tidemark.operators.gates import Check, gate, gate_rows, require_columns
 from tidemark.operators.ordered import MAX_PERCENTILE_ROWS, grouped_percentile
 from tidemark.operators.panel import Calendar, next_trading_day, trailing_median_dollar_volume
+from tidemark.session import small_side
 
 EASTERN = "America/New_York"
 NO_LIMIT = float("inf")
@@ -56,15 +57,13 @@ def price_bound(known_at: Column, close_hour: int = 16) -> tuple[Column, Column]
     return F.to_date(local), F.hour(local) >= close_hour
 
 
-def whole_days(later: Column, earlier: Column) -> Column:
-    """Completed 24-hour days between two instants, rounded towards minus infinity."""
-    return F.floor(F.timestamp_diff("SECOND", earlier, later) / 86400)
-
-
 def choose_known_at(filing: Column, announcement: Column, window_days: int = 5) -> tuple[Column, Column]:
-    """The announcement if 0..window_days before the filing, else the filing, with its label."""
-    gap = whole_days(filing, announcement)
-    primary = announcement.isNotNull() & gap.between(0, window_days)
+    """The announcement if 0..window_days whole days before the filing, else the filing, with its label.
+
+    Whole days are completed 24-hour days, so five days and 23 hours still count as five.
+    """
+    limit = announcement + F.make_dt_interval(days=F.lit(window_days + 1))
+    primary = F.coalesce((announcement <= filing) & (filing < limit), F.lit(False))
     return (
         F.when(primary, announcement).otherwise(filing),
         F.when(primary, F.lit("8k_item202")).otherwise(F.lit("10q_fallback")),
@@ -153,8 +152,12 @@ def attrition(df: DataFrame, reason: str, label: str = "qualifies") -> DataFrame
 
 
 def quantile_edges(universe: DataFrame, by: Sequence[str], cap: str, n: int, max_rows: int = MAX_PERCENTILE_ROWS) -> DataFrame:
-    """The n+1 linear quantile edges of ``cap`` per group, as array ``edges``."""
-    return grouped_percentile(universe, by, cap, [i / n for i in range(n + 1)], "edges", max_rows)
+    """The n+1 linear quantile edges of ``cap`` per group, as array ``edges``.
+
+    One small row per group, staged because several tables are bucketed by it;
+    broadcast when the groups are as few as dates are.
+    """
+    return small_side(grouped_percentile(universe, by, cap, [i / n for i in range(n + 1)], "edges", max_rows))
 
 
 def quantile_bucket(cap: Column, edges: Column, n: int) -> Column:

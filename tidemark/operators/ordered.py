@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import durable
 
@@ -138,7 +140,18 @@ def order_statistics(
     return {int(r["_idx"]): tuple(r[c] for c in order) for r in hits}
 
 
-def bucket_of(columns: Sequence[str], bounds: Sequence[tuple]) -> Column:
+def typed_lit(value, like: T.DataType | None = None) -> Column:
+    """A literal of the column type it is compared with.
+
+    ``F.lit`` turns a naive datetime into an instant of the session zone;
+    against a wall-clock column it has to stay a wall clock.
+    """
+    if isinstance(value, datetime) and isinstance(like, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
+def bucket_of(columns: Sequence[str], bounds: Sequence[tuple], schema: T.StructType | None = None) -> Column:
     """How many of the ascending ``bounds`` are <= the row, as a balanced CASE tree.
 
     Map-only and codegen friendly; meant for fold and query-time edges (tens of
@@ -148,7 +161,7 @@ def bucket_of(columns: Sequence[str], bounds: Sequence[tuple]) -> Column:
     def at_least(bound: tuple) -> Column:
         test = F.lit(True)
         for name, v in reversed(list(zip(columns, bound))):
-            c, edge = F.col(name), F.lit(v)
+            c, edge = F.col(name), typed_lit(v, schema[name].dataType if schema else None)
             test = (c > edge) | ((c == edge) & test)
         return test
 

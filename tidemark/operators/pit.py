@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.gates import require_columns
-from tidemark.operators.ordered import latest
+from tidemark.operators.ordered import latest, typed_lit
 
 FEATURE_SCHEMA = T.StructType(
     [
@@ -52,7 +52,8 @@ def as_of(
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """Per (entity, feature) the latest value with known_at <= query_time."""
-    rows = _scoped(features, entity_ids, feature_names).where(F.col("known_at") <= F.lit(query_time))
+    when = typed_lit(query_time, features.schema["known_at"].dataType)
+    rows = _scoped(features, entity_ids, feature_names).where(F.col("known_at") <= when)
     keep = ["known_at", "value", *extra]
     return latest(rows, ["entity_id", "feature_name"], ["known_at", *tie_break], keep)
 
@@ -74,31 +75,31 @@ def panel_as_of(
     times = sorted(set(query_times))
     if not times:
         raise ValueError("at least one query time is needed")
-    rows = _scoped(features, entity_ids, feature_names).where(F.col("known_at") <= F.lit(times[-1]))
-    rows = rows.withColumn("_slot", _slot(times))
+    stamps = [typed_lit(t, features.schema["known_at"].dataType) for t in times]
+    rows = _scoped(features, entity_ids, feature_names).where(F.col("known_at") <= stamps[-1])
+    rows = rows.withColumn("_slot", _slot(stamps))
     seen = latest(rows, ["entity_id", "feature_name", "_slot"], ["known_at", *tie_break], ["known_at", "value"])
     after = F.lead("_slot").over(Window.partitionBy("entity_id", "feature_name").orderBy("_slot"))
     spans = seen.withColumn("_until", F.coalesce(after, F.lit(len(times))))
-    stamps = F.array(*[F.lit(t) for t in times])
     return spans.select(
         "entity_id",
         "feature_name",
         "known_at",
         "value",
-        F.explode(F.slice(stamps, F.col("_slot") + 1, F.col("_until") - F.col("_slot"))).alias("query_time"),
+        F.explode(F.slice(F.array(*stamps), F.col("_slot") + 1, F.col("_until") - F.col("_slot"))).alias("query_time"),
     )
 
 
-def _slot(times: Sequence):
+def _slot(stamps: Sequence[Column]) -> Column:
     """Count of query times strictly before known_at, as a balanced CASE tree."""
 
     def tree(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("known_at") > F.lit(times[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+        return F.when(F.col("known_at") > stamps[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(times))
+    return tree(0, len(stamps))
 
 
 def _scoped(features, entity_ids, feature_names) -> DataFrame:

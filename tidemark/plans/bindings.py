@@ -228,7 +228,7 @@ def _sized_orders(spark: SparkSession, sf: str, o: DataFrame) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("sic_code"))
     return (
         o.join(c, "o_custkey")
-        .withColumn("date", F.to_date(F.date_trunc("month", "o_orderdate")))
+        .withColumn("date", F.trunc(F.to_date("o_orderdate"), "month"))
         .withColumn("market_cap", F.col("o_totalprice"))
         .withColumn("forward_return", F.pmod(F.col("o_totalprice"), F.lit(97.0)) / 970 - 0.05)
     )

@@ -96,7 +96,7 @@ def j14(spark, sf):
 )
 def w17(spark, sf):
     o = b.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("event_id"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("date"),
+        F.col("o_orderkey").alias("event_id"), F.trunc(F.to_date("o_orderdate"), "month").alias("date"),
         F.col("o_totalprice").alias("market_cap"),
     )
     edges = es.quantile_edges(b.whole_universe(spark, sf), ["date"], "market_cap", 5)

@@ -104,7 +104,7 @@ def w13(spark, sf):
 
 def _holdings(spark, sf):
     li = b.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("manager"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("filing_date"),
+        F.col("l_suppkey").alias("manager"), F.trunc(F.to_date("l_shipdate"), "month").alias("filing_date"),
         F.col("l_partkey").alias("cusip"), F.col("l_extendedprice").alias("value"),
     )
     return pn.sum_holdings(li, ["manager", "filing_date", "cusip"], "value")

@@ -180,7 +180,7 @@ def j23(spark, sf):
     o = b.table(spark, sf, "orders").join(
         b.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("series")), "o_custkey"
     )
-    monthly = o.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("date"), "series").agg(
+    monthly = o.groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("date"), "series").agg(
         F.max("o_totalprice").alias("value")
     )
     daily = o.select(F.to_date("o_orderdate").alias("date"), "series").distinct()

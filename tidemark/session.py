@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +23,7 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -49,11 +51,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+MAX_BROADCAST_ROWS = 200_000  # rows of a few numbers each, so tens of megabytes at most
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Stage a summary table and broadcast it if its counted size allows; otherwise leave the join to Spark."""
+    staged = durable(df)
+    return F.broadcast(staged) if staged.count() <= max_rows else staged
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out before per-row work that is heavy on the CPU, if the input has too few splits.
 
     A small table may sit in one file split and so in one task. Large inputs
-    have more splits than cores and pass through without a shuffle.
+    have more splits than cores and pass through without a shuffle. Meant for
+    plain scans, whose split count is known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
