@@ -196,11 +196,11 @@ def grouped_percentile(
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))
         return grouped_percentile(rows, ["_all"], "_v", probs, out, max_rows).drop("_all")
-    sizes = rows.groupBy(*keys).count().withColumnRenamed("count", "_n")
-    # at most (rows / max_rows) groups can be this large
-    hot = F.broadcast(sizes.where(F.col("_n") > max_rows))
-    if not hot.take(1):
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    found = sizes.collect()  # at most (rows / max_rows) groups are this large
+    if not found:
         return rows.groupBy(*keys).agg(direct)
+    hot = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in found], sizes.schema))
     cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(direct)
     ranked = ordinal(rows.join(hot, keys, "left_semi"), ["_v"], keys, "_rn", max_rows)
     spots = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_n") - 1)).alias("x"))

@@ -568,10 +568,19 @@ def x8(spark, sf):
     return out.select(text("release_date"), "district", rnd("residual", 4))
 
 
-@query("X8_residualize_many")
+@query(
+    "X8_residualize_many",
+    f"""WITH {q.PANEL}, c AS (SELECT * FROM panel WHERE z8 IS NOT NULL AND chg IS NOT NULL AND fwd_5 IS NOT NULL),
+    g AS (SELECT release_date, regr_sxx(fwd_5, z8) AS xx, regr_sxx(fwd_5, chg) AS zz, regr_sxy(chg, z8) AS xz, regr_sxy(fwd_5, z8) AS xy, regr_sxy(fwd_5, chg) AS zy,
+      avg(z8) AS mx, avg(chg) AS mz, avg(fwd_5) AS my FROM c GROUP BY 1),
+    k AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM g)
+    SELECT CAST(p.release_date AS VARCHAR) AS release_date, district, round(fwd_5 - my - bx * (z8 - mx) - bz * (chg - mz), 6) + 0 AS residual
+    FROM panel p LEFT JOIN k ON k.release_date = p.release_date""",
+)
 def x8_many(spark, sf):
     p = b.staged_panel(spark, sf)
-    return cl.residualize(p, "fwd_5", ["z8", "chg"], ["release_date"]).select("release_date", "district", "residual")
+    out = cl.residualize(p, "fwd_5", ["z8", "chg"], ["release_date"])
+    return out.select(text("release_date"), "district", rnd("residual"))
 
 
 @query(
