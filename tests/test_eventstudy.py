@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ControlConfig, CostSchedule, EventStudyConfig, UniverseConfig
 from tidemark.operators import eventstudy as es
 from tidemark.operators import panel as pn
-from tidemark.operators.gates import GateFailure, Stage, gate, require_columns, stage_logs_frame
+from tidemark.operators.gates import GateFailure, gate, require_columns, run_stage, stage_logs_frame
 
 D, T = date, datetime
 
@@ -198,11 +198,11 @@ def test_gates_and_stage_log(spark, tmp_path):
         gate("hard", False)
     with pytest.raises(ValueError):
         require_columns(spark.range(1), ["nope"])
-    stage = Stage("demo")
-    out = stage.output(stage.input(spark.range(10)).where("id > 3"))
-    out.write.parquet(str(tmp_path / "out"))
-    log = stage.finish([gate("soft", False, 3, hard=False)])
+    out, log = run_stage("demo", spark.range(10), lambda df: df.where("id > 3"), lambda o: [gate("soft", False, 3, hard=False)])
+    assert out.count() == 6
     assert (log.rows_in, log.rows_out, log.all_hard_checks_passed) == (10, 6, True)
+    with pytest.raises(GateFailure):
+        run_stage("bad", spark.range(3), lambda df: df, lambda o: [gate("hard", o.count() > 5)])
     frame = stage_logs_frame(spark, [log])
     frame.write.json(str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).first()["stage"] == "demo"

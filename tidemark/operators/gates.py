@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 
 class GateFailure(RuntimeError):
     """A hard check failed; the pipeline stops here."""
@@ -82,37 +84,19 @@ def stage_logs_frame(spark: SparkSession, logs: Sequence[StageLog]) -> DataFrame
     return spark.createDataFrame([log.to_row() for log in logs], STAGE_LOG_SCHEMA)
 
 
-class Stage:
-    """Count rows in and out of one stage while its own job runs (no extra pass).
+def run_stage(
+    name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame],
+    checks: Callable[[DataFrame], Sequence[Check]] = lambda out: (),
+) -> tuple[DataFrame, StageLog]:
+    """Run one stage, stage its output and record what went in and came out.
 
-    >>> stage = Stage("control")
-    >>> out = stage.output(build(stage.input(events)))
-    >>> out.write.parquet(path)
-    >>> log = stage.finish()
+    The output lands on reliable storage, so a later stage restarts from it
+    and its rows are counted by reading it back. The same holds for ``source``
+    when an earlier stage produced it. A failed hard check raises from here.
     """
-
-    def __init__(self, name: str):
-        self.name = name
-        self._in = Observation(f"{name}_in")
-        self._out = Observation(f"{name}_out")
-        self._start = time.monotonic()
-
-    def input(self, df: DataFrame) -> DataFrame:
-        return df.observe(self._in, F.count(F.lit(1)).alias("rows"))
-
-    def output(self, df: DataFrame, *metrics: Column) -> DataFrame:
-        return df.observe(self._out, F.count(F.lit(1)).alias("rows"), *metrics)
-
-    @property
-    def metrics(self) -> dict:
-        return self._out.get
-
-    def finish(self, checks: Sequence[Check] = ()) -> StageLog:
-        return StageLog(
-            self.name,
-            int(self._in.get["rows"]),
-            int(self._out.get["rows"]),
-            time.monotonic() - self._start,
-            datetime.now(timezone.utc).isoformat(),
-            list(checks),
-        )
+    start = time.monotonic()
+    out = durable(build(source))
+    found = list(checks(out))
+    finished = datetime.now(timezone.utc).isoformat()
+    log = StageLog(name, source.count(), out.count(), time.monotonic() - start, finished, found)
+    return out, log
