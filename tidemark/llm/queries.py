@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe
-from tidemark.llm.common import table
+from tidemark.llm import byte_bpe, fit_packing, vector_packing
+from tidemark.llm.common import staged, table
+from tidemark.llm.matrices import pieces_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_fit_packing")
+def op3_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed matrices are written to the shared folder; the pieces are read back from them."""
+    return pieces_of(staged(fit_packing.pack_documents(table(spark, sf_dir, "documents")), "op3"))
+
+
+@query("op4_vector_packing")
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed matrices are written to the shared folder; the pieces are read back from them."""
+    return pieces_of(staged(vector_packing.pack_documents(table(spark, sf_dir, "documents")), "op4"))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
