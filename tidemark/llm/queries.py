@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, fit_packing, vector_packing
+from tidemark.llm import byte_bpe, fit_packing, vector_packing, warc
 from tidemark.llm.common import staged, table
 from tidemark.llm.matrices import pieces_of
 
@@ -36,6 +36,11 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_of(staged(vector_packing.pack_documents(table(spark, sf_dir, "documents")), "op4"))
 
 
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
