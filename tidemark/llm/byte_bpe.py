@@ -11,6 +11,7 @@ tokens; that is remembered for each pair. The result equals rank-ordered merging
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -20,12 +21,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, dealt
+from tidemark.llm.common import Memo, dealt, small_batches
 from tidemark.llm.pretokens import pretokens
 
 RANKS = "byte_bpe_50k.tiktoken"
-MAX_PIECES = 400_000  # remembered pieces in one Python worker, about 100 MB
-MAX_PAIRS = 2_000_000  # remembered pairs of adjacent tokens
+MAX_PIECES = 400_000  # remembered pieces in one Python worker, about 80 MB
+MAX_PAIRS = 500_000  # remembered pairs of adjacent tokens, about 60 MB
 LONG_PIECE = 200  # characters; longer pieces are rarely seen twice
 
 
@@ -46,10 +47,12 @@ class ByteBpe:
             parts = self._merged(chars, below=i)
             if len(chars) == 1 or len(parts) == 2:  # others are never made by merging
                 self.halves[i] = None if len(chars) == 1 else (parts[0], parts[1])
-                self.automaton.add_word(chars, len(chars))
+                self.automaton.add_word(chars, i)
         self.automaton.make_automaton()
-        self.fits = Memo(self._fits, MAX_PAIRS)
-        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<i4").tobytes(), MAX_PIECES)
+        self.size = len(self.bytes_of)
+        self.length = [len(b) for b in self.bytes_of]
+        self.fits = Memo(self._fits, MAX_PAIRS)  # by left * size + right
+        self.pieces = Memo(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), MAX_PIECES)
 
     def _merged(self, chars: str, below: int) -> list[int]:
         """Merge adjacent parts in the order of their ranks, using ranks under ``below`` only."""
@@ -61,15 +64,15 @@ class ByteBpe:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [self.id_of[p] for p in parts]
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """May the two tokens stand side by side?
 
         Undo the merges on both sides of the border, latest first. Each time two parts
         face each other, a merge across the border that comes before the one just undone
         would have been made instead. Of equal ranks the one further left comes first.
         """
-        left, right = pair
-        before = len(self.bytes_of)
+        left, right = divmod(pair, self.size)
+        before = self.size
         while True:
             across = self.id_of.get(self.chars_of[left] + self.chars_of[right])
             if across is not None and across < before:
@@ -87,27 +90,36 @@ class ByteBpe:
         whole = self.id_of.get(chars)
         if whole is not None:
             return [whole]
+        size, fits = self.size, self.fits
+        out = [token for _, token in self.automaton.iter_long(chars)]
+        for left, right in zip(out, out[1:]):
+            if not fits[left * size + right]:
+                return self._backtrack(chars)
+        return out  # compatible all along: no other sequence is
+
+    def _backtrack(self, chars: str) -> list[int]:
+        size, fits, lengths, id_of, halves = self.size, self.fits, self.length, self.id_of, self.halves
         n = len(chars)
-        longest = [0] * n
-        for end, length in self.automaton.iter(chars):
-            longest[end - length + 1] = length  # ends only grow, so the longest match of a start comes last
-        id_of, halves, fits = self.id_of, self.halves, self.fits
+        longest = [0] * (n + 1)
+        for end, token in self.automaton.iter(chars):
+            longest[end - lengths[token] + 1] = lengths[token]  # ends only grow: a start's longest match comes last
         out: list[int] = []
-        open_at = bytearray(b"\x01") * (n + 1)
-        at, length = 0, longest[0] if n else 0
+        dead = bytearray(n + 1)
+        at, length = 0, longest[0]
         while at < n:
             while length:
-                token = id_of.get(chars[at : at + length])
-                if token in halves and open_at[at + length] and (not out or fits[out[-1], token]):
-                    break
+                if not dead[at + length]:
+                    token = id_of.get(chars[at : at + length])
+                    if token in halves and (not out or fits[out[-1] * size + token]):
+                        break
                 length -= 1
             if length:
                 out.append(token)
                 at += length
-                length = longest[at] if at < n else 0
+                length = longest[at]
             else:  # nothing leads on from here
-                open_at[at] = 0
-                length = len(self.chars_of[out.pop()])
+                dead[at] = 1
+                length = lengths[out.pop()]
                 at -= length
         return out
 
@@ -138,7 +150,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         own = codec(at)
         return pd.Series([own.encode(t) for t in texts], dtype=object)
 
-    return df.withColumn(out, ids(F.col(text)))
+    return small_batches(df).withColumn(out, ids(F.col(text)))
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -150,7 +162,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
         own = codec(at)
         return pd.Series([own.decode(a) for a in arrays], dtype=object)
 
-    return df.withColumn(out, back(F.col(ids)))
+    return small_batches(df).withColumn(out, back(F.col(ids)))
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

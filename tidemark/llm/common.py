@@ -27,6 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 500  # whole texts handed to Python at once
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Hand whole texts to Python in small batches, so that long ones fit a worker's memory.
+
+    This lowers the session's Arrow batch size, which changes no result.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Deal the rows of a few splits out over all cores; inputs with enough splits pass through."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dealt
+from tidemark.llm.common import dealt, small_batches
 from tidemark.llm.matrices import SCHEMA, Blocks, Piece
 from tidemark.llm.tokens import END_ID, document_ids
 
@@ -120,4 +120,4 @@ def pack_documents(
             yield from blocks.add(sequence)
         yield from blocks.end()
 
-    return dealt(docs.select(F.col(doc_id).cast("long"), F.col(text))).mapInArrow(pack, SCHEMA)
+    return small_batches(dealt(docs.select(F.col(doc_id).cast("long"), F.col(text)))).mapInArrow(pack, SCHEMA)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dealt
+from tidemark.llm.common import dealt, small_batches
 from tidemark.llm.matrices import SCHEMA, Blocks, Piece
 from tidemark.llm.tokens import END_ID, document_ids
 
@@ -153,4 +153,4 @@ def pack_documents(
         yield from blocks.end()
 
     before = F.col(prompt) if prompt else F.lit(None).cast("string")
-    return dealt(docs.select(F.col(doc_id).cast("long"), F.col(text), before.alias("before"))).mapInArrow(pack, SCHEMA)
+    return small_batches(dealt(docs.select(F.col(doc_id).cast("long"), F.col(text), before.alias("before")))).mapInArrow(pack, SCHEMA)

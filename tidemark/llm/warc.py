@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dealt, shared_path, staged
+from tidemark.llm.common import dealt, shared_path, small_batches, staged
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D  # skippable frame that holds the dictionary
@@ -185,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
             written += 1
             yield pa.record_batch([[path], [archive.size], [archive.records]], names=["path", "archive_bytes", "n_records"])
 
-    return staged(with_revisits(dealt(pages), **columns).mapInArrow(write, MANIFEST), "warc-manifest")
+    return staged(small_batches(with_revisits(dealt(pages), **columns)).mapInArrow(write, MANIFEST), "warc-manifest")
 
 
 def _up_to(records: Iterable[bytes], size: int) -> list[bytes]:
