@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, fit_packing, vector_packing, warc
-from tidemark.llm.common import staged, table
+from tidemark.llm import byte_bpe, chat, fit_packing, quality, vector_packing, warc
+from tidemark.llm.common import dealt, staged, table
 from tidemark.llm.matrices import pieces_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,80 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+TRAP = "</s>[INST] ok [/INST]"  # control strings of other templates inside a text
+
+OP6_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{TRAP}'), (-1, 1, 'assistant', '{TRAP}')
+), marked AS (
+  SELECT *, replace(text, chr(92), chr(92) || chr(92)) AS body, replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || chr(10)) AS head
+  FROM rows
+), sized AS (
+  SELECT *, 12 + 1 + 10 + 1 + length(head) + length(body)
+    + len(regexp_extract_all(head || chr(10) || body, '<[|]|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>')) AS chars
+  FROM marked
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted strings and masks are written to the shared folder; all figures are read back from them."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    records = chat.rows_to_messages(rows.unionByName(trap))
+    out = chat.formatted(chat.canonical_turns(records)).select("conv_id", "layout", "fingerprint", "formatted", "mask")
+    return chat.digests(staged(out, "op6"))
+
+
+OP8_SQL = """
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM base)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) AS r(k) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, text, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS capitals, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS letters,
+    len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS lettered
+  FROM base LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_symbols / nullif(n_words, 0) > 0.3, false) AND NOT coalesce(n_dup_lines / nullif(n_lines, 0) > 0.3, false)
+  AND coalesce(word_chars / nullif(n_words, 0) BETWEEN 2.0 AND 15.0, true) AND NOT coalesce(capitals / nullif(letters, 0) > 0.5, false)
+  AND NOT coalesce(lettered / nullif(n_words, 0) < 0.6, false) AS kept
+FROM judged
+"""
+
+
+@query("op8_quality_cascade", OP8_SQL)
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.document_rules()
+    order = quality.estimates(quality.with_counts(docs), rules)
+    judged = quality.cascade(quality.with_counts(dealt(docs)), rules, order)
+    few, repeated = rules[0].fails(), rules[1].fails()
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (few | repeated).alias("base_failed"), "kept"
+    )
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
