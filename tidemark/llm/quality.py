@@ -114,7 +114,7 @@ def document_rules(text: str = "text") -> tuple[Rule, ...]:
         Rule("few_words", lambda: c("n_words") < 20),
         Rule("repeated_passages", lambda: 100 * c("n_repeat_words") > 30 * c("n_words")),
         Rule("symbols", lambda: share(c("n_symbols"), c("n_words")) > 0.3),
-        Rule("repeated_lines", lambda: share(c("n_dup_lines"), c("n_lines")) > 0.3),
+        Rule("repeated_lines", lambda: (c("n_dup_lines") > 2) & (share(c("n_dup_lines"), c("n_lines")) > 0.3)),  # not a frame of one line
         Rule("word_length", lambda: ~share(c("word_chars"), c("n_words")).between(2.0, 15.0)),
         Rule("capitals", lambda: shouting(c(text)) > 0.5),
         Rule("no_letters", lambda: lettered(c(text)) < 0.6),

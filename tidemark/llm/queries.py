@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, fit_packing, quality, vector_packing, warc
+from tidemark.llm import byte_bpe, chat, fit_packing, graph_search, quality, vector_packing, warc
 from tidemark.llm.common import dealt, staged, table
 from tidemark.llm.matrices import pieces_of
 
@@ -74,6 +74,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(staged(out, "op6"))
 
 
+@query("op7_graph_search")
+def op7_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 OP8_SQL = """
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -97,7 +102,7 @@ WITH base AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_symbols / nullif(n_words, 0) > 0.3, false) AND NOT coalesce(n_dup_lines / nullif(n_lines, 0) > 0.3, false)
+  NOT base_failed AND NOT coalesce(n_symbols / nullif(n_words, 0) > 0.3, false) AND NOT (n_dup_lines > 2 AND coalesce(n_dup_lines / nullif(n_lines, 0) > 0.3, false))
   AND coalesce(word_chars / nullif(n_words, 0) BETWEEN 2.0 AND 15.0, true) AND NOT coalesce(capitals / nullif(letters, 0) > 0.5, false)
   AND NOT coalesce(lettered / nullif(n_words, 0) < 0.6, false) AS kept
 FROM judged
