@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, fit_packing, graph_search, quality, vector_packing, warc
+from tidemark.llm import byte_bpe, chat, fit_packing, graph_search, jaccard_join, language, quality, severity, vector_packing, warc
 from tidemark.llm.common import dealt, staged, table
 from tidemark.llm.matrices import pieces_of
 
@@ -25,6 +25,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op2_severity")
+def op2_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_fit_packing")
 def op3_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed matrices are written to the shared folder; the pieces are read back from them."""
@@ -124,3 +134,8 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_filters")
+def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
