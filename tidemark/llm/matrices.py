@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import pinned
+
 ROWS = 128  # sequences in a block: 1 MB of ids at width 2048
 
 PIECE = "struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,loss_tokens:bigint,row:int,offset:bigint>"
@@ -91,21 +93,22 @@ def pieces_of(blocks: DataFrame) -> DataFrame:
     """One row for each piece, with the checksum of its ids as they stand in the matrix.
 
     start and length are read from the cumulative segment lengths; ids_crc32 is taken over the
-    matrix's bytes; resets counts the sequence's positions that are zero within its pieces.
+    matrix's bytes.
     """
     wide = F.col("width").cast("long")
 
-    def one(p: Column) -> Column:
-        own = F.get("cu_seqlens", p["row"])
+    def one(p: Column, x: Column) -> Column:
+        own = F.get(x["cu_seqlens"], p["row"])
         at = F.array_position(own, p["offset"].cast("int"))
         length = (F.get(own, at.cast("int")) - p["offset"]).cast("long")
         from_byte = (p["row"] * wide + p["offset"]) * 4 + 1
         return F.struct(
             p["doc_id"].alias("doc_id"), p["start"].alias("start"), length.alias("length"),
-            F.crc32(F.substring("ids", from_byte.cast("int"), (length * 4).cast("int"))).alias("ids_crc32"),
+            F.crc32(F.substring(x["ids"], from_byte.cast("int"), (length * 4).cast("int"))).alias("ids_crc32"),
             p["doc_tokens"].alias("doc_tokens"), (F.col("first_sequence") + p["row"]).alias("sequence_id"),
             p["offset"].alias("offset"), p["loss_tokens"].alias("loss_tokens"),
         )
 
-    read = blocks.select(F.transform("pieces", one).alias("read"))
-    return read.select(F.inline("read"))
+    whole = F.struct("ids", "cu_seqlens", "pieces")
+    read = pinned(whole, lambda x: F.transform(x["pieces"], lambda p: one(p, x)))  # the matrix is taken from its row once
+    return blocks.select(F.inline(read))

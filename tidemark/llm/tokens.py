@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,18 +41,17 @@ class LibraryTokens:
         self.pieces = Memo(self._whole, MAX_PIECES)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.by_piece or any(s in text for s in self.special):
-            return self._whole(text)
-        cut, known = pretokens(text), self.pieces
-        new = [p for p in {*cut} if p not in known]
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; new pieces of all texts go to the library together."""
+        cuts = [pretokens(t) if self.by_piece and not any(s in t for s in self.special) else None for t in texts]
+        known = self.pieces
+        new = [p for p in set().union(*filter(None, cuts)) if p not in known]
         if len(new) + len(known) <= known.limit:
             for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, cut))
+                known[p] = array("I", e.ids).tobytes()
+        return [self._whole(t) if cut is None else b"".join(map(known.__getitem__, cut)) for t, cut in zip(texts, cuts)]
 
 
 @lru_cache(maxsize=2)
@@ -59,8 +59,17 @@ def tokens(path: str) -> LibraryTokens:
     return LibraryTokens(path)
 
 
+TOGETHER = 1_000_000  # characters of texts cut at once
+
+
 def document_ids(texts, path: str | None = None, end_id: int = END_ID):
     """For each text its ids followed by ``end_id``, as a uint32 array; null as empty."""
-    own, end = tokens(path or public_tokenizers.path(FILE)), np.array([end_id], "<u4").tobytes()
-    for text in texts:
-        yield np.frombuffer(own.encode(text or "") + end, "<u4")
+    own, end = tokens(path or public_tokenizers.path(FILE)), array("I", [end_id]).tobytes()
+    waiting, held = [], 0
+    for k, text in enumerate(texts, 1):
+        waiting.append(text or "")
+        held += len(text or "")
+        if held >= TOGETHER or k == len(texts):
+            for ids in own.encode(waiting):
+                yield np.frombuffer(ids + end, "<u4")
+            waiting, held = [], 0

@@ -14,7 +14,7 @@ from tidemark.llm.common import dealt, small_batches
 from tidemark.llm.matrices import SCHEMA, Blocks, Piece
 from tidemark.llm.tokens import END_ID, document_ids
 
-HELD = 1024  # pieces among which the next one is chosen
+HELD = 512  # pieces among which the next one is chosen
 
 
 @dataclass(frozen=True)
