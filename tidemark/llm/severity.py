@@ -60,7 +60,9 @@ class Model:
         return np.clip(np.diff(edges, axis=1), 0.0, 1.0)
 
     def score(self, text: str | None) -> float:
-        return sum(self.weights[k] * v for k, v in self.values(text).items())
+        """w.x; a text without any feature shows nothing and scores below all thresholds."""
+        values = self.values(text)
+        return float(sum(self.weights[k] * v for k, v in values.items())) if values else -np.inf
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -172,8 +174,8 @@ def graded_from_flag(labelled: DataFrame, flag: str = "toxic", text: str = "text
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add expected_severity, severity (the most likely grade) and p_toxic = P(grade > 0).
 
-    Null and empty texts have no features and get the base rates. Columns with these names are replaced;
-    rows are independent of each other.
+    Null and empty texts, and others without any feature, get severity 0 with certainty. Columns with these
+    names are replaced; rows are independent of each other.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES features
 
