@@ -91,3 +91,19 @@ def test_walk_forward_leaves_out_folds_without_rows(spark):
     df = frame(spark, 60).where((F.col("id") < 30) | (F.col("id") > 45))
     out = cv.walk_forward(df, "ts", 20 * DAY, 5 * DAY, 5 * DAY, True, DAY)
     assert sorted(r[0] for r in out.select("fold").distinct().collect()) == [0, 1, 5, 6]
+
+
+def test_combinatorial_with_many_groups(spark):
+    """More groups than one word of a mask has bits; the last combination tests the last two groups."""
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import cv
+
+    day = timedelta(days=1)
+    df = spark.createDataFrame([(i, datetime(2020, 1, 1) + day * i) for i in range(70)], "id int, ts timestamp_ntz")
+    out = cv.combinatorial_purged(df, "ts", ["id"], 70, 2, timedelta(0), timedelta(0))
+    last = 70 * 69 // 2 - 1
+    got = {r["id"]: r["role"] for r in out.where(f"combo = {last}").collect()}
+    assert [i for i, role in got.items() if role == "test"] == [68, 69] and len(got) == 70
+    first = {r["id"] for r in out.where("combo = 0 AND role = 'test'").collect()}
+    assert first == {0, 1}

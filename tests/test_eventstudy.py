@@ -188,8 +188,19 @@ def test_event_contract(spark):
     assert events(T(2020, 5, 1)).first()["event_id"] == "h11_E_20200331"
     es.check_known_after_period(events(T(2020, 3, 31, 4, 0, 1)))  # 00:00:01 Eastern
     for known in (T(2020, 3, 30), T(2020, 3, 31, 4, 0, 0)):
+        with pytest.raises(Exception, match="known_at_after_period_end"):
+            events(known).collect()
+        raw = spark.createDataFrame([(D(2020, 3, 31), known)], "period_end date, known_at timestamp_ntz")
         with pytest.raises(GateFailure):
-            es.check_known_after_period(events(known))
+            es.check_known_after_period(raw)
+
+
+def test_exhausted_calendar_can_stop(spark):
+    cal = pn.trading_calendar(spark.createDataFrame([(D(2022, 10, 24),), (D(2022, 10, 25),)], "date date"))
+    inside, beyond = utc(spark, [T(2022, 10, 24, 15)]), utc(spark, [T(2022, 10, 26, 15)])
+    assert es.entry_date(inside, cal, exhausted="raise").first()["entry_date"] == D(2022, 10, 24)
+    with pytest.raises(Exception, match="calendar exhausted"):
+        es.entry_date(beyond, cal, exhausted="raise").collect()
 
 
 def test_gates_and_stage_log(spark, tmp_path):

@@ -113,3 +113,31 @@ def test_request_records(spark):
 def test_unknown_table(spark):
     with pytest.raises(KeyError):
         fs.read_filing_sets(spark, "/nowhere", "pre")
+
+
+OLD = "adsh\ttag\tversion\tcoreg\tddate\tqtrs\tuom\tvalue"
+NEW = "adsh\ttag\tversion\tddate\tqtrs\tuom\tsegments\tcoreg\tvalue"
+
+
+def test_quarters_with_different_layouts(spark, tmp_path):
+    """Every file is read by its own header, in files and in landed lines."""
+    lines = {
+        "2020q1": (OLD, ["a\tEps\tus-gaap/2019\tParent\t20200331\t1\tUSD\t1.5", "b\tEps\tus-gaap/2019\t\t20200331\t1\tUSD\t2.5"]),
+        "2024q1": (NEW, ["c\tEps\tus-gaap/2023\t20240331\t1\tUSD\tSeg\t\t3.5", "d\tEps\tus-gaap/2023\t20240331\t1\tUSD\t\tOther\tbad"]),
+        "2024q2": (NEW, ["e\tEps\tus-gaap/2023\t20240630\t1\tUSD\t\t\t4.5"]),
+    }
+    for quarter, (header, body) in lines.items():
+        (tmp_path / quarter).mkdir()
+        (tmp_path / quarter / "num.txt").write_text("\n".join([header, *body]) + "\n")
+    want = [
+        ("a", 20200331, 1, "USD", 1.5, "Parent"), ("b", 20200331, 1, "USD", 2.5, None), ("c", 20240331, 1, "USD", 3.5, None),
+        ("d", 20240331, 1, "USD", None, "Other"), ("e", 20240630, 1, "USD", 4.5, None),
+    ]
+    names = ("adsh", "ddate", "qtrs", "uom", "value", "coreg")
+    got = fs.read_filing_sets(spark, str(tmp_path), "num")
+    assert [tuple(r[n] for n in names) for r in rows(got, "adsh")] == want
+    landed = spark.createDataFrame([(h, x) for h, body in lines.values() for x in body], "header string, line string")
+    again = fs.parse_delimited(landed, "header", "line", fs.NUM_SCHEMA)
+    assert [tuple(r[n] for n in names) for r in rows(again, "adsh")] == want
+    bad = {r["column"]: r["n"] for r in fs.malformed(fs.read_delimited(spark, f"{tmp_path}/*/num.txt", "\t"), fs.NUM_SCHEMA).collect()}
+    assert bad["value"] == 1 and sum(bad.values()) == 1

@@ -39,8 +39,8 @@ def ic_from_sums() -> Column:
 def bootstrap_draws(sums: DataFrame, n_boot: int = 10_000, seed: int = 20260731) -> DataFrame:
     """``n_boot`` resamples of K blocks out of K: one IC per resample.
 
-    Draw j of resample b is a hash of (seed, b, j), so the result does not
-    depend on partitioning or on which executor runs it. The work is
+    Draw j of resample b is the first 32 bits of the MD5 of "seed:b*K+j" modulo K, so the result does not
+    depend on partitioning, on which executor runs it, or on the engine. The work is
     n_boot * K small rows, independent of the number of raw rows.
     """
     spark = sums.sparkSession
@@ -49,7 +49,7 @@ def bootstrap_draws(sums: DataFrame, n_boot: int = 10_000, seed: int = 20260731)
         return spark.createDataFrame([], "b long, ic double")
     draws = spark.range(n_boot * k).select(
         F.floor(F.col("id") / k).alias("b"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(k).cast("long")).alias("slot"),
+        F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(k).cast("long")).alias("slot"),
     )
     return draws.join(sums.drop("block"), "slot").groupBy("b").agg(ic_from_sums().alias("ic"))
 

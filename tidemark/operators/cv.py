@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordered import MAX_GROUP_ROWS, bucket_of, order_statistics, typed_lit
 
 
+WORD = 62  # blocks in one word of a mask
+
+
 @dataclass(frozen=True)
 class Block:
     """One contiguous run of rows in time order; ``start`` and ``end`` are its outer instants."""
@@ -84,28 +87,35 @@ def combinatorial_purged(
 ) -> DataFrame:
     """Every combination of ``n_test`` blocks as test set, purged around each block.
 
-    A row carries two bit masks: its own block and the blocks that shut it
-    out. A combination is a third mask, so each role is two bitwise tests.
+    A row carries two sets of blocks as bit masks: its own block and the blocks that shut it out. A
+    combination is a third set, so each role is two bitwise tests. Masks have as many words of
+    62 bits as the number of blocks asks for.
     """
-    if n_groups > 62:
-        raise ValueError("at most 62 groups")
     blocks = _blocks(df, ts, tie, n_groups, max_rows)
-    barred = F.lit(0).cast("long")
-    for b in blocks:
-        barred = barred.bitwiseOR(
-            F.when(_shut_out(df, ts, b, horizon, embargo), F.lit(1 << b.number)).otherwise(F.lit(0)).cast("long")
-        )
-    own = F.element_at(F.array(*[F.lit(1 << b.number).cast("long") for b in blocks]), F.col("_b") + 1)
-    tagged = df.withColumn("_b", _block_number(df, ts, tie, blocks)).withColumn("_own", own).withColumn("_bar", barred)
+    words = range(-(-n_groups // WORD))
+
+    def word(numbers: Sequence[int], w: int) -> int:
+        return sum(1 << (g - w * WORD) for g in numbers if g // WORD == w)
+
+    tagged = df.withColumn("_b", _block_number(df, ts, tie, blocks))
+    for w in words:
+        own, barred = F.lit(0).cast("long"), F.lit(0).cast("long")
+        for b in blocks:
+            if b.number // WORD == w:
+                bit = F.lit(1 << (b.number - w * WORD)).cast("long")
+                own = F.when(F.col("_b") == b.number, bit).otherwise(own)
+                barred = barred.bitwiseOR(F.when(_shut_out(df, ts, b, horizon, embargo), bit).otherwise(F.lit(0).cast("long")))
+        tagged = tagged.withColumn(f"_own{w}", own).withColumn(f"_bar{w}", barred)
     combos = [
-        F.struct(F.lit(i).alias("combo"), F.lit(sum(1 << g for g in c)).cast("long").alias("mask"))
+        F.struct(F.lit(i).alias("combo"), *[F.lit(word(c, w)).cast("long").alias(f"m{w}") for w in words])
         for i, c in enumerate(combinations(range(n_groups), n_test))
     ]
     each = tagged.withColumn("_c", F.explode(F.array(*combos)))
-    role = F.when(F.col("_own").bitwiseAND(F.col("_c.mask")) != 0, "test").when(
-        F.col("_bar").bitwiseAND(F.col("_c.mask")) == 0, "train"
-    )
-    out = each.withColumn("role", role).where(F.col("role").isNotNull())
+    tested, shut = F.lit(False), F.lit(False)
+    for w in words:
+        tested = tested | (F.col(f"_own{w}").bitwiseAND(F.col(f"_c.m{w}")) != 0)
+        shut = shut | (F.col(f"_bar{w}").bitwiseAND(F.col(f"_c.m{w}")) != 0)
+    out = each.withColumn("role", F.when(tested, "test").when(~shut, "train")).where(F.col("role").isNotNull())
     return out.select(*df.columns, F.col("_c.combo").alias("combo"), "role")
 
 

@@ -100,13 +100,24 @@ def entry_bar_close(
     return asof_join(bound, px, ["ticker"], "_bound", "date", [out], direction="forward", hot=hot).drop("_bound")
 
 
-def entry_date(events: DataFrame, calendar: Calendar, known_at: str = "known_at", cutoff_hour: int = 16) -> DataFrame:
-    """First session on or after the candidate day; known by 16:00:00 means the same day."""
+def entry_date(
+    events: DataFrame, calendar: Calendar, known_at: str = "known_at", cutoff_hour: int = 16, exhausted: str = "null"
+) -> DataFrame:
+    """First session on or after the candidate day; known by 16:00:00 means the same day.
+
+    Events past the calendar's last session have no entry: ``exhausted='raise'`` stops there, 'null' keeps them.
+    """
+    if exhausted not in ("null", "raise"):
+        raise ValueError("exhausted must be 'null' or 'raise'")
     local = to_eastern(F.col(known_at))
     day = F.to_date(local)
     cutoff = day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(cutoff_hour))
     candidate = events.withColumn("_c", F.when(local <= cutoff, day).otherwise(F.date_add(day, 1)))
-    return next_trading_day(candidate, "_c", calendar, strict=False).drop("_c", "entry_idx")
+    placed = next_trading_day(candidate, "_c", calendar, strict=False).drop("_c", "entry_idx")
+    if exhausted == "null":
+        return placed
+    beyond = F.raise_error(F.concat(F.lit("calendar exhausted: no session on or after "), F.coalesce(F.col(known_at).cast("string"), F.lit("NULL"))))
+    return placed.withColumn("entry_date", F.coalesce("entry_date", beyond.cast("date")))
 
 
 # ---------------------------------------------------------------- universe
@@ -172,9 +183,11 @@ def quantile_bucket(cap: Column, edges: Column, n: int) -> Column:
 def build_events(df: DataFrame, prefix: str = "h11") -> DataFrame:
     """P5: event rows with their id, after the P4 gate on a point-in-time violation."""
     require_columns(df, ("entity_id", "ticker", "period_end", "known_at"))
-    return df.withColumn(
-        "event_id", F.concat_ws("_", F.lit(prefix), F.col("entity_id"), F.date_format("period_end", "yyyyMMdd"))
-    )
+    name = F.concat_ws("_", F.lit(prefix), F.col("entity_id"), F.date_format("period_end", "yyyyMMdd"))
+    early = F.concat(F.lit("known_at_after_period_end: known no later than the period's end: "), name)
+    # raised while the rows are computed, so the check costs no extra pass
+    checked = F.when(known_too_early(F.col("known_at"), F.col("period_end")), F.raise_error(early).cast("string")).otherwise(name)
+    return df.withColumn("event_id", checked)
 
 
 def known_too_early(known_at: Column, period_end: Column) -> Column:

@@ -90,11 +90,12 @@ def run_stage(
 ) -> tuple[DataFrame, StageLog]:
     """Run one stage, stage its output and record what went in and came out.
 
-    The output lands on reliable storage, so a later stage restarts from it
-    and its rows are counted by reading it back. The same holds for ``source``
-    when an earlier stage produced it. A failed hard check raises from here.
+    Input and output land on reliable storage, so nothing upstream is computed
+    again when they are counted, and a later stage restarts from the output.
+    A failed hard check raises from here.
     """
     start = time.monotonic()
+    source = durable(source)
     out = durable(build(source))
     found = list(checks(out))
     finished = datetime.now(timezone.utc).isoformat()

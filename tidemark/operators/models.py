@@ -142,6 +142,7 @@ def fit_stack(
     if task not in ("regression", "classification"):
         raise ValueError("task must be regression or classification")
     model = StackedModel(task, {name: [] for name in learners})
+    folds = durable(folds)  # read by every fit
     numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())
     pieces = []
     for k in numbers:
@@ -162,15 +163,50 @@ def fit_stack(
         meta = (
             LogisticRegression(regParam=1.0 / max(stacked.count(), 1), standardization=False)
             if task == "classification"
-            else LinearRegression(regParam=1e-3, standardization=False)
+            else best_ridge(complete, list(learners), label)
         )
     model.meta = meta.copy({meta.featuresCol: "_stack", meta.labelCol: label}).fit(stacked)
     return model, oof.drop(features)
 
 
-def ridge_grid(alphas: Sequence[float], n: int) -> list[LinearRegression]:
-    """Ridge(alpha) as Spark estimators: regParam = alpha / n without standardisation."""
-    return [LinearRegression(regParam=a / n, elasticNetParam=0.0, standardization=False) for a in alphas]
+ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 25))
+
+
+def leave_one_out_errors(rows: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    """(alpha, error): mean squared error of each ridge penalty when every row is predicted without itself.
+
+    One pass sums the centred cross products, which give the coefficients of every penalty; a second adds up the
+    squares of residual / (1 - leverage), both column expressions.
+    """
+    names = [*features, label]
+    data = rows.select(*[clean(c).alias(f"_{i}") for i, c in enumerate(names)]).dropna()
+    p = len(features)
+    mean = data.agg(F.count("*").alias("n"), *[F.avg(f"_{i}").alias(f"m_{i}") for i in range(p + 1)]).first()
+    n = mean["n"]
+    if not n:
+        raise ValueError("no complete rows")
+    off = [F.col(f"_{i}") - F.lit(mean[f"m_{i}"]) for i in range(p + 1)]
+    sums = data.agg(*[F.sum(off[i] * off[j]).alias(f"q_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]).first()
+    cross = np.array([[sums[f"q_{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)], dtype=float)
+    errors = []
+    for a in alphas:
+        inverse = np.linalg.inv(cross[:p, :p] + a * np.eye(p))
+        beta = inverse @ cross[:p, p]
+        residual, leverage = off[p], F.lit(1.0 / n)
+        for i in range(p):
+            residual = residual - float(beta[i]) * off[i]
+            for j in range(p):
+                leverage = leverage + float(inverse[i, j]) * off[i] * off[j]
+        left_out = residual / (1 - leverage)
+        errors.append(F.struct(F.lit(float(a)).alias("alpha"), F.avg(left_out * left_out).alias("error")))
+    return data.agg(F.array(*errors).alias("_e")).select(F.inline("_e"))
+
+
+def best_ridge(rows: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float] = ALPHAS) -> LinearRegression:
+    """The ridge learner whose penalty has the smallest leave-one-out error; ties to the smaller penalty."""
+    errors = leave_one_out_errors(rows, features, label, alphas).collect()  # one row for each penalty
+    alpha = min((r["error"], r["alpha"]) for r in errors)[1]
+    return LinearRegression(regParam=alpha / max(rows.dropna(subset=[*features, label]).count(), 1), elasticNetParam=0.0, standardization=False)
 
 
 # ---------------------------------------------------------------- meta-labelling
@@ -270,15 +306,18 @@ def _padded(pdf: pd.DataFrame, names: Sequence[str]) -> Iterator[tuple[np.ndarra
 
 
 def fit_regimes(
-    panel: DataFrame, entity: str, date: str, features: Sequence[str], n_regimes: int = 2, iterations: int = 20,
-    ridge: float = 1e-4,
+    panel: DataFrame, entity: str, date: str, features: Sequence[str], n_regimes: int = 2, iterations: int = 200,
+    ridge: float = 1e-4, tolerance: float = 1e-2, covariance: str = "full",
 ) -> Regimes:
     """M6: Gaussian HMM shared by a panel of series, fitted by Baum-Welch on Spark.
 
     Series are gathered once and staged. Each iteration is a map over them,
     vectorised across the series of an Arrow batch, plus a sum of expected
-    counts; the driver sees one parameter-sized row.
+    counts; the driver sees one parameter-sized row. It ends when an iteration raises the log-likelihood by
+    less than ``tolerance``, after ``iterations`` at the latest. ``covariance`` is full or diag.
     """
+    if covariance not in ("full", "diag"):
+        raise ValueError("covariance must be full or diag")
     d, k = len(features), n_regimes
     names = list(features)
     series = durable(regime_series(panel, entity, date, names))
@@ -294,7 +333,10 @@ def fit_regimes(
     np.fill_diagonal(trans, stay)
     params = Regimes(np.full(k, 1.0 / k), trans, mean + steps * np.sqrt(var), np.array([np.diag(var)] * k), -math.inf)
     for _ in range(iterations):
-        params = _baum_welch_step(series, names, params, ridge)
+        before = params.log_likelihood
+        params = _baum_welch_step(series, names, params, ridge, covariance)
+        if params.log_likelihood - before < tolerance:
+            break
     return params.ordered()
 
 
@@ -327,7 +369,7 @@ def _expected_counts(x: np.ndarray, size: np.ndarray, p: Regimes) -> np.ndarray:
     return np.concatenate([post[:, 0].sum(axis=0), moves.ravel(), post.sum(axis=(0, 1)), sums.ravel(), outer.ravel(), [ll]])
 
 
-def _baum_welch_step(series: DataFrame, names: Sequence[str], params: Regimes, ridge: float) -> Regimes:
+def _baum_welch_step(series: DataFrame, names: Sequence[str], params: Regimes, ridge: float, covariance: str) -> Regimes:
     k, d = params.means.shape
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,6 +390,8 @@ def _baum_welch_step(series: DataFrame, names: Sequence[str], params: Regimes, r
     sums, outer = flat[at[3] : at[4]].reshape(k, d), flat[at[4] : at[5]].reshape(k, d, d)
     means = sums / weight[:, None]
     covs = outer / weight[:, None, None] - np.einsum("ki,kj->kij", means, means) + ridge * np.eye(d)
+    if covariance == "diag":
+        covs = covs * np.eye(d)
     leave = moves.sum(axis=1, keepdims=True)
     trans = np.where(leave > 0, moves / np.where(leave > 0, leave, 1.0), params.trans)
     return Regimes(start / start.sum(), trans, means, covs, float(flat[-1]))
@@ -406,7 +450,6 @@ class ChangepointPrior:
     kappa0: float = 1.0
     alpha0: float = 1.0
     beta0: float = 1.0
-    max_run: int = 1000  # run lengths kept; beyond it the longest absorbs the rest
 
 
 _GAMMA_RATIOS: dict[float, np.ndarray] = {}
@@ -424,49 +467,50 @@ def _gamma_ratios(alpha0: float, n: int) -> np.ndarray:
 
 @dataclass
 class RunLengths:
-    """M7 state of one series: weight, mean and beta per run length.
+    """M7 state of several series at once, a row each and a column for every run length up to now.
 
-    The other two parameters of the conjugate prior depend on the run length
-    alone (kappa0 + run, alpha0 + run/2) and are not kept.
+    A run of r values is known by their sum and sum of squares about the prior mean; all parameters of
+    its posterior follow from these and r. Every run length is kept.
     """
 
     weight: np.ndarray
-    mu: np.ndarray
-    beta: np.ndarray
+    total: np.ndarray
+    square: np.ndarray
 
     @staticmethod
-    def fresh(p: ChangepointPrior) -> "RunLengths":
-        return RunLengths(np.ones(1), np.full(1, p.mu0), np.full(1, p.beta0))
-
-    def observe(self, x: float, p: ChangepointPrior) -> int:
-        """Fold in one value and return the most likely run length."""
-        run = np.arange(len(self.weight))
-        kappa, alpha = p.kappa0 + run, p.alpha0 + run / 2
-        gap2 = (x - self.mu) ** 2
-        # Student-t predictive with 2*alpha degrees of freedom
-        spread = 2 * self.beta * (kappa + 1) / kappa
-        log_pdf = _gamma_ratios(p.alpha0, len(run)) - 0.5 * np.log(math.pi * spread) - (alpha + 0.5) * np.log1p(gap2 / spread)
-        joint = self.weight * np.exp(log_pdf)
+    def fresh(n_series: int = 1) -> "RunLengths":
+        return RunLengths(np.ones((n_series, 1)), np.zeros((n_series, 1)), np.zeros((n_series, 1)))
+
+    def observe(self, values: np.ndarray, p: ChangepointPrior) -> np.ndarray:
+        """Fold in one value of each series and return the most likely run lengths."""
+        run = np.arange(self.weight.shape[1])
+        gap = (np.asarray(values, dtype=float) - p.mu0)[:, None]
+        held = p.kappa0 + run
+        centre = self.total / held
+        rate = np.maximum(p.beta0 + 0.5 * (self.square - centre * self.total), p.beta0)
+        spread = 2 * rate * (1 + 1 / held)
+        shape = p.alpha0 + run / 2
+        # Student-t predictive with 2 * shape degrees of freedom
+        fit = _gamma_ratios(p.alpha0, len(run)) - 0.5 * np.log(math.pi * spread) - (shape + 0.5) * np.log1p((gap - centre) ** 2 / spread)
+        top = np.where(self.weight > 0, fit, -np.inf).max(axis=1, keepdims=True)
+        joint = self.weight * np.exp(fit - top)
         hazard = 1.0 / p.hazard_lambda
-        weight = np.concatenate(([joint.sum() * hazard], joint * (1.0 - hazard)))
-        total = weight.sum()
-        if total > 0:
-            weight = weight / total
-        mu = np.concatenate(([p.mu0], (kappa * self.mu + x) / (kappa + 1)))
-        beta = np.concatenate(([p.beta0], self.beta + kappa * gap2 / (2 * (kappa + 1))))
-        if len(weight) > p.max_run + 1:
-            # the longest kept run absorbs the mass of longer ones
-            weight[p.max_run] += weight[p.max_run + 1 :].sum()
-            weight, mu, beta = weight[: p.max_run + 1], mu[: p.max_run + 1], beta[: p.max_run + 1]
-        self.weight, self.mu, self.beta = weight, mu, beta
-        return int(np.argmax(weight))
+        grown = np.hstack([joint.sum(axis=1, keepdims=True) * hazard, joint * (1.0 - hazard)])
+        none = np.zeros_like(gap)
+        self.weight = grown / grown.sum(axis=1, keepdims=True)
+        self.total, self.square = np.hstack([none, self.total + gap]), np.hstack([none, self.square + gap * gap])
+        return self.weight.argmax(axis=1)
+
+    def rest(self, first: int) -> "RunLengths":
+        """The series from ``first`` on."""
+        return RunLengths(self.weight[first:], self.total[first:], self.square[first:])
 
     def pack(self) -> list[float]:
-        return np.concatenate([self.weight, self.mu, self.beta]).tolist()
+        return np.concatenate([self.weight[0], self.total[0], self.square[0]]).tolist()
 
     @staticmethod
     def unpack(flat: Sequence[float]) -> "RunLengths":
-        return RunLengths(*[a.copy() for a in np.asarray(flat, dtype=float).reshape(3, -1)])
+        return RunLengths(*[a[None, :].copy() for a in np.asarray(flat, dtype=float).reshape(3, -1)])
 
 
 def run_lengths(
@@ -474,18 +518,24 @@ def run_lengths(
 ) -> DataFrame:
     """M7: most likely run length after each day, per entity.
 
-    The recursion is sequential by nature, so a series stays in one task; the
-    daily-panel contract bounds it by the calendar.
+    The recursion is sequential in time, so a series is one row; the daily-panel contract bounds it by the
+    calendar. A task steps through time once for all series of a batch.
     """
-    rows = panel.select(entity, date, clean(value).alias("_x")).dropna(subset=["_x"])
-    schema = rows.select(entity, date).schema.add("run_length", IntegerType())
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        state = RunLengths.fresh(prior)
-        lengths = [state.observe(float(x), prior) for x in pdf["_x"]]
-        return pd.DataFrame(
-            {entity: pdf[entity].to_numpy(), date: pdf[date].to_numpy(), "run_length": np.array(lengths, dtype="int32")}
-        )
+    series = regime_series(panel, entity, date, [value])
+    schema = series.select(entity, date).schema.add("_run", ArrayType(IntegerType()))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, size, part in _padded(pdf, [value]):
+                state, found, first = RunLengths.fresh(len(part)), np.zeros(x.shape[:2], dtype="int32"), 0
+                for t in range(x.shape[1]):
+                    ended = int(np.searchsorted(size, t, side="right"))  # series come by length
+                    state, first = state.rest(ended - first), ended
+                    found[first:, t] = state.observe(x[first:, t, 0], prior)
+                out = part[[entity, date]].copy()
+                out["_run"] = [found[e, : size[e]] for e in range(len(part))]
+                yield out
 
-    return rows.groupBy(entity).applyInPandas(walk, schema)
+    days = F.arrays_zip(F.col(date).alias("d"), F.col("_run").alias("r"))
+    walked = series.mapInPandas(walk, schema).select(entity, F.explode(days).alias("_z"))
+    return walked.select(entity, F.col("_z.d").alias(date), F.col("_z.r").alias("run_length"))

@@ -7,6 +7,7 @@ from tidemark.plans import (  # noqa: F401
     queries_models,
     queries_panel,
     queries_pit,
+    queries_readers,
     queries_sources,
     queries_stats,
     queries_text,

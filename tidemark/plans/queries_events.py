@@ -287,7 +287,7 @@ def p5(spark, sf):
 
     o = b.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("ref"), pad_cik(F.col("o_custkey")).alias("entity_id"), F.lit("").alias("ticker"),
-        F.to_date("o_orderdate").alias("period_end"), F.col("o_orderdate").alias("known_at"),
+        F.to_date("o_orderdate").alias("period_end"), F.timestamp_add("DAY", F.lit(40), "o_orderdate").alias("known_at"),
     )
     return es.build_events(o).select("ref", "event_id")
 

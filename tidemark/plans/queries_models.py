@@ -142,7 +142,7 @@ def m5(spark, sf):
 @query("M6_regimes")
 def m6(spark, sf):
     r = b.padded_returns(spark, sf).where(F.col("ret").isNotNull()).select("ticker", "date", "ret", F.abs("ret").alias("vol"))
-    params = md.fit_regimes(r, "ticker", "date", ["ret", "vol"], 2, 5)
+    params = md.fit_regimes(r, "ticker", "date", ["ret", "vol"], 2)
     return md.predict_regimes(r, "ticker", "date", ["ret", "vol"], params)
 
 

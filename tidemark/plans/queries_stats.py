@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidemark.config import EQUITY_ROUND_TRIP_BPS
+from tidemark.functions.distributions import expected_max_z
 from tidemark.operators import bootstrap as bs
 from tidemark.operators import clusters as cl
 from tidemark.operators import cv
@@ -45,9 +46,26 @@ def a2_moments(spark, sf):
     return m.select("ticker", "n_obs", rnd("mean", 8), rnd("sd", 8), rnd("skew", 5), rnd("kurtosis", 5))
 
 
-@query("A2_deflated_sharpe")
+@query(
+    "A2_deflated_sharpe",
+    f"""WITH {q.RET}, m AS (SELECT *, avg(ret) OVER (PARTITION BY ticker) AS mu FROM ret WHERE ret IS NOT NULL),
+    g AS (SELECT ticker, count(*) AS n_obs, avg(ret) AS mean, stddev_samp(ret) AS sd, avg(power(ret - mu, 3)) / nullif(power(avg(power(ret - mu, 2)), 1.5), 0) AS skew,
+      avg(power(ret - mu, 4)) / nullif(power(avg(power(ret - mu, 2)), 2), 0) AS kurtosis FROM m GROUP BY 1),
+    r AS (SELECT *, CASE WHEN sd > 0 THEN mean / sd ELSE 0 END AS sr FROM g),
+    v AS (SELECT *, sqrt(greatest((1 - coalesce(skew, 0) * sr + (coalesce(kurtosis, 0) - 1) / 4 * sr * sr) / greatest(n_obs - 1, 1), 1e-12)) AS sigma FROM r),
+    z AS (SELECT *, (sr - sigma * {expected_max_z(75)!r}) / sigma AS z FROM v),
+    u AS (SELECT ret.ticker FROM ret GROUP BY 1)
+    SELECT u.ticker, coalesce(n_obs, 0) AS n_obs, 75 AS n_trials, round(CASE WHEN n_obs >= 3 THEN sr * sqrt(252) ELSE 0 END, 5) + 0 AS sr_annualized,
+      round(CASE WHEN n_obs >= 3 THEN {q.normal_cdf("z")} ELSE 0 END, 6) + 0 AS dsr_probability,
+      round(CASE WHEN n_obs >= 3 THEN sigma * {expected_max_z(75)!r} ELSE 0 END, 6) AS expected_max_sr,
+      round(CASE WHEN n_obs >= 3 THEN skew END, 5) + 0 AS skew, round(CASE WHEN n_obs >= 3 THEN kurtosis END, 5) AS kurtosis
+    FROM u LEFT JOIN z USING (ticker)""",
+)
 def a2(spark, sf):
-    return ev.deflated_sharpe(_ret(spark, sf), "ret", 75, ["ticker"])
+    out = ev.deflated_sharpe(_ret(spark, sf), "ret", 75, ["ticker"])
+    return out.select(
+        "ticker", "n_obs", "n_trials", rnd("sr_annualized", 5), rnd("dsr_probability"), rnd("expected_max_sr"), rnd("skew", 5), rnd("kurtosis", 5)
+    )
 
 
 @query(
@@ -73,10 +91,17 @@ def a4(spark, sf):
     return ic.select("feature", "horizon", "n", rnd("ic"), rnd("t", 5))
 
 
-@query("A4_ic_p_values")
+@query(
+    "A4_ic_p_values",
+    f"""WITH {q.PANEL}, g AS (SELECT feature, horizon, count(*) AS n, corr(x, y) AS ic FROM longp WHERE {_PAIRS} GROUP BY 1, 2),
+    s AS (SELECT *, ic * sqrt((n - 2) / (1 - ic * ic)) AS t, n - 2 AS dof FROM g WHERE n >= 100),
+    w AS (SELECT *, {q.t_tail("t", "dof")} AS p FROM s)
+    SELECT feature, horizon, n, round(ic, 6) + 0 AS ic, round(t, 5) + 0 AS t, round(p, 6) AS p, round(CASE WHEN ic > 0 THEN p / 2 ELSE 1 - p / 2 END, 6) AS one_sided_p FROM w""",
+)
 def a4_p(spark, sf):
     ic = ev.information_coefficient(b.long_panel(spark, sf), "x", "y", ["feature", "horizon"], 100)
-    return ic.withColumn("one_sided_p", ev.one_sided_p(F.col("ic"), F.col("p")))
+    one = rnd(ev.one_sided_p(F.col("ic"), F.col("p")), 6, "one_sided_p")
+    return ic.select("feature", "horizon", "n", rnd("ic"), rnd("t", 5), rnd("p"), one)
 
 
 @query(
@@ -137,9 +162,15 @@ def a7(spark, sf):
     return out.select("ticker", "n", rnd("mean", 8), rnd("sd", 8), rnd("t", 5))
 
 
-@query("A7_t_test_p")
+@query(
+    "A7_t_test_p",
+    f"""WITH {q.RET}, g AS (SELECT ticker, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd FROM ret GROUP BY 1),
+    s AS (SELECT *, CASE WHEN sd > 0 THEN mean / (sd / sqrt(n)) END AS t, n - 1 AS dof FROM g)
+    SELECT ticker, n, round(mean, 8) + 0 AS mean, round(sd, 8) AS sd, round(t, 5) + 0 AS t, round(CASE WHEN t IS NOT NULL THEN {q.t_tail("t", "dof")} END, 6) AS p FROM s""",
+)
 def a7_p(spark, sf):
-    return ev.one_sample_t(_ret(spark, sf), "ret", ["ticker"])
+    out = ev.one_sample_t(_ret(spark, sf), "ret", ["ticker"])
+    return out.select("ticker", "n", rnd("mean", 8), rnd("sd", 8), rnd("t", 5), rnd("p"))
 
 
 @query(
@@ -155,9 +186,18 @@ def a8(spark, sf):
     return out.select("l_suppkey", "n1", "n2", rnd("t", 5), rnd("dof", 4))
 
 
-@query("A8_welch_p")
+@query(
+    "A8_welch_p",
+    f"""WITH m AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS n1, avg(l_discount) FILTER (l_returnflag = 'A') AS m1,
+        var_samp(l_discount) FILTER (l_returnflag = 'A') AS v1, count(*) FILTER (l_returnflag <> 'A') AS n2,
+        avg(l_discount) FILTER (l_returnflag <> 'A') AS m2, var_samp(l_discount) FILTER (l_returnflag <> 'A') AS v2 FROM lineitem GROUP BY 1),
+    s AS (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+      power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS dof FROM m)
+    SELECT l_suppkey, n1, n2, round(t, 5) + 0 AS t, round(dof, 4) AS dof, round(CASE WHEN t IS NOT NULL THEN {q.t_tail("t", "dof")} END, 6) AS p FROM s""",
+)
 def a8_p(spark, sf):
-    return ev.welch_t(b.table(spark, sf, "lineitem"), "l_discount", F.col("l_returnflag") == "A", ["l_suppkey"])
+    out = ev.welch_t(b.table(spark, sf, "lineitem"), "l_discount", F.col("l_returnflag") == "A", ["l_suppkey"])
+    return out.select("l_suppkey", "n1", "n2", rnd("t", 5), rnd("dof", 4), rnd("p"))
 
 
 _FORWARD = f"""{q.CAL}, ev AS (
@@ -386,9 +426,21 @@ def a29_sums(spark, sf):
     return s.select(text("block"), "n", rnd("sx"), rnd("sy"), rnd("sxx", 5), rnd("syy"), rnd("sxy"))
 
 
-@query("A29_block_bootstrap")
+def _boot(out):
+    return out.select("ic", "n_obs", "n_blocks", "ci_low", "ci_high", "se", "p", "naive_se", "se_inflation").select(
+        rnd("ic"), "n_obs", "n_blocks", rnd("ci_low"), rnd("ci_high"), rnd("se"), rnd("p", 4), rnd("naive_se"), rnd("se_inflation", 5)
+    )
+
+
+_BOTH = "chg IS NOT NULL AND fwd_5 IS NOT NULL"
+
+
+@query(
+    "A29_block_bootstrap",
+    f"""WITH {q.PANEL}, {q.bootstrap(f"SELECT release_date AS block, chg AS x, fwd_5 AS y FROM panel WHERE {_BOTH}")} {q.BOOT}""",
+)
 def a29(spark, sf):
-    return bs.block_bootstrap_ic(b.staged_panel(spark, sf), "release_date", "chg", "fwd_5", 2_000)
+    return _boot(bs.block_bootstrap_ic(b.staged_panel(spark, sf), "release_date", "chg", "fwd_5"))
 
 
 @query(
@@ -492,13 +544,16 @@ def c3_rolling(spark, sf):
     return cv.fold_sizes(cv.walk_forward(e, "ts", 10 * DAY, 4 * DAY, 3 * DAY, False, DAY))
 
 
-@query(
-    "A27_walk_forward_ic",
-    f"""WITH {q.PANEL}, c AS (SELECT * FROM panel WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL),
+_FOLD_ROLES = f"""WITH {q.PANEL}, c AS (SELECT * FROM panel WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL),
     s AS (SELECT *, ntile(5) OVER (ORDER BY entry_date, release_date, district) - 1 AS blk FROM c),
     f AS (SELECT blk AS fold, min(entry_date) AS a, max(entry_date) AS z FROM s GROUP BY 1),
     r AS (SELECT fold, s.*, CASE WHEN blk = fold THEN 'test' WHEN NOT ((entry_date <= z AND entry_date + 4 >= a)
-        OR (entry_date > z AND entry_date <= z + 1)) THEN 'train' END AS role FROM s, f)
+        OR (entry_date > z AND entry_date <= z + 1)) THEN 'train' END AS role FROM s, f)"""
+
+
+@query(
+    "A27_walk_forward_ic",
+    f"""{_FOLD_ROLES}
     SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test,
       CAST(min(entry_date) FILTER (role = 'test') AS VARCHAR) AS test_start, CAST(max(entry_date) FILTER (role = 'test') AS VARCHAR) AS test_end,
       round(corr(chg, fwd_5) FILTER (role = 'test'), 6) + 0 AS ic FROM r GROUP BY 1 HAVING count(*) FILTER (role = 'test') >= 30""",
@@ -511,18 +566,32 @@ def a27(spark, sf):
     return out.select("fold", "n_train", "n_test", text("test_start"), text("test_end"), rnd("ic"))
 
 
-@query("A27_walk_forward_p")
+@query(
+    "A27_walk_forward_p",
+    f"""{_FOLD_ROLES},
+    g AS (SELECT CAST(fold AS INTEGER) AS fold, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test,
+      corr(chg, fwd_5) FILTER (role = 'test') AS ic FROM r GROUP BY 1 HAVING count(*) FILTER (role = 'test') >= 30),
+    w AS (SELECT *, ic * sqrt((n_test - 2) / (1 - ic * ic)) AS t, n_test - 2 AS dof FROM g)
+    SELECT fold, n_train, n_test, round(ic, 6) + 0 AS ic, round(t, 5) + 0 AS t, round({q.t_tail("t", "dof")}, 6) AS p FROM w""",
+)
 def a27_p(spark, sf):
     p = b.staged_panel(spark, sf).select("entry_date", "release_date", "district", "chg", "fwd_5")
-    return ev.walk_forward_ic(p, "chg", "fwd_5", "entry_date", ["release_date", "district"], 5, 4 * DAY, DAY)
+    out = ev.walk_forward_ic(p, "chg", "fwd_5", "entry_date", ["release_date", "district"], 5, 4 * DAY, DAY)
+    return out.select("fold", "n_train", "n_test", rnd("ic"), rnd("t", 5), rnd("p"))
 
 
 # ---------------------------------------------------------------- specified extras
 
 
-@query("X5_rank_ic_bootstrap")
+@query(
+    "X5_rank_ic_bootstrap",
+    f"""WITH {q.PANEL}, c AS (SELECT date_trunc('week', release_date) AS block, chg, fwd_5 FROM panel WHERE {_BOTH}),
+    rk AS (SELECT block, rank() OVER (ORDER BY chg) + (count(*) OVER (PARTITION BY chg) - 1) / 2.0 AS x,
+      rank() OVER (ORDER BY fwd_5) + (count(*) OVER (PARTITION BY fwd_5) - 1) / 2.0 AS y FROM c),
+    {q.bootstrap("SELECT block, x, y FROM rk")} {q.BOOT}""",
+)
 def x5(spark, sf):
-    return cl.rank_ic_bootstrap(b.staged_panel(spark, sf), "chg", "fwd_5", "release_date", 1_000)
+    return _boot(cl.rank_ic_bootstrap(b.staged_panel(spark, sf), "chg", "fwd_5", "release_date"))
 
 
 @query(

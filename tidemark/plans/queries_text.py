@@ -216,11 +216,11 @@ def f10(spark, sf):
 
 _SCORED = """s AS (SELECT strftime(CAST(ts AS DATE), '%Y%m%d') AS release_stem, CAST(ts AS DATE) AS release_date, c_nationkey AS unit, any_value(event_type) AS e,
   count(*) AS word_count, avg(value) AS polarity, CASE WHEN c_nationkey < 10 THEN 'split' ELSE 'legacy' END AS layout
-  FROM events JOIN customer ON c_custkey = user_id WHERE value > 5 GROUP BY 1, 2, 3)"""
+  FROM events JOIN customer ON c_custkey = user_id GROUP BY 1, 2, 3)"""
 
 
 def _scored(spark, sf):
-    e = b.table(spark, sf, "events").where(F.col("value") > 5).join(
+    e = b.table(spark, sf, "events").join(
         b.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("unit")), "user_id"
     )
     out = e.groupBy(F.date_format("ts", "yyyyMMdd").alias("release_stem"), F.to_date("ts").alias("release_date"), "unit").agg(

@@ -179,3 +179,42 @@ DEPOSITS = """deposits AS (
   FROM bystate s JOIN supplier ON s_suppkey = s.ticker
   JOIN (SELECT ticker, year, count(DISTINCT cert) AS n_certs FROM deposits GROUP BY ALL) c ON c.ticker = s.ticker AND c.year = s.year
   GROUP BY s.ticker, s.year, s_nationkey)"""
+
+
+STEPS = 4_000  # intervals of a numerical integral, even
+_SIMPSON = f"CASE WHEN k = 0 OR k = {STEPS} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+
+
+def _integral(f: str, lo: str, hi: str) -> str:
+    """Simpson's rule for an expression of u."""
+    at = f.replace("[u]", f"({lo} + k * ({hi} - {lo}) / {STEPS})")
+    return f"((SELECT sum({_SIMPSON} * {at}) FROM range({STEPS} + 1) tt(k)) * ({hi} - {lo}) / {STEPS} / 3)"
+
+
+def t_tail(t: str, dof: str) -> str:
+    """Two-sided Student-t tail: the share of the integral of cos^(dof - 1) beyond atan(t / sqrt(dof))."""
+    density = f"exp(({dof} - 1) * ln(greatest(cos([u]), 1e-300)))"
+    return f"({_integral(density, f'atan(abs({t}) / sqrt({dof}))', '(pi() / 2)')} / {_integral(density, '0', '(pi() / 2)')})"
+
+
+def normal_cdf(z: str) -> str:
+    """Standard normal distribution function, integrated from 0 to z; beyond 9 it is 0 or 1."""
+    return f"(0.5 + {_integral('exp(-0.5 * power([u], 2))', '0', f'greatest(-9.0, least(9.0, {z}))')} / sqrt(2 * pi()))"
+
+
+def bootstrap(pairs: str, draws: int = 10_000, seed: int = 20260731) -> str:
+    """CTEs from ``pairs`` (block, x, y) to the one-row table ``boot`` of the block bootstrap."""
+    ic = "(sum(n) * sum(sxy) - sum(sx) * sum(sy)) / sqrt(sum(n) * sum(sxx) - sum(sx) * sum(sx)) / sqrt(sum(n) * sum(syy) - sum(sy) * sum(sy))"
+    return f"""bsum AS (SELECT row_number() OVER (ORDER BY block) - 1 AS slot, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy,
+      sum(x * y) AS sxy FROM ({pairs}) GROUP BY block),
+    kk AS (SELECT count(*) AS k FROM bsum),
+    drawn AS (SELECT id // k AS b, CAST('0x' || left(md5('{seed}:' || id), 8) AS BIGINT) % k AS slot FROM (SELECT unnest(range({draws} * k)) AS id, k FROM kk)),
+    dd AS (SELECT b, {ic} AS draw FROM drawn JOIN bsum USING (slot) GROUP BY 1),
+    obs AS (SELECT {ic} AS ic, sum(n) AS n_obs, count(*) AS n_blocks FROM bsum),
+    mid AS (SELECT avg(draw) AS mean FROM dd),
+    boot AS (SELECT any_value(ic) AS ic, CAST(any_value(n_obs) AS BIGINT) AS n_obs, any_value(n_blocks) AS n_blocks, quantile_cont(draw, 0.025) AS ci_low,
+      quantile_cont(draw, 0.975) AS ci_high, stddev_pop(draw) AS se, avg(CASE WHEN abs(draw - mean) >= abs(ic) THEN 1.0 ELSE 0.0 END) AS p FROM dd, mid, obs)"""
+
+
+BOOT = """SELECT round(ic, 6) + 0 AS ic, n_obs, n_blocks, round(ci_low, 6) + 0 AS ci_low, round(ci_high, 6) + 0 AS ci_high, round(se, 6) AS se,
+      round(p, 4) AS p, round(sqrt((1 - ic * ic) / (n_obs - 2)), 6) AS naive_se, round(se / sqrt((1 - ic * ic) / (n_obs - 2)), 5) AS se_inflation FROM boot"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -38,24 +39,61 @@ SUBMISSION_SCHEMA = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """Delimited text under an explicit schema; column order is taken from the header."""
-    raw = spark.read.option("header", True).option("sep", sep).csv(path)
-    fields = T._parse_datatype_string(schema).fields
+def typed(raw: DataFrame, schema: str) -> DataFrame:
+    """Text columns under an explicit schema by name; absent columns are NULL, malformed values too."""
     present = set(raw.columns)
     return raw.select(
         *[
             (F.col(f"`{f.name}`") if f.name in present else F.lit(None)).try_cast(f.dataType).alias(f.name)
-            for f in fields
+            for f in T._parse_datatype_string(schema).fields
         ]
     )
 
 
+def malformed(raw: DataFrame, schema: str) -> DataFrame:
+    """(column, n): values that are there as text but do not fit the column's type; feed it to a gate."""
+    fields = [f for f in T._parse_datatype_string(schema).fields if f.name in raw.columns]
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()).alias(f.name) for f in fields]
+    counts = raw.agg(*bad)
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("n")) for f in fields])))
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """Delimited files as text columns, each file by its own header.
+
+    Files are grouped by their header line, which is read from the first line of each file; every group is
+    parsed under its own names and the groups are united by name. There are as many groups as layouts.
+    """
+    first = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
+    heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    layouts = heads.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    parts = [spark.read.option("header", True).option("sep", sep).csv(r["files"]) for r in sorted(layouts, key=lambda r: r["header"])]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """Delimited text under an explicit schema; names and column order are taken from each file's header."""
+    return typed(read_delimited(spark, path, sep), schema)
+
+
+def parse_delimited(lines: DataFrame, header: str, line: str, schema: str, sep: str = "\t") -> DataFrame:
+    """S2 on landed lines: each row carries its file's header, and is read by the names in it.
+
+    Works for any number of layouts in one pass; a line shorter than its header leaves the rest NULL.
+    """
+    names, values = F.split(F.col(header), re.escape(sep)), F.split(F.col(line), re.escape(sep), -1)
+    cells = F.map_from_arrays(names, F.transform(names, lambda _, i: F.nullif(F.get(values, i), F.lit(""))))
+    wanted = [f.name for f in T._parse_datatype_string(schema).fields]
+    return typed(lines.select(cells.alias("_c")).select(*[F.col("_c")[n].alias(n) for n in wanted]), schema)
+
+
 def read_filing_sets(spark: SparkSession, path: str, table: str) -> DataFrame:
     """``sub.txt`` or ``num.txt`` of all landed quarters (``<path>/<quarter>/<table>.txt``)."""
     schema = {"sub": SUB_SCHEMA, "num": NUM_SCHEMA}[table]
-    df = read_csv(spark, f"{path}/*/{table}.txt", schema, sep="\t")
-    return df
+    return read_csv(spark, f"{path}/*/{table}.txt", schema, sep="\t")
 
 
 def read_filing_zips(spark: SparkSession, path: str, table: str, chunk_rows: int = 200_000) -> DataFrame:
