@@ -49,10 +49,7 @@ def test_query_against_brute_force(spark, small_sf):
 
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = sorted(map(tuple, QUERIES["op1_jaccard_join"](spark, sf).collect()), key=str)
-    want = brute(rows)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert sum(g[2] for g in got) >= 0.99 * sum(w[2] for w in want) and all(g[2] <= w[2] for g, w in zip(got, want))
+    assert sorted(map(tuple, QUERIES["op1_jaccard_join"](spark, sf).collect()), key=str) == brute(rows)
 
 
 def varied(rng, base, edits):
@@ -79,8 +76,8 @@ def test_dense_groups_and_shared_passages(spark, monkeypatch):
     monkeypatch.setattr(jj, "SMALL", 40)
     rows = list(enumerate(make()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in jj.joined(df).collect()}
-    assert got == {i: c for i, c, _ in brute(rows)}
+    got = sorted([(r.doc_id, r.class_id, r.n_links) for r in jj.joined(df).collect()], key=str)
+    assert got == brute(rows)
 
 
 def test_blocks_pairs_when_representatives_stay(spark, monkeypatch):

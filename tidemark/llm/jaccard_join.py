@@ -30,7 +30,8 @@ THRESHOLD = 0.8
 TARGET = 0.999  # probability with which a pair at the threshold is found
 COORDINATES = 128
 SMALL = 128  # sets compared by brute force in one bucket
-ALL_PAIRS = 32  # sets up to which every pair that may reach the threshold is checked
+BLOCK = 64  # sets of a class counted against another block's at once
+COLUMNS = 20_000  # distinct shingles looked at together when links are counted
 DEPTH = 4  # levels of splitting before a bucket counts as dense
 BYTES = 5  # of a shingle's hash, kept for the exact check
 MAX_WORDS = 300_000  # remembered word hashes in one Python worker
@@ -106,24 +107,15 @@ def with_sets(docs: DataFrame, text: str, runs: int) -> DataFrame:
     return small_batches(docs.select("doc_id", "row", text)).mapInArrow(rows, "doc_id long, row long, set_id binary, keys array<long>, sketch binary")
 
 
-def compare(sketches: np.ndarray, threshold: float, leaders: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of a bucket's rows to be checked and, if asked for, a representative of every group of close rows.
+def compare(sketches: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of a bucket's rows to be checked, and a representative of every group of close rows.
 
     A pair may reach the threshold if its estimate, corrected for values that agree by chance, is less than
-    3.4 standard errors below. Of up to ALL_PAIRS rows each such pair is returned; of more rows a spanning
-    forest of the pairs well above the threshold, and all doubtful pairs between different trees.
+    3.4 standard errors below. Returned are a spanning forest of the pairs well above the threshold, and
+    all doubtful pairs between different trees: enough to connect whatever belongs together.
     """
     n = len(sketches)
     spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    a, b, estimates = [], [], []
-    for k in range(n - 1):
-        estimate = ((sketches[k + 1 :] == sketches[k]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        near = np.flatnonzero(estimate >= threshold - 3.4 * spread)
-        a += [k] * len(near)
-        b += (near + k + 1).tolist()
-        estimates += estimate[near].tolist()
-    if n <= ALL_PAIRS and not leaders:
-        return list(zip(a, b)), []
     root = list(range(n))
 
     def find(k: int) -> int:
@@ -133,47 +125,43 @@ def compare(sketches: np.ndarray, threshold: float, leaders: bool = False) -> tu
         return k
 
     pairs, doubtful = [], []
-    for i, j, e in zip(a, b, estimates):
-        if e >= threshold + 1.7 * spread:
-            x, y = find(i), find(j)
-            if x != y:
+    for i in range(n - 1):
+        estimate = ((sketches[i + 1 :] == sketches[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+        for k in np.flatnonzero(estimate >= threshold - 3.4 * spread).tolist():
+            j = i + 1 + k
+            if estimate[k] < threshold + 1.7 * spread:
+                doubtful.append((i, j))
+            elif (x := find(i)) != (y := find(j)):
                 root[max(x, y)] = min(x, y)
                 pairs.append((i, j))
-        else:
-            doubtful.append((i, j))
-    pairs = list(zip(a, b)) if n <= ALL_PAIRS else pairs + [(i, j) for i, j in doubtful if find(i) != find(j)]
-    return pairs, [k for k in range(n) if find(k) == k] if leaders else []
+    pairs += [(i, j) for i, j in doubtful if find(i) != find(j)]
+    return pairs, [k for k in range(n) if find(k) == k]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[bytes], np.ndarray]]:
-    """(key, dense, set ids, sketches) of each block, from batches sorted by block; a block may span batches."""
-    held: list[pa.RecordBatch] = []
-
-    def blocks(batch: pa.RecordBatch, from_row: int, to_row: int) -> Iterator[tuple[int, bool, list[bytes], np.ndarray]]:
-        if to_row - from_row < 2:
-            return
-        part = batch.slice(from_row, to_row - from_row)
-        found = {i: s for i, s in zip(part.column("set_id").to_pylist(), part.column("sketch").to_pylist())}
-        ids = sorted(found)
-        sketches = np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(len(ids), COORDINATES)
-        yield part.column("key")[0].as_py(), part.column("dense")[0].as_py(), ids, sketches
-
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
+    """The groups of batches sorted by a number, each as one batch; a group may span batches."""
+    held = None
     for batch in batches:
-        held.append(batch)
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
-        if not whole:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
             continue
-        batch = whole[0]
-        block = batch.column("block").to_numpy()
-        edges = np.flatnonzero(np.diff(block)) + 1
-        starts = [0, *edges.tolist()]
+        starts = [0, *(np.flatnonzero(np.diff(batch.column(by).to_numpy())) + 1).tolist()]
         for x, y in zip(starts, starts[1:]):
-            yield from blocks(batch, x, y)
-        held = [batch.slice(starts[-1])]
-    if held:
-        batch = pa.Table.from_batches(held).combine_chunks().to_batches()
-        if batch:
-            yield from blocks(batch[0], 0, batch[0].num_rows)
+            yield batch.slice(x, y - x)
+        held = batch.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[bytes], np.ndarray]]:
+    """(key, dense, set ids, sketches) of each block of at least two sets."""
+    for part in whole_groups(batches, "block"):
+        if part.num_rows > 1:
+            found = dict(zip(part.column("set_id").to_pylist(), part.column("sketch").to_pylist()))
+            ids = sorted(found)
+            sketches = np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(len(ids), COORDINATES)
+            yield part.column("key")[0].as_py(), part.column("dense")[0].as_py(), ids, sketches
 
 
 def _brute_force(buckets: DataFrame, threshold: float) -> DataFrame:
@@ -182,8 +170,8 @@ def _brute_force(buckets: DataFrame, threshold: float) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for key, dense, ids, sketches in _blocks(batches):
-            pairs, leaders = compare(sketches, threshold, dense)
-            out += [(key, ids[i], ids[j]) for i, j in pairs] + [(key, ids[k], None) for k in leaders]
+            pairs, leaders = compare(sketches, threshold)
+            out += [(key, ids[i], ids[j]) for i, j in pairs] + [(key, ids[k], None) for k in leaders if dense]
             if len(out) >= 20_000:
                 yield _pairs(out)
                 out = []
@@ -272,35 +260,38 @@ def _distinct(found: list[DataFrame]) -> DataFrame:
     return out.where("b IS NOT NULL").select("a", "b").distinct()
 
 
-def checked(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, text: str, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold, with the similarity.
+def full_sets(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, text: str) -> DataFrame:
+    """(s, shingles): the sorted hashes, BYTES each, of every set that a pair names, staged.
 
     ``representatives`` names one row of each set; only their texts are read again and cut into shingles.
-    Sets meet their pairs one side after the other.
     """
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = representatives.join(needed, "set_id", "leftsemi").select(F.col("row").alias("of"), F.col("set_id").alias("s"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.sort(shingles(t) >> np.uint64(64 - 8 * BYTES)) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(shingles(t) >> np.uint64(64 - 8 * BYTES)) for t in batch.column(1).to_pylist()]
             data = [x.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes() for x in sets]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["s", "shingles"])
 
     texts = docs.select("row", text).join(wanted, F.col("row") == F.col("of")).select("s", text)
-    once = small_batches(texts).mapInArrow(cut, "s binary, shingles binary").groupBy("s").agg(F.min("shingles").alias("shingles"))
-    sets = staged(once, "join-sets")
+    return staged(small_batches(texts).mapInArrow(cut, "s binary, shingles binary").groupBy("s").agg(F.min("shingles").alias("shingles")), "join-sets")
 
-    def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def wide(data: bytes) -> np.ndarray:
-            out = np.zeros((len(data) // BYTES, 8), np.uint8)
-            out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
-            return out.view(np.uint64).ravel()
 
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose full sets reach the threshold. Sets meet their pairs one side after the other."""
+
+    def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                shared = len(np.intersect1d(wide(x), wide(y), assume_unique=True))
+                shared = len(np.intersect1d(_wide(x), _wide(y), assume_unique=True))
                 out.append(shared / (len(x) // BYTES + len(y) // BYTES - shared))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
@@ -309,6 +300,53 @@ def checked(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, text:
     return staged(both.mapInArrow(similarity, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold), "join-links")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values every two sets share, from 0/1 matrices over a bounded number of values at a time."""
+    sizes = [len(x) for x in sets]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    top = int(place[-1]) + 1 if len(place) else 0
+    for at in range(0, top, COLUMNS):
+        x, y = np.searchsorted(place, [at, at + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, top - at)), np.float32)
+        held[row[x:y], place[x:y] - at] = 1
+        out += held @ held.T
+    return out
+
+
+def link_counts(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(set_id, n_links): for every set of a class, (root, set_id), the other sets that reach the threshold with it.
+
+    Links lie within classes. A class is dealt into blocks of about BLOCK sets and every two blocks meet once,
+    so all its pairs are counted, but a row is given for a set and a meeting only, never for a pair.
+    """
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("set_id"), blocks)
+    met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), (own <= o).alias("first"), (own >= o).alias("second")))
+    spread = members.join(sizes, "root").select("root", "set_id", F.explode(met).alias("m"))
+    spread = spread.select(F.xxhash64("root", "m.x", "m.y").alias("block"), "set_id", "m.first", "m.second")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "block"):
+            ids = part.column("set_id").to_pylist()
+            held = [_wide(x) for x in part.column("shingles").to_pylist()]
+            first, second = (part.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
+            sizes = np.array([len(x) for x in held], np.float64)
+            shared = shared_counts(held)
+            linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+            same = first & second  # a block that meets itself
+            linked &= ~np.eye(len(ids), dtype=bool) & ((same[:, None] & same[None, :]) | (first[:, None] != first[None, :]))
+            yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(linked.sum(axis=1), pa.int64())], names=["set_id", "n"])
+
+    with_shingles = spread.join(sets, F.col("set_id") == F.col("s")).select("block", "first", "second", "set_id", "shingles")
+    counted = with_shingles.repartition("block").sortWithinPartitions("block").mapInArrow(count, "set_id binary, n long")
+    return counted.groupBy("set_id").agg(F.sum("n").alias("n_links"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(set_id, root): the smallest set id that is reached over links (a, b).
 
@@ -339,8 +377,7 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
 
     Rows belong to one class if they are connected by sets of a similarity of at least ``threshold``;
     class_id is the smallest doc_id in the class (null ids count last). n_links is the number of other sets
-    that the row's set was found and checked to link to: all of them where a bucket holds at most
-    ALL_PAIRS sets, at least a spanning forest in larger ones. Rows whose text is null, empty or without a
+    that reach the threshold with the row's own, counted on the full sets of its class. Rows whose text is null, empty or without a
     word are a class each, without links. Repeated rows and copies share class and links. An empty
     table gives no row. Other columns are not read.
     """
@@ -351,9 +388,11 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     sets = some.select("set_id", "row", "keys", "sketch").join(members.select("set_id", "row"), ["set_id", "row"])
     sets = staged(sets.dropDuplicates(["set_id"]).drop("row"), "join-distinct")
     pairs = staged(candidates(sets, threshold), "join-pairs")
-    links = checked(pairs, own, members.select("set_id", "row"), "text", threshold)
-    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = members.join(components(links), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    full = full_sets(pairs, own, members.select("set_id", "row"), "text")
+    root = staged(components(checked(pairs, full, threshold)), "join-roots")
+    linked = root.unionByName(root.select(F.col("root").alias("set_id"), "root").distinct())
+    degree = link_counts(linked, full, threshold)
+    placed = members.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     of_set = placed.join(classes, "root").join(degree, "set_id", "left").select(F.col("set_id").alias("s"), "root", "class_id", "n_links")
     out = rows.select("doc_id", "row", "set_id").join(staged(of_set, "join-classes"), F.col("set_id") == F.col("s"), "left")

@@ -89,7 +89,7 @@ def op7_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
