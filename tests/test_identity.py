@@ -128,3 +128,22 @@ def test_assignment_compare(spark):
     out = idn.compare_assignment(hand, official, "ticker", "district")
     assert {r["ticker"]: r["changed"] for r in out.collect()} == {"a": False, "b": True, "c": None}
     assert sorted(r["district"] for r in idn.emptied_groups(out, "district").collect()) == ["Atlanta", "Dallas"]
+
+
+def test_a_probe_far_ahead_costs_nothing(spark):
+    """An open interval is copied to the months that were asked for only."""
+    from tidemark.operators import identity
+
+    history = spark.createDataFrame([("1", "T", "1990-01-01", None, "One")], "cik string, ticker string, valid_from string, valid_to string, company_name string")
+    probes = spark.createDataFrame([("T", "2020-05-05"), ("T", "9999-12-31")], "ticker string, as_of string")
+    got = {str(r["as_of"]): r["status"] for r in identity.resolve_cik(probes, history).collect()}
+    assert got == {"2020-05-05": "ok", "9999-12-31": "ok"}
+
+
+def test_a_calendar_with_a_stray_day_is_refused(spark):
+    import pytest
+
+    from tidemark.operators.panel import trading_calendar
+
+    with pytest.raises(ValueError, match="spans more than"):
+        trading_calendar(spark.createDataFrame([("1900-01-01",), ("9999-12-31",)], "date string"))

@@ -81,3 +81,21 @@ def test_plain_sinks(spark, tmp_path, revenue):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "prices")).collect()) == [
         ("A", "2020-01-02", 3.0), ("B", "2020-01-01", 2.0),
     ]
+
+
+def test_panel_at_a_table_of_times(spark):
+    """As many times as one likes, equal to the panel at listed times."""
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import pit
+
+    start = datetime(2020, 1, 1)
+    data = [(e, f, start + timedelta(hours=37 * i), float(i)) for e in ("A", "B") for f in ("x", "y") for i in range(12)]
+    df = spark.createDataFrame(data, "entity_id string, feature_name string, known_at timestamp, value double")
+    listed = [start + timedelta(days=d) for d in (-1, 0, 3, 9, 400)]
+    times = spark.createDataFrame([(t,) for t in [*listed, listed[1]]], "query_time timestamp")
+    names = ["entity_id", "feature_name", "query_time", "known_at", "value"]
+    assert pit.panel_at(df, times).select(names).exceptAll(pit.panel_as_of(df, listed).select(names)).count() == 0
+    assert pit.panel_at(df, times).count() == pit.panel_as_of(df, listed).count() == 16
+    many = spark.range(5000).selectExpr("timestampadd(HOUR, id, timestamp'2020-01-01') AS query_time")
+    assert pit.panel_at(df, many).count() == 4 * 5000

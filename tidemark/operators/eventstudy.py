@@ -338,6 +338,29 @@ def standardized_surprise(
 # ---------------------------------------------------------------- market-cap candidates
 
 
+def printed_figures(requests: DataFrame, prices: DataFrame, window: int = 20, known_at: str = "known_at") -> DataFrame:
+    """J4, J5 and W12 at once: last_close, entry_close and adv_20d of each request.
+
+    Every bar is given its successor's close and the volume figure before it, in one window over the
+    ticker's daily bars. Then one as-of lookup of the distinct (ticker, last printed day) answers all three:
+    the entry bar is the successor, or the ticker's first bar where nothing had printed.
+    """
+    own = Window.partitionBy("ticker").orderBy("date")
+    bars = trailing_median_dollar_volume(prices, window, "_adv").select(
+        "ticker", "date", "close", F.lead("close").over(own).alias("_next"), F.col("_adv"), F.lag("_adv").over(own).alias("_before")
+    )
+    firsts = prices.groupBy("ticker").agg(F.min_by("close", "date").alias("_first"))
+    day, printed = price_bound(F.col(known_at))
+    dated = requests.withColumn("_day", day).withColumn("_bound", F.when(printed, day).otherwise(F.date_sub(day, 1)))
+    probes = dated.select("ticker", "_bound").where(F.col("ticker").isNotNull() & F.col("_bound").isNotNull()).distinct()
+    # one bar for a ticker and day, and one probe: a key is bounded by the calendar
+    hits = asof_join(probes, bars, ["ticker"], "_bound", "date", ["close", "_next", "_adv", "_before"], matched_ts="_at", hot=HotKeys(None, 0))
+    out = dated.join(hits, ["ticker", "_bound"], "left").join(firsts, "ticker", "left")
+    entry = F.when(F.col("_at").isNotNull(), F.col("_next")).when(F.col("_bound").isNotNull(), F.col("_first"))
+    volume = F.when(F.col("_at") < F.col("_day"), F.col("_adv")).otherwise(F.col("_before"))
+    return out.select(*requests.columns, F.col("close").alias("last_close"), entry.alias("entry_close"), volume.alias("adv_20d"))
+
+
 def market_cap_candidates(
     shares: DataFrame, known: DataFrame, prices: DataFrame, listings: DataFrame,
     config: UniverseConfig, window: int = 20, min_days: int = 100,
@@ -353,14 +376,7 @@ def market_cap_candidates(
     days = prices.groupBy("ticker").agg(F.count("*").alias("trading_days"))
     rows = rows.join(days, "ticker", "left").withColumn("trading_days", F.coalesce("trading_days", F.lit(0).cast("long")))
     rows = rows.withColumn("low_trading_days", F.col("trading_days") < min_days)
-    hot = find_hot_keys([rows, prices], ["ticker"])  # one count serves the three lookups
-    rows = last_printed_close(rows, prices, hot=hot)
-    rows = entry_bar_close(rows, prices, hot=hot)
-    day, _ = price_bound(F.col("known_at"))
-    rows = asof_join(
-        rows.withColumn("_day", day), trailing_median_dollar_volume(prices, window, "adv_20d"), ["ticker"], "_day",
-        "date", ["adv_20d"], strict=True, hot=hot,
-    ).drop("_day")
+    rows = printed_figures(rows, prices, window)
     rows = rows.withColumn("market_cap", F.col("shares_outstanding") * F.col("last_close"))
     rows = rows.withColumn("entry_market_cap", F.col("shares_outstanding") * F.col("entry_close"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -266,22 +268,27 @@ def tag_rates(counts: DataFrame) -> DataFrame:
     return out.withColumn("agree_within_5pct", F.abs(F.col("rate_by_name") - F.col("rate_by_namespace")) <= 0.05)
 
 
+# --- fixed values: (category, alternatives of substrings that must all be there), first match wins ---
+TAG_CATEGORIES = (
+    ("share_count_or_exclusion_not_an_eps_value", (("weightedaverage",), ("antidilutivesecurities",), ("securities", "excluded"))),
+    ("pro_forma", (("proforma",),)),
+    ("spac_redemption_pattern", (("redemption",), ("temporaryequity",))),
+    ("combined_basic_and_diluted", (("basic", "diluted"),)),
+    ("diluted_only", (("diluted",),)),
+    ("basic_only", (("basic",),)),
+)
+OTHER_TAGS = "other_eps_related"
+# ------------------------------------------------------------------------------------------------------
+
+
 def classify_tag(tag: Column) -> Column:
-    """Category of an EPS-like tag, first match wins."""
-    c = F.regexp_replace(F.lower(tag), "[_\\- ]", "")
-    has = c.contains
-    return (
-        F.when(
-            has("weightedaverage") | has("antidilutivesecurities") | (has("securities") & has("excluded")),
-            "share_count_or_exclusion_not_an_eps_value",
-        )
-        .when(has("proforma"), "pro_forma")
-        .when(has("redemption") | has("temporaryequity"), "spac_redemption_pattern")
-        .when(has("basic") & has("diluted"), "combined_basic_and_diluted")
-        .when(has("diluted"), "diluted_only")
-        .when(has("basic"), "basic_only")
-        .otherwise("other_eps_related")
-    )
+    """Category of an EPS-like tag by TAG_CATEGORIES, ignoring case, blanks, hyphens and underscores."""
+    plain = F.regexp_replace(F.lower(tag), "[_\\- ]", "")
+    out = F.lit(OTHER_TAGS)
+    for category, alternatives in reversed(TAG_CATEGORIES):
+        tests = [reduce(and_, [plain.contains(part) for part in parts]) for parts in alternatives]
+        out = F.when(reduce(or_, tests), category).otherwise(out)
+    return out
 
 
 def tag_classification(counts: DataFrame, covered: DataFrame) -> DataFrame:

@@ -29,12 +29,16 @@ def _month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def _binned(history: DataFrame, horizon: Column) -> DataFrame:
-    """One row per interval and calendar month it touches, up to ``horizon``."""
-    last = F.least(F.col("valid_to"), horizon)
-    return history.where(F.col("valid_from") <= last).withColumn(
-        "_bin", F.explode(F.sequence(_month(F.col("valid_from")), _month(last)))
-    )
+def _binned(history: DataFrame, months: DataFrame, key: str) -> DataFrame:
+    """One row per interval and month of ``months`` (key, _bin) that it touches.
+
+    An interval is copied to the months its own key was asked for and to no others, so a far horizon
+    costs nothing. Each key's months are gathered first: there are as many as the calendar has.
+    """
+    asked = months.distinct().groupBy(key).agg(F.collect_list("_bin").alias("_bins"))
+    from_bin, to_bin = _month(F.col("valid_from")), _month(F.col("valid_to"))
+    touched = F.filter("_bins", lambda m: (m >= from_bin) & (m <= to_bin))
+    return history.join(asked, key).withColumn("_bin", F.explode(touched)).drop("_bins")
 
 
 def _covering(probes: DataFrame, history: DataFrame, key: str, as_of: str) -> DataFrame:
@@ -43,12 +47,8 @@ def _covering(probes: DataFrame, history: DataFrame, key: str, as_of: str) -> Da
     Months turn the range condition into an equi-join, so an interval only
     meets probes of its own key and month.
     """
-    wanted = probes.select(key, F.to_date(as_of).alias("_day")).distinct()
-    latest_day = wanted.agg(F.max("_day")).first()[0]
-    if latest_day is None:
-        latest_day = "1970-01-01"
-    bins = _binned(history, F.to_date(F.lit(str(latest_day))))
-    hits = wanted.withColumn("_bin", _month(F.col("_day"))).join(bins, [key, "_bin"])
+    wanted = probes.select(key, F.to_date(as_of).alias("_day")).distinct().withColumn("_bin", _month(F.col("_day")))
+    hits = wanted.join(_binned(history, wanted.select(key, "_bin"), key), [key, "_bin"])
     return hits.where((F.col("valid_from") <= F.col("_day")) & (F.col("_day") <= F.col("valid_to")))
 
 
@@ -100,12 +100,11 @@ def find_conflicts(history: DataFrame) -> DataFrame:
     suspects = h.join(shared, "ticker", "left_semi").groupBy("ticker", "cik", "valid_from", "valid_to").agg(
         F.count("*").alias("copies")
     )
-    horizon = F.to_date(F.lit(str(h.agg(F.max("valid_from")).first()[0] or "1970-01-01")))
     later = suspects.select(
         "ticker", F.col("cik").alias("cik_b"), F.col("valid_from").alias("from_b"), F.col("valid_to").alias("to_b"),
         F.col("copies").alias("copies_b"), _month(F.col("valid_from")).alias("_bin"),
     )
-    earlier = _binned(suspects, horizon).select(
+    earlier = _binned(suspects, later.select("ticker", "_bin"), "ticker").select(
         "ticker", "_bin", F.col("cik").alias("cik_a"), F.col("valid_from").alias("from_a"),
         F.col("valid_to").alias("to_a"), F.col("copies").alias("copies_a"),
     )

@@ -44,8 +44,12 @@ def ridge_by_fold(
     """
     names = [*features, label]
     rows = folds.where(F.col("role") == "train").select(fold, *[clean(c).alias(c) for c in names]).dropna()
-    sums = rows.groupBy(fold).agg(*_moments(names))
     p = len(features)
+    # sums about a common centre keep their digits where a column's level is far above its spread
+    centre = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
+    level = np.array([centre[c] or 0.0 for c in names], dtype=float)
+    rows = rows.select(fold, *[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(names, level)])
+    sums = rows.groupBy(fold).agg(*_moments(names))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -59,7 +63,8 @@ def ridge_by_fold(
                         cross[i, j] = cross[j, i] = r[f"q_{i}_{j}"]
                 cross = cross - n * np.outer(mean, mean)
                 beta = np.linalg.solve(cross[:p, :p] + alpha * np.eye(p), cross[:p, p])
-                out.append((r[fold], float(mean[p] - beta @ mean[:p]), beta.tolist(), int(n)))
+                at = mean + level
+                out.append((r[fold], float(at[p] - beta @ at[:p]), beta.tolist(), int(n)))
             yield pd.DataFrame(out, columns=[fold, "intercept", "beta", "n_train"])
 
     kind = rows.schema[fold].dataType.simpleString()

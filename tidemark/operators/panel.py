@@ -80,6 +80,8 @@ def trading_calendar(rows: DataFrame, date: str = "date") -> Calendar:
     found = sorted(r[0] for r in distinct.limit(MAX_DAYS + 1).collect())
     if len(found) > MAX_DAYS:
         raise ValueError(f"{date} has more than {MAX_DAYS} distinct days")
+    if found and (found[-1] - found[0]).days > MAX_DAYS:
+        raise ValueError(f"{date} spans more than {MAX_DAYS} days, from {found[0]} to {found[-1]}")
     if not found:
         raise ValueError(f"{date} has no days to build a calendar from")
     return Calendar(rows.sparkSession, tuple(found))

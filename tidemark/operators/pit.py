@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.gates import require_columns
+from tidemark.operators.asof import asof_join
 from tidemark.operators.ordered import latest, typed_lit
 
 FEATURE_SCHEMA = T.StructType(
@@ -90,6 +91,21 @@ def panel_as_of(
     )
 
 
+def panel_at(features: DataFrame, times: DataFrame, time: str = "query_time", tie_break: Sequence[str] = ()) -> DataFrame:
+    """J2 for any number of query times, given as a column of ``times``.
+
+    The result has a row for every (entity, feature) and every time from its first version on. Those rows are laid
+    out first and then walked together with the versions in one as-of join. Missing keys match nothing.
+    """
+    key = ["entity_id", "feature_name"]
+    firsts = features.where(F.col("known_at").isNotNull()).groupBy(*key).agg(F.min("known_at").alias("_first"))
+    asked = times.agg(F.array_sort(F.collect_set(F.col(time))).alias("_times"))  # one row
+    due = F.filter("_times", lambda t: t >= F.col("_first"))
+    wanted = firsts.dropna(subset=key).join(asked).select(*key, F.explode(due).alias("query_time"))
+    found = asof_join(wanted, features, key, "query_time", "known_at", ["value"], tie_break=tie_break, matched_ts="known_at")
+    return found.select(*key, "known_at", "value", "query_time")
+
+
 def _slot(stamps: Sequence[Column]) -> Column:
     """Count of query times strictly before known_at, as a balanced CASE tree."""
 

@@ -21,9 +21,10 @@ DISTRICT_NAMES = (
     "Boston", "New York", "Philadelphia", "Cleveland", "Richmond", "Atlanta", "Chicago", "St. Louis", "Minneapolis",
     "Kansas City", "Dallas", "San Francisco",
 )
-ORDINALS = (
-    "First", "Second", "Third", "Fourth", "Fifth", "Sixth", "Seventh", "Eighth", "Ninth", "Tenth", "Eleventh",
-    "Twelfth",
+SECTION_HEADERS = (
+    "First District--Boston", "Second District--New York", "Third District--Philadelphia", "Fourth District--Cleveland",
+    "Fifth District--Richmond", "Sixth District--Atlanta", "Seventh District--Chicago", "Eighth District--St. Louis",
+    "Ninth District--Minneapolis", "Tenth District--Kansas City", "Eleventh District--Dallas", "Twelfth District--San Francisco",
 )
 EXTRA_ALIASES = (
     ("st louis", "St. Louis"), ("saint louis", "St. Louis"), ("st.louis", "St. Louis"), ("newyork", "New York"),
@@ -36,6 +37,9 @@ SECTION_FOOTERS = (
 DOCUMENT_FOOTERS = ("Last Update:", "Last update:", "Board of Governors of the Federal Reserve System 20th")
 NAVIGATION_END = "Full report"
 MIN_WORDS, MAX_WORDS, MIN_SECTIONS = 100, 6000, 10
+_HEADING = r"(?is)^<h([1-5])\b[^>]*>(.*?)</h\1>"
+_AT_HEADING = r"(?i)(?=<h[1-5]\b)"
+_WRITTEN = r"([A-Z][a-z]+ \d{1,2},\s*\d{4})"
 # ----------------------------------------------------------------------------
 
 
@@ -45,17 +49,13 @@ class Units:
 
     names: tuple[str, ...] = DISTRICT_NAMES
     aliases: tuple[tuple[str, str], ...] = EXTRA_ALIASES
-    headers: tuple[str, ...] = field(
-        default_factory=lambda: tuple(f"{o} District--{n}" for o, n in zip(ORDINALS, DISTRICT_NAMES))
-    )
+    headers: tuple[str, ...] = SECTION_HEADERS
     prefix: str = HEADING_PREFIX
     min_sections: int = MIN_SECTIONS
     min_words: int = MIN_WORDS
     max_words: int = MAX_WORDS
 
 
-_HEADING = r"(?is)^<h([1-5])\b[^>]*>(.*?)</h\1>"
-_AT_HEADING = r"(?i)(?=<h[1-5]\b)"
 
 
 def strip_html(html: Column) -> Column:
@@ -239,7 +239,6 @@ def layout_cascade(parsed: Sequence[tuple[str, DataFrame]], release: str, units:
     return earliest(kept, [release, "unit"], ["_rank", "body"], ["body", "layout"])
 
 
-_WRITTEN = r"([A-Z][a-z]+ \d{1,2},\s*\d{4})"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -45,9 +47,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage onto reliable storage, so a lost executor costs a re-read only."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once as Parquet to the shared folder and read back.
+
+    Lineage is cut, a lost executor costs a re-read only, and a reader takes just the columns it needs. The
+    folder's owner removes the files when the session is over.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    empty = [f.name for f in df.schema.fields if isinstance(f.dataType, NullType)]  # Parquet has no such type
+    kept = df.drop(*empty)
+    kept.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(c) if c in empty else F.col(f"`{c}`") for c in df.columns])
 
 
 MAX_BROADCAST_ROWS = 200_000  # rows of a few numbers each, so tens of megabytes at most
