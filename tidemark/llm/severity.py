@@ -189,10 +189,18 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return got.withColumns({c: F.col(f"__graded.{c}") for c in ("expected_severity", "severity", "p_toxic")}).drop("__graded")
 
 
-def model_for(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the documents that have a toxic label; of several labels of one document the highest counts."""
-    flags = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").join(flags, F.col("doc_id") == F.col("of"))
+def model_for(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """A model from about ``sample_docs`` documents of each class of the toxic label.
+
+    The documents are drawn from the labels, by the id's hash, so no text is moved for the choice; the ids
+    drawn are bounded by the sample and go to all tasks. Of several labels of one document the highest counts.
+    """
+    flags = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
+    share = F.lit(0.0)
+    for r in flags.groupBy("toxic").count().collect():
+        share = F.when(F.col("toxic") == r["toxic"], F.lit(sample_docs / r["count"])).otherwise(share)
+    drawn = flags.where(F.pmod(F.xxhash64("of", F.lit("severity")), F.lit(1_000_000)) < share * 1_000_000)
+    known = docs.select("doc_id", "text").join(F.broadcast(staged(drawn, "severity-drawn")), F.col("doc_id") == F.col("of"))
     graded = graded_from_flag(staged(known.select("text", "toxic"), "severity-labelled"))
     return fit(graded, F.col("grade"))
 
