@@ -227,7 +227,7 @@ def fit_meta_label(
     x = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(live)
     n = x.count()
     return LogisticRegression(
-        featuresCol="_x", labelCol="_correct", regParam=1.0 / (c * max(n, 1)), standardization=False
+        featuresCol="_x", labelCol="_correct", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=1000, tol=1e-12
     ).fit(x)
 
 

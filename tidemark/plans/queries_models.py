@@ -13,7 +13,7 @@ from tidemark.operators import evaluate as ev
 from tidemark.operators import models as md
 from tidemark.plans import bindings as b
 from tidemark.plans import sqlparts as q
-from tidemark.plans.registry import query, rnd
+from tidemark.plans.registry import query, rnd, text
 
 DAY = timedelta(days=1)
 
@@ -131,12 +131,32 @@ def m1(spark, sf):
     return scored.select("entry_date", "release_date", "district", "ridge", "tree", "prediction")
 
 
-@query("M5_meta_labels")
+_NEWTON = f"""WITH RECURSIVE {q.PANEL}, c AS (SELECT entry_date, release_date, district, chg AS a, z8 AS b, fwd_5, sign(chg) AS call FROM panel
+  WHERE chg IS NOT NULL AND fwd_5 IS NOT NULL AND z8 IS NOT NULL),
+d AS (SELECT *, CASE WHEN sign(fwd_5) = call THEN 1.0 ELSE 0.0 END AS y FROM c WHERE call <> 0),
+fit(i, b0, b1, b2) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, b0 - (g0 * (h11 * h22 - h12 * h12) - g1 * (h01 * h22 - h02 * h12) + g2 * (h01 * h12 - h02 * h11)) / det,
+    b1 - (-g0 * (h01 * h22 - h12 * h02) + g1 * (h00 * h22 - h02 * h02) - g2 * (h00 * h12 - h02 * h01)) / det,
+    b2 - (g0 * (h01 * h12 - h11 * h02) - g1 * (h00 * h12 - h01 * h02) + g2 * (h00 * h11 - h01 * h01)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT i, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(p - y) AS g0, sum((p - y) * a) + any_value(b1) AS g1, sum((p - y) * b) + any_value(b2) AS g2,
+      sum(p * (1 - p)) AS h00, sum(p * (1 - p) * a) AS h01, sum(p * (1 - p) * b) AS h02, sum(p * (1 - p) * a * a) + 1 AS h11, sum(p * (1 - p) * a * b) AS h12,
+      sum(p * (1 - p) * b * b) + 1 AS h22
+    FROM (SELECT fit.*, a, b, y, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p FROM fit, d WHERE i < 25) GROUP BY i))),
+w AS (SELECT * FROM fit WHERE i = 25),
+o AS (SELECT entry_date, release_date, district, call, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS confidence FROM c, w)
+SELECT CAST(entry_date AS VARCHAR) AS entry_date, CAST(release_date AS VARCHAR) AS release_date, district, CAST(call AS DOUBLE) AS call, round(confidence, 5) AS confidence,
+  round(CASE WHEN confidence >= 0.5 THEN call * confidence ELSE 0 END, 5) + 0 AS position FROM o"""
+
+
+@query("M5_meta_labels", _NEWTON)
 def m5(spark, sf):
     rows = _rows(spark, sf).dropna().withColumn("call", F.signum("chg"))
     model = md.fit_meta_label(rows, ["chg", "z8"], "call", "fwd_5")
     out = md.size_positions(rows, model, ["chg", "z8"], "call", 0.5)
-    return out.select("entry_date", "release_date", "district", "call", "confidence", "position")
+    return out.select(text("entry_date"), text("release_date"), "district", "call", rnd("confidence", 5), rnd("position", 5))
 
 
 @query("M6_regimes")
@@ -146,6 +166,20 @@ def m6(spark, sf):
     return md.predict_regimes(r, "ticker", "date", ["ret", "vol"], params)
 
 
-@query("M7_changepoints")
+_RUNS = f"""WITH RECURSIVE {q.BARS}, x AS (SELECT ticker, date, close - 100.0 AS g, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM bars WHERE close IS NOT NULL),
+run(ticker, t, date, w, s, q) AS (
+  SELECT DISTINCT ticker, CAST(0 AS BIGINT), CAST(NULL AS DATE), [CAST(1 AS DOUBLE)], [CAST(0 AS DOUBLE)], [CAST(0 AS DOUBLE)] FROM x
+  UNION ALL
+  SELECT ticker, t, date, list_transform(grown, lambda v: v / list_sum(grown)), s, q FROM (
+    SELECT ticker, t, date, list_concat([list_sum(joint) / 250], list_transform(joint, lambda v: v * (1 - 1 / 250))) AS grown, s, q FROM (
+      SELECT run.ticker, x.t, x.date, list_concat([CAST(0 AS DOUBLE)], list_transform(s, lambda v: v + g)) AS s, list_concat([CAST(0 AS DOUBLE)], list_transform(q, lambda v: v + g * g)) AS q,
+        list_transform(range(len(w)), lambda r: w[r + 1] * exp(lgamma(1.5 + r / 2) - lgamma(1 + r / 2) - 0.5 * ln(pi() * 2 * (1 + 0.5 * (q[r + 1] - s[r + 1] * s[r + 1] / (1 + r))) * (1 + 1 / (1 + r)))
+          - (1.5 + r / 2) * ln(1 + power(g - s[r + 1] / (1 + r), 2) / (2 * (1 + 0.5 * (q[r + 1] - s[r + 1] * s[r + 1] / (1 + r))) * (1 + 1 / (1 + r)))))) AS joint
+      FROM run JOIN x ON x.ticker = run.ticker AND x.t = run.t + 1)))
+SELECT ticker, CAST(date AS VARCHAR) AS date, CAST(list_position(w, list_max(w)) - 1 AS INTEGER) AS run_length FROM run WHERE t > 0"""
+
+
+@query("M7_changepoints", _RUNS)
 def m7(spark, sf):
-    return md.run_lengths(b.bars(spark, sf), "ticker", "date", "close", md.ChangepointPrior(mu0=100.0))
+    out = md.run_lengths(b.bars(spark, sf), "ticker", "date", "close", md.ChangepointPrior(mu0=100.0))
+    return out.select("ticker", text("date"), "run_length")
