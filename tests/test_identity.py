@@ -81,12 +81,14 @@ def test_footprint_falls_back_to_charter(spark):
 def test_name_matching(spark):
     wanted = spark.createDataFrame([("TFC", "Truist Bank", "NC"), ("KEY", "KeyBank National Association", "OH"), ("NO", "zzzzzz", "OH")], "key string, name string, state string")
     known = spark.createDataFrame(
-        [(1, "Bank of America, National Association", "NC"), (2, "Truist Bank", "NC"), (3, "Truist Bank of Georgia", "GA"), (4, "KEYBANK", "NY")],
+        [(1, "Bank of America, National Association", "NC"), (2, "Truist Bank", "NC"), (3, "Truist Bank of Georgia", "GA"), (4, "KEYBANK", "NY"), (5, "Truist Bank South", "NC")],
         "cert int, name string, state string")
     got = {r["key"]: r for r in idn.match_names(wanted, known).collect()}
     assert (got["TFC"]["cert"], got["TFC"]["similarity"], got["TFC"]["status"]) == (2, 1.0, "ok")
     assert (got["KEY"]["cert"], got["KEY"]["status"]) == (4, "state_mismatch")
-    assert got["NO"]["status"] == "not_found" and "Truist Bank of Georgia(GA)" in got["TFC"]["runners_up"]
+    assert got["NO"]["status"] == "not_found"
+    # a name with a match at home is compared within its state only, runners-up included
+    assert got["TFC"]["runners_up"] == "Truist Bank South(NC)"
 
 
 def test_name_matching_finds_every_pair(spark):

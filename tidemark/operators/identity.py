@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.filings import pad_cik
 from tidemark.operators.gates import Check, gate, require_columns
 from tidemark.operators.ordered import earliest, latest, top_n
+from tidemark.session import durable
 
 OPEN_END = "9999-12-31"
 HISTORY_COLUMNS = ("cik", "ticker", "valid_from", "valid_to", "company_name")
@@ -143,36 +144,36 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def similar_names(asked: DataFrame, known: DataFrame, min_similarity: float) -> DataFrame:
+def similar_names(asked: DataFrame, known: DataFrame, min_similarity: float, block: Sequence[str] = ()) -> DataFrame:
     """Every pair of distinct texts whose trigram sets have a Dice share of at least ``min_similarity``.
 
-    ``asked`` and ``known`` have one text column each, ``w`` and ``k``. Two
-    sets above the bar must share one of their rarest trigrams (prefix
-    filter), so candidates come from an equi-join on rare trigrams and none is
-    missed.
+    ``asked`` has the text column w, ``known`` has k; with ``block`` columns only texts that agree on them meet.
+    Two sets above the bar must share one of their rarest trigrams (prefix filter) and cannot differ much in size,
+    so candidates come from an equi-join on rare trigrams within sizes, and none is missed.
     """
-    t = float(min_similarity)
-    a = asked.distinct().withColumn("w_grams", trigrams(F.col("w")))
-    b = known.distinct().withColumn("k_grams", trigrams(F.col("k")))
-    every = a.select(F.explode("w_grams").alias("gram")).unionAll(b.select(F.explode("k_grams").alias("gram")))
-    rarity = every.groupBy("gram").agg(F.count("*").alias("freq"))
+    t, own = float(min_similarity), list(block)
+    a = asked.select(*own, "w").distinct().withColumn("w_grams", trigrams(F.col("w")))
+    b = known.select(*own, "k").distinct().withColumn("k_grams", trigrams(F.col("k")))
+    every = a.select(*own, F.explode("w_grams").alias("gram")).unionAll(b.select(*own, F.explode("k_grams").alias("gram")))
+    rarity = every.groupBy(*own, "gram").agg(F.count("*").alias("freq"))
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
         """Rarest grams: ``short`` marks those enough when this text is the smaller of the two."""
         n = F.col(f"{side}_n")
-        sized = df.select(side, F.size(f"{side}_grams").alias(f"{side}_n"), F.explode(f"{side}_grams").alias("gram"))
-        w = Window.partitionBy(side).orderBy("freq", "gram")
+        sized = df.select(*own, side, F.size(f"{side}_grams").alias(f"{side}_n"), F.explode(f"{side}_grams").alias("gram"))
+        w = Window.partitionBy(*own, side).orderBy("freq", "gram")
         # a name has tens of grams, so this window is tiny per name
-        ranked = sized.join(rarity, "gram").withColumn("_i", F.row_number().over(w))
+        ranked = sized.join(rarity, [*own, "gram"]).withColumn("_i", F.row_number().over(w))
         ranked = ranked.where(F.col("_i") <= n - F.ceil(n * t / (2 - t) - 1e-9) + 1)
         return ranked.withColumn(f"{side}_short", F.col("_i") <= n - F.ceil(n * t - 1e-9) + 1).drop("_i")
 
     smaller = (F.col("w_short") & (F.col("w_n") <= F.col("k_n"))) | (F.col("k_short") & (F.col("k_n") <= F.col("w_n")))
-    pairs = prefix(a, "w").join(prefix(b, "k"), "gram").where(smaller).select("w", "k").distinct()
+    near = F.least("w_n", "k_n") * (2 - t) >= F.greatest("w_n", "k_n") * t - 1e-9
+    pairs = prefix(a, "w").join(prefix(b, "k"), [*own, "gram"]).where(smaller & near).select(*own, "w", "k").distinct()
     shared = F.size(F.array_intersect("w_grams", "k_grams"))
     dice = 2.0 * shared / (F.size("w_grams") + F.size("k_grams"))
-    scored = pairs.join(a, "w").join(b, "k").withColumn("_dice", dice)
-    return scored.where(F.col("_dice") >= t).select("w", "k", F.round("_dice", 3).alias("similarity"))
+    scored = pairs.join(a, [*own, "w"]).join(b, [*own, "k"]).withColumn("_dice", dice)
+    return scored.where(F.col("_dice") >= t).select(*own, "w", "k", F.round("_dice", 3).alias("similarity"))
 
 
 def match_names(
@@ -182,22 +183,24 @@ def match_names(
 
     ``wanted`` (key, name, state), ``known`` (cert, name, state). Normalised
     names are compared once each, however many rows carry them; of equal
-    institutions the first counts. Per similar name only the same-state row
-    and the first few others can end up on the list, so no more are built.
+    institutions the first counts. Names meet within their state first; only
+    those without any match there look elsewhere. Runners-up come from where
+    the match was found, and no more than those are built.
     """
     asked = wanted.select("name", "state").distinct().withColumn("w", normal_name(F.col("name")))
     listed = known.groupBy("name", "state").agg(F.min("cert").alias("k_id")).select(
         "k_id", F.col("name").alias("k_name"), F.col("state").alias("k_state"), normal_name(F.col("name")).alias("k")
     )
-    close = similar_names(asked.select("w"), listed.select("k"), min_similarity)
-    candidates = asked.join(close, "w").drop("w")
-    at_home = candidates.join(listed.withColumn("state", F.col("k_state")), ["k", "state"])
-    first = top_n(listed, ["k"], ["k_id"], runners_up + 2, "_i").drop("_i")
-    anywhere = candidates.join(first, "k")
-    home = F.coalesce(F.col("state") == F.col("k_state"), F.lit(False))
-    scored = at_home.unionByName(anywhere).drop("k").distinct().withColumn("same_state", home)
-    order = [F.desc("same_state"), F.desc("similarity"), F.asc("k_id")]
-    best = top_n(scored, ["name", "state"], order, runners_up + 1)
+    order = [F.desc("similarity"), F.asc("k_id")]
+    here = listed.withColumn("state", F.col("k_state"))
+    close = similar_names(asked, here, min_similarity, ["state"])
+    at_home = asked.join(close, ["state", "w"]).drop("w").join(here, ["state", "k"])
+    at_home = durable(top_n(at_home, ["name", "state"], order, runners_up + 1).withColumn("same_state", F.lit(True)))
+    rest = asked.join(at_home.select("name", "state").distinct(), ["name", "state"], "left_anti")
+    first = top_n(listed, ["k"], ["k_id"], runners_up + 1, "_i").drop("_i")
+    anywhere = rest.join(similar_names(rest, listed, min_similarity), "w").drop("w").join(first, "k")
+    anywhere = top_n(anywhere, ["name", "state"], order, runners_up + 1).withColumn("same_state", F.lit(False))
+    best = at_home.unionByName(anywhere)
     others = F.transform(
         F.array_sort(F.collect_list(F.when(F.col("rn") > 1, F.struct("rn", "k_name", "k_state")))),
         lambda r: F.concat(r["k_name"], F.lit("("), r["k_state"], F.lit(")")),
@@ -206,7 +209,8 @@ def match_names(
         F.min_by(F.struct("k_id", "k_name", "k_state", "similarity", "same_state"), "rn").alias("_b"),
         F.array_join(others, "; ").alias("runners_up"),
     )
-    out = wanted.join(picked, ["name", "state"], "left")
+    matched = picked.withColumnsRenamed({"name": "_name", "state": "_state"})
+    out = wanted.join(matched, (F.col("name") == F.col("_name")) & F.col("state").eqNullSafe(F.col("_state")), "left")
     status = F.when(F.col("_b").isNull(), "not_found").when(~F.col("_b.same_state"), "state_mismatch").otherwise("ok")
     return out.select(
         "key", "name", "state", F.col("_b.k_id").alias("cert"), F.col("_b.k_name").alias("matched_name"),

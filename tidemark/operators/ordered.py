@@ -2,11 +2,11 @@
 
 A Spark window sends each partition key to one task. That is right for keys of
 bounded size and wrong for a key that holds a third of the table, and for
-windows with no key at all. The operators here measure the largest group
-first. Up to ``max_rows`` they emit the plain one-shuffle window. Beyond it
-they range-partition on (keys, order), freeze that layout on reliable storage,
-work inside each range and carry one summary row per range to the next.
-Both ways give the same rows.
+windows with no key at all. Without keys the operators here always
+range-partition on the order, freeze that layout on reliable storage, work
+inside each range and carry one summary row per range to the next. With keys
+they measure the largest group first: up to ``max_rows`` they emit the plain
+one-shuffle window, beyond it the ranges. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -80,10 +80,11 @@ def ordinal(
     ``largest`` passes on the size of the biggest group when it is known.
     """
     keys, order = list(keys), _as_columns(order)
-    if (largest if largest is not None else largest_group(df, keys)) <= max_rows:
+    most = largest if largest is not None else largest_group(df, keys)
+    if keys and most <= max_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    frozen = ordered_ranges(df, [F.col(k) for k in keys] + order, _parts_for(df.count(), max_rows))
+    frozen = ordered_ranges(df, [F.col(k) for k in keys] + order, _parts_for(df.count() if keys else most, max_rows))
     # one row per range: bounded by the number of ranges, not by the data
     sizes = frozen.groupBy("_part").count()
     before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -107,10 +108,11 @@ def running_total(
     """Inclusive running sum of ``value`` per key in ``order``."""
     keys, order = list(keys), _as_columns(order)
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df, keys) <= max_rows:
+    most = largest_group(df, keys)
+    if keys and most <= max_rows:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
         return df.withColumn(out, F.sum(value).over(w))
-    frozen = ordered_ranges(df, [F.col(k) for k in keys] + order, _parts_for(df.count(), max_rows))
+    frozen = ordered_ranges(df, [F.col(k) for k in keys] + order, _parts_for(df.count() if keys else most, max_rows))
     local = F.sum(value).over(Window.partitionBy("_part", *keys).orderBy("_pos").rowsBetween(*upto))
     sums = frozen.groupBy("_part", *keys).agg(F.sum(value).alias("_s"))
     prior = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
