@@ -372,12 +372,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).collect()[0])
 
 
-def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def joined(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, with_links: bool = True
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, row (a hash of id and text), class_id, n_links and class_key (null without words).
 
     Rows belong to one class if they are connected by sets of a similarity of at least ``threshold``;
     class_id is the smallest doc_id in the class (null ids count last). n_links is the number of other sets
-    that reach the threshold with the row's own, counted on the full sets of its class. Rows whose text is null, empty or without a
+    that reach the threshold with the row's own, counted on the full sets of its class; it is null without
+    ``with_links``, which saves the counting where only classes are asked for. Rows whose text is null, empty or without a
     word are a class each, without links. Repeated rows and copies share class and links. An empty
     table gives no row. Other columns are not read.
     """
@@ -390,15 +393,18 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     pairs = staged(candidates(sets, threshold), "join-pairs")
     full = full_sets(pairs, own, members.select("set_id", "row"), "text")
     root = staged(components(checked(pairs, full, threshold)), "join-roots")
-    linked = root.unionByName(root.select(F.col("root").alias("set_id"), "root").distinct())
-    degree = link_counts(linked, full, threshold)
     placed = members.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_set = placed.join(classes, "root").join(degree, "set_id", "left").select(F.col("set_id").alias("s"), "root", "class_id", "n_links")
+    of_set = placed.join(classes, "root").select(F.col("set_id").alias("s"), "root", "class_id")
+    if with_links:
+        linked = root.unionByName(root.select(F.col("root").alias("set_id"), "root").distinct())
+        of_set = of_set.join(link_counts(linked, full, threshold), F.col("s") == F.col("set_id"), "left").drop("set_id")
+    else:
+        of_set = of_set.withColumn("n_links", F.lit(None).cast("long"))
     out = rows.select("doc_id", "row", "set_id").join(staged(of_set, "join-classes"), F.col("set_id") == F.col("s"), "left")
     return out.select(
         "doc_id", "row", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("root").alias("class_key"),
+        (F.coalesce("n_links", F.lit(0)).cast("long") if with_links else F.col("n_links")).alias("n_links"), F.col("root").alias("class_key"),
     )
 
 
@@ -411,7 +417,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows whose texts have no words all stay. Of repeated rows in a class one stays.
     """
-    rows = staged(joined(docs, doc_id, text), "join-joined")
+    rows = staged(joined(docs, doc_id, text, with_links=False), "join-joined")
     worded = rows.where("class_key IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     kept = worded.groupBy("class_key").agg(F.min(order).alias("k")).select(F.col("k.row").alias("r"))
