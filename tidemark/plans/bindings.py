@@ -57,17 +57,17 @@ def district_of(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def padded_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return simple_return(densify(bars(spark, sf), calendar(spark, sf)))
+def padded_returns(spark: SparkSession, sf: str, cal=None) -> DataFrame:
+    return simple_return(densify(bars(spark, sf), cal or calendar(spark, sf)))
 
 
-def baskets(spark: SparkSession, sf: str) -> DataFrame:
-    joined = padded_returns(spark, sf).join(district_of(spark, sf), "ticker")
+def baskets(spark: SparkSession, sf: str, returns: DataFrame | None = None) -> DataFrame:
+    joined = (padded_returns(spark, sf) if returns is None else returns).join(district_of(spark, sf), "ticker")
     return equal_weight_basket(joined, "district")
 
 
-def benchmark_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return padded_returns(spark, sf).groupBy("date").agg(F.avg("ret").alias("bench_ret"))
+def benchmark_returns(spark: SparkSession, sf: str, returns: DataFrame | None = None) -> DataFrame:
+    return (padded_returns(spark, sf) if returns is None else returns).groupBy("date").agg(F.avg("ret").alias("bench_ret"))
 
 
 def sentiment(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,7 +84,8 @@ def study_panel(spark: SparkSession, sf: str, horizons=HORIZONS) -> DataFrame:
     s = trailing_zscore(sentiment(spark, sf), "polarity", BASELINE, "district", "release_date", "z8")
     s = change(s, "polarity", "district", "release_date", "chg")
     s = next_trading_day(s, "release_date", cal).where(F.col("entry_date").isNotNull()).drop("entry_idx")
-    fwd = forward_excess(baskets(spark, sf), benchmark_returns(spark, sf), horizons, "district", ret="basket_ret")
+    returns = durable(padded_returns(spark, sf, cal))  # read for baskets and for the benchmark
+    fwd = forward_excess(baskets(spark, sf, returns), benchmark_returns(spark, sf, returns), horizons, "district", ret="basket_ret")
     out = attach_forward(s, fwd, "district", horizons)
     for c in ["z8", "chg", *[f"fwd_{h}" for h in horizons]]:
         out = out.withColumn(c, clean(c))
