@@ -30,6 +30,7 @@ THRESHOLD = 0.8
 TARGET = 0.999  # probability with which a pair at the threshold is found
 COORDINATES = 128
 SMALL = 128  # sets compared by brute force in one bucket
+FORESTS = 3  # spanning forests of pairs that a bucket gives to the check
 BLOCK = 64  # sets of a class counted against another block's at once
 COLUMNS = 20_000  # distinct shingles looked at together when links are counted
 DEPTH = 4  # levels of splitting before a bucket counts as dense
@@ -107,15 +108,8 @@ def with_sets(docs: DataFrame, text: str, runs: int) -> DataFrame:
     return small_batches(docs.select("doc_id", "row", text)).mapInArrow(rows, "doc_id long, row long, set_id binary, keys array<long>, sketch binary")
 
 
-def compare(sketches: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of a bucket's rows to be checked, and a representative of every group of close rows.
-
-    A pair may reach the threshold if its estimate, corrected for values that agree by chance, is less than
-    3.4 standard errors below. Returned are a spanning forest of the pairs well above the threshold, and
-    all doubtful pairs between different trees: enough to connect whatever belongs together.
-    """
-    n = len(sketches)
-    spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
+def _forest(n: int, edges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Places of the edges that a spanning forest takes in their order, and each row's tree."""
     root = list(range(n))
 
     def find(k: int) -> int:
@@ -124,18 +118,38 @@ def compare(sketches: np.ndarray, threshold: float) -> tuple[list[tuple[int, int
             k = root[k]
         return k
 
-    pairs, doubtful = [], []
+    taken = []
+    for place, (i, j) in enumerate(edges):
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            taken.append(place)
+    return taken, [find(k) for k in range(n)]
+
+
+def compare(sketches: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of a bucket's rows to be checked, and a representative of every group of close rows.
+
+    A pair may reach the threshold if its estimate, corrected for values that agree by chance, is less than
+    3.4 standard errors below. Of those the bucket gives FORESTS spanning forests that share no pair, each of
+    the best estimates left: rows that belong together stay connected unless that many separate links between
+    them fail the check, in every run. So a bucket gives few pairs for each row, however close its rows are.
+    """
+    n = len(sketches)
+    spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    found = []
     for i in range(n - 1):
         estimate = ((sketches[i + 1 :] == sketches[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        for k in np.flatnonzero(estimate >= threshold - 3.4 * spread).tolist():
-            j = i + 1 + k
-            if estimate[k] < threshold + 1.7 * spread:
-                doubtful.append((i, j))
-            elif (x := find(i)) != (y := find(j)):
-                root[max(x, y)] = min(x, y)
-                pairs.append((i, j))
-    pairs += [(i, j) for i, j in doubtful if find(i) != find(j)]
-    return pairs, [k for k in range(n) if find(k) == k]
+        found += [(-float(estimate[k]), i, i + 1 + k) for k in np.flatnonzero(estimate >= threshold - 3.4 * spread).tolist()]
+    found.sort()
+    left, pairs = [(i, j) for _, i, j in found], []
+    for _ in range(FORESTS):
+        taken, _ = _forest(n, left)
+        pairs += [left[k] for k in taken]
+        used = set(taken)
+        left = [e for k, e in enumerate(left) if k not in used]
+    _, tree = _forest(n, [(i, j) for e, i, j in found if -e >= threshold + 1.7 * spread])
+    return pairs, [k for k in range(n) if tree[k] == k]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
