@@ -80,6 +80,21 @@ def test_dense_groups_and_shared_passages(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_pairs_over_a_template(spark):
+    """All texts share a template at a similarity of 0.77; of many doubtful pairs the few at 0.80 to 0.83 must be checked."""
+    rng = random.Random(11)
+    word = lambda: f"t{rng.randrange(10**9)}"
+    template, texts = [word() for _ in range(600)], []
+    for k in range(60):
+        common = [word() for _ in range(12 + k % 14 if k < 30 else 0)]
+        texts += [" ".join(template + common + [word() for _ in range(90 - len(common))]) for _ in range(2)]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert 20 <= sum(n for _, _, n in want) // 2 <= 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in jj.joined(df).collect()], key=str) == want
+
+
 def test_blocks_pairs_when_representatives_stay(spark, monkeypatch):
     """Sets that all share their path but differ: every two must meet in one of the block pairs."""
     monkeypatch.setattr(jj, "SMALL", 8)

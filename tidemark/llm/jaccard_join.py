@@ -6,7 +6,8 @@ coordinates, one and a quarter on average for a similarity of 0.8, and each set
 the value it has there, so two sets stay together as often as they share sampled values. Buckets that are
 small enough are compared by brute force; larger ones are split again. Buckets that stay large hold dense
 groups: they are dealt into blocks, and the blocks' representatives meet again. Runs are repeated until a
-pair at the threshold is found with the target probability. Every pair found is checked on the full sets.
+pair at the threshold is found with the target probability. Sets that may be close meet again with their
+full sets, where every pair of them is checked.
 
 Equal sets count once throughout, so copies are never paired with each other.
 """
@@ -30,7 +31,6 @@ THRESHOLD = 0.8
 TARGET = 0.999  # probability with which a pair at the threshold is found
 COORDINATES = 128
 SMALL = 128  # sets compared by brute force in one bucket
-FORESTS = 3  # spanning forests of pairs that a bucket gives to the check
 BLOCK = 64  # sets of a class counted against another block's at once
 COLUMNS = 20_000  # distinct shingles looked at together when links are counted
 DEPTH = 4  # levels of splitting before a bucket counts as dense
@@ -127,29 +127,22 @@ def _forest(n: int, edges: list[tuple[int, int]]) -> tuple[list[int], list[int]]
     return taken, [find(k) for k in range(n)]
 
 
-def compare(sketches: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of a bucket's rows to be checked, and a representative of every group of close rows.
+def compare(sketches: np.ndarray, threshold: float) -> list[list[int]]:
+    """Groups of a block's rows that are connected by pairs which may reach the threshold; all their pairs are to be checked.
 
     A pair may reach the threshold if its estimate, corrected for values that agree by chance, is less than
-    3.4 standard errors below. Of those the bucket gives FORESTS spanning forests that share no pair, each of
-    the best estimates left: rows that belong together stay connected unless that many separate links between
-    them fail the check, in every run. So a bucket gives few pairs for each row, however close its rows are.
+    3.4 standard errors below.
     """
     n = len(sketches)
     spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    found = []
+    near = []
     for i in range(n - 1):
         estimate = ((sketches[i + 1 :] == sketches[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        found += [(-float(estimate[k]), i, i + 1 + k) for k in np.flatnonzero(estimate >= threshold - 3.4 * spread).tolist()]
-    found.sort()
-    left, pairs = [(i, j) for _, i, j in found], []
-    for _ in range(FORESTS):
-        taken, _ = _forest(n, left)
-        pairs += [left[k] for k in taken]
-        used = set(taken)
-        left = [e for k, e in enumerate(left) if k not in used]
-    _, tree = _forest(n, [(i, j) for e, i, j in found if -e >= threshold + 1.7 * spread])
-    return pairs, [k for k in range(n) if tree[k] == k]
+        near += [(i, i + 1 + k) for k in np.flatnonzero(estimate >= threshold - 3.4 * spread).tolist()]
+    groups: dict[int, list[int]] = {}
+    for k, tree in enumerate(_forest(n, near)[1]):
+        groups.setdefault(tree, []).append(k)
+    return [g for g in groups.values() if len(g) > 1]
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.RecordBatch]:
@@ -168,36 +161,41 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Reco
         yield held
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[bytes], np.ndarray]]:
-    """(key, dense, set ids, sketches) of each block of at least two sets."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(set ids, sketches) of each block of at least two sets."""
     for part in whole_groups(batches, "block"):
         if part.num_rows > 1:
             found = dict(zip(part.column("set_id").to_pylist(), part.column("sketch").to_pylist()))
             ids = sorted(found)
-            sketches = np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(len(ids), COORDINATES)
-            yield part.column("key")[0].as_py(), part.column("dense")[0].as_py(), ids, sketches
+            yield ids, np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(len(ids), COORDINATES)
+
 
+def _meetings(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Rows (block, set_id, sketch) to (meeting, set_id): the sets that are to be checked with each other.
 
-def _brute_force(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Rows (block, dense, key, set_id, sketch) to pairs (key, a, b) to be checked; dense blocks add (key, a, null) for representatives."""
+    A meeting is named by a hash of its sets, so one that several blocks find can be checked once.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for key, dense, ids, sketches in _blocks(batches):
-            pairs, leaders = compare(sketches, threshold)
-            out += [(key, ids[i], ids[j]) for i, j in pairs] + [(key, ids[k], None) for k in leaders if dense]
-            if len(out) >= 20_000:
-                yield _pairs(out)
-                out = []
-        if out:
-            yield _pairs(out)
+        names: list[int] = []
+        sets: list[bytes] = []
+        for ids, sketches in _blocks(batches):
+            for group in compare(sketches, threshold):
+                own = [ids[k] for k in group]
+                names += [xxhash.xxh3_64_intdigest(b"".join(own)) - (1 << 63)] * len(own)
+                sets += own
+            if len(sets) >= 20_000:
+                yield _rows(names, sets)
+                names, sets = [], []
+        if sets:
+            yield _rows(names, sets)
 
-    dealt_out = buckets.select("block", "dense", "key", "set_id", "sketch").repartition("block").sortWithinPartitions("block")
-    return dealt_out.mapInArrow(rows, "key long, a binary, b binary")
+    dealt_out = blocks.select("block", "set_id", "sketch").repartition("block").sortWithinPartitions("block")
+    return dealt_out.mapInArrow(rows, "meeting long, set_id binary")
 
 
-def _pairs(out: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["key", "a", "b"])
+def _rows(names: list[int], sets: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["meeting", "set_id"])
 
 
 def _sizes(entries: DataFrame) -> DataFrame:
@@ -216,70 +214,85 @@ def _split(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode(keys).alias("key"), "set_id", "sketch")
 
 
-def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a < b) of set ids to be checked, from one row (set_id, keys, sketch) for each distinct set."""
+def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (meeting, set_id) of the small buckets, and the rows of the buckets that stay large, if there are any.
+
+    ``sets`` has one row (set_id, keys, sketch) for each distinct set.
+    """
     first = sets.select(F.explode("keys").alias("key"), "set_id")
     live = first.join(_sizes(first), F.col("key") == F.col("of")).select("key", "n", "set_id")
     entries = staged(live.join(sets.select("set_id", "sketch"), "set_id"), "join-level-1")
     found = []
     for level in range(1, DEPTH + 1):
         small = entries.where(F.col("n") <= SMALL)
-        found.append(staged(_brute_force(small.withColumns({"block": F.col("key"), "dense": F.lit(False)}), threshold), f"join-found-{level}"))
+        found.append(staged(_meetings(small.withColumn("block", F.col("key")), threshold), f"join-found-{level}"))
         large = entries.where(F.col("n") > SMALL)
         if large.isEmpty():
-            return _distinct(found)
+            return _united(found).distinct(), None
         if level < DEPTH:
             children = _split(large)
             entries = staged(children.join(_sizes(children), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch"), f"join-level-{level + 1}")
-    return _distinct(found + _dense(large, threshold))
+    return _united(found).distinct(), large
 
 
-def _dense(entries: DataFrame, threshold: float) -> list[DataFrame]:
-    """Large buckets of close sets: compare in blocks, then let the blocks' representatives meet, until one block is left.
+def _dense(entries: DataFrame, threshold: float, sets: DataFrame | None = None, links: DataFrame | None = None) -> list[DataFrame]:
+    """Links (a, b) of large buckets of close sets: blocks are checked, then one set of each class meets the others', until one class is left.
 
-    If representatives stop getting fewer, they differ from each other; every pair of blocks then meets.
+    ``links`` are known before. If classes stop getting fewer, their sets differ from each other; every pair of
+    blocks then meets. Without ``sets`` the sketches decide.
     """
-    found, before = [], None
+    found, before, live = [], None, entries
+    known = links
     for turn in range(20):
         part = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.ceil(F.col("n") / SMALL).cast("long"))
-        blocks = entries.withColumns({"block": F.xxhash64("key", part, F.lit(turn)), "dense": F.col("n") > SMALL})
-        got = staged(_brute_force(blocks, threshold), f"join-dense-{turn}")
-        found.append(got)
-        left = got.where("b IS NULL").select("key", F.col("a").alias("set_id")).distinct()
-        left = left.join(_sizes(left), F.col("key") == F.col("of")).select("key", "n", "set_id")
-        left = staged(left.join(entries.select("key", "set_id", "sketch").distinct(), ["key", "set_id"]), f"join-left-{turn}")
-        now = left.count()
+        met = _meetings(live.withColumn("block", F.xxhash64("key", part, F.lit(turn))), threshold)
+        found.append(staged(_linked(met, sets, threshold), f"join-dense-{turn}"))
+        known = _united([k for k in (known, found[-1]) if k is not None])
+        root = staged(components(known), f"join-dense-roots-{turn}")
+        known = root.select(F.col("root").alias("a"), F.col("set_id").alias("b"))
+        placed = entries.select("key", "set_id", "sketch").join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        leaders = placed.groupBy("key", "root").agg(F.min(F.struct("set_id", "sketch")).alias("l")).select("key", "l.set_id", "l.sketch")
+        live = leaders.join(_sizes(leaders), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch")
+        live = staged(live, f"join-left-{turn}")
+        now = live.count()
         if not now:
             break
         if before is not None and now > 0.9 * before:
-            found.append(staged(_brute_force(_block_pairs(left), threshold), "join-block-pairs"))
+            found.append(staged(_linked(_meetings(_block_pairs(live), threshold), sets, threshold), "join-block-pairs"))
             break
-        entries, before = left.select("key", "n", "set_id", "sketch"), now
+        before = now
     return found
 
 
+def _linked(meetings: DataFrame, sets: DataFrame | None, threshold: float) -> DataFrame:
+    """Links of the meetings, checked on the full sets; without ``sets`` all of a meeting is linked."""
+    if sets is not None:
+        return checked(meetings.distinct(), sets, threshold)
+    least = meetings.groupBy(F.col("meeting").alias("of")).agg(F.min("set_id").alias("a"))
+    return meetings.join(least, F.col("meeting") == F.col("of")).select("a", F.col("set_id").alias("b")).where("a < b")
+
+
 def _block_pairs(entries: DataFrame) -> DataFrame:
     """Each set goes to all pairs of blocks that its own block is in, so that every two sets of a bucket meet."""
     blocks = F.ceil(2 * F.col("n") / SMALL).cast("long")
     own = F.pmod(F.xxhash64("set_id", F.lit("pairs")), blocks)
     met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
     spread = entries.select("key", "n", "set_id", "sketch", F.explode(met).alias("m"))
-    return spread.select("key", "n", "set_id", "sketch", F.xxhash64("key", "m.x", "m.y").alias("block"), F.lit(False).alias("dense"))
+    return spread.select("key", "n", "set_id", "sketch", F.xxhash64("key", "m.x", "m.y").alias("block"))
 
 
-def _distinct(found: list[DataFrame]) -> DataFrame:
+def _united(found: list[DataFrame]) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.where("b IS NOT NULL").select("a", "b").distinct()
+    return out
 
 
-def full_sets(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, text: str) -> DataFrame:
-    """(s, shingles): the sorted hashes, BYTES each, of every set that a pair names, staged.
+def full_sets(needed: DataFrame, docs: DataFrame, representatives: DataFrame, text: str) -> DataFrame:
+    """(s, shingles): the sorted hashes, BYTES each, of every set that ``needed`` names, staged.
 
     ``representatives`` names one row of each set; only their texts are read again and cut into shingles.
     """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = representatives.join(needed, "set_id", "leftsemi").select(F.col("row").alias("of"), F.col("set_id").alias("s"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,22 +311,6 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def checked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold. Sets meet their pairs one side after the other."""
-
-    def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                shared = len(np.intersect1d(_wide(x), _wide(y), assume_unique=True))
-                out.append(shared / (len(x) // BYTES + len(y) // BYTES - shared))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
-
-    one = pairs.join(sets.select(F.col("s").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = one.join(sets.select(F.col("s").alias("a"), F.col("shingles").alias("of_a")), "a").select("a", "b", "of_a", "of_b")
-    return staged(both.mapInArrow(similarity, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold), "join-links")
-
-
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many values every two sets share, from 0/1 matrices over a bounded number of values at a time."""
     sizes = [len(x) for x in sets]
@@ -331,6 +328,32 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def checked(meetings: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of distinct (meeting, set_id): every two sets of a meeting are compared in full.
+
+    Of the pairs that reach the threshold each meeting gives a spanning forest, so what is linked stays connected and
+    no meeting gives more rows than it has sets.
+    """
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "meeting"):
+            ids = part.column("set_id").to_pylist()
+            linked = reached([_wide(x) for x in part.column("shingles").to_pylist()], threshold)
+            edges = np.argwhere(np.triu(linked, 1)).tolist()
+            pairs = [sorted((ids[edges[k][0]], ids[edges[k][1]])) for k in _forest(len(ids), edges)[0]]
+            yield pa.record_batch([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    both = meetings.join(sets, F.col("set_id") == F.col("s")).select("meeting", "set_id", "shingles")
+    return both.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(links, "a binary, b binary").distinct()
+
+
+def reached(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which two sets reach the threshold."""
+    sizes = np.array([len(x) for x in sets], np.float64)
+    shared = shared_counts(sets)
+    return shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+
+
 def link_counts(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(set_id, n_links): for every set of a class, (root, set_id), the other sets that reach the threshold with it.
 
@@ -349,9 +372,7 @@ def link_counts(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
             ids = part.column("set_id").to_pylist()
             held = [_wide(x) for x in part.column("shingles").to_pylist()]
             first, second = (part.column(c).to_numpy(zero_copy_only=False) for c in ("first", "second"))
-            sizes = np.array([len(x) for x in held], np.float64)
-            shared = shared_counts(held)
-            linked = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+            linked = reached(held, threshold)
             same = first & second  # a block that meets itself
             linked &= ~np.eye(len(ids), dtype=bool) & ((same[:, None] & same[None, :]) | (first[:, None] != first[None, :]))
             yield pa.record_batch([pa.array(ids, pa.binary()), pa.array(linked.sum(axis=1), pa.int64())], names=["set_id", "n"])
@@ -404,9 +425,14 @@ def joined(
     members = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "join-members")
     sets = some.select("set_id", "row", "keys", "sketch").join(members.select("set_id", "row"), ["set_id", "row"])
     sets = staged(sets.dropDuplicates(["set_id"]).drop("row"), "join-distinct")
-    pairs = staged(candidates(sets, threshold), "join-pairs")
-    full = full_sets(pairs, own, members.select("set_id", "row"), "text")
-    root = staged(components(checked(pairs, full, threshold)), "join-roots")
+    meetings, large = candidates(sets, threshold)
+    meetings = staged(meetings, "join-meetings")
+    needed = _united([m.select("set_id") for m in (meetings, large) if m is not None]).distinct()
+    full = full_sets(needed, own, members.select("set_id", "row"), "text")
+    links = staged(checked(meetings, full, threshold), "join-links")
+    if large is not None:
+        links = _united([links, *_dense(large, threshold, full, links)])
+    root = staged(components(links), "join-roots")
     placed = members.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
     of_set = placed.join(classes, "root").select(F.col("set_id").alias("s"), "root", "class_id")
