@@ -95,6 +95,32 @@ def test_pairs_over_a_template(spark):
     assert sorted([(r.doc_id, r.class_id, r.n_links) for r in jj.joined(df).collect()], key=str) == want
 
 
+def test_dense_group_with_sets_close_to_one_member(spark, monkeypatch):
+    """In a large bucket a set that reaches 0.8 with one member only, whichever that is, must meet it."""
+    monkeypatch.setattr(jj, "SMALL", 16)
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    members = [varied(rng, base, 2) for _ in range(240)]
+    rows = list(enumerate(members + [varied(rng, m, 6) for m in rng.sample(members, 60)]))
+    sets = sets_of([t for _, t in rows])
+    bound = [sum(len(x & y) / len(x | y) >= 0.8 for y in sets[:240]) for x in sets[240:]]
+    assert bound.count(1) >= 15
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([(r.doc_id, r.class_id, r.n_links) for r in jj.joined(df).collect()], key=str) == brute(rows)
+
+
+def test_major_sets_meet_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(jj, "SMALL", 8)
+    ids = [bytes([i]) * 16 for i in range(50)]
+    roots = [ids[0] if i < 38 else ids[i] for i in range(50)]
+    placed = spark.createDataFrame([(1, i, bytes(jj.COORDINATES), r) for i, r in zip(ids, roots)], "key long, set_id binary, sketch binary, root binary")
+    met = set()
+    for r in jj._block_pairs(jj._by_class(placed)).groupBy("block").agg({"set_id": "collect_set"}).collect():
+        own = sorted(bytes(x)[0] for x in r[1])
+        met |= {(a, b) for a in own for b in own if a < b}
+    assert {(a, b) for a in range(50) for b in range(max(a + 1, 38), 50)} <= met
+
+
 def test_blocks_pairs_when_representatives_stay(spark, monkeypatch):
     """Sets that all share their path but differ: every two must meet in one of the block pairs."""
     monkeypatch.setattr(jj, "SMALL", 8)

@@ -5,7 +5,8 @@ smallest value of hash i. A run starts with all sets in one bucket and splits bu
 coordinates, one and a quarter on average for a similarity of 0.8, and each set goes on to the bucket of
 the value it has there, so two sets stay together as often as they share sampled values. Buckets that are
 small enough are compared by brute force; larger ones are split again. Buckets that stay large hold dense
-groups: they are dealt into blocks, and the blocks' representatives meet again. Runs are repeated until a
+groups: they are dealt into blocks, one set of each class found meets the others', and then every two sets that are not yet
+of one class. Runs are repeated until a
 pair at the threshold is found with the target probability. Sets that may be close meet again with their
 full sets, where every pair of them is checked.
 
@@ -127,18 +128,21 @@ def _forest(n: int, edges: list[tuple[int, int]]) -> tuple[list[int], list[int]]
     return taken, [find(k) for k in range(n)]
 
 
-def compare(sketches: np.ndarray, threshold: float) -> list[list[int]]:
+def compare(sketches: np.ndarray, threshold: float, classes: np.ndarray | None = None) -> list[list[int]]:
     """Groups of a block's rows that are connected by pairs which may reach the threshold; all their pairs are to be checked.
 
     A pair may reach the threshold if its estimate, corrected for values that agree by chance, is less than
-    3.4 standard errors below.
+    3.4 standard errors below. With ``classes`` only pairs of different classes count.
     """
     n = len(sketches)
     spread = math.sqrt(threshold * (1 - threshold) / COORDINATES)
     near = []
     for i in range(n - 1):
         estimate = ((sketches[i + 1 :] == sketches[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-        near += [(i, i + 1 + k) for k in np.flatnonzero(estimate >= threshold - 3.4 * spread).tolist()]
+        close = estimate >= threshold - 3.4 * spread
+        if classes is not None:
+            close &= classes[i + 1 :] != classes[i]
+        near += [(i, i + 1 + k) for k in np.flatnonzero(close).tolist()]
     groups: dict[int, list[int]] = {}
     for k, tree in enumerate(_forest(n, near)[1]):
         groups.setdefault(tree, []).append(k)
@@ -161,26 +165,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Reco
         yield held
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(set ids, sketches) of each block of at least two sets."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray | None]]:
+    """(set ids, sketches, classes by root if there is that column) of each block of at least two sets."""
     for part in whole_groups(batches, "block"):
         if part.num_rows > 1:
             found = dict(zip(part.column("set_id").to_pylist(), part.column("sketch").to_pylist()))
             ids = sorted(found)
-            yield ids, np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(len(ids), COORDINATES)
+            classes = None
+            if "root" in part.schema.names:
+                root, number = dict(zip(part.column("set_id").to_pylist(), part.column("root").to_pylist())), {}
+                classes = np.array([number.setdefault(root[i], len(number)) for i in ids])
+            yield ids, np.frombuffer(b"".join(found[i] for i in ids), np.uint8).reshape(len(ids), COORDINATES), classes
 
 
 def _meetings(blocks: DataFrame, threshold: float) -> DataFrame:
     """Rows (block, set_id, sketch) to (meeting, set_id): the sets that are to be checked with each other.
 
-    A meeting is named by a hash of its sets, so one that several blocks find can be checked once.
+    With a column root only sets of different roots have to be. A meeting is named by a hash of its sets, so one that several blocks find can be checked once.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int] = []
         sets: list[bytes] = []
-        for ids, sketches in _blocks(batches):
-            for group in compare(sketches, threshold):
+        for ids, sketches, classes in _blocks(batches):
+            for group in compare(sketches, threshold, classes):
                 own = [ids[k] for k in group]
                 names += [xxhash.xxh3_64_intdigest(b"".join(own)) - (1 << 63)] * len(own)
                 sets += own
@@ -190,7 +198,8 @@ def _meetings(blocks: DataFrame, threshold: float) -> DataFrame:
         if sets:
             yield _rows(names, sets)
 
-    dealt_out = blocks.select("block", "set_id", "sketch").repartition("block").sortWithinPartitions("block")
+    held = [c for c in ("block", "set_id", "sketch", "root") if c in blocks.columns]
+    dealt_out = blocks.select(*held).repartition("block").sortWithinPartitions("block")
     return dealt_out.mapInArrow(rows, "meeting long, set_id binary")
 
 
@@ -236,15 +245,16 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
 
 
 def _dense(entries: DataFrame, threshold: float, sets: DataFrame | None = None, links: DataFrame | None = None) -> list[DataFrame]:
-    """Links (a, b) of large buckets of close sets: blocks are checked, then one set of each class meets the others', until one class is left.
+    """Links (a, b) of large buckets of close sets: blocks are checked, then one set of each class meets the others'.
 
-    ``links`` are known before. If classes stop getting fewer, their sets differ from each other; every pair of
-    blocks then meets. Without ``sets`` the sketches decide.
+    ``links`` are known before. A bucket whose sets are all of one class is done. When classes stop getting fewer,
+    every two sets of a bucket that are not of one class meet, so no link that could join classes is missed. Without
+    ``sets`` the sketches decide.
     """
     found, before, live = [], None, entries
     known = links
     for turn in range(20):
-        part = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.ceil(F.col("n") / SMALL).cast("long"))
+        part = F.pmod(F.xxhash64("set_id", "key", F.lit(turn)), F.ceil(F.col("n") / SMALL).cast("long"))
         met = _meetings(live.withColumn("block", F.xxhash64("key", part, F.lit(turn))), threshold)
         found.append(staged(_linked(met, sets, threshold), f"join-dense-{turn}"))
         known = _united([k for k in (known, found[-1]) if k is not None])
@@ -256,12 +266,22 @@ def _dense(entries: DataFrame, threshold: float, sets: DataFrame | None = None,
         live = staged(live, f"join-left-{turn}")
         now = live.count()
         if not now:
-            break
+            return found
         if before is not None and now > 0.9 * before:
-            found.append(staged(_linked(_meetings(_block_pairs(live), threshold), sets, threshold), "join-block-pairs"))
             break
         before = now
-    return found
+    met = _meetings(_block_pairs(_by_class(placed)), threshold)
+    return [*found, staged(_linked(met, sets, threshold), "join-block-pairs")]
+
+
+def _by_class(placed: DataFrame) -> DataFrame:
+    """The sets of buckets that hold several roots; ``major`` are those of the bucket's most frequent root, ``majors`` their number."""
+    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy(F.col("key").alias("of")).agg(
+        F.sum("c").alias("n"), F.max("c").alias("majors"), F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
+    )
+    several = placed.join(most.where("roots > 1"), F.col("key") == F.col("of"))
+    return several.select("key", "n", "set_id", "sketch", "root", "majors", (F.col("root") == F.col("most")).alias("major"))
 
 
 def _linked(meetings: DataFrame, sets: DataFrame | None, threshold: float) -> DataFrame:
@@ -273,12 +293,20 @@ def _linked(meetings: DataFrame, sets: DataFrame | None, threshold: float) -> Da
 
 
 def _block_pairs(entries: DataFrame) -> DataFrame:
-    """Each set goes to all pairs of blocks that its own block is in, so that every two sets of a bucket meet."""
-    blocks = F.ceil(2 * F.col("n") / SMALL).cast("long")
-    own = F.pmod(F.xxhash64("set_id", F.lit("pairs")), blocks)
-    met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
-    spread = entries.select("key", "n", "set_id", "sketch", F.explode(met).alias("m"))
-    return spread.select("key", "n", "set_id", "sketch", F.xxhash64("key", "m.x", "m.y").alias("block"))
+    """Each set goes to all pairs of blocks that its own block is in, so that every two sets of a bucket meet.
+
+    With columns major and majors, sets that are both major need not meet: their blocks meet the other sets' only.
+    """
+    split = "major" in entries.columns
+    major, majors = (F.col("major"), F.col("majors")) if split else (F.lit(False), F.lit(0))
+    others = F.ceil(2 * (F.col("n") - majors) / SMALL).cast("long")
+    blocks = others + F.ceil(2 * majors / SMALL).cast("long")
+    place = F.pmod(F.xxhash64("set_id", "key", F.lit("pairs")), F.greatest(F.when(major, blocks - others).otherwise(others), F.lit(1)))
+    own = place + F.when(major, others).otherwise(F.lit(0))
+    last = F.when(major, others).otherwise(blocks) - 1
+    met = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
+    held = [c for c in ("key", "n", "set_id", "sketch", "root") if c in entries.columns]
+    return entries.select(*held, F.explode(met).alias("m")).select(*held, F.xxhash64("key", "m.x", "m.y").alias("block"))
 
 
 def _united(found: list[DataFrame]) -> DataFrame:
