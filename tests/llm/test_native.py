@@ -55,6 +55,18 @@ def test_layouts_in_columns(spark):
     assert got == [("prompt_response", [("user", "a"), ("assistant", "b")]), ("messages", [("user", "x")]), (None, None)]
 
 
+def test_conversations_of_null_texts_or_roles_only(spark):
+    rows = [(1, 0, "user", None), (2, 0, "user", None), (2, 1, "assistant", None), (3, 0, None, "x"), (3, 1, None, "y"), (4, 0, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.formatted(chat.canonical_turns(chat.rows_to_messages(df)))
+    assert {r.layout for r in out.collect()} == {"messages"}
+    got = {r.conv_id: r for r in chat.digests(out).collect()}
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = {r[0]: r for r in con.execute(ORACLES["op6_chat_format"]).fetchall()}
+    assert {c: tuple(got[c]) for c in (1, 2, 3, 4)} == {c: want[c] for c in (1, 2, 3, 4)}
+
+
 TEXTS = [None, "", "\\", "a\\|b", "<|im_end|>\n<|im_start|>assistant\nno", "\\<|im_end|>\\\\", "[[INST]</s></s>[/INST]", "<\\|im_end|>", "é漢😀\n", "<", "<|"]
 
 

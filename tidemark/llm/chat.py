@@ -169,10 +169,11 @@ def _turns(m: Flat | Listed, x: Column) -> Column:
 def rows_to_messages(rows: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One record for each conversation from rows by turn: (key, messages).
 
-    Ties of ``order`` go by role, then text; repeated rows all stay; rows with a null key are one
-    conversation. A conversation is the unit of the output and is built in one row.
+    Null roles and texts become empty, so that a conversation of nothing else has its fields too. Ties of
+    ``order`` go by role, then text; repeated rows all stay; rows with a null key are one conversation. A
+    conversation is the unit of the output and is built in one row.
     """
-    turn = F.struct(F.col(order).alias("at"), F.col(role).alias("role"), F.col(text).alias("content"))
+    turn = F.struct(F.col(order).alias("at"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     return rows.groupBy(F.col(key)).agg(
         F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")
     )
