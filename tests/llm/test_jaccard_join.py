@@ -150,6 +150,18 @@ def test_edges(spark):
     assert jj.joined(df.limit(0)).count() == 0 and jj.one_of_each(df.limit(0)).count() == 0
 
 
+def test_runs_for_pairs_that_pass_all_splits(spark):
+    """A pair at the threshold must reach TARGET through all levels, at any threshold."""
+    assert abs(jj.survival(0.8, 4) - 0.5765) < 1e-4
+    for bar in (0.6, 0.8, 0.9):
+        missed = 1.0
+        for r in range(jj.runs_through(bar)):
+            missed *= (1 - bar * jj.survival(bar, jj.DEPTH - 1)) ** len(jj.root_coordinates(r, bar))
+        assert missed <= 1 - jj.TARGET
+    large = spark.createDataFrame([(k, b"a", bytes(jj.COORDINATES)) for k in range(400)], "key long, set_id binary, sketch binary")
+    assert jj._split(large, 0.5).count() == 800 and 560 < jj._split(large, 0.6).count() < 760
+
+
 def test_chain_of_links(spark):
     """Components reach over many links."""
     links = [(bytes([0, i]), bytes([0, i + 1])) for i in range(40)] + [(b"\x01\x00", b"\x01\x05")]

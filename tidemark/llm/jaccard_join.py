@@ -49,6 +49,27 @@ def runs_for(threshold: float = THRESHOLD, target: float = TARGET, levels: int =
     return math.ceil(math.log(1 - target) / math.log(1 - threshold**levels))
 
 
+def survival(threshold: float, levels: int) -> float:
+    """Probability that a pair at the threshold is still together in some bucket after ``levels`` splits.
+
+    A split draws one coordinate, or two with the share that makes it 1 / threshold on average.
+    """
+    more, found = min(1.0, 1 / threshold - 1), 1.0
+    for _ in range(levels):
+        one = threshold * found
+        found = (1 - more) * one + more * (1 - (1 - one) ** 2)
+    return found
+
+
+def runs_through(threshold: float = THRESHOLD, target: float = TARGET) -> int:
+    """Runs until a pair at the threshold is found with the target probability, if it has to pass all DEPTH splits."""
+    missed, runs, deeper = 1.0, 0, survival(threshold, DEPTH - 1)
+    while missed > 1 - target:
+        missed *= (1 - threshold * deeper) ** len(root_coordinates(runs, threshold))
+        runs += 1
+    return runs
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return h ^ (h >> np.uint64(29))
@@ -83,11 +104,11 @@ def root_coordinates(run: int, threshold: float = THRESHOLD) -> np.ndarray:
     return rng.permutation(COORDINATES)[:n]
 
 
-def with_sets(docs: DataFrame, text: str, runs: int) -> DataFrame:
+def with_sets(docs: DataFrame, text: str, runs: int, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: id, hash of id and text, hash of its set (null if empty), first buckets and sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picked = [root_coordinates(r) for r in range(runs)]
+        picked = [root_coordinates(r, threshold) for r in range(runs)]
         salt = [np.uint64(0x9E3779B97F4A7C15) * np.uint64(1 + r * COORDINATES) for r in range(runs)]
         for batch in batches:
             sets, keys, sketches = [], [], []
@@ -211,14 +232,14 @@ def _sizes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "of")
 
 
-def _split(entries: DataFrame) -> DataFrame:
-    """The next level: a bucket's key draws its coordinates, always one and a second for a quarter of the buckets."""
+def _split(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The next level: a bucket's key draws its coordinates, one at least and 1 / threshold on average."""
 
     def child(salt: str) -> Column:
         place = F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(COORDINATES)).cast("int") + 1
         return F.xxhash64("key", F.lit(salt), F.substring("sketch", place, F.lit(1)))
 
-    second = F.pmod(F.xxhash64("key", F.lit("more")), F.lit(100)) < round(100 * (1 / THRESHOLD - 1))
+    second = F.pmod(F.xxhash64("key", F.lit("more")), F.lit(100)) < round(100 * (1 / threshold - 1))
     keys = F.when(second, F.array(child("one"), child("two"))).otherwise(F.array(child("one")))
     return entries.select(F.explode(keys).alias("key"), "set_id", "sketch")
 
@@ -239,7 +260,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
         if large.isEmpty():
             return _united(found).distinct(), None
         if level < DEPTH:
-            children = _split(large)
+            children = _split(large, threshold)
             entries = staged(children.join(_sizes(children), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch"), f"join-level-{level + 1}")
     return _united(found).distinct(), large
 
@@ -448,7 +469,7 @@ def joined(
     table gives no row. Other columns are not read.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(doc_id, text).alias("row"), F.col(text).alias("text"))
-    rows = staged(with_sets(dealt(own), "text", runs_for(threshold)), "join-rows")
+    rows = staged(with_sets(dealt(own), "text", runs_through(threshold), threshold), "join-rows")
     some = rows.where("set_id IS NOT NULL")
     members = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "join-members")
     sets = some.select("set_id", "row", "keys", "sketch").join(members.select("set_id", "row"), ["set_id", "row"])
