@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat, fit_packing, graph_search, jaccard_join, language, quality, severity, vector_packing, warc
+from tidemark.llm import (
+    byte_bpe, chat, divergence, fit_packing, graph_search, jaccard_join, kernel_quality, language, quality, resampling, severity,
+    vector_packing, warc,
+)
 from tidemark.llm.common import dealt, staged, table
 from tidemark.llm.matrices import pieces_of
 
@@ -139,3 +142,57 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_filters")
 def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
+
+
+@query("op11_resampling")
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_kernel_quality")
+def op12_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel_quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), found AS (
+  SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(words) AS term FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM found GROUP BY lang, term HAVING count(*) >= 3
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), sums AS (
+  SELECT f.lang, f.source, f.term, sum(f.n)::HUGEINT AS n FROM found f JOIN kept k ON f.lang = k.lang AND f.term = k.term GROUP BY ALL
+), sized AS (
+  SELECT g.lang, g.source, coalesce(v.size, 0)::HUGEINT AS size, coalesce(t.total, 0)::HUGEINT AS total
+  FROM groups g LEFT JOIN (SELECT lang, count(*) AS size FROM kept GROUP BY lang) v ON g.lang = v.lang
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM sums GROUP BY ALL) t ON g.lang = t.lang AND g.source = t.source
+), shares AS (
+  SELECT z.lang, z.source, k.term, coalesce(s.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 1)) // (z.total + z.size) AS p
+  FROM sized z JOIN kept k ON z.lang = k.lang LEFT JOIN sums s ON s.lang = z.lang AND s.source = z.source AND s.term = k.term
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM kept
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), telling AS (
+  SELECT s.lang, s.source, s.term AS item, (s.p - w.q) * (s.p - w.q) // w.q AS value
+  FROM shares s JOIN whole w ON s.lang = w.lang AND s.term = w.term WHERE s.n > 0 AND s.p > w.q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM telling
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
