@@ -52,8 +52,7 @@ def test_against_brute_force(spark):
 
 
 def test_slices_and_blocks_change_nothing(spark, monkeypatch):
-    """Vocabularies of a few terms at a time, blocks of four terms and two sources."""
-    monkeypatch.setattr(divergence, "BLOCK_TERMS", 4)
+    """Vocabularies of a few terms at a time, blocks of two sources."""
     monkeypatch.setattr(divergence, "BLOCK_SOURCES", 2)
     small = [c for c in CASES if not c[2] or len(c[2]) < 1000]
     assert rows(divergence.audit(frame(spark, small), slice_terms=8)) == brute(small)
@@ -71,4 +70,5 @@ def test_top_terms_and_exact_shares(spark):
     assert got == brute(many, top=7)
     assert {r[5] for r in got if r[2] == "term"} == set(range(1, 8))
     big = spark.range(1).select(divergence.share(F.lit(10**17), F.lit(3 * 10**17), F.lit(5)).alias("p")).collect()[0].p
+    assert divergence.shares([10**17], 3 * 10**17 + 5).tolist() == [big]
     assert big == 1 + 10**9 * (10**17 + 1) // (3 * 10**17 + 5) and math.isclose(big, 10**9 / 3, rel_tol=1e-8)

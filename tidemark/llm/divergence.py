@@ -2,9 +2,10 @@
 
 CountVectorizer counts terms that are marked with their language, so one fit gives every language its own
 vocabulary with the least document frequency in that language, however many languages there are. Its
-vocabulary passes through the driver; it is therefore fitted on slices of the terms by their hash, as many as
+vocabulary passes through the driver's JVM; it is therefore fitted on slices of the terms by their hash, as many as
 keep a slice below ``slice_terms`` distinct terms. The documents' sparse vectors are summed per (lang, source)
-on their non-zero entries only, like Summarizer's sums without its dense buffers.
+on their non-zero entries only, like Summarizer's sums without its dense buffers: every task sums its own rows, and
+sums travel as arrays over blocks of terms.
 
 Shares are whole numbers in units of 1e-9 with add-one smoothing, so every figure is exact:
 p = 1 + floor(UNIT * (count + 1) / (N + V)), and a term's divergence of p from q is floor((p - q)^2 / q).
@@ -13,23 +14,27 @@ p = 1 + floor(UNIT * (count + 1) / (N + V)), and a term's divergence of p from q
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dealt, staged
+from tidemark.llm.common import dealt, shared_path, staged
 
 MIN_DF = 3  # documents of the language that a term occurs in at least
 VOCAB_SIZE = 2**31 - 1  # CountVectorizer's largest: no term is cut off
 TOP_TERMS = 200
 UNIT = 1_000_000_000
-SLICE_TERMS = 2_000_000  # distinct terms whose vocabulary the driver holds at once, about 200 MB
-BLOCK_TERMS = 2048  # kept terms of a block
+SLICE_TERMS = 4_000_000  # distinct terms, rare ones included, whose vocabulary the driver's JVM holds at once: 100 bytes each
+BLOCK_TERMS = 8192  # kept terms of a block
 BLOCK_SOURCES = 64  # sources of a block, about
+HELD_ENTRIES = 2_000_000  # sums that a task holds before it hands them on
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between terms
@@ -49,53 +54,164 @@ def marked_terms(docs: DataFrame, lang: str = "lang", source: str = "source", te
 
 
 def slices_of(tokens: DataFrame, slice_terms: int) -> int:
-    """Slices that keep the distinct terms of each below ``slice_terms``, by an approximate count with room for its error."""
+    """Slices that keep the distinct terms of each below ``slice_terms``, by an approximate count."""
     distinct = tokens.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).collect()[0][0]
-    return max(1, math.ceil(1.1 * distinct / slice_terms))
-
-
-def vectorized(tokens: DataFrame, min_df: int) -> tuple[DataFrame, list[str]] | None:
-    """Documents with their exact sparse count vectors, and the vocabulary; None if no term is kept."""
+    return max(1, math.ceil(distinct / slice_terms))
+
+
+def sliced(tokens: DataFrame, slices: int) -> list[DataFrame]:
+    """The tokens by a hash of the term, each slice readable on its own; written once more if there are several."""
+    if slices == 1:
+        return [tokens]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(2)
+            flat = words.flatten().dictionary_encode()
+            codes = flat.indices.to_numpy(zero_copy_only=False)
+            of_word = np.array([xxhash.xxh3_64_intdigest(w) % slices for w in flat.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            key = of_word[codes] * batch.num_rows + row if len(codes) else np.zeros(0, np.int64)
+            order = np.argsort(key, kind="stable")
+            there, first = np.unique(key[order], return_index=True)
+            offsets = pa.array(np.append(first, len(order)), pa.int32())
+            terms = pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(codes[order])))
+            rows = pa.array(there % max(batch.num_rows, 1))
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), terms, pa.array(there // max(batch.num_rows, 1), pa.int32())], names=["lang", "source", "terms", "slice"])
+
+    path = shared_path(tokens.sparkSession, "divergence-slices")
+    parts = tokens.select("lang", "source", "terms").mapInArrow(cut, "lang string, source string, terms array<string>, slice int")
+    parts.write.partitionBy("slice").option("compression", "zstd").parquet(path)
+    back = tokens.sparkSession.read.schema("lang string, source string, terms array<string>, slice int").parquet(path)
+    return [back.where(F.col("slice") == k).drop("slice") for k in range(slices)]
+
+
+def vectorized(tokens: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
+    """Documents with their exact sparse count vectors, and (place, lang, term) of the vocabulary; None if no term is kept.
+
+    The vocabulary is read back from the saved model, so Python on the driver never holds it.
+    """
     try:
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCAB_SIZE).fit(tokens)
     except IllegalArgumentException as none:
         if "vocabulary size should be > 0" in str(none):
             return None
         raise
-    return model.transform(tokens), model.vocabulary
-
-
-def group_sums(tokens: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, place, n): occurrences of kept terms in each group, and (lang, place, term), the kept terms.
-
-    ``place`` numbers the kept terms. Sums are combined before they are shuffled, so a group with a third of
-    all documents brings one row a term and task.
+    path = shared_path(tokens.sparkSession, "divergence-model")
+    model.save(path)
+    names = tokens.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("place", "marked"))
+    own = F.substring_index("marked", _MARK, -1)
+    language = F.expr(f"left(marked, length(marked) - length(substring_index(marked, '{_MARK}', -1)) - 1)")
+    return model.transform(tokens), names.select(F.col("place").cast("long").alias("place"), language.alias("lang"), own.alias("term"))
+
+
+SUMS = "lang string, source string, whole boolean, part long, at array<int>, n array<long>"
+
+
+def _reduced(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def _summed(vectors: DataFrame, first_part: int) -> DataFrame:
+    """SUMS of each task's rows by (lang, source), and by lang alone (``whole``), with one row a block of terms."""
+
+    def rows(groups: dict[tuple[str, str], int], key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = list(groups)
+        langs = sorted({g[0] for g in names})
+        lang_of = np.array([langs.index(g[0]) for g in names], np.int64)
+        of_lang = _reduced((lang_of[key >> 32] << 32) | (key & 0xFFFFFFFF), n)
+        for whole, (k, v), owner in ((False, (key, n), names), (True, of_lang, [(x, None) for x in langs])):
+            place = k & 0xFFFFFFFF
+            block = ((k >> 32) << 32) | (place // BLOCK_TERMS)
+            there, first = np.unique(block, return_index=True)
+            offsets = pa.array(np.append(first, len(k)), pa.int32())
+            own = [owner[c] for c in (there >> 32).tolist()]
+            yield pa.record_batch(
+                [
+                    pa.array([o[0] for o in own], pa.string()), pa.array([o[1] for o in own], pa.string()), pa.array([whole] * len(own), pa.bool_()),
+                    pa.array(first_part + (there & 0xFFFFFFFF), pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(place % BLOCK_TERMS, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())),
+                ],
+                names=["lang", "source", "whole", "part", "at", "n"],
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        keys, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            own = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            code = np.array([groups.setdefault(g, len(groups)) for g in own], np.int64)
+            places = batch.column(2)
+            sizes = np.diff(places.offsets.to_numpy())
+            keys.append((np.repeat(code, sizes) << 32) | places.flatten().to_numpy().astype(np.int64))
+            counts.append(batch.column(3).flatten().to_numpy().astype(np.int64))
+            held += len(keys[-1])
+            if held >= HELD_ENTRIES:
+                key, n = _reduced(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, held = [key], [n], len(key)
+                if held >= HELD_ENTRIES // 2:
+                    yield from rows(groups, key, n)
+                    groups, keys, counts, held = {}, [key[:0]], [n[:0]], 0
+        if held:
+            yield from rows(groups, *_reduced(np.concatenate(keys), np.concatenate(counts)))
+
+    sparse = F.unwrap_udt("vector")
+    entries = vectors.select("lang", "source", sparse["indices"].alias("at"), sparse["values"].alias("n"))
+    return entries.mapInArrow(add, SUMS)
+
+
+def _merged(sums: DataFrame) -> DataFrame:
+    """One row of SUMS for each (lang, source, whole, part), with its ``total``; a task holds one block at a time."""
+
+    def row(key: tuple, dense: np.ndarray) -> tuple:
+        at = np.flatnonzero(dense)
+        return (*key, at.astype(np.int32), dense[at], int(dense.sum()))
+
+    def out(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["lang", "whole", "source", "part", "at", "n", "total"])
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, dense, done = None, np.zeros(BLOCK_TERMS, np.int64), []
+        for batch in batches:
+            for *key, at, n in zip(*(batch[c] for c in ("lang", "whole", "source", "part", "at", "n"))):
+                if now is not None and key != now:
+                    done.append(row(now, dense))
+                    dense[:] = 0
+                now = key
+                dense[at] += n
+            if len(done) >= 200:
+                yield out(done)
+                done = []
+        yield out([*done, row(now, dense)] if now is not None else [])
+
+    by = ["lang", "whole", "source", "part"]
+    schema = "lang string, whole boolean, source string, part long, at array<int>, n array<long>, total long"
+    return sums.repartition(*by).sortWithinPartitions(*by).mapInPandas(merge, schema)
+
+
+def group_sums(tokens: DataFrame, min_df: int = MIN_DF, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame] | None:
+    """Merged sums of kept terms in each group and language, and (place, lang, term) of the kept terms; None if there are none.
+
+    A term stands at ``place`` = part * BLOCK_TERMS + at. Sums are combined before they are shuffled, so a group with a
+    third of all documents brings one row a task and block.
     """
-    spark = tokens.sparkSession
-    slices, sums, kept, first = slices_of(tokens, slice_terms), [], [], 0
-    for k in range(slices):
-        part = tokens
-        if slices > 1:
-            here = F.lit(k)
-            part = tokens.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == here))  # noqa: B023
+    sums, kept, first = [], [], 0
+    for k, part in enumerate(sliced(tokens, slices_of(tokens, slice_terms))):
         if (got := vectorized(part, min_df)) is None:
             continue
-        vectors, vocabulary = got
-        sparse = F.unwrap_udt("vector")
-        entries = vectors.select("lang", "source", F.explode(F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("v"))).alias("e"))
-        summed = entries.groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.v").cast("long")).alias("n"))
-        sums.append(staged(summed.select("lang", "source", (F.col("i") + first).cast("long").alias("place"), "n"), f"divergence-sums-{k}"))
-        names = spark.createDataFrame(pd.DataFrame({"place": np.arange(first, first + len(vocabulary)), "term": vocabulary}), "place long, term string")
-        own = F.substring_index("term", _MARK, -1)
-        language = F.expr(f"left(term, length(term) - length(substring_index(term, '{_MARK}', -1)) - 1)")
-        kept.append(staged(names.select(language.alias("lang"), "place", own.alias("term")), f"divergence-terms-{k}"))
-        first += len(vocabulary)
+        vectors, names = got
+        names = staged(names.withColumn("place", F.col("place") + first * BLOCK_TERMS), f"divergence-terms-{k}")
+        sums.append(staged(_merged(_summed(vectors, first)), f"divergence-sums-{k}"))
+        kept.append(names)
+        first += math.ceil(names.count() / BLOCK_TERMS)
     if not sums:
-        return spark.createDataFrame([], "lang string, source string, place long, n long"), spark.createDataFrame([], "lang string, place long, term string")
-    for more in sums[1:]:
-        sums[0] = sums[0].unionByName(more)
-    for more in kept[1:]:
-        kept[0] = kept[0].unionByName(more)
+        return None
+    for more in (sums, kept):
+        while len(more) > 1:
+            more[0] = more[0].unionByName(more.pop())
     return sums[0], kept[0]
 
 
@@ -105,47 +221,65 @@ def share(count: Column, total: Column, size: Column) -> Column:
     return F.when(total + size > 0, 1 + F.call_function("div", above, (total + size).cast("decimal(20,0)"))).cast("long")
 
 
-def divergence(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
+def shares(n: np.ndarray, whole: int) -> np.ndarray:
+    """The same for an array of counts; ``whole`` is total + size."""
+    n = np.asarray(n, np.int64)
+    if len(n) and n.max() >= 9_000_000_000:  # beyond 64 bits: Python's own whole numbers
+        return np.array([1 + UNIT * (int(k) + 1) // int(whole) for k in n], np.int64)
+    return 1 + UNIT * (n + 1) // int(whole)
 
 
-def _shares(sums: DataFrame, kept: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups with the language's vocabulary size and the share ``p0`` of a term that the group lacks; entries with share p."""
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    roster = groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["size", "total"])
-    roster = staged(roster.withColumn("p0", share(F.lit(0), F.col("total"), F.col("size"))), "divergence-groups")
-    entries = sums.join(roster, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("size")))
-    return roster, entries.select("lang", "source", "place", "n", "p")
+def divergence(p: Column, q: Column) -> Column:
+    return F.call_function("div", (p - q) * (p - q), q)
 
 
-def term_rows(sums: DataFrame, kept: DataFrame, entries: DataFrame) -> DataFrame:
-    """(lang, source, item, value): the terms of each group that it holds a larger share of than its language does."""
-    of_lang = sums.groupBy("lang", "place").agg(F.sum("n").alias("n"))
-    whole = of_lang.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
-    q = of_lang.join(whole, "lang").select("lang", "place", share(F.col("n"), F.col("total"), F.col("size")).alias("q"))
-    more = entries.join(q, ["lang", "place"]).where("p > q").select("lang", "source", "place", divergence(F.col("p"), F.col("q")).alias("value"))
-    return more.join(kept, ["lang", "place"]).select("lang", "source", F.col("term").alias("item"), "value")
+def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // q
 
 
-def pair_values(entries: DataFrame, roster: DataFrame) -> DataFrame:
+def term_rows(sums: DataFrame, kept: DataFrame, roster: DataFrame, top: int = TOP_TERMS) -> DataFrame:
+    """(lang, source, item, value): of each group and block the terms that the group holds a larger share of than its
+    language does, as far as they are among the block's ``top`` values or equal to the last of them."""
+    of_lang = sums.where("whole")
+    totals = of_lang.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    q = of_lang.join(totals, "lang").select("lang", "part", F.col("at").alias("lang_at"), F.col("n").alias("lang_n"), "lang_total")
+    own = sums.where("NOT whole").join(roster.select("lang", "source", "size", F.col("total").alias("own_total")), ["lang", "source"])
+    both = own.select("lang", "source", "part", "at", "n", "size", "own_total").join(q, ["lang", "part"])
+
+    def telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                dense = np.zeros(BLOCK_TERMS, np.int64)
+                dense[r.lang_at] = shares(r.lang_n, r.lang_total + r.size)
+                p, q = shares(r.n, r.own_total + r.size), dense[r.at]
+                value, at = _f(p, q)[p > q], np.asarray(r.at)[p > q]
+                if len(value) > top:
+                    stays = value >= np.partition(value, -top)[-top]
+                    value, at = value[stays], at[stays]
+                yield pd.DataFrame({"lang": r.lang, "source": r.source, "place": r.part * BLOCK_TERMS + at.astype(np.int64), "value": value})
+
+    found = both.mapInPandas(telling, "lang string, source string, place long, value long")
+    return found.join(kept.select("place", F.col("term").alias("item")), "place").select("lang", "source", "item", "value")
+
+
+def pair_values(sums: DataFrame, roster: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every two sources of a language, from entries that are not zero.
 
     A pair's value is size * f(p0, q0), as if all terms were lacking, plus what present terms change. Entries meet in
     blocks of BLOCK_TERMS terms and two blocks of sources, which bounds what a task holds; a block gives one row a pair.
     """
     counts = roster.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SOURCES).cast("long").alias("blocks"))
-    sources = roster.join(counts, "lang").select("lang", "source", "size", "p0", "blocks", F.pmod(F.xxhash64("source"), F.col("blocks")).alias("own"))
-    met = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y")))).alias("m")
-    rows = entries.withColumn("part", F.expr(f"place div {BLOCK_TERMS}"))
-    parts = rows.select("lang", "part").distinct()
-    present = rows.join(sources, ["lang", "source"]).select("lang", "part", "own", "source", "p0", "place", "p", met)
-    listed = parts.join(sources, "lang").select("lang", "part", "own", "source", "p0", F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("p"), met)
-    meetings = present.unionByName(listed).select("lang", "part", "own", "source", "p0", "place", "p", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
+    sources = roster.join(counts, "lang").withColumn("own", F.pmod(F.xxhash64("source"), F.col("blocks")))
+    parts = sums.where("whole").select("lang", "part")
+    entries = sums.where("NOT whole").select("lang", "source", "part", "at", "n")
+    listed = sources.join(parts, "lang").select("lang", "source", "part", "own", "blocks", "size", "total", "p0").join(entries, ["lang", "source", "part"], "left")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y")))
+    meetings = listed.select("lang", "part", "own", "source", "size", "total", "p0", "at", "n", F.explode(met).alias("m"))
+    meetings = meetings.select("lang", "part", "own", "source", "size", "total", "p0", "at", "n", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
     changed = meetings.groupBy("lang", "part", "x", "y").applyInPandas(_changes, "lang string, source string, item string, value long")
     changed = changed.groupBy("lang", "source", "item").agg(F.sum("value").alias("changed"))
-    a = sources.select("lang", "source", "size", F.col("p0").alias("p"))
-    b = sources.select("lang", F.col("source").alias("item"), F.col("p0").alias("q"))
+    a = roster.select("lang", "source", "size", F.col("p0").alias("p"))
+    b = roster.select("lang", F.col("source").alias("item"), F.col("p0").alias("q"))
     pairs = a.join(b, "lang").where("source <> item").join(changed, ["lang", "source", "item"], "left")
     base = F.when(F.col("size") > 0, F.col("size") * divergence(F.col("p"), F.col("q"))).otherwise(0)
     return pairs.select("lang", "source", "item", (base + F.coalesce("changed", F.lit(0))).alias("value"))
@@ -153,41 +287,38 @@ def pair_values(entries: DataFrame, roster: DataFrame) -> DataFrame:
 
 def _changes(meeting: pd.DataFrame) -> pd.DataFrame:
     """What the present terms of one block change in every pair of its sources."""
-    roster = meeting[meeting["place"].isna()].sort_values("source")
-    names, block, p0 = roster["source"].tolist(), roster["own"].to_numpy(), roster["p0"].to_numpy(np.int64)
-    number = {s: k for k, s in enumerate(names)}
-    rows = meeting[meeting["place"].notna()]
-    who = rows["source"].map(number).to_numpy(np.int64)
-    places = rows["place"].to_numpy(np.int64)
-    order = np.lexsort((places, who))
-    who, term, p = who[order], places[order] % BLOCK_TERMS, rows["p"].to_numpy(np.int64)[order]
-    starts = np.searchsorted(who, np.arange(len(names) + 1))
-    x, y = int(meeting["x"].iloc[0]), int(meeting["y"].iloc[0])
+    names, block, p0 = meeting["source"].tolist(), meeting["own"].to_numpy(), meeting["p0"].to_numpy(np.int64)
+    at = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in meeting["at"]]
+    own = [shares(n, t + z) if len(a) else a for a, n, t, z in zip(at, meeting["n"], meeting["total"], meeting["size"])]
+    starts = np.concatenate([[0], np.cumsum([len(a) for a in at])])
+    who, term, p = np.repeat(np.arange(len(names)), np.diff(starts)), np.concatenate(at), np.concatenate(own)
+    q0, x, y = p0[who], int(meeting["x"].iloc[0]), int(meeting["y"].iloc[0])
     out: list[tuple[str, str, int]] = []
     for a in range(len(names)):
-        own_p, own_t = p[starts[a] : starts[a + 1]], term[starts[a] : starts[a + 1]]
         dense = np.zeros(BLOCK_TERMS, np.int64)
-        dense[own_t] = own_p
+        dense[at[a]] = own[a]
         other = (block == (y if block[a] == x else x)) & (np.arange(len(names)) != a)
-        # terms that only a is sure to hold, against each other source's share of a lacking term
-        values, times = np.unique(own_p, return_counts=True)
+        # a's terms as if the other source lacked them
+        values, times = np.unique(own[a], return_counts=True)
         lacking = _f(p0[a], p0)
         change = np.array([int((times * (_f(values, q) - z)).sum()) for q, z in zip(p0, lacking)], np.int64)
-        # the other sources' terms: alone, or together with a
+        # the other sources' terms: together with a, or alone
         met = dense[term]
-        q0 = p0[who]
         both = np.where(met > 0, _f(np.maximum(met, 1), p) - _f(np.maximum(met, 1), q0), _f(p0[a], p) - lacking[who])
-        if len(both):
-            sums = np.concatenate([[0], np.cumsum(both)])
-            change += sums[starts[1:]] - sums[starts[:-1]]
+        sums = np.concatenate([[0], np.cumsum(both)])
+        change += sums[starts[1:]] - sums[starts[:-1]]
         out += [(names[a], names[b], int(change[b])) for b in np.flatnonzero(other)]
     got = pd.DataFrame(out, columns=["source", "item", "value"])
     got.insert(0, "lang", meeting["lang"].iloc[0])
     return got
 
 
-def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return (p - q) * (p - q) // q
+def _roster(sums: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups with the language's vocabulary size, their total and the share ``p0`` of a term that the group lacks."""
+    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    totals = sums.where("NOT whole").groupBy("lang", "source").agg(F.sum("total").alias("total"))
+    roster = groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["size", "total"])
+    return staged(roster.withColumn("p0", share(F.lit(0), F.col("total"), F.col("size"))), "divergence-groups")
 
 
 def audit(
@@ -205,9 +336,12 @@ def audit(
     """
     tokens = staged(marked_terms(dealt(docs.select(lang, source, text)), lang, source, text), "divergence-tokens")
     groups = staged(tokens.select("lang", "source").distinct(), "divergence-roster")
-    sums, kept = group_sums(tokens, min_df, slice_terms)
-    roster, entries = _shares(sums, kept, groups)
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    pairs = pair_values(entries, roster).withColumn("rank", place).withColumn("part", F.lit("pair"))
-    telling = term_rows(sums, kept, entries).withColumn("rank", place).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    if (got := group_sums(tokens, min_df, slice_terms)) is None:
+        pairs = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
+        return pairs.withColumns({"rank": place, "part": F.lit("pair")}).select("lang", "source", "part", "item", "value", "rank")
+    sums, kept = got
+    roster = _roster(sums, kept, groups)
+    pairs = pair_values(sums, roster).withColumn("rank", place).withColumn("part", F.lit("pair"))
+    telling = term_rows(sums, kept, roster, top).withColumn("rank", place).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
     return pairs.unionByName(telling).select("lang", "source", "part", "item", "value", "rank")
