@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, dealt, small_batches, staged
+from tidemark.llm.common import dealt, small_batches, staged
 
 BUCKETS = 10_000
 LONGEST = 3  # words in a feature at most
@@ -32,10 +33,10 @@ MIN_WORDS = 20
 SEED = 42
 DIGIT_BITS = 11
 BLOCK_ROWS, MOST_BLOCKS = 16_384, 4096  # positions of a block at least, and blocks at most
-MAX_WORDS = 200_000  # remembered words in one Python worker, about 40 MB
+MAX_WORDS = 200_000  # remembered words in one Python worker, about 50 MB
+TOGETHER = 1_000_000  # bytes of text whose features are hashed at once
 
-_SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(rb"[0-9a-z\x80-\xFF]+")  # of UTF-8 whose A-Z are lower-cased
 
 
 def _zero_byte() -> np.ndarray:
@@ -73,46 +74,94 @@ class Checksums:
 
     def joined(self, before: np.ndarray, after: np.ndarray, size: np.ndarray) -> np.ndarray:
         """CRCs of texts with CRC ``before``, each followed by one of ``size`` bytes with CRC ``after``."""
-        t, rest = self.tables, before
-        out = after.copy()
+        flat, at, out = self.tables.ravel(), size * 1024, after.copy()
         for k in range(4):
-            out ^= t[size, k, (rest >> np.uint32(8 * k)) & np.uint32(255)]
+            out ^= flat.take(at + (256 * k) + ((before >> np.uint32(8 * k)) & np.uint32(255)))
         return out
 
 
-LONG_WORD = 256  # bytes; features with longer words take their checksum from their text
+LONG_WORD = 256  # bytes; texts with longer words take their checksums from the features' bytes
 
 _checksums = Checksums()
 _checksums.longer(LONG_WORD + 1)
 
 
-def _facts(word: str) -> tuple[int, int, int]:
-    """CRC of a word and of the word behind a space, and the bytes of the latter."""
-    data = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data), zlib.crc32(b" " + data), len(data) + 1
+class Words(dict):
+    """Numbers of words, with the CRC of a word, that of the word behind a space, and the bytes of the latter.
 
+    It starts anew when it holds MAX_WORDS.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.facts: list[tuple[int, int, int]] = []
+        self.table = np.zeros((0, 3), np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.facts)
+        self.facts.append((zlib.crc32(word), zlib.crc32(b" " + word), len(word) + 1))
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The facts of each word, as columns."""
+        if len(self) > MAX_WORDS:
+            self.clear()
+            self.facts, self.table = [], self.table[:0]
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.facts) > len(self.table):
+            self.table = np.concatenate([self.table, np.array(self.facts[len(self.table) :], np.int64).reshape(-1, 3)])
+        return self.table[numbers].T
 
-_facts_of = Memo(_facts, MAX_WORDS)
 
+_words = Words()
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_SMALL))
 
+def words(text: bytes | str | None) -> list[bytes]:
+    """Runs of letters, digits and characters above ASCII, only A-Z lower-cased, as UTF-8."""
+    return _WORD.findall((text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower())
 
-def buckets(own: list[str]) -> np.ndarray:
-    """The bucket of every feature of a document's words, repeats included: CRC-32 of its UTF-8 bytes modulo BUCKETS."""
-    if not own:
-        return np.zeros(0, np.int64)
-    facts = np.array([_facts_of[w] for w in own], np.int64)
-    if facts[:, 2].max() > LONG_WORD:
-        texts = (" ".join(own[i : i + n]) for n in range(1, LONGEST + 1) for i in range(len(own) - n + 1))
-        return np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in texts], np.int64)
-    alone, behind, size = facts[:, 0].astype(np.uint32), facts[:, 1].astype(np.uint32), facts[:, 2]
-    out, run = [alone], alone
+
+def _from_bytes(own: list[bytes]) -> np.ndarray:
+    return np.array([zlib.crc32(b" ".join(own[i : i + n])) % BUCKETS for i in range(len(own)) for n in range(1, LONGEST + 1) if i + n <= len(own)], np.int64)
+
+
+def buckets(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every feature of many texts' words, repeats included, and the number of the text it is in.
+
+    A bucket is the CRC-32 of the feature's UTF-8 bytes modulo BUCKETS.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    alone, behind, size = _words.of([w for t in texts for w in t])
+    text = np.repeat(np.arange(len(texts)), sizes)
+    odd = np.unique(text[size > LONG_WORD + 1])
+    size = np.minimum(size, LONG_WORD + 1)
+    run, alone, behind = alone.astype(np.uint32), alone.astype(np.uint32), behind.astype(np.uint32)
+    found, owner = [alone], [text]
     for n in range(1, LONGEST):
-        run = _checksums.joined(run[: len(own) - n], behind[n:], size[n:])
-        out.append(run)
-    return np.concatenate(out).astype(np.int64) % BUCKETS
+        if len(text) <= n:
+            break
+        run = _checksums.joined(run[: len(text) - n], behind[n:], size[n:])
+        inside = text[n:] == text[:-n]
+        found.append(run[inside])
+        owner.append(text[:-n][inside])
+    bucket, owner = np.concatenate(found).astype(np.int64) % BUCKETS, np.concatenate(owner)
+    if len(odd):
+        stays = ~np.isin(owner, odd)
+        more = [_from_bytes(texts[k]) for k in odd.tolist()]
+        bucket, owner = np.concatenate([bucket[stays], *more]), np.concatenate([owner[stays], np.repeat(odd, [len(m) for m in more])])
+    return bucket, owner
+
+
+def _together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Stretches of rows with the words of their texts, about TOGETHER bytes of text at once."""
+    for batch in batches:
+        data = batch.column(column).cast(pa.binary())
+        ends = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(data).to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            yield batch.slice(at, to - at), [words(t) for t in data.slice(at, to - at).to_pylist()]
+            at = to
 
 
 def bucket_counts(texts: DataFrame, text: str = "text") -> np.ndarray:
@@ -120,9 +169,8 @@ def bucket_counts(texts: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n += np.bincount(buckets(words(t)), minlength=BUCKETS)
+        for _, own in _together(batches, 0):
+            n += np.bincount(buckets(own)[0], minlength=BUCKETS)
         there = np.flatnonzero(n)
         yield pa.record_batch([pa.array(there, pa.int64()), pa.array(n[there], pa.int64())], names=["bucket", "n"])
 
@@ -151,15 +199,16 @@ def scored(docs: DataFrame, gain: np.ndarray, doc_id: str = "doc_id", text: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for i, t in zip(ids, batch.column(1).to_pylist()):
-                own = words(t)
-                found = buckets(own)
-                weight = int(gain[found].sum())
-                rows.append((len(own), len(found), weight, weight + noise(i, seed)))
-            columns = [batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))]
-            yield pa.record_batch(columns, names=["doc_id", "n_words", "n_features", "weight", "score"])
+        for rows, own in _together(batches, 1):
+            bucket, owner = buckets(own)
+            order = np.argsort(owner, kind="stable")
+            sums = np.concatenate([[0], np.cumsum(gain[bucket[order]])])
+            n = np.bincount(owner, minlength=len(own))
+            ends = np.cumsum(n)
+            weight = sums[ends] - sums[ends - n]
+            drawn = weight + np.array([noise(i, seed) for i in rows.column(0).to_pylist()], np.int64)
+            columns = [np.array([len(w) for w in own], np.int64), n, weight, drawn]
+            yield pa.record_batch([rows.column(0), *map(pa.array, columns)], names=["doc_id", "n_words", "n_features", "weight", "score"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return small_batches(own).mapInArrow(score, "doc_id long, n_words long, n_features long, weight long, score long")
