@@ -14,6 +14,8 @@ p = 1 + floor(UNIT * (count + 1) / (N + V)), and a term's divergence of p from q
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dealt, shared_path, staged
+from tidemark.llm.common import dealt, shared_path, small_batches, staged
 
 MIN_DF = 3  # documents of the language that a term occurs in at least
 VOCAB_SIZE = 2**31 - 1  # CountVectorizer's largest: no term is cut off
@@ -36,33 +38,48 @@ BLOCK_TERMS = 8192  # kept terms of a block
 BLOCK_SOURCES = 64  # sources of a block, about
 HELD_ENTRIES = 2_000_000  # sums that a task holds before it hands them on
 
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between terms
+COUNTED = 64  # one term in so many, by its hash, is counted to estimate how many there are
+
+_TERM = re.compile(rb"[a-z\x80-\xFF]+")  # of UTF-8 whose A-Z are lower-cased
 _MARK = "\x01"  # stands between language and term; no term holds it
 
 
-def terms(text: Column) -> Column:
-    """The terms of a whole text: runs of ASCII letters and characters above ASCII, only A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(text, _CAPITALS, _SMALL), _BETWEEN), "")
+def terms(text: bytes) -> list[bytes]:
+    """The terms of a whole text in UTF-8: runs of ASCII letters and characters above ASCII, only A-Z lower-cased."""
+    return _TERM.findall(text.lower())
 
 
 def marked_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, terms): every document's terms, each behind its language; nulls count as ''."""
+    """(lang, source, terms, counted): every document's terms, each behind its language; nulls count as ''.
+
+    ``counted`` holds hashes of those of its terms that stand for COUNTED others.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends, counted = [], [0], []
+            for mark, data in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                mark = (mark + _MARK).encode()
+                own = [mark + t for t in terms(data)]
+                flat += own
+                ends.append(len(flat))
+                counted.append([h for h in map(zlib.crc32, set(own)) if h % COUNTED == 0])
+            marked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
+            yield pa.record_batch([batch.column(0), batch.column(1), marked, pa.array(counted, pa.list_(pa.int64()))], names=["lang", "source", "terms", "counted"])
+
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    behind = F.transform(terms(F.col("text")), lambda t: F.concat(F.col("lang"), F.lit(_MARK), t))
-    return plain.select("lang", "source", behind.alias("terms"))
+    return small_batches(plain).mapInArrow(cut, "lang string, source string, terms array<string>, counted array<long>")
 
 
 def slices_of(tokens: DataFrame, slice_terms: int) -> int:
-    """Slices that keep the distinct terms of each below ``slice_terms``, by an approximate count."""
-    distinct = tokens.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).collect()[0][0]
-    return max(1, math.ceil(distinct / slice_terms))
+    """Slices that keep the distinct terms of each below ``slice_terms``, estimated from one in COUNTED."""
+    return max(1, math.ceil(COUNTED * tokens.select(F.explode("counted")).distinct().count() / slice_terms))
 
 
 def sliced(tokens: DataFrame, slices: int) -> list[DataFrame]:
     """The tokens by a hash of the term, each slice readable on its own; written once more if there are several."""
     if slices == 1:
-        return [tokens]
+        return [tokens.select("lang", "source", "terms")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
