@@ -10,19 +10,51 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
-from tidemark.llm.common import Memo
 from tidemark.llm.pretokens import pretokens
 
 FILE = "byte_bpe_50k.json"
 END_ID = 1  # stands after each document
-MAX_PIECES = 400_000  # remembered pieces in one Python worker, about 100 MB
+MAX_PIECES = 1_000_000  # remembered pieces in one Python worker, about 200 MB
+
+
+# The bytes that byte-level vocabularies write as the character of the same number; the others follow from 256 on.
+PRINTED = (range(33, 127), range(161, 173), range(174, 256))
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = {b for r in PRINTED for b in r}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """The ids of pieces, each piece looked up in the library's model once while it is remembered.
+
+    There are two generations of at most MAX_PIECES / 2, so pieces that recur stay and memory is bounded.
+    """
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.characters, self.older = model, byte_characters(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MAX_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            written = piece.encode().decode("latin-1").translate(self.characters)
+            ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        self[piece] = ids
+        return ids
 
 
 class LibraryTokens:
     """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     Where the file's model cuts a text by the byte-level pattern and changes nothing before, the
-    pieces are independent, so the library is asked once for each distinct piece.
+    pieces are independent, so the library's model is asked once for each piece.
     """
 
     def __init__(self, path: str):
@@ -38,20 +70,13 @@ class LibraryTokens:
             and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         )
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces = Memo(self._whole, MAX_PIECES)
+        self.pieces = Pieces(self.library.model)
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers; new pieces of all texts go to the library together."""
-        cuts = [pretokens(t) if self.by_piece and not any(s in t for s in self.special) else None for t in texts]
-        known = self.pieces
-        new = [p for p in set().union(*filter(None, cuts)) if p not in known]
-        if len(new) + len(known) <= known.limit:
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[p] = array("I", e.ids).tobytes()
-        return [self._whole(t) if cut is None else b"".join(map(known.__getitem__, cut)) for t, cut in zip(texts, cuts)]
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_piece or any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, pretokens(text)))
 
 
 @lru_cache(maxsize=2)
@@ -59,17 +84,8 @@ def tokens(path: str) -> LibraryTokens:
     return LibraryTokens(path)
 
 
-TOGETHER = 1_000_000  # characters of texts cut at once
-
-
 def document_ids(texts, path: str | None = None, end_id: int = END_ID):
     """For each text its ids followed by ``end_id``, as a uint32 array; null as empty."""
     own, end = tokens(path or public_tokenizers.path(FILE)), array("I", [end_id]).tobytes()
-    waiting, held = [], 0
-    for k, text in enumerate(texts, 1):
-        waiting.append(text or "")
-        held += len(text or "")
-        if held >= TOGETHER or k == len(texts):
-            for ids in own.encode(waiting):
-                yield np.frombuffer(ids + end, "<u4")
-            waiting, held = [], 0
+    for text in texts:
+        yield np.frombuffer(own.encode(text or "") + end, "<u4")

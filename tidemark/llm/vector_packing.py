@@ -28,37 +28,44 @@ class Limits:
 
 
 class Held:
-    """Waiting pieces with their demands, as rows of a matrix."""
+    """Waiting pieces with their demands, one line of a matrix for each limit; a piece that is taken demands without end."""
 
     def __init__(self, limits: Limits):
         self.limits = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
         self.pieces: list[Piece | None] = []
-        self.demand = np.zeros((0, 3))
-        self.live = np.zeros(0, bool)
+        self.demand = np.zeros((3, 0))
+        self.share = np.zeros((3, 0))
+        self.left = 0
 
     def __len__(self) -> int:
-        return int(self.live.sum())
+        return self.left
+
+    @property
+    def live(self) -> np.ndarray:
+        return np.isfinite(self.demand[0])
 
     def refill(self, pieces: list[Piece]) -> None:
         kept = [p for p, alive in zip(self.pieces, self.live) if alive] + pieces
-        self.pieces = kept
-        self.demand = np.array([(len(p.ids), 1, p.loss) for p in kept], float).reshape(-1, 3)
-        self.live = np.ones(len(kept), bool)
+        self.pieces, self.left = kept, len(kept)
+        self.demand = np.array([(len(p.ids), 1, p.loss) for p in kept], float).reshape(-1, 3).T.copy()
+        self.share = self.demand / self.limits[:, None]
 
     def best(self, room: np.ndarray) -> int | None:
         """The piece that fits and points most in the direction of the room left; ties to the first that came."""
-        fits = self.live & (self.demand <= room).all(axis=1)
+        fits = (self.demand[0] <= room[0]) & (self.demand[1] <= room[1]) & (self.demand[2] <= room[2])
         if not fits.any():
             return None
-        worth = (self.demand / self.limits) @ (room / self.limits)
-        return int(np.where(fits, worth, -1.0).argmax())
+        return int(np.where(fits, room / self.limits @ self.share, -1.0).argmax())
 
     def take(self, k: int) -> Piece:
-        self.live[k] = False
+        self.demand[:, k], self.share[:, k] = np.inf, 0.0
+        self.left -= 1
         return self.pieces[k]
 
     def put(self, k: int, piece: Piece) -> None:
-        self.pieces[k], self.demand[k], self.live[k] = piece, (len(piece.ids), 1, piece.loss), True
+        self.pieces[k] = piece
+        self.demand[:, k] = len(piece.ids), 1, piece.loss
+        self.share[:, k] = self.demand[:, k] / self.limits
 
 
 def loss_within(n: int, loss: int, start: int, end: int) -> int:
@@ -95,7 +102,7 @@ def packed(items: Iterable[tuple], limits: Limits, fill: bool = True, held: int
             return
         room, sequence = waiting.limits.copy(), []
         while (k := waiting.best(room)) is not None:
-            room -= waiting.demand[k]
+            room -= waiting.demand[:, k]
             sequence.append(waiting.take(k))
         if fill and room[0] >= limits.min_cut and room[1] >= 1:
             k = _to_cut(waiting, room, limits)
@@ -108,8 +115,8 @@ def packed(items: Iterable[tuple], limits: Limits, fill: bool = True, held: int
 
 def _to_cut(waiting: Held, room: np.ndarray, limits: Limits) -> int | None:
     """The longest waiting piece whose head and tail are both long enough."""
-    size = waiting.demand[:, 0]
-    at = np.minimum(room[0], size - waiting.demand[:, 2] + room[2])
+    size = np.where(waiting.live, waiting.demand[0], -np.inf)
+    at = np.minimum(room[0], size - np.where(waiting.live, waiting.demand[2], 0) + room[2])
     fits = waiting.live & (at >= limits.min_cut) & (at <= size - limits.min_cut)
     return int(np.where(fits, size, -1.0).argmax()) if fits.any() else None
 
