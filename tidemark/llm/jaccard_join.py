@@ -4,11 +4,14 @@ Every text is a set of hashed shingles, and every set is embedded by min-hashing
 smallest value of hash i. A run starts with all sets in one bucket and splits buckets: a bucket samples
 coordinates, one and a quarter on average for a similarity of 0.8, and each set goes on to the bucket of
 the value it has there, so two sets stay together as often as they share sampled values. Buckets that are
-small enough are compared by brute force; larger ones are split again. Buckets that stay large hold dense
-groups: they are dealt into blocks, one set of each class found meets the others', and then every two sets that are not yet
-of one class. Runs are repeated until a
-pair at the threshold is found with the target probability. Sets that may be close meet again with their
-full sets, where every pair of them is checked.
+small enough are compared by brute force; larger ones are split again. Runs are repeated until a pair at the
+threshold is found with the target probability. Sets that may be close meet again with their full sets, where
+every pair of them is checked.
+
+Dense groups are settled before anything is split: their sets are dealt into blocks a few times, which joins most of a
+group in one class. A bucket that is mostly of one class gives that class up: its other sets meet the class's members
+once, however many runs and buckets they share, and only they are split on. Buckets that stay large at the end are dealt
+into blocks until every two sets that are not of one class have met.
 
 Equal sets count once throughout, so copies are never paired with each other.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,12 @@ THRESHOLD = 0.8
 TARGET = 0.999  # probability with which a pair at the threshold is found
 COORDINATES = 128
 SMALL = 128  # sets compared by brute force in one bucket
-BLOCK = 64  # sets of a class counted against another block's at once
-COLUMNS = 20_000  # distinct shingles looked at together when links are counted
+BLOCK = 1024  # sets of a class counted against another block's at once
+BLOCK_BYTES = 32 << 20  # shingles of such a block, about
+CELLS = 20_000_000  # of a 0/1 matrix of sets and shingles looked at together
+SETTLING = 3  # times that the sets of large buckets are dealt into blocks before splitting
+MOSTLY = 0.75  # share of a large bucket's sets in one class from which the class is taken out
+MET_SKETCHES, MET_SETS = 2048, 256  # members of a class in a block that other sets meet by sketches, and in full
 DEPTH = 4  # levels of splitting before a bucket counts as dense
 BYTES = 5  # of a shingle's hash, kept for the exact check
 MAX_WORDS = 300_000  # remembered word hashes in one Python worker
@@ -244,25 +252,127 @@ def _split(entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return entries.select(F.explode(keys).alias("key"), "set_id", "sketch")
 
 
-def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct (meeting, set_id) of the small buckets, and the rows of the buckets that stay large, if there are any.
-
-    ``sets`` has one row (set_id, keys, sketch) for each distinct set.
-    """
+def first_entries(sets: DataFrame) -> DataFrame:
+    """(key, n, set_id, sketch) for the first buckets of all runs that hold several sets."""
     first = sets.select(F.explode("keys").alias("key"), "set_id")
     live = first.join(_sizes(first), F.col("key") == F.col("of")).select("key", "n", "set_id")
-    entries = staged(live.join(sets.select("set_id", "sketch"), "set_id"), "join-level-1")
-    found = []
+    return staged(live.join(sets.select("set_id", "sketch"), "set_id"), "join-level-1")
+
+
+def settled(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and classes (set_id, root) among the sets of large buckets, each set once in its largest bucket.
+
+    They are dealt into blocks SETTLING times, later ones only for pairs that are not of one class. This misses
+    links, which the buckets then find; it makes a dense group one class for the most part.
+    """
+    once = large.groupBy("set_id").agg(F.max_by("key", F.struct("n", "key")).alias("key"), F.min("sketch").alias("sketch"))
+    once = staged(once, "join-settling")
+    placed = once.join(_keyed(once.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n"))), F.col("key") == F.col("of")).drop("of")
+    found: list[DataFrame] = []
+    root = None
+    for turn in range(SETTLING):
+        part = F.pmod(F.xxhash64("set_id", "key", F.lit(100 + turn)), F.ceil(F.col("n") / SMALL).cast("long"))
+        blocks = placed.withColumn("block", F.xxhash64("key", part, F.lit(100 + turn)))
+        if root is not None:
+            blocks = blocks.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        found.append(staged(checked(_meetings(blocks, threshold).distinct(), sets, threshold), f"join-settled-{turn}"))
+        root = staged(components(_united(found)), f"join-settled-roots-{turn}")
+    return _united(found), root
+
+
+def _keyed(by_key: DataFrame) -> DataFrame:
+    """A table with one row for each large bucket, broadcast if its counted size allows."""
+    by_key = staged(by_key, "join-keys")
+    return F.broadcast(by_key) if by_key.count() <= 200_000 else by_key
+
+
+def taken_out(large: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large buckets without the class that makes up most of them, with the sets' roots, and (class, set_id) that share such a bucket."""
+    rooted = large.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = staged(rooted.select("key", "n", "set_id", "sketch", "root"), "join-rooted")
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy(F.col("key").alias("of")).agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.max("c").alias("majors"), F.sum("c").alias("all"))
+    both = rooted.join(_keyed(most), F.col("key") == F.col("of")).drop("of")
+    given = F.col("majors") >= MOSTLY * F.col("all")
+    left = both.where(~given | (F.col("root") != F.col("most"))).withColumn("n", F.when(given, F.col("all") - F.col("majors")).otherwise(F.col("n")))
+    others = both.where(given & (F.col("root") != F.col("most"))).select(F.col("most").alias("class"), "set_id").distinct()
+    return left.select("key", "n", "set_id", "sketch", "root").where("n > 1"), others
+
+
+def candidates(entries: DataFrame, root: DataFrame | None, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Distinct (meeting, set_id) of the small buckets; the rows of buckets that stay large, and (class, set_id) to meet, if there are any.
+
+    ``entries`` are the first buckets; ``root`` names the classes of settled sets, (set_id, root).
+    """
+    found, others = [], []
     for level in range(1, DEPTH + 1):
         small = entries.where(F.col("n") <= SMALL)
-        found.append(staged(_meetings(small.withColumn("block", F.col("key")), threshold), f"join-found-{level}"))
         large = entries.where(F.col("n") > SMALL)
+        found.append(staged(_meetings(small.withColumn("block", F.col("key")), threshold), f"join-found-{level}"))
+        if root is None or large.isEmpty():
+            large = None
+            break
+        left, met = taken_out(large, root)
+        left = staged(left, f"join-left-{level}")
+        others.append(staged(met, f"join-others-{level}"))
+        found.append(staged(_meetings(left.where(F.col("n") <= SMALL).withColumn("block", F.xxhash64("key", F.lit("left"))), threshold), f"join-found-left-{level}"))
+        large = left.where(F.col("n") > SMALL).drop("root")
         if large.isEmpty():
-            return _united(found).distinct(), None
+            large = None
+            break
         if level < DEPTH:
             children = _split(large, threshold)
             entries = staged(children.join(_sizes(children), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch"), f"join-level-{level + 1}")
-    return _united(found).distinct(), large
+    return _united(found).distinct(), large, _united(others).distinct() if others else None
+
+
+def _class_blocks(others: DataFrame, root: DataFrame, per_block: int) -> DataFrame:
+    """(class, block, set_id, member): the members and other sets of each class in pairs of blocks, so that each other set meets each member."""
+    named = others.select("class").distinct()
+    members = root.join(named, F.col("root") == F.col("class")).select("class", "set_id", F.lit(True).alias("member"))
+    members = members.unionByName(named.select("class", F.col("class").alias("set_id"), F.lit(True).alias("member"))).distinct()
+    both = members.unionByName(others.select("class", "set_id", F.lit(False).alias("member")))
+    sizes = both.groupBy("class").agg(*[F.ceil(F.count_if(F.col("member") == k) / per_block).cast("long").alias(c) for c, k in (("x", True), ("y", False))])
+    dealt_out = both.join(_keyed(sizes.withColumnRenamed("class", "of")), F.col("class") == F.col("of"))
+    own = F.pmod(F.xxhash64("set_id", F.lit(per_block)), F.when(F.col("member"), F.col("x")).otherwise(F.col("y")))
+    met = F.sequence(F.lit(0).cast("long"), F.when(F.col("member"), F.col("y")).otherwise(F.col("x")) - 1)
+    spread = dealt_out.select("class", "set_id", "member", own.alias("own"), F.explode(met).alias("o"))
+    first, second = F.when(F.col("member"), F.col("own")).otherwise(F.col("o")), F.when(F.col("member"), F.col("o")).otherwise(F.col("own"))
+    return spread.select("class", F.xxhash64("class", first, second).alias("block"), "set_id", "member")
+
+
+def meet_classes(others: DataFrame, root: DataFrame, sketches: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes and other sets, (class, set_id): one for each set that reaches the threshold with a member.
+
+    Sets whose sketch is near no member's are left out first; the others meet every member in full.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = threshold - 3.4 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+        for part in whole_groups(batches, "block"):
+            member = part.column("member").to_numpy(zero_copy_only=False)
+            held = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            own = held[member]
+            close = [k for k in np.flatnonzero(~member).tolist() if len(own) and ((own == held[k]).mean(axis=1).max() - 1 / 256) / (1 - 1 / 256) >= limit]
+            yield part.select(["class", "set_id"]).take(pa.array(close, pa.int64()))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "block"):
+            ids, member = part.column("set_id").to_pylist(), part.column("member").to_numpy(zero_copy_only=False)
+            order = np.argsort(~member, kind="stable")
+            n = int(member.sum())
+            sets = [_wide(part.column("shingles")[int(k)].as_py()) for k in order]
+            reach = reached(sets, threshold, n)
+            pairs = [sorted((ids[order[int(row.argmax())]], ids[order[n + k]])) for k, row in enumerate(reach.T) if row.any()]
+            yield pa.record_batch([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    def blocks(of: DataFrame, size: int, what: DataFrame, column: str) -> DataFrame:
+        rows = _class_blocks(of, root, size).join(what, F.col("set_id") == F.col("s")).select("class", "block", "set_id", "member", column)
+        return rows.repartition("block").sortWithinPartitions("block")
+
+    by_sketch = blocks(others, MET_SKETCHES, sketches.select(F.col("set_id").alias("s"), "sketch"), "sketch")
+    close = staged(by_sketch.mapInArrow(near, "class binary, set_id binary").distinct(), "join-near-classes")
+    return blocks(close, MET_SETS, full, "shingles").mapInArrow(linked, "a binary, b binary").distinct()
 
 
 def _dense(entries: DataFrame, threshold: float, sets: DataFrame | None = None, links: DataFrame | None = None) -> list[DataFrame]:
@@ -360,20 +470,30 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many values every two sets share, from 0/1 matrices over a bounded number of values at a time."""
+def shared_counts(sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """How many values every two sets share, or each of the ``first`` sets and each other one.
+
+    Values are looked at in 0/1 matrices of bounded size; those that only one set holds are left out.
+    """
     sizes = [len(x) for x in sets]
     row = np.repeat(np.arange(len(sets)), sizes)
-    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number = np.cumsum(several) - 1
+    kept = several[place]
+    row, place = row[kept], number[place[kept]]
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    top = int(place[-1]) + 1 if len(place) else 0
-    for at in range(0, top, COLUMNS):
-        x, y = np.searchsorted(place, [at, at + COLUMNS])
-        held = np.zeros((len(sets), min(COLUMNS, top - at)), np.float32)
+    left, right = slice(0, first), slice(first or 0, len(sets))
+    out = np.zeros((len(sets[left]), len(sets[right])), np.float32)
+    top, columns = int(place[-1]) + 1 if len(place) else 0, max(100, CELLS // max(1, len(sets)))
+    for at in range(0, top, columns):
+        x, y = np.searchsorted(place, [at, at + columns])
+        held = np.zeros((len(sets), min(columns, top - at)), np.float32)
         held[row[x:y], place[x:y] - at] = 1
-        out += held @ held.T
+        out += held[left] @ held[right].T
+    if first is None:
+        np.fill_diagonal(out, sizes)
     return out
 
 
@@ -396,21 +516,22 @@ def checked(meetings: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return both.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(links, "a binary, b binary").distinct()
 
 
-def reached(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which two sets reach the threshold."""
+def reached(sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
+    """Which two sets reach the threshold, or which of the ``first`` sets and the others."""
     sizes = np.array([len(x) for x in sets], np.float64)
-    shared = shared_counts(sets)
-    return shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+    shared = shared_counts(sets, first)
+    return shared >= threshold * (sizes[:first, None] + sizes[None, first or 0 :] - shared) - 1e-6
 
 
 def link_counts(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(set_id, n_links): for every set of a class, (root, set_id), the other sets that reach the threshold with it.
 
-    Links lie within classes. A class is dealt into blocks of about BLOCK sets and every two blocks meet once,
-    so all its pairs are counted, but a row is given for a set and a meeting only, never for a pair.
+    Links lie within classes. A class is dealt into blocks of about BLOCK sets or BLOCK_BYTES of shingles and every two
+    blocks meet once, so all its pairs are counted, but a row is given for a set and a meeting only, never for a pair.
     """
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    sized = members.join(sets.select("s", F.octet_length("shingles").alias("bytes")), F.col("set_id") == F.col("s"))
+    sizes = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("long")
     own = F.pmod(F.xxhash64("set_id"), blocks)
     met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), (own <= o).alias("first"), (own >= o).alias("second")))
     spread = members.join(sizes, "root").select("root", "set_id", F.explode(met).alias("m"))
@@ -438,7 +559,7 @@ def components(links: DataFrame) -> DataFrame:
     each leaves connected what is connected. The rounds end when nothing changes.
     """
     edges = links.select("a", "b")
-    for turn in range(60):
+    for turn in count():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         larger = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
@@ -474,11 +595,23 @@ def joined(
     members = staged(some.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "join-members")
     sets = some.select("set_id", "row", "keys", "sketch").join(members.select("set_id", "row"), ["set_id", "row"])
     sets = staged(sets.dropDuplicates(["set_id"]).drop("row"), "join-distinct")
-    meetings, large = candidates(sets, threshold)
+    entries, root, extra = first_entries(sets), None, []
+    crowded = staged(entries.where(F.col("n") > SMALL), "join-crowded")
+    dense = None
+    if not crowded.isEmpty():
+        dense = full_sets(crowded.select("set_id").distinct(), own, members.select("set_id", "row"), "text")
+        links, root = settled(crowded, dense, threshold)
+        extra.append(links)
+    meetings, large, others = candidates(entries, root, threshold)
     meetings = staged(meetings, "join-meetings")
-    needed = _united([m.select("set_id") for m in (meetings, large) if m is not None]).distinct()
+    needed = meetings.select("set_id").distinct()
+    if dense is not None:
+        needed = needed.join(dense.select("s"), F.col("set_id") == F.col("s"), "leftanti")
     full = full_sets(needed, own, members.select("set_id", "row"), "text")
-    links = staged(checked(meetings, full, threshold), "join-links")
+    full = full if dense is None else full.unionByName(dense)
+    if others is not None and not others.isEmpty():
+        extra.append(staged(meet_classes(others, root, sets, full, threshold), "join-class-links"))
+    links = _united([staged(checked(meetings, full, threshold), "join-links"), *extra])
     if large is not None:
         links = _united([links, *_dense(large, threshold, full, links)])
     root = staged(components(links), "join-roots")
