@@ -26,7 +26,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Memo, dealt, small_batches, staged
@@ -39,7 +39,7 @@ SMALL = 128  # sets compared by brute force in one bucket
 BLOCK = 1024  # sets of a class counted against another block's at once
 BLOCK_BYTES = 32 << 20  # shingles of such a block, about
 CELLS = 20_000_000  # of a 0/1 matrix of sets and shingles looked at together
-SETTLING = 3  # times that the sets of large buckets are dealt into blocks before splitting
+SETTLING = 2  # times that the sets of large buckets are dealt into blocks before splitting
 MOSTLY = 0.75  # share of a large bucket's sets in one class from which the class is taken out
 MET_SKETCHES, MET_SETS = 2048, 256  # members of a class in a block that other sets meet by sketches, and in full
 DEPTH = 4  # levels of splitting before a bucket counts as dense
@@ -286,14 +286,17 @@ def _keyed(by_key: DataFrame) -> DataFrame:
     return F.broadcast(by_key) if by_key.count() <= 200_000 else by_key
 
 
-def taken_out(large: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+def taken_out(large: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Large buckets without the class that makes up most of them, with the sets' roots, and (class, set_id) that share such a bucket."""
     rooted = large.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = staged(rooted.select("key", "n", "set_id", "sketch", "root"), "join-rooted")
     counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     most = counts.groupBy(F.col("key").alias("of")).agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.max("c").alias("majors"), F.sum("c").alias("all"))
-    both = rooted.join(_keyed(most), F.col("key") == F.col("of")).drop("of")
     given = F.col("majors") >= MOSTLY * F.col("all")
+    most = staged(most, "join-most")
+    if most.where(given).isEmpty():
+        return rooted, None
+    both = rooted.join(F.broadcast(most) if most.count() <= 200_000 else most, F.col("key") == F.col("of")).drop("of")
     left = both.where(~given | (F.col("root") != F.col("most"))).withColumn("n", F.when(given, F.col("all") - F.col("majors")).otherwise(F.col("n")))
     others = both.where(given & (F.col("root") != F.col("most"))).select(F.col("most").alias("class"), "set_id").distinct()
     return left.select("key", "n", "set_id", "sketch", "root").where("n > 1"), others
@@ -313,9 +316,10 @@ def candidates(entries: DataFrame, root: DataFrame | None, threshold: float = TH
             large = None
             break
         left, met = taken_out(large, root)
-        left = staged(left, f"join-left-{level}")
-        others.append(staged(met, f"join-others-{level}"))
-        found.append(staged(_meetings(left.where(F.col("n") <= SMALL).withColumn("block", F.xxhash64("key", F.lit("left"))), threshold), f"join-found-left-{level}"))
+        if met is not None:
+            left = staged(left, f"join-left-{level}")
+            others.append(staged(met, f"join-others-{level}"))
+            found.append(staged(_meetings(left.where(F.col("n") <= SMALL).withColumn("block", F.xxhash64("key", F.lit("left"))), threshold), f"join-found-left-{level}"))
         large = left.where(F.col("n") > SMALL).drop("root")
         if large.isEmpty():
             large = None
@@ -375,34 +379,15 @@ def meet_classes(others: DataFrame, root: DataFrame, sketches: DataFrame, full:
     return blocks(close, MET_SETS, full, "shingles").mapInArrow(linked, "a binary, b binary").distinct()
 
 
-def _dense(entries: DataFrame, threshold: float, sets: DataFrame | None = None, links: DataFrame | None = None) -> list[DataFrame]:
-    """Links (a, b) of large buckets of close sets: blocks are checked, then one set of each class meets the others'.
+def _dense(entries: DataFrame, threshold: float, sets: DataFrame | None = None, root: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of buckets that stay large: every two of a bucket's sets that are not of one class meet in blocks.
 
-    ``links`` are known before. A bucket whose sets are all of one class is done. When classes stop getting fewer,
-    every two sets of a bucket that are not of one class meet, so no link that could join classes is missed. Without
-    ``sets`` the sketches decide.
+    ``root`` names the classes known so far. Without ``sets`` the sketches decide.
     """
-    found, before, live = [], None, entries
-    known = links
-    for turn in range(20):
-        part = F.pmod(F.xxhash64("set_id", "key", F.lit(turn)), F.ceil(F.col("n") / SMALL).cast("long"))
-        met = _meetings(live.withColumn("block", F.xxhash64("key", part, F.lit(turn))), threshold)
-        found.append(staged(_linked(met, sets, threshold), f"join-dense-{turn}"))
-        known = _united([k for k in (known, found[-1]) if k is not None])
-        root = staged(components(known), f"join-dense-roots-{turn}")
-        known = root.select(F.col("root").alias("a"), F.col("set_id").alias("b"))
-        placed = entries.select("key", "set_id", "sketch").join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        leaders = placed.groupBy("key", "root").agg(F.min(F.struct("set_id", "sketch")).alias("l")).select("key", "l.set_id", "l.sketch")
-        live = leaders.join(_sizes(leaders), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch")
-        live = staged(live, f"join-left-{turn}")
-        now = live.count()
-        if not now:
-            return found
-        if before is not None and now > 0.9 * before:
-            break
-        before = now
-    met = _meetings(_block_pairs(_by_class(placed)), threshold)
-    return [*found, staged(_linked(met, sets, threshold), "join-block-pairs")]
+    placed = entries.select("key", "set_id", "sketch")
+    placed = placed.withColumn("root", F.col("set_id")) if root is None else placed.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    met = _meetings(_block_pairs(_by_class(staged(placed, "join-stay-large"))), threshold)
+    return staged(_linked(met, sets, threshold), "join-block-pairs")
 
 
 def _by_class(placed: DataFrame) -> DataFrame:
@@ -558,23 +543,25 @@ def components(links: DataFrame) -> DataFrame:
     Every round links a set's larger neighbours to its smallest one, then its smaller neighbours and itself;
     each leaves connected what is connected. The rounds end when nothing changes.
     """
-    edges = links.select("a", "b")
+    edges, mark = links.select("a", "b"), None
     for turn in count():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         larger = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
-        down = staged(larger.distinct(), f"components-{turn}")
+        down = larger.distinct()
         least = down.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         smaller = down.withColumnRenamed("b", "u").join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("a", "u")).alias("b"))
-        after = staged(smaller.where("a < b").distinct(), f"components-{turn}")
-        if _mark(after) == _mark(edges):
+        seen = Observation(f"edges {turn}")
+        edges = staged(smaller.where("a < b").distinct().observe(seen, *_marks()), f"components-{turn}")
+        before, mark = mark, seen.get
+        if mark == before:
             break
-        edges = after
     return edges.groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).collect()[0])
+def _marks() -> list[Column]:
+    """Aggregates that differ if the edges do, taken while they are written."""
+    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("s")]
 
 
 def joined(
@@ -613,7 +600,7 @@ def joined(
         extra.append(staged(meet_classes(others, root, sets, full, threshold), "join-class-links"))
     links = _united([staged(checked(meetings, full, threshold), "join-links"), *extra])
     if large is not None:
-        links = _united([links, *_dense(large, threshold, full, links)])
+        links = _united([links, _dense(large, threshold, full, root)])
     root = staged(components(links), "join-roots")
     placed = members.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
