@@ -52,18 +52,18 @@ def terms(text: bytes) -> list[bytes]:
 def marked_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, terms, counted): every document's terms, each behind its language; nulls count as ''.
 
-    ``counted`` holds hashes of those of its terms that stand for COUNTED others.
+    ``counted`` holds, for a batch in its first row, hashes of those terms that stand for COUNTED others.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends, counted = [], [0], []
+            flat, ends = [], [0]
             for mark, data in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 mark = (mark + _MARK).encode()
                 own = [mark + t for t in terms(data)]
                 flat += own
                 ends.append(len(flat))
-                counted.append([h for h in map(zlib.crc32, set(own)) if h % COUNTED == 0])
+            counted = [[h for h in map(zlib.crc32, set(flat)) if h % COUNTED == 0], *[[]] * (batch.num_rows - 1)][: batch.num_rows]
             marked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
             yield pa.record_batch([batch.column(0), batch.column(1), marked, pa.array(counted, pa.list_(pa.int64()))], names=["lang", "source", "terms", "counted"])
 
@@ -351,7 +351,7 @@ def audit(
     texts are one row of counts like any other; repeated rows count each; an empty table gives no row. Other columns
     are not read, so their names may clash.
     """
-    tokens = staged(marked_terms(dealt(docs.select(lang, source, text)), lang, source, text), "divergence-tokens")
+    tokens = staged(marked_terms(dealt(docs.select(lang, source, text)), lang, source, text), "divergence-tokens", "lz4")
     groups = staged(tokens.select("lang", "source").distinct(), "divergence-roster")
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     if (got := group_sums(tokens, min_df, slice_terms)) is None:
