@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import pit
+from tidemark.sources.files import read_features
 from tidemark.sources.sinks import FeatureStore, replace_ticker, write_csv, write_json
 
 T = datetime
@@ -65,6 +66,7 @@ def test_feature_store_round_trip(spark, tmp_path, revenue):
         ("margin", 0.3, "v1"), ("revenue", 100.0, "v1"), ("revenue", 151.0, "v2"),
     ]
     assert got[0]["period_end"] is None
+    assert rows(read_features(spark, str(tmp_path / "features")), "feature_name", "known_at") == got
     store.compact(str(tmp_path / "compacted"))
     again = FeatureStore(spark, str(tmp_path / "compacted"))
     assert rows(again.read(), "feature_name", "known_at") == got

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import durable
@@ -90,14 +90,15 @@ def run_stage(
 ) -> tuple[DataFrame, StageLog]:
     """Run one stage, stage its output and record what went in and came out.
 
-    Input and output land on reliable storage, so nothing upstream is computed
-    again when they are counted, and a later stage restarts from the output.
-    A failed hard check raises from here.
+    Rows are counted while the stage's own job writes its output to reliable storage, so nothing is read again to be
+    counted, and a later stage restarts from the output. Rows in are those that the stage took from ``source``. A failed
+    hard check raises from here.
     """
     start = time.monotonic()
-    source = durable(source)
-    out = durable(build(source))
+    rows_in, rows_out = Observation(), Observation()
+    counted = F.count(F.lit(1)).alias("n")
+    out = durable(build(source.observe(rows_in, counted)).observe(rows_out, counted))
     found = list(checks(out))
     finished = datetime.now(timezone.utc).isoformat()
-    log = StageLog(name, source.count(), out.count(), time.monotonic() - start, finished, found)
+    log = StageLog(name, rows_in.get.get("n", 0), rows_out.get.get("n", 0), time.monotonic() - start, finished, found)
     return out, log

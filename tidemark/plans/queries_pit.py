@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from tidemark.operators.reports import union_all
 from tidemark.plans import bindings as b
 from tidemark.plans import sqlparts as q
 from tidemark.plans.registry import query, rnd, text
+from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.files import read_features
+from tidemark.sources.sinks import FeatureStore
 
 QUERY_TIME = datetime(2024, 1, 15, 12)
 QUERY_TIMES = [datetime(2024, 1, d, h) for d, h in ((1, 0), (3, 12), (8, 0), (15, 12), (20, 6), (28, 23), (31, 0))]
@@ -66,6 +70,23 @@ def k3(spark, sf):
     return out.select("entity_id", "feature_name", text("known_at"), "value")
 
 
+@query(
+    "S13_feature_reads",
+    """SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS feature_name, CAST(CAST(ts AS DATE) AS VARCHAR) AS known_at,
+      CASE WHEN user_id % 3 = 0 THEN value + 1 ELSE value END AS value, CASE WHEN user_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS source_version
+    FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY event_id DESC) = 1""",
+)
+def s13(spark, sf):
+    """Two batches are written to a store, the second replacing a third of the entities' values; the store is read back."""
+    f = b.features(spark, sf).select("entity_id", "feature_name", F.to_date("known_at").cast("timestamp").alias("known_at"), "value", F.col("event_id").alias("row_seq"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    store = FeatureStore(spark, path)
+    store.write_batch(f, 1)
+    revised = f.where(F.col("entity_id").cast("long") % 3 == 0)
+    store.write_batch(revised.withColumn("value", F.col("value") + 1).withColumn("source_version", F.lit("v2")), 2)
+    return read_features(spark, path).select("entity_id", "feature_name", text(F.to_date("known_at")).alias("known_at"), "value", "source_version")
+
+
 _REQ = f"""{q.BARS}, req AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS ticker, ts AS known_at, CAST(ts AS DATE) AS as_of,
          (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local

@@ -16,6 +16,7 @@ from tidemark.config import PERIODIC_FORMS
 from tidemark.operators.eventstudy import to_eastern
 from tidemark.operators.filings import pad_cik
 from tidemark.operators.panel import drop_short_series, to_long
+from tidemark.sources.sinks import FeatureStore
 
 SUB_SCHEMA = "adsh string, cik long, form string, period int, fy int, fp string, filed int, sic string"
 NUM_SCHEMA = "adsh string, tag string, version string, ddate int, qtrs int, uom string, value double, coreg string"
@@ -264,5 +265,5 @@ def parse_branch_pages(docs: DataFrame, column: str = "json") -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """The feature store; the partition column feature_name prunes files."""
-    return spark.read.parquet(path)
+    """The current value of every primary key in a feature store; the partition column feature_name prunes files."""
+    return FeatureStore(spark, path).read()
