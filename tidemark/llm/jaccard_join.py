@@ -26,7 +26,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Memo, dealt, small_batches, staged
@@ -40,9 +40,11 @@ BLOCK = 1024  # sets of a class counted against another block's at once
 BLOCK_BYTES = 32 << 20  # shingles of such a block, about
 CELLS = 20_000_000  # of a 0/1 matrix of sets and shingles looked at together
 SETTLING = 2  # times that the sets of large buckets are dealt into blocks before splitting
+SETTLED_ROUNDS = 2  # of labelling the classes of large buckets; what they leave apart meets in the buckets
 MOSTLY = 0.75  # share of a large bucket's sets in one class from which the class is taken out
 MET_SKETCHES, MET_SETS = 2048, 256  # members of a class in a block that other sets meet by sketches, and in full
 DEPTH = 4  # levels of splitting before a bucket counts as dense
+CONTRACTED = 200_000  # edges that a task unites at a time
 BYTES = 5  # of a shingle's hash, kept for the exact check
 MAX_WORDS = 300_000  # remembered word hashes in one Python worker
 
@@ -262,22 +264,17 @@ def first_entries(sets: DataFrame) -> DataFrame:
 def settled(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and classes (set_id, root) among the sets of large buckets, each set once in its largest bucket.
 
-    They are dealt into blocks SETTLING times, later ones only for pairs that are not of one class. This misses
-    links, which the buckets then find; it makes a dense group one class for the most part.
+    They are dealt into blocks SETTLING times at once. This misses links, which the buckets then find; it makes a dense
+    group one class for the most part. For the same reason a few rounds of labelling are enough here.
     """
     once = large.groupBy("set_id").agg(F.max_by("key", F.struct("n", "key")).alias("key"), F.min("sketch").alias("sketch"))
     once = staged(once, "join-settling")
     placed = once.join(_keyed(once.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n"))), F.col("key") == F.col("of")).drop("of")
-    found: list[DataFrame] = []
-    root = None
-    for turn in range(SETTLING):
-        part = F.pmod(F.xxhash64("set_id", "key", F.lit(100 + turn)), F.ceil(F.col("n") / SMALL).cast("long"))
-        blocks = placed.withColumn("block", F.xxhash64("key", part, F.lit(100 + turn)))
-        if root is not None:
-            blocks = blocks.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        found.append(staged(checked(_meetings(blocks, threshold).distinct(), sets, threshold), f"join-settled-{turn}"))
-        root = staged(components(_united(found)), f"join-settled-roots-{turn}")
-    return _united(found), root
+    turn = F.explode(F.array(*[F.lit(100 + t) for t in range(SETTLING)]))
+    part = F.pmod(F.xxhash64("set_id", "key", "turn"), F.ceil(F.col("n") / SMALL).cast("long"))
+    blocks = placed.withColumn("turn", turn).withColumn("block", F.xxhash64("key", part, "turn"))
+    links = staged(checked(_meetings(blocks, threshold).distinct(), sets, threshold), "join-settled")
+    return links, staged(components(links, SETTLED_ROUNDS), "join-settled-roots")
 
 
 def _keyed(by_key: DataFrame) -> DataFrame:
@@ -307,11 +304,10 @@ def candidates(entries: DataFrame, root: DataFrame | None, threshold: float = TH
 
     ``entries`` are the first buckets; ``root`` names the classes of settled sets, (set_id, root).
     """
-    found, others = [], []
+    blocks, others = [], []
     for level in range(1, DEPTH + 1):
-        small = entries.where(F.col("n") <= SMALL)
+        blocks.append(entries.where(F.col("n") <= SMALL).select(F.col("key").alias("block"), "set_id", "sketch"))
         large = entries.where(F.col("n") > SMALL)
-        found.append(staged(_meetings(small.withColumn("block", F.col("key")), threshold), f"join-found-{level}"))
         if root is None or large.isEmpty():
             large = None
             break
@@ -319,7 +315,7 @@ def candidates(entries: DataFrame, root: DataFrame | None, threshold: float = TH
         if met is not None:
             left = staged(left, f"join-left-{level}")
             others.append(staged(met, f"join-others-{level}"))
-            found.append(staged(_meetings(left.where(F.col("n") <= SMALL).withColumn("block", F.xxhash64("key", F.lit("left"))), threshold), f"join-found-left-{level}"))
+            blocks.append(left.where(F.col("n") <= SMALL).select(F.xxhash64("key", F.lit("left")).alias("block"), "set_id", "sketch"))
         large = left.where(F.col("n") > SMALL).drop("root")
         if large.isEmpty():
             large = None
@@ -327,7 +323,7 @@ def candidates(entries: DataFrame, root: DataFrame | None, threshold: float = TH
         if level < DEPTH:
             children = _split(large, threshold)
             entries = staged(children.join(_sizes(children), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch"), f"join-level-{level + 1}")
-    return _united(found).distinct(), large, _united(others).distinct() if others else None
+    return _meetings(_united(blocks), threshold).distinct(), large, _united(others).distinct() if others else None
 
 
 def _class_blocks(others: DataFrame, root: DataFrame, per_block: int) -> DataFrame:
@@ -537,31 +533,57 @@ def link_counts(members: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return counted.groupBy("set_id").agg(F.sum("n").alias("n_links"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(set_id, root): the smallest set id that is reached over links (a, b).
 
-    Every round links a set's larger neighbours to its smallest one, then its smaller neighbours and itself;
-    each leaves connected what is connected. The rounds end when nothing changes.
+    Every round contracts the edges that a task holds, links a set's larger neighbours to its smallest one, then its
+    smaller neighbours and itself; each leaves connected what is connected. The rounds end when all edges are stars.
+    After a given number of rounds that may not be so yet: then sets of one root are connected, but not all
+    connected sets have one root.
     """
-    edges, mark = links.select("a", "b"), None
-    for turn in count():
+    edges = links.select("a", "b")
+    for turn in range(rounds) if rounds else count():
+        edges = contracted(edges)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         larger = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b")
         down = larger.distinct()
         least = down.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         smaller = down.withColumnRenamed("b", "u").join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("a", "u")).alias("b"))
-        seen = Observation(f"edges {turn}")
-        edges = staged(smaller.where("a < b").distinct().observe(seen, *_marks()), f"components-{turn}")
-        before, mark = mark, seen.get
-        if mark == before:
+        edges = staged(smaller.where("a < b").distinct(), f"components-{turn}")
+        if rounds is None and all_stars(edges):
             break
     return edges.groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("root"))
 
 
-def _marks() -> list[Column]:
-    """Aggregates that differ if the edges do, taken while they are written."""
-    return [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("s")]
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as stars around the smallest set of what is connected within a task, CONTRACTED edges at a time."""
+
+    def stars(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        names = sorted({x for pair in held for x in pair})
+        place = {x: k for k, x in enumerate(names)}
+        _, tree = _forest(len(names), [(place[a], place[b]) for a, b in held])
+        pairs = [(names[t], names[k]) for k, t in enumerate(tree) if t != k]
+        return pa.record_batch([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        for batch in batches:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if len(held) >= CONTRACTED:
+                yield stars(held)
+                held = []
+        if held:
+            yield stars(held)
+
+    return edges.select("a", "b").mapInArrow(rows, "a binary, b binary")
+
+
+def all_stars(edges: DataFrame) -> bool:
+    """Whether every set of distinct edges (a, b) is the end of one edge at most, and then the start of none."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(0).alias("n")).unionByName(edges.select(F.col("b").alias("u"), F.lit(1).alias("n")))
+    seen = ends.groupBy("u").agg(F.sum("n").alias("n"), F.min("n").alias("starts"))
+    return seen.where("n > 1 OR (n = 1 AND starts = 0)").isEmpty()
 
 
 def joined(
