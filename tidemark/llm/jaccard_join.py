@@ -321,7 +321,7 @@ def candidates(entries: DataFrame, root: DataFrame | None, threshold: float = TH
             large = None
             break
         if level < DEPTH:
-            children = _split(large, threshold)
+            children = staged(_split(large, threshold), f"join-split-{level}")  # read twice below
             entries = staged(children.join(_sizes(children), F.col("key") == F.col("of")).select("key", "n", "set_id", "sketch"), f"join-level-{level + 1}")
     return _meetings(_united(blocks), threshold).distinct(), large, _united(others).distinct() if others else None
 
