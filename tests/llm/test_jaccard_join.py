@@ -169,6 +169,26 @@ def test_chain_of_links(spark):
     assert got == {bytes([0, i]): b"\x00\x00" for i in range(1, 41)} | {b"\x01\x05": b"\x01\x00"}
 
 
+def test_few_rounds_join_only_what_is_connected(spark, monkeypatch):
+    """Bounded labelling may leave a class in parts, but never joins two; contraction in small pieces keeps the classes."""
+    monkeypatch.setattr(jj, "CONTRACTED", 3)
+    rng = random.Random(5)
+    parts = [[bytes([c, i]) for i in range(30)] for c in range(4)]
+    links = [tuple(sorted(rng.sample(part, 2))) for part in parts for _ in range(60)] + [(x, y) for part in parts for x, y in zip(part, part[1:])]
+    edges = spark.createDataFrame(links, "a binary, b binary").repartition(5)
+    assert {bytes(r.set_id)[0] == bytes(r.root)[0] for r in jj.components(edges, 1).collect()} == {True}
+    got = {bytes(r.set_id): bytes(r.root) for r in jj.components(edges).collect()}
+    assert got == {x: part[0] for part in parts for x in part[1:]}
+
+
+def test_stars_are_told_from_other_edges(spark):
+    def told(*pairs):
+        return jj.all_stars(spark.createDataFrame([(a.encode(), b.encode()) for a, b in pairs], "a binary, b binary"))
+
+    assert told() and told(("a", "b"), ("a", "c"), ("d", "e"))
+    assert not told(("a", "b"), ("b", "c")) and not told(("a", "c"), ("b", "c"))
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.9])
 def test_sketch_estimates_similarity(similarity):
     rng = np.random.default_rng(1)
