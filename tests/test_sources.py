@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.sources import files as fs
+from tidemark.sources import landed
 from tidemark.sources.sinks import request_log
 
 
@@ -89,7 +90,7 @@ def test_zipped_sets(spark, tmp_path):
             z.writestr("num.txt", "adsh\ttag\tversion\tddate\tqtrs\tuom\tvalue\tcoreg\n" + "".join(f"a{q}\tT\tus-gaap/1\t20200331\t1\tUSD\t{i}.5\t\n" for i in range(5)))
             z.writestr("sub.txt", "adsh\tcik\n")
         (tmp_path / f"{q}.zip").write_bytes(buf.getvalue())
-    df = fs.read_filing_zips(spark, str(tmp_path), "num", chunk_rows=2)
+    df = fs.read_filing_zips(spark, str(tmp_path), "num")
     assert df.count() == 10 and df.agg(F.sum("value")).first()[0] == 25.0 and df.where("coreg is null").count() == 10
 
 
@@ -141,3 +142,76 @@ def test_quarters_with_different_layouts(spark, tmp_path):
     assert [tuple(r[n] for n in names) for r in rows(again, "adsh")] == want
     bad = {r["column"]: r["n"] for r in fs.malformed(fs.read_delimited(spark, f"{tmp_path}/*/num.txt", "\t"), fs.NUM_SCHEMA).collect()}
     assert bad["value"] == 1 and sum(bad.values()) == 1
+
+
+ODD = [
+    "adsh\ttag\tcoreg\tvalue",
+    "a\tNA\tNULL\t1.5",
+    'b\t"two\twords"\t"say ""x"""\t2.5',
+    'c\t"open\tend',
+    "d",
+    "",
+    'e\t"x"y\t5" pipe\t4.5\tbeyond',
+    "f\t\u00e9\t\t-nan",
+    '"g"\t"NA"\t""\t"6.5"',
+]
+ODD_ROWS = [
+    ("a", None, None, 1.5), ("b", "two\twords", 'say "x"', 2.5), ("c", "open\tend", None, None), ("d", None, None, None),
+    ("e", "xy", '5" pipe', 4.5), ("f", "\u00e9", None, None), ("g", None, None, 6.5),
+]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_rule_for_files_archives_and_lines(spark, tmp_path, end):
+    """Quotes, words for missing cells, short, long and blank lines mean the same on all three paths."""
+    body = end.join(ODD).encode()
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "num.txt").write_bytes(body)
+    (tmp_path / "z").mkdir()
+    with zipfile.ZipFile(tmp_path / "z" / "q.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("num.txt", b"\xef\xbb\xbf" + body)
+        z.writestr("readme.htm", "x")
+    landed = spark.createDataFrame([(ODD[0], line + end.strip("\n")) for line in ODD[1:]], "header string, line string")
+    for got in (
+        fs.read_filing_sets(spark, str(tmp_path), "num"), fs.read_filing_zips(spark, str(tmp_path / "z"), "num"),
+        fs.parse_delimited(landed, "header", "line", fs.NUM_SCHEMA),
+    ):
+        assert [(r["adsh"], r["tag"], r["coreg"], r["value"]) for r in rows(got, "adsh")] == ODD_ROWS
+        assert got.columns == ["adsh", "tag", "version", "ddate", "qtrs", "uom", "value", "coreg"]
+
+
+@pytest.mark.parametrize("split, block", [(1, 1), (7, 3), (64, 10), (1000, 17), (1 << 20, 1 << 20)])
+def test_ranges_give_every_line_once(spark, tmp_path, split, block):
+    """Wherever a range or a block ends, each line is read once and by its file's header."""
+    want = []
+    for f in range(3):
+        names = ["k", "v", "w"] if f < 2 else ["w", "k"]
+        body = [{"k": f"{f}-{i}", "v": "x" * (i * 7 % 23), "w": '"q"' if i % 3 else str(i)} for i in range(12)]
+        (tmp_path / f"{f}.csv").write_text("\n".join([",".join(names), *[",".join(r[n] for n in names) for r in body]]) + ("\n" if f else ""))
+        want += [(r["k"], (r["v"] or None) if f < 2 else None, r["w"].strip('"')) for r in body]
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "_hidden.csv").write_text("k\nno\n")
+    got = landed.read_landed(spark, str(tmp_path / "*.csv"), columns=["k", "v", "w"], split_bytes=split, block_bytes=block)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert got.select("k").count() == 36
+    assert landed.read_landed(spark, str(tmp_path / "*.csv")).columns == ["k", "v", "w"]
+
+
+def test_small_files_share_a_task_and_large_ones_are_cut(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i:02d}.csv").write_text("k\n1\n")
+    assert landed.read_landed(spark, str(tmp_path), columns=["k"]).rdd.getNumPartitions() == 1
+    (tmp_path / "big.csv").write_text("k\n" + "1\n" * 500_000)
+    cut = landed.read_landed(spark, str(tmp_path / "big.csv"), columns=["k"], split_bytes=250_000)
+    assert cut.rdd.getNumPartitions() == 5 and cut.count() == 500_000
+
+
+def test_landed_columns_are_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k\n1\n")
+    spark.dataSource.register(landed.LandedTable)
+    with pytest.raises(Exception, match="cast them afterwards"):
+        spark.read.format("landed_table").schema("k long").option("path", str(tmp_path)).load().collect()
+    with pytest.raises(Exception, match="nowhere"):
+        landed.read_landed(spark, str(tmp_path / "nowhere"), columns=["k"]).collect()
+    (tmp_path / "bytes.csv").write_bytes(b"k\n\xff\n")
+    assert landed.read_landed(spark, str(tmp_path / "bytes.csv"), columns=["k", "m"]).collect() == [("\ufffd", None)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.distributions import norm_cdf, t_p_value
@@ -11,6 +13,7 @@ from tidemark.operators import gates
 from tidemark.plans import bindings as b
 from tidemark.plans import sqlparts as q
 from tidemark.plans.registry import query, rnd, text
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import files as fs
 
 # two quarters' layouts: other order, a column more, a column less
@@ -18,35 +21,51 @@ _OLD = ("adsh", "tag", "version", "coreg", "ddate", "qtrs", "uom", "value")
 _NEW = ("adsh", "tag", "version", "ddate", "qtrs", "uom", "segments", "value")
 
 
-def _filing_lines(spark, sf):
-    """lineitem as tab-separated lines of two layouts, each line with its file's header."""
-    li = b.table(spark, sf, "lineitem")
+def _filing_cells():
+    """The cells of a lineitem row by name, and whether the row is of the old layout."""
     cells = {
         "adsh": F.col("l_orderkey").cast("string"), "tag": F.concat(F.lit("Tag"), F.col("l_linenumber")), "version": F.lit("us-gaap/2020"),
         "coreg": F.when(F.col("l_returnflag") == "A", "Parent"), "segments": F.lit("S"), "ddate": F.date_format("l_shipdate", "yyyyMMdd"),
         "qtrs": F.pmod("l_suppkey", F.lit(5)).cast("string"), "uom": F.lit("USD"), "value": F.col("l_extendedprice").cast("string"),
     }
-    old = F.col("l_shipdate") < F.lit("1995-01-01").cast("date")
+    return cells, F.col("l_shipdate") < F.lit("1995-01-01").cast("date")
+
+
+def _filing_lines(spark, sf):
+    """lineitem as tab-separated lines of two layouts, each line with its file's header."""
+    cells, old = _filing_cells()
 
     def line(names):
         return F.concat_ws("\t", *[F.coalesce(cells[n], F.lit("")) for n in names])
 
-    return li.select(
+    return b.table(spark, sf, "lineitem").select(
         F.when(old, "\t".join(_OLD)).otherwise("\t".join(_NEW)).alias("header"), F.when(old, line(_OLD)).otherwise(line(_NEW)).alias("line")
     )
 
 
-@query(
-    "S2_filing_lines",
-    """SELECT CAST(l_orderkey AS VARCHAR) AS adsh, 'Tag' || l_linenumber AS tag, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS ddate,
+_FILING_SQL = """SELECT CAST(l_orderkey AS VARCHAR) AS adsh, 'Tag' || l_linenumber AS tag, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS ddate,
       CAST(l_suppkey % 5 AS INTEGER) AS qtrs, 'USD' AS uom, round(l_extendedprice, 2) AS value,
-      CASE WHEN l_returnflag = 'A' AND l_shipdate < DATE '1995-01-01' THEN 'Parent' END AS coreg FROM lineitem""",
-)
+      CASE WHEN l_returnflag = 'A' AND l_shipdate < DATE '1995-01-01' THEN 'Parent' END AS coreg FROM lineitem"""
+
+
+@query("S2_filing_lines", _FILING_SQL)
 def s2(spark, sf):
     out = fs.parse_delimited(_filing_lines(spark, sf), "header", "line", fs.NUM_SCHEMA)
     return out.select("adsh", "tag", "ddate", "qtrs", "uom", rnd("value", 2), "coreg")
 
 
+@query("S2_landed_sets", _FILING_SQL)
+def s2_landed(spark, sf):
+    """The same rows landed as files of two layouts in the shared folder, then read by their headers."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    cells, old = _filing_cells()
+    for folder, names, rows in (("old", _OLD, old), ("new", _NEW, ~old)):
+        part = b.table(spark, sf, "lineitem").where(rows).select(*[cells[n].alias(n) for n in names])
+        part.write.option("header", True).option("sep", "\t").option("escape", '"').csv(f"{path}/{folder}")
+    out = fs.read_csv(spark, f"{path}/*/*.csv", fs.NUM_SCHEMA, "\t")
+    return out.select("adsh", "tag", "ddate", "qtrs", "uom", rnd("value", 2), "coreg")
+
+
 @query(
     "S1_price_lines",
     """SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CASE WHEN value > 1 THEN round(value, 2) END AS close FROM events""",

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +13,12 @@ from tidemark.config import PERIODIC_FORMS
 from tidemark.operators.eventstudy import to_eastern
 from tidemark.operators.filings import pad_cik
 from tidemark.operators.panel import drop_short_series, to_long
+from tidemark.sources.landed import cells, read_landed
 from tidemark.sources.sinks import FeatureStore
 
 SUB_SCHEMA = "adsh string, cik long, form string, period int, fy int, fp string, filed int, sic string"
 NUM_SCHEMA = "adsh string, tag string, version string, ddate int, qtrs int, uom string, value double, coreg string"
+FILING_TABLES = {"sub": SUB_SCHEMA, "num": NUM_SCHEMA}
 PRICE_SCHEMA = "ticker string, date date, close double"
 HOLDINGS_SCHEMA = (
     "manager string, filing_date date, period_of_report date, cusip string, name_of_issuer string, value_thousands double"
@@ -59,64 +58,47 @@ def malformed(raw: DataFrame, schema: str) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).alias("n")) for f in fields])))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Delimited files as text columns, each file by its own header.
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+    """Delimited files as text columns, each file by its own header, united by name."""
+    return read_landed(spark, path, sep, columns)
 
-    Files are grouped by their header line, which is read from the first line of each file; every group is
-    parsed under its own names and the groups are united by name. There are as many groups as layouts.
-    """
-    first = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
-    heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("header"))
-    layouts = heads.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    parts = [spark.read.option("header", True).option("sep", sep).csv(r["files"]) for r in sorted(layouts, key=lambda r: r["header"])]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+
+def _names(schema: str) -> list[str]:
+    return T._parse_datatype_string(schema).names
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """Delimited text under an explicit schema; names and column order are taken from each file's header."""
-    return typed(read_delimited(spark, path, sep), schema)
+    return typed(read_delimited(spark, path, sep, _names(schema)), schema)
 
 
 def parse_delimited(lines: DataFrame, header: str, line: str, schema: str, sep: str = "\t") -> DataFrame:
     """S2 on landed lines: each row carries its file's header, and is read by the names in it.
 
-    Works for any number of layouts in one pass; a line shorter than its header leaves the rest NULL.
+    Works for any number of layouts in one pass, under the same rule for quotes, missing cells and short
+    lines as ``read_landed``.
     """
-    names, values = F.split(F.col(header), re.escape(sep)), F.split(F.col(line), re.escape(sep), -1)
-    cells = F.map_from_arrays(names, F.transform(names, lambda _, i: F.nullif(F.get(values, i), F.lit(""))))
-    wanted = [f.name for f in T._parse_datatype_string(schema).fields]
-    return typed(lines.select(cells.alias("_c")).select(*[F.col("_c")[n].alias(n) for n in wanted]), schema)
+    text = F.regexp_replace(F.col(line), "\\r$", "")
+    names, values = F.split(F.col(header), re.escape(sep)), cells(text, sep)
+    wanted = _names(schema)
+    split = lines.where(text != "").select(names.alias("_n"), values.alias("_v"))
+    at = [F.array_position("_n", F.lit(n)).cast("int") - 1 for n in wanted]
+    return typed(split.select(*[F.when(i >= 0, F.get("_v", i)).alias(n) for n, i in zip(wanted, at)]), schema)
 
 
 def read_filing_sets(spark: SparkSession, path: str, table: str) -> DataFrame:
     """``sub.txt`` or ``num.txt`` of all landed quarters (``<path>/<quarter>/<table>.txt``)."""
-    schema = {"sub": SUB_SCHEMA, "num": NUM_SCHEMA}[table]
+    schema = FILING_TABLES[table]
     return read_csv(spark, f"{path}/*/{table}.txt", schema, sep="\t")
 
 
-def read_filing_zips(spark: SparkSession, path: str, table: str, chunk_rows: int = 200_000) -> DataFrame:
-    """The same tables straight from quarterly zips, one zip per task, read in chunks.
+def read_filing_zips(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The same tables straight from quarterly zips, a member as a stream of blocks.
 
-    Archives are a few hundred MB each by nature of the source. Land them as
-    text when a quarter has to be split over several tasks.
+    A compressed member cannot be cut, so a quarter's table is one task. Land it as text to have it in byte ranges.
     """
-    schema = {"sub": SUB_SCHEMA, "num": NUM_SCHEMA}[table]
-    fields = T._parse_datatype_string(schema).fields
-    names = [f.name for f in fields]
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for blob in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(blob)) as z, z.open(f"{table}.txt") as f:
-                    for part in pd.read_csv(f, sep="\t", dtype=str, chunksize=chunk_rows, keep_default_na=True):
-                        yield part.reindex(columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    raw = files.mapInPandas(unpack, ", ".join(f"{n} string" for n in names))
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
+    schema = FILING_TABLES[table]
+    return typed(read_landed(spark, path, "\t", _names(schema), member=f"{table}.txt"), schema)
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
