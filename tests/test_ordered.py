@@ -68,6 +68,35 @@ def test_order_statistics(skewed):
         assert got == {1: ids[0], 1500: ids[1499], 3000: ids[2999]}
 
 
+def test_order_statistics_narrow_their_bands(skewed, monkeypatch):
+    """Bands that are narrowed, values that hold most rows, and both ends; no range is sorted on the way."""
+    monkeypatch.setattr(o, "ordinal", None)
+    for order in (["v", "w", "id"], ["w"]):
+        want = sorted(tuple(r) for r in skewed.select(*order).collect())
+        places = [1, 2, 3, 700, 1499, 1500, 1501, 2999, 3000]
+        for band in (3, 900):
+            got = o.order_statistics(skewed, order, [*places, 0, 3001], band_rows=band)
+            assert got == {p: want[p - 1] for p in places}, (order, band)
+
+
+def test_order_statistics_of_missing_values_and_other_types(spark):
+    """NULL comes first and NaN last, as in a sort; instants, dates, decimals and text take part."""
+    data = [(None if i % 7 == 0 else float("nan") if i % 5 == 0 else float(i % 4), i) for i in range(400)]
+    df = spark.createDataFrame(data, "v double, id int").select(
+        "*", F.expr("timestamp '2020-03-28 22:00:00' + make_interval(0, 0, 0, 0, id % 50)").alias("t"),
+        F.expr("timestamp_ntz '2020-03-28 22:00:00' + make_dt_interval(0, id % 60)").alias("n"), F.expr("date_add(date '2020-01-01', id % 90)").alias("d"),
+        F.expr("cast(id % 30 as decimal(10, 2)) / 4").alias("x"), F.expr("concat('s', id % 20)").alias("s"),
+    )
+    for first in ("v", "t", "n", "d", "x", "s"):
+        want = [r["id"] for r in df.orderBy(first, "id").collect()]
+        for band in (30,):
+            got = o.order_statistics(df, [first, "id"], range(1, 401, 19), max_rows=100, band_rows=band)
+            assert {p: r[1] for p, r in got.items()} == {p: want[p - 1] for p in range(1, 401, 19)}, (first, band)
+    assert o.order_statistics(df.limit(0), ["v"], [1]) == {}
+    same = spark.range(500).select(F.lit(4).alias("v"), F.lit("a").alias("s"))
+    assert o.order_statistics(same, ["v"], [1, 500], band_rows=10) == {1: (4,), 500: (4,)}
+
+
 def test_bucket_of_counts_bounds(skewed):
     bounds = [(3.0, 10), (3.0, 500), (20.0, 0)]
     got = skewed.select("v", "id", o.bucket_of(["v", "id"], bounds).alias("b")).collect()

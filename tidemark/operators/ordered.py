@@ -125,21 +125,101 @@ def running_total(
     )
 
 
+# Rows whose order is found inside one aggregation buffer; larger bands are narrowed again.
+BAND_ROWS = 20_000
+
+SKETCH_ACCURACY = 10_000  # a quantile of the sketch is off by at most one row in this many
+
+_SKETCHED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def order_statistics(
     df: DataFrame, order: Sequence[str], positions: Sequence[int], max_rows: int = MAX_GROUP_ROWS,
-    total: int | None = None,
+    total: int | None = None, band_rows: int = BAND_ROWS,
 ) -> dict[int, tuple]:
-    """The exact rows at the given 1-based positions of the total order.
+    """The exact rows at the given 1-based positions of the total order (NULL first, NaN last).
 
-    Returns one small tuple per requested position, so the driver holds as
-    many rows as were asked for and no more.
+    A mergeable quantile sketch of the first column gives a value on either side of each position; one pass
+    counts the rows below, at and between these values exactly. Bands of up to ``band_rows`` rows are ordered
+    in one aggregate, larger ones between two values are narrowed again, and those of a single value go on
+    with the next column. Only rows of small bands are shuffled and nothing is written. Columns without a
+    sketch (text) are ordered in ranges, for the rows of their band only.
+
+    Returns one small tuple per requested position, so the driver holds as many rows as were asked for
+    and no more. Positions outside 1 to the row count are absent.
     """
-    wanted = sorted(set(positions))
+    rows, order = df.select(*order), list(order)
+    n = total if total is not None else rows.count()
+    wanted = sorted({p for p in positions if 1 <= p <= n})
+    return _select(rows, order, 0, wanted, n, max_rows, band_rows)
+
+
+def _select(rows: DataFrame, order: list[str], depth: int, wanted: list[int], n: int, max_rows: int, band_rows: int) -> dict[int, tuple]:
+    """``order_statistics`` for rows that are equal in the first ``depth`` columns."""
     if not wanted:
         return {}
-    placed = ordinal(df.select(*order), list(order), out="_idx", max_rows=max_rows, largest=total)
-    hits = placed.where(F.col("_idx").isin(wanted)).collect()
-    return {int(r["_idx"]): tuple(r[c] for c in order) for r in hits}
+    if n <= band_rows:
+        return _pick(rows, order, [(F.lit(True), wanted, 0)])
+    if depth == len(order):  # all rows are equal
+        same = tuple(rows.first())
+        return dict.fromkeys(wanted, same)
+    name, kind = order[depth], rows.schema[order[depth]].dataType
+    if not isinstance(kind, _SKETCHED):
+        return _in_ranges(rows, order, wanted, n, max_rows)
+    c = F.col(name)
+    special = c.isNull() | F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c.isNull()
+    slack = 2.0 / SKETCH_ACCURACY
+    shares = sorted({min(max(p / n + d, 0.0), 1.0) for p in wanted for d in (-slack, slack)} | {0.0, 1.0})
+    nulls, others, marks = rows.agg(
+        F.count_if(c.isNull()), F.count_if(~special), F.percentile_approx(F.when(~special, c), F.array(*map(F.lit, shares)), SKETCH_ACCURACY)
+    ).first()
+    # bands: (test, rows before, rows inside, whether they hold one value only)
+    bands = [(c.isNull(), 0, nulls, True), (c.isNotNull() & special, nulls + others, n - nulls - others, True)]
+    points = sorted(set(marks or ()))
+    lits = [typed_lit(x, kind) for x in points]
+    counts = rows.agg(F.count(F.lit(1)), *[F.count_if(~special & t) for x in lits for t in (c < x, c == x)]).first()
+    for i, x in enumerate(lits):
+        below, equal = nulls + counts[1 + 2 * i], counts[2 + 2 * i]
+        bands.append((~special & (c == x), below, equal, True))
+        if i + 1 < len(lits):
+            between = ~special & (c > x) & (c < lits[i + 1])
+            bands.append((between, below + equal, nulls + counts[3 + 2 * i] - below - equal, False))
+    found, left, small = {}, set(wanted), []
+    for test, before, size, single in bands:
+        here = [p for p in wanted if before < p <= before + size]
+        left -= set(here)
+        if here and size <= band_rows:
+            small.append((test, here, before))
+        elif here:
+            part = _select(rows.where(test), order, depth + single, [p - before for p in here], size, max_rows, band_rows)
+            found |= {p + before: row for p, row in part.items()}
+    found |= _pick(rows, order, small)
+    return found | _in_ranges(rows, order, sorted(left), n, max_rows)  # none are left unless the sketch missed an end
+
+
+def _in_ranges(rows: DataFrame, order: list[str], wanted: list[int], n: int, max_rows: int) -> dict[int, tuple]:
+    if not wanted:
+        return {}
+    placed = ordinal(rows, order, out="_idx", max_rows=max_rows, largest=n)
+    return {int(r["_idx"]): tuple(r[c] for c in order) for r in placed.where(F.col("_idx").isin(wanted)).collect()}
+
+
+def _pick(rows: DataFrame, order: list[str], bands: list[tuple[Column, list[int], int]]) -> dict[int, tuple]:
+    """Rows at positions inside small bands: (test, positions, rows before the band). One job for all bands."""
+    if not bands:
+        return {}
+    number = F.lit(None).cast("int")
+    for i, (test, _, _) in enumerate(bands):
+        number = F.when(test, F.lit(i)).otherwise(number)
+    sorted_rows = F.sort_array(F.collect_list(F.struct(*order)))
+    places = F.lit(None).cast("array<int>")
+    for i, (_, wanted, before) in enumerate(bands):
+        places = F.when(F.col("_band") == i, F.array(*[F.lit(p - before) for p in wanted])).otherwise(places)
+    got = (
+        rows.withColumn("_band", number).where(F.col("_band").isNotNull()).groupBy("_band").agg(sorted_rows.alias("_rows"))
+        .select("_band", F.transform(places, lambda p: F.element_at("_rows", p)).alias("_hits")).collect()
+    )
+    return {p: tuple(hit) for r in got for p, hit in zip(bands[r["_band"]][1], r["_hits"])}
 
 
 def typed_lit(value, like: T.DataType | None = None) -> Column:
