@@ -159,7 +159,7 @@ def _select(rows: DataFrame, order: list[str], depth: int, wanted: list[int], n:
     if not wanted:
         return {}
     if n <= band_rows:
-        return _pick(rows, order, [(F.lit(True), wanted, 0)])
+        return _pick(rows, order, F.lit(0), [(0, wanted, 0)])
     if depth == len(order):  # all rows are equal
         same = tuple(rows.first())
         return dict.fromkeys(wanted, same)
@@ -167,34 +167,44 @@ def _select(rows: DataFrame, order: list[str], depth: int, wanted: list[int], n:
     if not isinstance(kind, _SKETCHED):
         return _in_ranges(rows, order, wanted, n, max_rows)
     c = F.col(name)
-    special = c.isNull() | F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c.isNull()
-    slack = 2.0 / SKETCH_ACCURACY
-    shares = sorted({min(max(p / n + d, 0.0), 1.0) for p in wanted for d in (-slack, slack)} | {0.0, 1.0})
-    nulls, others, marks = rows.agg(
-        F.count_if(c.isNull()), F.count_if(~special), F.percentile_approx(F.when(~special, c), F.array(*map(F.lit, shares)), SKETCH_ACCURACY)
-    ).first()
-    # bands: (test, rows before, rows inside, whether they hold one value only)
-    bands = [(c.isNull(), 0, nulls, True), (c.isNotNull() & special, nulls + others, n - nulls - others, True)]
+    special = F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(False)
+    slack, runs = 2.0 / SKETCH_ACCURACY, []
+    for p in wanted:  # neighbouring positions share the values around them
+        if runs and p - runs[-1][1] <= slack * n:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    shares = sorted({0.0, 1.0, *(max(p / n - slack, 0.0) for p, _ in runs), *(min(p / n + slack, 1.0) for _, p in runs)})
+    marks = rows.agg(F.percentile_approx(F.when(~special, c), F.array(*map(F.lit, shares)), SKETCH_ACCURACY)).first()[0]
     points = sorted(set(marks or ()))
-    lits = [typed_lit(x, kind) for x in points]
-    counts = rows.agg(F.count(F.lit(1)), *[F.count_if(~special & t) for x in lits for t in (c < x, c == x)]).first()
-    for i, x in enumerate(lits):
-        below, equal = nulls + counts[1 + 2 * i], counts[2 + 2 * i]
-        bands.append((~special & (c == x), below, equal, True))
-        if i + 1 < len(lits):
-            between = ~special & (c > x) & (c < lits[i + 1])
-            bands.append((between, below + equal, nulls + counts[3 + 2 * i] - below - equal, False))
-    found, left, small = {}, set(wanted), []
-    for test, before, size, single in bands:
+    # bands by number: -1 NULL; 2i below point i and above the one before; 2i + 1 at point i; the last but one above all; then NaN
+    band = F.when(c.isNull(), -1).when(special, 2 * len(points) + 1).otherwise(_band_of(c, [typed_lit(x, kind) for x in points]))
+    sizes = {r["_band"]: r["count"] for r in rows.groupBy(band.alias("_band")).count().collect()}
+    found, small, before = {}, [], 0
+    for number in sorted(sizes):
+        size, single = sizes[number], number % 2 == 1
         here = [p for p in wanted if before < p <= before + size]
-        left -= set(here)
         if here and size <= band_rows:
-            small.append((test, here, before))
-        elif here:
-            part = _select(rows.where(test), order, depth + single, [p - before for p in here], size, max_rows, band_rows)
+            small.append((number, here, before))
+        elif here and (single or size < n):
+            part = _select(rows.where(band == number), order, depth + single, [p - before for p in here], size, max_rows, band_rows)
             found |= {p + before: row for p, row in part.items()}
-    found |= _pick(rows, order, small)
-    return found | _in_ranges(rows, order, sorted(left), n, max_rows)  # none are left unless the sketch missed an end
+        elif here:  # the sketch did not narrow the rows
+            found |= _in_ranges(rows, order, here, n, max_rows)
+        before += size
+    return found | _pick(rows, order, band, small)
+
+
+def _band_of(c: Column, points: list[Column]) -> Column:
+    """2i + 1 at the i-th ascending point, 2i below it and above the one before, as a balanced CASE tree."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(2 * lo)
+        mid = (lo + hi) // 2
+        return F.when(c < points[mid], tree(lo, mid)).when(c == points[mid], 2 * mid + 1).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(points))
 
 
 def _in_ranges(rows: DataFrame, order: list[str], wanted: list[int], n: int, max_rows: int) -> dict[int, tuple]:
@@ -204,22 +214,20 @@ def _in_ranges(rows: DataFrame, order: list[str], wanted: list[int], n: int, max
     return {int(r["_idx"]): tuple(r[c] for c in order) for r in placed.where(F.col("_idx").isin(wanted)).collect()}
 
 
-def _pick(rows: DataFrame, order: list[str], bands: list[tuple[Column, list[int], int]]) -> dict[int, tuple]:
-    """Rows at positions inside small bands: (test, positions, rows before the band). One job for all bands."""
+def _pick(rows: DataFrame, order: list[str], band: Column, bands: list[tuple[int, list[int], int]]) -> dict[int, tuple]:
+    """Rows at positions inside small bands: (band number, positions, rows before it). One job for all bands."""
     if not bands:
         return {}
-    number = F.lit(None).cast("int")
-    for i, (test, _, _) in enumerate(bands):
-        number = F.when(test, F.lit(i)).otherwise(number)
-    sorted_rows = F.sort_array(F.collect_list(F.struct(*order)))
     places = F.lit(None).cast("array<int>")
-    for i, (_, wanted, before) in enumerate(bands):
-        places = F.when(F.col("_band") == i, F.array(*[F.lit(p - before) for p in wanted])).otherwise(places)
+    for number, wanted, before in bands:
+        places = F.when(F.col("_band") == number, F.array(*[F.lit(p - before) for p in wanted])).otherwise(places)
     got = (
-        rows.withColumn("_band", number).where(F.col("_band").isNotNull()).groupBy("_band").agg(sorted_rows.alias("_rows"))
+        rows.withColumn("_band", band).where(F.col("_band").isin([number for number, _, _ in bands])).groupBy("_band")
+        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_rows"))
         .select("_band", F.transform(places, lambda p: F.element_at("_rows", p)).alias("_hits")).collect()
     )
-    return {p: tuple(hit) for r in got for p, hit in zip(bands[r["_band"]][1], r["_hits"])}
+    hits = {r["_band"]: r["_hits"] for r in got}
+    return {p: tuple(hit) for number, wanted, _ in bands for p, hit in zip(wanted, hits[number])}
 
 
 def typed_lit(value, like: T.DataType | None = None) -> Column:
