@@ -142,6 +142,30 @@ def test_a_probe_far_ahead_costs_nothing(spark):
     assert got == {"2020-05-05": "ok", "9999-12-31": "ok"}
 
 
+def test_sweep_equals_looking_at_every_interval(spark):
+    """Random intervals: nested, touching, repeated, reversed, open, without a ticker; probes repeated and missing."""
+    import random
+    from datetime import timedelta
+
+    rng, first = random.Random(11), D(2020, 1, 1)
+    spans = []
+    for i in range(300):
+        start = first + timedelta(days=rng.randint(0, 200))
+        end = rng.choice([None, start, start + timedelta(days=rng.randint(0, 15)), start - timedelta(days=1), D(9999, 12, 31)] if i % 40 == 0 else [start, start + timedelta(days=rng.randint(0, 6))])
+        spans.append((f"c{rng.randint(0, 9)}" if i % 3 else str(i), rng.choice(["T", "U", "V", None]), start, end, "n"))
+    spans += spans[:5] + [("x", "W", None, None, "n"), (None, "Y", first, None, "n")]
+    asked = [(rng.choice(["T", "U", "V", "W", "Y", "Z", None]), rng.choice([None, D(9999, 12, 31), *[first + timedelta(days=rng.randint(-3, 230)) for _ in range(8)]])) for _ in range(500)]
+    got = idn.resolve_cik(spark.createDataFrame(asked, "ticker string, as_of date"), spark.createDataFrame(spans, HIST))
+
+    def expect(ticker, day):
+        hits = [c for c, t, a, z, _ in spans if ticker and day and t == ticker and a and a <= day <= (z or D(9999, 12, 31))]
+        cik = hits[0].rjust(10, "0") if len(hits) == 1 and hits[0] else None
+        return ticker, day, len(hits), ["none", "ok", "ambiguous"][min(len(hits), 2)], cik
+
+    key = lambda r: tuple(map(str, r))
+    assert sorted([(r["ticker"], r["as_of"], r["n_matches"], r["status"], r["cik"]) for r in got.collect()], key=key) == sorted([expect(*a) for a in asked], key=key)
+
+
 def test_a_calendar_with_a_stray_day_is_refused(spark):
     import pytest
 

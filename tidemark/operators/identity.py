@@ -58,13 +58,36 @@ def _attach(probes: DataFrame, found: DataFrame, key: str, as_of: str) -> DataFr
     return dated.join(found, [key, "_day"], "left").drop("_day")
 
 
+def _active(probes: DataFrame, history: DataFrame, key: str, code: Column, as_of: str) -> DataFrame:
+    """Distinct (key, day) probes with ``n_matches`` covering intervals and ``_code``, the code of the one if it is one.
+
+    A sweep: an interval counts from its first day and is taken off on the day after its last, so an
+    interval is two rows at most, however long. Days are summed before they are ordered, so a key holds one row a
+    day of the calendar. Codes are summed by exclusive or, in which an interval that has ended leaves no trace.
+    """
+    lasting = history.where((F.col("valid_from") <= F.col("valid_to")) & F.col(key).isNotNull())
+    starts = lasting.select(key, F.col("valid_from").alias("_day"), F.lit(1).alias("_n"), code.alias("_c"), F.lit(False).alias("_asked"))
+    ends = lasting.where(F.col("valid_to") < F.lit(OPEN_END).cast("date")).select(
+        key, F.date_add("valid_to", 1).alias("_day"), F.lit(-1).alias("_n"), code.alias("_c"), F.lit(False).alias("_asked")
+    )
+    asked = probes.select(key, F.to_date(as_of).alias("_day"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_c"), F.lit(True).alias("_asked"))
+    days = starts.unionByName(ends).unionByName(asked.dropna(subset=[key, "_day"])).groupBy(key, "_day").agg(
+        F.sum("_n").alias("_n"), F.bit_xor("_c").alias("_c"), F.max("_asked").alias("_asked")
+    )
+    upto = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = days.select(key, "_day", "_asked", F.sum("_n").over(upto).alias("n_matches"), F.bit_xor("_c").over(upto).alias("_code"))
+    return swept.where("_asked").drop("_asked")
+
+
 def resolve_cik(probes: DataFrame, history: DataFrame, as_of: str = "as_of") -> DataFrame:
     """The CIK a ticker meant on a day, with status ok, none or ambiguous.
 
-    Both ends of the validity count. An ambiguous ticker resolves to NULL.
+    Both ends of the validity count. An ambiguous ticker resolves to NULL; a missing ticker or day has no match.
     """
-    hits = _covering(probes, prepare_history(history), "ticker", as_of)
-    found = hits.groupBy("ticker", "_day").agg(F.count("*").alias("n_matches"), F.min("cik").alias("_cik"))
+    h = prepare_history(history)
+    code = F.xxhash64("cik")
+    names = h.groupBy("ticker", code.alias("_code")).agg(F.min("cik").alias("_cik"))  # codes only need to differ within a ticker
+    found = _active(probes, h, "ticker", code, as_of).join(names, ["ticker", "_code"], "left").drop("_code")
     out = _attach(probes, found, "ticker", as_of).withColumn("n_matches", F.coalesce("n_matches", F.lit(0).cast("long")))
     status = F.when(F.col("n_matches") == 0, "none").when(F.col("n_matches") == 1, "ok").otherwise("ambiguous")
     return out.withColumn("status", status).withColumn("cik", F.when(F.col("status") == "ok", F.col("_cik"))).drop("_cik")
