@@ -269,3 +269,57 @@ def test_clusters(spark):
     assert "K" not in {r["issuer"] for r in got}
     # the sale weighs too much until it leaves the five-session window, by when only two buyers remain
     assert "J" not in {r["issuer"] for r in got}
+
+
+def _clusters_by_hand(data, size, window, least, share):
+    """(issuer, session, buyers, bought, sold, known_at) of the first session of every run, one window after another."""
+    found = []
+    for issuer in {r[0] for r in data}:
+        before = False
+        for e in range(1, size + 1):
+            own = [r for r in data if r[0] == issuer and e - window < r[4] <= e]
+            first = {}
+            for _, who, code, _, i in own:
+                if code == "P":
+                    first[who] = min(first.get(who, i), i)
+            bought, sold = (sum(r[3] for r in own if r[2] == c) for c in "PS")
+            ok = len(first) >= least and sold <= share * bought
+            if ok and not before:
+                found.append((issuer, e, len(first), bought, sold, sorted(first.values())[least - 1]))
+            before = ok
+    return sorted(found)
+
+
+@pytest.mark.parametrize("window", [1, 2, 5])
+def test_insider_clusters_across_blocks(spark, window):
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(70)]
+    cal = pn.Calendar(spark, tuple(days))
+    rng = np.random.default_rng(window)
+    data = [
+        (int(rng.integers(3)), int(rng.integers(6)), "PPPS"[rng.integers(4)], float(rng.integers(1, 9)), int(rng.integers(1, 71)))
+        for _ in range(420)
+    ]
+    t = spark.createDataFrame([(*r[:4], days[r[4] - 1]) for r in data], "issuer int, insider int, code string, value double, known_at date")
+    got = [
+        (r.issuer, r.end_idx, r.n_buyers, r.bought, r.sold, days.index(r.known_at) + 1)
+        for r in cl.insider_clusters(t, cal, window, min_insiders=2).collect()
+    ]
+    assert sorted(got) == _clusters_by_hand(data, 70, window, 2, 0.25) and got
+
+
+def test_insider_clusters_shuffle_is_bounded(spark):
+    """Trades were copied to every session of the window before they were shuffled."""
+    cal = pn.Calendar(spark, tuple(date(2020, 1, 1) + timedelta(days=i) for i in range(1000)))
+    t = spark.range(20_000).select(
+        (F.col("id") % 5000).alias("issuer"), "id", F.col("id").alias("insider"), F.lit("P").alias("code"), F.lit(1.0).alias("value"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7919 % 1000).cast("int")).alias("known_at"),
+    )
+    sc = spark.sparkContext
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() >= first)
+
+    first = sc._jsc.sc().dagScheduler().nextStageId()
+    cl.insider_clusters(t, cal, 10).select("issuer", "end_idx", "n_buyers", "bought", "sold").collect()
+    assert 20_000 <= written() <= 2 * 20_000

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,41 +17,65 @@ from tidemark.operators.ordered import MAX_GROUP_ROWS, MAX_PERCENTILE_ROWS, aver
 from tidemark.operators.panel import Calendar, next_trading_day
 
 
+BLOCK_WINDOWS = 4  # windows of sessions in a block of trades
+
+
 def insider_clusters(
     trades: DataFrame, calendar: Calendar, window: int = 5, min_insiders: int = 3, max_sale_share: float = 0.25
 ) -> DataFrame:
     """First session at which enough distinct insiders bought within ``window`` sessions.
 
-    ``trades`` (issuer, insider, code P or S, value, known_at). Trades shrink to
-    one row per issuer, insider and session, and each counts towards the
-    ``window`` sessions it can still be part of. That replaces a range window
-    over the issuer, so a heavily traded issuer is spread over its sessions.
+    ``trades`` (issuer, insider, code P or S, value, known_at). Trades are dealt by issuer and block of sessions,
+    those of a block's last ``window`` sessions to the next block too, so about one row in four is copied and a
+    heavily traded issuer is spread over its blocks. Within a block an insider counts from a purchase until the next
+    one or until it leaves the window, so the state is known from the sessions at which trades come or leave.
+    ``known_at`` costs a second pass over the purchases, which Spark leaves out where the column is not read.
     """
+    span = BLOCK_WINDOWS * window
     placed = next_trading_day(trades.withColumn("_d", F.to_date("known_at")), "_d", calendar, strict=False, out="session", out_idx="idx")
-    daily = placed.where(F.col("idx").isNotNull()).groupBy("issuer", "insider", "idx").agg(
-        F.sum(F.when(F.col("code") == "P", F.col("value")).otherwise(0.0)).alias("bought"),
-        F.sum(F.when(F.col("code") == "S", F.col("value")).otherwise(0.0)).alias("sold"),
-        F.min(F.when(F.col("code") == "P", F.col("known_at"))).alias("first_buy"),
-    )
-    spread = daily.withColumn("end_idx", F.explode(F.sequence(F.col("idx"), F.col("idx") + (window - 1))))
-    spread = spread.where(F.col("end_idx") <= calendar.size)
-    person = spread.groupBy("issuer", "end_idx", "insider").agg(
-        F.sum("bought").alias("bought"), F.sum("sold").alias("sold"), F.min("first_buy").alias("first_buy")
-    )
-    state = person.groupBy("issuer", "end_idx").agg(
-        F.count("first_buy").alias("n_buyers"), F.sum("bought").alias("bought"), F.sum("sold").alias("sold")
+    placed = placed.where(F.col("idx").isNotNull() & F.col("issuer").isNotNull() & F.col("code").isin("P", "S"))
+    own, last = F.floor(F.col("idx") / span), F.floor((F.col("idx") + window) / span)
+    dealt = placed.select(
+        "issuer", "insider", "idx", "value", "known_at", (F.col("code") == "P").alias("_buy"),
+        F.explode(F.when(own < last, F.array(own, last)).otherwise(F.array(own))).alias("_block"),
+    ).repartition("issuer", "_block")
+    block = Window.partitionBy("issuer", "_block")
+    leaves = F.col("idx") + window
+    again = F.lead("idx").over(Window.partitionBy("issuer", "_block", "insider", "_buy").orderBy("idx"))
+    seen = dealt.withColumn("_until", F.when(F.col("_buy"), F.least(leaves, again)).otherwise(leaves))
+    # fewer purchases than insiders wanted: no cluster in this block
+    seen = seen.withColumn("_buys", F.count_if("_buy").over(block)).where(F.col("_buys") >= min_insiders)
+
+    def change(at: Column, n: Column, bought: Column, sold: Column) -> Column:
+        return F.struct(at.alias("end_idx"), n.alias("n"), bought.alias("bought"), sold.alias("sold"))
+
+    one, none = F.col("_buy").cast("long"), F.lit(0.0)
+    value = F.coalesce(F.col("value").cast("double"), none)
+    comes = change(F.col("idx"), one, F.when(F.col("_buy"), value).otherwise(none), F.when(F.col("_buy"), none).otherwise(value))
+    ends, goes = change(F.col("_until"), -one, none, none), change(leaves, F.lit(0).cast("long"), none, none)
+    changes = F.when(F.col("_until") < leaves, F.array(comes, ends, goes)).otherwise(F.array(comes, ends))
+    daily = seen.select("issuer", "_block", F.inline(changes)).groupBy("issuer", "_block", "end_idx").agg(
+        F.sum("n").alias("n"), F.sum("bought").alias("bought"), F.sum("sold").alias("sold")
     )
-    ok = state.where((F.col("n_buyers") >= min_insiders) & (F.col("sold") <= max_sale_share * F.col("bought")))
-    # one row per issuer and session
-    before = F.lag("end_idx").over(Window.partitionBy("issuer").orderBy("end_idx"))
-    starts = ok.withColumn("_prev", before).where(F.col("_prev").isNull() | (F.col("_prev") < F.col("end_idx") - 1))
-    completing = top_n(
-        person.where(F.col("first_buy").isNotNull()).join(starts.select("issuer", "end_idx"), ["issuer", "end_idx"], "left_semi"),
-        ["issuer", "end_idx"], ["first_buy", "insider"], min_insiders,
-    ).where(F.col("rn") == min_insiders)
-    out = starts.drop("_prev").join(
-        completing.select("issuer", "end_idx", F.col("first_buy").alias("known_at")), ["issuer", "end_idx"]
+    # one row per session of the block
+    order = block.orderBy("end_idx")
+    within = order.rangeBetween(-(window - 1), 0)
+    state = daily.select(
+        "issuer", "_block", "end_idx", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("n_buyers"),
+        F.sum("bought").over(within).alias("bought"), F.sum("sold").over(within).alias("sold"),
     )
+    state = state.withColumn("_ok", (F.col("n_buyers") >= min_insiders) & (F.col("sold") <= max_sale_share * F.col("bought")))
+    # nothing changes between two rows, so the row before tells the session before
+    state = state.withColumn("_before", F.coalesce(F.lag("_ok").over(order), F.lit(False)))
+    inside = (F.floor(F.col("end_idx") / span) == F.col("_block")) & (F.col("end_idx") <= calendar.size)
+    starts = state.where(F.col("_ok") & ~F.col("_before") & inside).select("issuer", "_block", "end_idx", "n_buyers", "bought", "sold")
+    buyers = dealt.where("_buy").select("issuer", "_block", "insider", "idx", "known_at").join(
+        starts.select("issuer", "_block", "end_idx"), ["issuer", "_block"]
+    ).where(F.col("idx").between(F.col("end_idx") - (window - 1), F.col("end_idx")))
+    buyers = buyers.groupBy("issuer", "end_idx", "insider").agg(F.min("known_at").alias("first_buy"))
+    completing = top_n(buyers, ["issuer", "end_idx"], ["first_buy", "insider"], min_insiders).where(F.col("rn") == min_insiders)
+    completing = completing.groupBy("issuer", "end_idx").agg(F.min("first_buy").alias("known_at"))
+    out = starts.drop("_block").join(completing, ["issuer", "end_idx"], "left")
     return out.join(calendar.days.select(F.col("idx").alias("end_idx"), F.col("date").alias("session")), "end_idx")
 
 
