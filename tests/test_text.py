@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -106,3 +107,34 @@ def test_lexicon(spark):
     got = {r["doc"]: r for r in tx.lexicon_scores(df, ["doc"], "t", lex).collect()}
     assert (got[1]["positive_count"], got[1]["negative_count"], got[1]["word_count"], got[1]["polarity"]) == (2, 2, 4, 0.0)
     assert got[2]["word_count"] == 0 and got[2]["polarity"] == 0.0 and got[3]["subjectivity"] == 0.0
+
+
+def test_layout_cascade_parses_pages_once_and_only_unsettled_ones(spark):
+    """Every parser ran twice over all releases."""
+    parsed = {k: spark.sparkContext.accumulator(0) for k in "xy"}
+    data = spark.createDataFrame([(d, n) for d in range(6) for n in NAMES if d < 4 or n != NAMES[0]], "doc int, name string")
+
+    def parser(layout, least):
+        @F.udf("string")
+        def body(name):
+            parsed[layout].add(1)
+            return f"{layout} {name}"
+
+        few = F.col("name").isin(*NAMES[:9]) | (F.col("doc") < least)
+        return data.where(few).select("doc", F.col("name").alias("unit"), F.explode(F.array(body("name"))).alias("body"))
+
+    got = tx.layout_cascade([("x", parser("x", 4)), ("y", parser("y", 6))], "doc").collect()
+    assert {(r["doc"], r["layout"]) for r in got} == {*((d, "x") for d in range(4)), (4, "y"), (5, "y")}
+    assert len(got) == 4 * 12 + 2 * 11
+    assert (parsed["x"].value, parsed["y"].value) == (4 * 12 + 2 * 8, 2 * 11)
+
+
+def test_word_count_and_squeezing(spark):
+    texts = ["", " ", " \n", "a", "  a b\tc ", "x \r\n y  z", "\U0001f600 é\u0085漢", "a b", "　a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(tx.word_count(F.col("t")), tx.strip_html(F.col("t")), tx.length_ok(F.col("t"), tx.Units(min_words=2, max_words=3))).collect()
+    for t, (n, plain, ok) in zip(texts, got):
+        words = None if t is None else t.split()
+        assert n == (None if t is None else len(words))
+        assert ok == (None if t is None else 2 <= len(words) <= 3)
+        assert plain == (None if t is None else re.sub(r"\s+", " ", t).strip(" "))
