@@ -36,6 +36,18 @@ def test_long_piece_is_linear():
     assert own.decode(own.encode(text)) == text.encode()
 
 
+def test_backtracking_goes_on_behind_the_compatible_tokens(monkeypatch):
+    """It began each piece anew and looked every shorter length up."""
+    own = byte_bpe.ByteBpe(public_tokenizers.path(FILES[0]))
+    words = [a + b + c for a in ("anhe", "theao", "enelle", "vioi") for b in ("nnt", "treme", "whea") for c in ("nt", "and", "inn")]
+    begun = []
+    plain = own._backtrack
+    monkeypatch.setattr(own, "_backtrack", lambda chars, out, token: begun.append(len(out)) or plain(chars, out, token))
+    for word in words:
+        assert own.encode_piece(word.encode()) == LIBRARY[FILES[0]].encode_ordinary(word)
+    assert begun and min(begun) > 0
+
+
 def test_edges_and_clashing_columns(spark):
     df = spark.createDataFrame(
         [(1, None, 7), (2, "", 7), (None, "x " * 50_000, 7), (3, "same", 7), (3, "same", 7)], "doc_id long, text string, ids int"

@@ -25,7 +25,7 @@ from tidemark.llm.common import Memo, dealt, small_batches
 from tidemark.llm.pretokens import pretokens
 
 RANKS = "byte_bpe_50k.tiktoken"
-MAX_PIECES = 400_000  # remembered pieces in one Python worker, about 80 MB
+MAX_PIECES = 1_000_000  # remembered pieces in one Python worker, about 200 MB
 MAX_PAIRS = 500_000  # remembered pairs of adjacent tokens, about 60 MB
 LONG_PIECE = 200  # characters; longer pieces are rarely seen twice
 
@@ -51,6 +51,11 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.size = len(self.bytes_of)
         self.length = [len(b) for b in self.bytes_of]
+        self.longest = max(self.length)
+        made = {self.chars_of[i]: i for i in self.halves}
+        self.shorter = [-1] * self.size  # the longest token that begins a token, itself left out; -1 without one
+        for chars, i in made.items():
+            self.shorter[i] = next((made[chars[:k]] for k in range(len(chars) - 1, 0, -1) if chars[:k] in made), -1)
         self.fits = Memo(self._fits, MAX_PAIRS)  # by left * size + right
         self.pieces = Memo(lambda piece: array("i", self.encode_piece(piece.encode())).tobytes(), MAX_PIECES)
 
@@ -92,36 +97,30 @@ class ByteBpe:
             return [whole]
         size, fits = self.size, self.fits
         out = [token for _, token in self.automaton.iter_long(chars)]
-        for left, right in zip(out, out[1:]):
-            if not fits[left * size + right]:
-                return self._backtrack(chars)
+        for k, right in enumerate(out[1:], 1):
+            if not fits[out[k - 1] * size + right]:
+                return self._backtrack(chars, out[:k], right)
         return out  # compatible all along: no other sequence is
 
-    def _backtrack(self, chars: str) -> list[int]:
-        size, fits, lengths, id_of, halves = self.size, self.fits, self.length, self.id_of, self.halves
-        n = len(chars)
-        longest = [0] * (n + 1)
-        for end, token in self.automaton.iter(chars):
-            longest[end - lengths[token] + 1] = lengths[token]  # ends only grow: a start's longest match comes last
-        out: list[int] = []
-        dead = bytearray(n + 1)
-        at, length = 0, longest[0]
-        while at < n:
-            while length:
-                if not dead[at + length]:
-                    token = id_of.get(chars[at : at + length])
-                    if token in halves and (not out or fits[out[-1] * size + token]):
-                        break
-                length -= 1
-            if length:
+    def _backtrack(self, chars: str, out: list[int], token: int) -> list[int]:
+        """Go on behind the compatible tokens ``out``, where ``token`` is the longest that starts."""
+        size, fits, lengths, shorter = self.size, self.fits, self.length, self.shorter
+        starts, reach = self.automaton.iter_long, self.longest
+        at, n, dead = sum(map(lengths.__getitem__, out)), len(chars), set()
+        while True:
+            left = out[-1] * size if out else -1
+            while token >= 0 and (at + lengths[token] in dead or (left >= 0 and not fits[left + token])):
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += length
-                length = longest[at]
+                at += lengths[token]
+                if at == n:
+                    return out
+                token = next(starts(chars[at : at + reach]))[1]
             else:  # nothing leads on from here
-                dead[at] = 1
-                length = lengths[out.pop()]
-                at -= length
-        return out
+                dead.add(at)
+                token = out.pop()
+                at -= lengths[token]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text; null as empty."""
