@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import divergence
@@ -79,3 +80,44 @@ def test_slices_follow_the_number_of_terms(spark):
     df = spark.createDataFrame([("de", "a", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(16_000)))] * 3, "lang string, source string, text string")
     tokens = divergence.marked_terms(df)
     assert 14 <= divergence.slices_of(tokens, 1000) <= 18 and divergence.slices_of(tokens, 10**6) == 1
+
+
+def test_tasks_add_up_their_terms(spark):
+    """A task lists a term by the digits of its count, not once for each occurrence or document."""
+    df = spark.createDataFrame([("de", "a", "der Wald " * 50)] * 300, "lang string, source string, text string").coalesce(1)
+    listed = divergence.marked_terms(df)
+    assert listed.agg(F.sum(F.size("terms"))).first()[0] == 2 * (300 * 50).bit_count()
+    assert listed.agg(F.sum(F.size("seen"))).first()[0] == 2 * divergence.MIN_DF
+    assert rows(listed.where("source IS NOT NULL").select("source", F.explode("terms").alias("t"), "weight").groupBy("source", "t").agg(F.sum("weight"))) == {("a", "de\x01der", 15000), ("a", "de\x01wald", 15000)}
+
+
+def test_counts_handed_on_in_parts(monkeypatch):
+    """Whatever a task holds at once, its rows add up to the same counts and documents."""
+    docs = [(lang or "", source or "", text or "") for lang, source, text in CASES if len(text or "") < 1000]
+    names = ["lang", "source", "text"]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*docs[k : k + 9])], names=names) for k in range(0, len(docs), 9)]
+    batches.append(pa.record_batch([pa.array([], pa.string())] * 3, names=names))
+    want, df = Counter(), Counter()
+    for lang, source, text in docs:
+        own = [f"{lang}\x01{t}" for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOW))]
+        want.update((lang, source, t) for t in own)
+        df.update(set(own))
+    for limits in ({}, {"JOINED_TERMS": 1, "HELD_TERMS": 4}, {"JOINED_TERMS": 1, "HELD_ENTRIES": 6}, {"JOINED_TERMS": 5, "ROW_TERMS": 2}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(divergence, name, value)
+            got, seen, groups = Counter(), Counter(), set()
+            for batch in divergence._counts(iter(batches), 3):
+                for row in batch.to_pylist():
+                    assert not (row["terms"] and row["seen"]) and len(set(row["terms"])) == len(row["terms"]) and len(set(row["seen"])) == len(row["seen"]) <= divergence.ROW_TERMS
+                    got.update(dict.fromkeys(((row["lang"], row["source"], t) for t in row["terms"]), row["weight"]))
+                    seen.update(row["seen"])
+                    groups |= {(row["lang"], row["source"])} if row["source"] is not None else set()
+        assert got == want and groups == {d[:2] for d in docs}
+        assert seen.keys() == df.keys() and all(min(seen[t], 3) == min(df[t], 3) and seen[t] <= df[t] for t in df)
+
+
+def test_terms_of_cut_and_adjoining_texts():
+    texts = pa.array(["xx", "Abc\x00d", "", "eÄ", "1", "f 漢字", "g"])
+    found, sizes = divergence.terms(texts.slice(1))
+    assert found.to_pylist() == [t.encode() for t in ("abc", "d", "eÄ", "f", "漢字", "g")] and sizes.tolist() == [2, 0, 1, 0, 2, 1]

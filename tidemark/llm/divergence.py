@@ -3,9 +3,10 @@
 CountVectorizer counts terms that are marked with their language, so one fit gives every language its own
 vocabulary with the least document frequency in that language, however many languages there are. Its
 vocabulary passes through the driver's JVM; it is therefore fitted on slices of the terms by their hash, as many as
-keep a slice below ``slice_terms`` distinct terms. The documents' sparse vectors are summed per (lang, source)
-on their non-zero entries only, like Summarizer's sums without its dense buffers: every task sums its own rows, and
-sums travel as arrays over blocks of terms.
+keep a slice below ``slice_terms`` distinct terms. Every task first adds up the terms of its documents, so that
+CountVectorizer meets a term a few times a task instead of once for each occurrence. Its sparse vectors are summed per
+(lang, source) on their non-zero entries only, like Summarizer's sums without its dense buffers: every task sums its
+own rows, and sums travel as arrays over blocks of terms.
 
 Shares are whole numbers in units of 1e-9 with add-one smoothing, so every figure is exact:
 p = 1 + floor(UNIT * (count + 1) / (N + V)), and a term's divergence of p from q is floor((p - q)^2 / q).
@@ -14,13 +15,13 @@ p = 1 + floor(UNIT * (count + 1) / (N + V)), and a term's divergence of p from q
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
@@ -38,78 +39,207 @@ BLOCK_TERMS = 8192  # kept terms of a block
 BLOCK_SOURCES = 64  # sources of a block, about
 HELD_ENTRIES = 2_000_000  # sums that a task holds before it hands them on
 
+HELD_TERMS = 500_000  # distinct terms that a task holds before it hands their counts on
+JOINED_TERMS = 1_000_000  # occurrences of terms that a task takes up at once
+ROW_TERMS = 1024  # terms of a row of counts
+
 COUNTED = 64  # one term in so many, by its hash, is counted to estimate how many there are
 
-_TERM = re.compile(rb"[a-z\x80-\xFF]+")  # of UTF-8 whose A-Z are lower-cased
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[ord("A") : ord("Z") + 1] += 32
+_INSIDE = (_LOW >= ord("a")) & (_LOW <= ord("z")) | (_LOW >= 128)  # bytes of terms in UTF-8
 _MARK = "\x01"  # stands between language and term; no term holds it
 
 
-def terms(text: bytes) -> list[bytes]:
-    """The terms of a whole text in UTF-8: runs of ASCII letters and characters above ASCII, only A-Z lower-cased."""
-    return _TERM.findall(text.lower())
-
-
-def marked_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """(lang, source, terms, counted): every document's terms, each behind its language; nulls count as ''.
-
-    ``counted`` holds, for a batch in its first row, hashes of those terms that stand for COUNTED others.
+def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of whole texts in UTF-8, one text after another, and how many each text has: runs of ASCII letters and
+    characters above ASCII, only A-Z lower-cased."""
+    texts = texts.cast(pa.large_binary())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = _INSIDE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    new = ends[:-1][ends[:-1] < len(data)]  # a term does not go on into the next text
+    begins[new] = inside[new]
+    lasts = inside.copy()
+    lasts[:-1] &= ~inside[1:] | begins[1:]
+    starts = np.flatnonzero(begins)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(lasts) + 1 - starts)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOW[data[inside]])])
+    return found, np.diff(np.searchsorted(starts, ends))
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each occurs."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+class _Held:
+    """Counts by key, reduced when they become many."""
+
+    def __init__(self):
+        self.key, self.n, self.entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> bool:
+        """Whether these are too many to hold more."""
+        self.key.append(key)
+        self.n.append(n)
+        self.entries += len(key)
+        return self.entries >= HELD_ENTRIES and len(self.reduced()[0]) >= HELD_ENTRIES // 2
+
+    def reduced(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = _reduced(np.concatenate(self.key), np.concatenate(self.n))
+        self.key, self.n, self.entries = [key], [n], len(key)
+        return key, n
+
+
+COUNTS = "lang string, source string, weight long, terms array<string>, seen array<string>, counted array<long>"
+
+
+def _count_rows(groups: dict[tuple[str, str], int], langs: dict[str, int], known: pa.Array, seen: _Held, sums: _Held, min_df: int) -> Iterator[pa.RecordBatch]:
+    """COUNTS of what a task holds, a batch a language."""
+    seen_key, seen_n = seen.reduced()
+    sums_key, sums_n = sums.reduced()
+    for lang, code in langs.items():
+        low, high = np.searchsorted(seen_key, [code << 32, code + 1 << 32])
+        own, df = seen_key[low:high] & 0xFFFFFFFF, seen_n[low:high]
+        marked = pc.binary_join_element_wise(pa.scalar((lang + _MARK).encode(), pa.large_binary()), known.take(pa.array(own)), pa.scalar(b"", pa.large_binary()))
+        counted = [h for h in map(zlib.crc32, marked.to_numpy(zero_copy_only=False)) if h % COUNTED == 0]
+        rows: list[tuple[str | None, int]] = []
+        places: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+        sizes: tuple[list[int], list[int]] = [], []
+
+        def put(source: str | None, weight: int, at: np.ndarray, kind: int) -> None:
+            cuts = [len(c) for c in np.array_split(at, range(ROW_TERMS, len(at), ROW_TERMS))]  # noqa: B023
+            rows.extend([(source, weight)] * len(cuts))  # noqa: B023
+            places[kind].append(at)  # noqa: B023
+            sizes[kind].extend(cuts)  # noqa: B023
+            sizes[1 - kind].extend([0] * len(cuts))  # noqa: B023
+
+        for level in range(1, min(max(min_df, 1), int(df.max(initial=0))) + 1):
+            put(None, 0, np.flatnonzero(df >= level), 1)
+        for (of, source), group in groups.items():
+            if of != lang:
+                continue
+            low, high = np.searchsorted(sums_key, [group << 32, group + 1 << 32])
+            at, n = np.searchsorted(own, sums_key[low:high] & 0xFFFFFFFF), sums_n[low:high]
+            for digit in range(max(1, int(n.max(initial=0)).bit_length())):
+                there = at[n >> digit & 1 == 1]
+                if digit == 0 or len(there):
+                    put(source, 1 << digit, there, 0)
+        lists = [
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes[k]]), pa.int32()), marked.take(pa.array(np.concatenate([*places[k], np.zeros(0, np.int64)]))).cast(pa.string()))
+            for k in (0, 1)
+        ]
+        yield pa.record_batch(
+            [
+                pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), *lists,
+                pa.array([counted, *[[]] * (len(rows) - 1)], pa.list_(pa.int64())),
+            ],
+            names=["lang", "source", "weight", "terms", "seen", "counted"],
+        )
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[str, str]], pa.Array, np.ndarray]]:
+    """(lang, source) of texts, their terms and numbers of terms, from as many batches as together have JOINED_TERMS."""
+    own, found, sizes = [], [], []
+    for batch in batches:
+        own += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        now, of_text = terms(batch.column(2))
+        found.append(now)
+        sizes.append(of_text)
+        if sum(map(len, found)) >= JOINED_TERMS:
+            yield own, pa.concat_arrays(found), np.concatenate(sizes)
+            own, found, sizes = [], [], []
+    if own:
+        yield own, pa.concat_arrays(found), np.concatenate(sizes)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], min_df: int) -> Iterator[pa.RecordBatch]:
+    """COUNTS of batches of (lang, source, text)."""
+    none = pa.array([], pa.large_binary())
+    groups, langs, known, seen, sums = {}, {}, none, _Held(), _Held()
+    for own, found, sizes in _joined(batches):
+        words = found.dictionary_encode()
+        codes, width = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+        at = pc.fill_null(pc.index_in(words.dictionary, known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = len(known) + np.arange(len(new))
+        known = pa.concat_arrays([known, words.dictionary.take(pa.array(new))])
+        lang_of = np.array([langs.setdefault(x, len(langs)) for x, _ in own], np.int64)
+        group_of = np.array([groups.setdefault(g, len(groups)) for g in own], np.int64)
+        once, _ = _runs(np.repeat(np.arange(len(own)), sizes) * width + codes)
+        key, n = _runs(lang_of[once // width] * width + once % width)
+        full = seen.add((key // width << 32) | at[key % width], n)
+        key, n = _runs(np.repeat(group_of, sizes) * width + codes)
+        full |= sums.add((key // width << 32) | at[key % width], n)
+        if full or len(known) >= HELD_TERMS:
+            yield from _count_rows(groups, langs, known, seen, sums, min_df)
+            groups, langs, known, seen, sums = {}, {}, none, _Held(), _Held()
+    yield from _count_rows(groups, langs, known, seen, sums, min_df)
+
+
+def marked_terms(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_df: int = MIN_DF) -> DataFrame:
+    """COUNTS: what each task counts in its documents, every term behind its language; nulls count as ''.
+
+    A row with a source lists different ``terms`` that occur ``weight`` times in the group; a term's count is the sum of
+    its rows' weights, which are powers of two. A row without source lists in ``seen`` different terms of one document
+    more, up to ``min_df`` documents: a term has that many documents if it is in that many rows, over all tasks.
+    Every group has a row, also without terms. ``counted`` holds hashes of those terms that stand for COUNTED others.
     """
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, ends = [], [0]
-            for mark, data in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-                mark = (mark + _MARK).encode()
-                own = [mark + t for t in terms(data)]
-                flat += own
-                ends.append(len(flat))
-            counted = [[h for h in map(zlib.crc32, set(flat)) if h % COUNTED == 0], *[[]] * (batch.num_rows - 1)][: batch.num_rows]
-            marked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
-            yield pa.record_batch([batch.column(0), batch.column(1), marked, pa.array(counted, pa.list_(pa.int64()))], names=["lang", "source", "terms", "counted"])
-
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    return small_batches(plain).mapInArrow(cut, "lang string, source string, terms array<string>, counted array<long>")
+    return small_batches(plain).mapInArrow(lambda batches: _counts(batches, min_df), COUNTS)
 
 
 def slices_of(tokens: DataFrame, slice_terms: int) -> int:
     """Slices that keep the distinct terms of each below ``slice_terms``, estimated from one in COUNTED."""
-    return max(1, math.ceil(COUNTED * tokens.select(F.explode("counted")).distinct().count() / slice_terms))
+    return max(1, math.ceil(COUNTED * tokens.where("source IS NULL").select(F.explode("counted")).distinct().count() / slice_terms))
 
 
 def sliced(tokens: DataFrame, slices: int) -> list[DataFrame]:
-    """The tokens by a hash of the term, each slice readable on its own; written once more if there are several."""
+    """The counts by a hash of the term, each slice readable on its own; written once more if there are several."""
+    columns = "lang string, source string, weight long, terms array<string>, seen array<string>"
     if slices == 1:
-        return [tokens.select("lang", "source", "terms")]
+        return [tokens.drop("counted")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(2)
-            flat = words.flatten().dictionary_encode()
-            codes = flat.indices.to_numpy(zero_copy_only=False)
-            of_word = np.array([xxhash.xxh3_64_intdigest(w) % slices for w in flat.dictionary.to_pylist()], np.int64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
-            key = of_word[codes] * batch.num_rows + row if len(codes) else np.zeros(0, np.int64)
-            order = np.argsort(key, kind="stable")
-            there, first = np.unique(key[order], return_index=True)
-            offsets = pa.array(np.append(first, len(order)), pa.int32())
-            terms = pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(codes[order])))
-            rows = pa.array(there % max(batch.num_rows, 1))
-            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), terms, pa.array(there // max(batch.num_rows, 1), pa.int32())], names=["lang", "source", "terms", "slice"])
+            for kind in ("terms", "seen"):
+                words = batch.column(kind)
+                flat = words.flatten().dictionary_encode()
+                codes = flat.indices.to_numpy(zero_copy_only=False)
+                of_word = np.array([xxhash.xxh3_64_intdigest(w) % slices for w in flat.dictionary.to_pylist()], np.int64)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+                key = of_word[codes] * batch.num_rows + row if len(codes) else np.zeros(0, np.int64)
+                order = np.argsort(key, kind="stable")
+                there, first = np.unique(key[order], return_index=True)
+                offsets = pa.array(np.append(first, len(order)), pa.int32())
+                lists = {k: pa.array([[]] * len(there), pa.list_(pa.string())) for k in ("terms", "seen")}
+                lists[kind] = pa.ListArray.from_arrays(offsets, flat.dictionary.take(pa.array(codes[order])))
+                rows, which = pa.array(there % max(batch.num_rows, 1)), pa.array(there // max(batch.num_rows, 1), pa.int32())
+                same = [batch.column(k).take(rows) for k in ("lang", "source", "weight")]
+                yield pa.record_batch([*same, lists["terms"], lists["seen"], which], names=["lang", "source", "weight", "terms", "seen", "slice"])
 
     path = shared_path(tokens.sparkSession, "divergence-slices")
-    parts = tokens.select("lang", "source", "terms").mapInArrow(cut, "lang string, source string, terms array<string>, slice int")
+    parts = tokens.drop("counted").mapInArrow(cut, f"{columns}, slice int")
     parts.write.partitionBy("slice").option("compression", "zstd").parquet(path)
-    back = tokens.sparkSession.read.schema("lang string, source string, terms array<string>, slice int").parquet(path)
+    back = tokens.sparkSession.read.schema(f"{columns}, slice int").parquet(path)
     return [back.where(F.col("slice") == k).drop("slice") for k in range(slices)]
 
 
 def vectorized(tokens: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] | None:
-    """Documents with their exact sparse count vectors, and (place, lang, term) of the vocabulary; None if no term is kept.
+    """Rows of counts with their sparse vectors, and (place, lang, term) of the vocabulary; None if no term is kept.
 
     The vocabulary is read back from the saved model, so Python on the driver never holds it.
     """
     try:
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=VOCAB_SIZE).fit(tokens)
+        model = CountVectorizer(inputCol="seen", outputCol="vector", minDF=float(min_df), vocabSize=VOCAB_SIZE).fit(tokens.where("source IS NULL").select("seen"))
     except IllegalArgumentException as none:
         if "vocabulary size should be > 0" in str(none):
             return None
@@ -119,7 +249,8 @@ def vectorized(tokens: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame] |
     names = tokens.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("place", "marked"))
     own = F.substring_index("marked", _MARK, -1)
     language = F.expr(f"left(marked, length(marked) - length(substring_index(marked, '{_MARK}', -1)) - 1)")
-    return model.transform(tokens), names.select(F.col("place").cast("long").alias("place"), language.alias("lang"), own.alias("term"))
+    vectors = model.setInputCol("terms").transform(tokens.where("source IS NOT NULL").select("lang", "source", "weight", "terms"))
+    return vectors, names.select(F.col("place").cast("long").alias("place"), language.alias("lang"), own.alias("term"))
 
 
 SUMS = "lang string, source string, whole boolean, part long, at array<int>, n array<long>"
@@ -164,7 +295,7 @@ def _summed(vectors: DataFrame, first_part: int) -> DataFrame:
             places = batch.column(2)
             sizes = np.diff(places.offsets.to_numpy())
             keys.append((np.repeat(code, sizes) << 32) | places.flatten().to_numpy().astype(np.int64))
-            counts.append(batch.column(3).flatten().to_numpy().astype(np.int64))
+            counts.append(np.repeat(batch.column(3).to_numpy(), sizes))
             held += len(keys[-1])
             if held >= HELD_ENTRIES:
                 key, n = _reduced(np.concatenate(keys), np.concatenate(counts))
@@ -175,8 +306,7 @@ def _summed(vectors: DataFrame, first_part: int) -> DataFrame:
         if held:
             yield from rows(groups, *_reduced(np.concatenate(keys), np.concatenate(counts)))
 
-    sparse = F.unwrap_udt("vector")
-    entries = vectors.select("lang", "source", sparse["indices"].alias("at"), sparse["values"].alias("n"))
+    entries = vectors.select("lang", "source", F.unwrap_udt("vector")["indices"].alias("at"), "weight")  # the terms of a row differ
     return entries.mapInArrow(add, SUMS)
 
 
@@ -351,8 +481,8 @@ def audit(
     texts are one row of counts like any other; repeated rows count each; an empty table gives no row. Other columns
     are not read, so their names may clash.
     """
-    tokens = staged(marked_terms(dealt(docs.select(lang, source, text)), lang, source, text), "divergence-tokens", "lz4")
-    groups = staged(tokens.select("lang", "source").distinct(), "divergence-roster")
+    tokens = staged(marked_terms(dealt(docs.select(lang, source, text)), lang, source, text, min_df), "divergence-tokens", "lz4")
+    groups = staged(tokens.where("source IS NOT NULL").select("lang", "source").distinct(), "divergence-roster")
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     if (got := group_sums(tokens, min_df, slice_terms)) is None:
         pairs = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("value", F.lit(0).cast("long"))
