@@ -102,14 +102,16 @@ def test_counts_handed_on_in_parts(monkeypatch):
         own = [f"{lang}\x01{t}" for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOW))]
         want.update((lang, source, t) for t in own)
         df.update(set(own))
-    for limits in ({}, {"JOINED_TERMS": 1, "HELD_TERMS": 4}, {"JOINED_TERMS": 1, "HELD_ENTRIES": 6}, {"JOINED_TERMS": 5, "ROW_TERMS": 2}):
+    for limits in ({}, {"JOINED_BYTES": 1, "HELD_BYTES": 60}, {"JOINED_BYTES": 1, "HELD_ENTRIES": 6}, {"JOINED_BYTES": 1, "HELD_GROUPS": 3}, {"ROW_BYTES": 10, "SENT_BYTES": 30}):
         with monkeypatch.context() as m:
             for name, value in limits.items():
                 m.setattr(divergence, name, value)
             got, seen, groups = Counter(), Counter(), set()
             for batch in divergence._counts(iter(batches), 3):
                 for row in batch.to_pylist():
-                    assert not (row["terms"] and row["seen"]) and len(set(row["terms"])) == len(row["terms"]) and len(set(row["seen"])) == len(row["seen"]) <= divergence.ROW_TERMS
+                    widths = [len(t.encode()) for t in row["terms"] + row["seen"]]
+                    assert sum(widths) - max(widths, default=0) <= divergence.ROW_BYTES
+                    assert not (row["terms"] and row["seen"]) and len(set(row["terms"])) == len(row["terms"]) and len(set(row["seen"])) == len(row["seen"])
                     got.update(dict.fromkeys(((row["lang"], row["source"], t) for t in row["terms"]), row["weight"]))
                     seen.update(row["seen"])
                     groups |= {(row["lang"], row["source"])} if row["source"] is not None else set()

@@ -39,9 +39,11 @@ BLOCK_TERMS = 8192  # kept terms of a block
 BLOCK_SOURCES = 64  # sources of a block, about
 HELD_ENTRIES = 2_000_000  # sums that a task holds before it hands them on
 
-HELD_TERMS = 500_000  # distinct terms that a task holds before it hands their counts on
-JOINED_TERMS = 1_000_000  # occurrences of terms that a task takes up at once
-ROW_TERMS = 1024  # terms of a row of counts
+JOINED_BYTES = 16_000_000  # terms that a task takes up at once
+HELD_BYTES = 16_000_000  # different terms that a task holds before it hands their counts on
+HELD_GROUPS = 100_000  # groups likewise
+ROW_BYTES = 16_384  # terms of a row of counts, unless one is longer
+SENT_BYTES = 32_000_000  # rows of counts handed to Spark at once, about
 
 COUNTED = 64  # one term in so many, by its hash, is counted to estimate how many there are
 
@@ -101,61 +103,73 @@ class _Held:
 COUNTS = "lang string, source string, weight long, terms array<string>, seen array<string>, counted array<long>"
 
 
+def _count_batch(lang: str, marked: pa.Array, width: np.ndarray, lists: list[tuple[str | None, int, np.ndarray]], counted: list[int]) -> pa.RecordBatch:
+    """COUNTS of lists of terms of one language: (source, weight, places in ``marked``), as ``seen`` if there is no source."""
+    sources, weights, sizes, places = [], [], ([], []), ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+    for source, weight, at in lists:
+        _, cuts = np.unique(np.cumsum(width[at]) // ROW_BYTES, return_counts=True)
+        cuts = cuts.tolist() or [0]
+        kind = int(source is None)
+        sources += [source] * len(cuts)
+        weights += [weight] * len(cuts)
+        places[kind].append(at)
+        sizes[kind].extend(cuts)
+        sizes[1 - kind].extend([0] * len(cuts))
+    columns = [pa.array([lang] * len(sources), pa.string()), pa.array(sources, pa.string()), pa.array(weights, pa.int64())]
+    for at, n in zip(places, sizes):
+        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), marked.take(pa.array(np.concatenate(at))).cast(pa.string())))
+    columns.append(pa.array([counted, *[[]] * (len(sources) - 1)], pa.list_(pa.int64())))
+    return pa.record_batch(columns, names=["lang", "source", "weight", "terms", "seen", "counted"])
+
+
 def _count_rows(groups: dict[tuple[str, str], int], langs: dict[str, int], known: pa.Array, seen: _Held, sums: _Held, min_df: int) -> Iterator[pa.RecordBatch]:
-    """COUNTS of what a task holds, a batch a language."""
+    """COUNTS of what a task holds, language by language."""
     seen_key, seen_n = seen.reduced()
     sums_key, sums_n = sums.reduced()
+    of_lang: dict[str, list[tuple[str, int]]] = {x: [] for x in langs}
+    for (lang, source), group in groups.items():
+        of_lang[lang].append((source, group))
     for lang, code in langs.items():
         low, high = np.searchsorted(seen_key, [code << 32, code + 1 << 32])
         own, df = seen_key[low:high] & 0xFFFFFFFF, seen_n[low:high]
         marked = pc.binary_join_element_wise(pa.scalar((lang + _MARK).encode(), pa.large_binary()), known.take(pa.array(own)), pa.scalar(b"", pa.large_binary()))
+        width = pc.binary_length(marked).to_numpy()
         counted = [h for h in map(zlib.crc32, marked.to_numpy(zero_copy_only=False)) if h % COUNTED == 0]
-        rows: list[tuple[str | None, int]] = []
-        places: tuple[list[np.ndarray], list[np.ndarray]] = [], []
-        sizes: tuple[list[int], list[int]] = [], []
-
-        def put(source: str | None, weight: int, at: np.ndarray, kind: int) -> None:
-            cuts = [len(c) for c in np.array_split(at, range(ROW_TERMS, len(at), ROW_TERMS))]  # noqa: B023
-            rows.extend([(source, weight)] * len(cuts))  # noqa: B023
-            places[kind].append(at)  # noqa: B023
-            sizes[kind].extend(cuts)  # noqa: B023
-            sizes[1 - kind].extend([0] * len(cuts))  # noqa: B023
-
-        for level in range(1, min(max(min_df, 1), int(df.max(initial=0))) + 1):
-            put(None, 0, np.flatnonzero(df >= level), 1)
-        for (of, source), group in groups.items():
-            if of != lang:
-                continue
-            low, high = np.searchsorted(sums_key, [group << 32, group + 1 << 32])
-            at, n = np.searchsorted(own, sums_key[low:high] & 0xFFFFFFFF), sums_n[low:high]
-            for digit in range(max(1, int(n.max(initial=0)).bit_length())):
-                there = at[n >> digit & 1 == 1]
-                if digit == 0 or len(there):
-                    put(source, 1 << digit, there, 0)
-        lists = [
-            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes[k]]), pa.int32()), marked.take(pa.array(np.concatenate([*places[k], np.zeros(0, np.int64)]))).cast(pa.string()))
-            for k in (0, 1)
-        ]
-        yield pa.record_batch(
-            [
-                pa.array([lang] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), *lists,
-                pa.array([counted, *[[]] * (len(rows) - 1)], pa.list_(pa.int64())),
-            ],
-            names=["lang", "source", "weight", "terms", "seen", "counted"],
-        )
+
+        def lists() -> Iterator[tuple[str | None, int, np.ndarray]]:
+            for level in range(1, min(max(min_df, 1), int(df.max(initial=0))) + 1):  # noqa: B023
+                yield None, 0, np.flatnonzero(df >= level)  # noqa: B023
+            for source, group in of_lang[lang]:  # noqa: B023
+                low, high = np.searchsorted(sums_key, [group << 32, group + 1 << 32])
+                at, n = np.searchsorted(own, sums_key[low:high] & 0xFFFFFFFF), sums_n[low:high]  # noqa: B023
+                for digit in range(max(1, int(n.max(initial=0)).bit_length())):
+                    there = at[n >> digit & 1 == 1]
+                    if digit == 0 or len(there):
+                        yield source, 1 << digit, there
+
+        now, size = [], 0
+        for one in lists():
+            now.append(one)
+            size += int(width[one[2]].sum())
+            if size >= SENT_BYTES:
+                yield _count_batch(lang, marked, width, now, counted)
+                now, size, counted = [], 0, []
+        if now:
+            yield _count_batch(lang, marked, width, now, counted)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[str, str]], pa.Array, np.ndarray]]:
-    """(lang, source) of texts, their terms and numbers of terms, from as many batches as together have JOINED_TERMS."""
-    own, found, sizes = [], [], []
+    """(lang, source) of texts, their terms and numbers of terms, from as many batches as together have JOINED_BYTES."""
+    own, found, sizes, held = [], [], [], 0
     for batch in batches:
         own += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
         now, of_text = terms(batch.column(2))
         found.append(now)
         sizes.append(of_text)
-        if sum(map(len, found)) >= JOINED_TERMS:
+        held += now.nbytes + 100 * batch.num_rows
+        if held >= JOINED_BYTES:
             yield own, pa.concat_arrays(found), np.concatenate(sizes)
-            own, found, sizes = [], [], []
+            own, found, sizes, held = [], [], [], 0
     if own:
         yield own, pa.concat_arrays(found), np.concatenate(sizes)
 
@@ -178,7 +192,7 @@ def _counts(batches: Iterator[pa.RecordBatch], min_df: int) -> Iterator[pa.Recor
         full = seen.add((key // width << 32) | at[key % width], n)
         key, n = _runs(np.repeat(group_of, sizes) * width + codes)
         full |= sums.add((key // width << 32) | at[key % width], n)
-        if full or len(known) >= HELD_TERMS:
+        if full or known.nbytes >= HELD_BYTES or len(groups) >= HELD_GROUPS:
             yield from _count_rows(groups, langs, known, seen, sums, min_df)
             groups, langs, known, seen, sums = {}, {}, none, _Held(), _Held()
     yield from _count_rows(groups, langs, known, seen, sums, min_df)
