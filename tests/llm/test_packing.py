@@ -1,14 +1,17 @@
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import fit_packing, vector_packing
+from tidemark.llm import fit_packing, tokens, vector_packing
 from tidemark.llm.matrices import Piece, pieces_of
 from tidemark.llm.vector_packing import Limits
 
@@ -72,6 +75,31 @@ def test_matrix_and_resets(spark):
                 assert resets[row, a:z].tolist() == list(range(z - a))
 
 
+@pytest.mark.parametrize(("name", "module"), [("op3_fit_packing", fit_packing)])
+def test_a_task_writes_and_reads_few_blocks_at_a_time(spark, tmp_path, monkeypatch, name, module):
+    """All blocks of a task were one row group, in pages of 100 blocks."""
+    from tidemark.llm.queries import QUERIES
+
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(module, "dealt", lambda df: df.coalesce(1))
+    got = QUERIES[name](spark, str(tmp_path))
+    groups = [f.row_group(k).num_rows for f in (pq.read_metadata(x.removeprefix("file:")) for x in got.inputFiles()) for k in range(f.num_row_groups)]
+    assert sum(groups) > 17 and max(groups) <= 16
+    assert got.agg(F.sum("length"), F.countDistinct("doc_id")).first() == (2400 * len(ids_of("word " * 2000)), 2400)
+
+
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    """Only their number was bounded, so long ones took any memory."""
+    monkeypatch.setattr(tokens, "MAX_BYTES", 100_000)
+    own = tokens.LibraryTokens(public_tokenizers.path(tokens.FILE))
+    for k in range(300):
+        text = chr(97 + k % 26) * (1000 + k)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(text)[:-1].tolist()
+        held = [x for d in (own.pieces, own.pieces.older) for pair in d.items() for x in pair]
+        assert sum(map(sys.getsizeof, held)) < 110_000
+
+
 SIZES = st.lists(st.integers(1, 70), max_size=60)
 
 

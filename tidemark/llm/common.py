@@ -16,15 +16,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write once to the shared folder and read back: lineage is cut, lost executors cost a re-read only."""
+def staged(df: DataFrame, name: str, codec: str = "zstd", **written: str) -> DataFrame:
+    """Write once to the shared folder and read back: lineage is cut, lost executors cost a re-read only.
+
+    ``written`` are further options of the writer.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**written).option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, **read: str) -> DataFrame:
+    """A table of the folder; ``read`` are options of the reader."""
+    return spark.read.options(**read).parquet(f"{sf_dir}/{name}.parquet")
 
 
 BATCH_ROWS = 500  # whole texts handed to Python at once

@@ -8,13 +8,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pinned
+from tidemark.llm.common import pinned, staged, table
 
 ROWS = 128  # sequences in a block: 1 MB of ids at width 2048
 
+# How blocks are written. Rows of some MB can't wait for the writer's look at sizes every 100 rows, and a reader decodes up to 4096 rows
+# of a row group at once, so a group ends after a few blocks however small they are when compressed.
+WRITTEN = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.row.count.limit": "16"}
+
 PIECE = "struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,loss_tokens:bigint,row:int,offset:bigint>"
 SCHEMA = (
     "first_sequence long, n_sequences int, width int, ids binary, position_ids binary, "
@@ -89,6 +93,16 @@ class Blocks:
         return block
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' table for packing, without vectored reads: they hold the texts of a row group a second time outside the heap."""
+    return table(spark, sf_dir, "documents", **{"parquet.hadoop.vectored.io.enabled": "false"})
+
+
+def staged_blocks(blocks: DataFrame, name: str) -> DataFrame:
+    """Blocks written to the shared folder and read back; a task holds a few of them at a time, however many it writes or reads."""
+    return staged(blocks, name, **WRITTEN)
+
+
 def pieces_of(blocks: DataFrame) -> DataFrame:
     """One row for each piece, with the checksum of its ids as they stand in the matrix.
 

@@ -12,7 +12,7 @@ from tidemark.llm import (
     vector_packing, warc,
 )
 from tidemark.llm.common import dealt, staged, table
-from tidemark.llm.matrices import pieces_of
+from tidemark.llm.matrices import documents, pieces_of, staged_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +41,7 @@ def op2_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_fit_packing")
 def op3_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed matrices are written to the shared folder; the pieces are read back from them."""
-    return pieces_of(staged(fit_packing.pack_documents(table(spark, sf_dir, "documents")), "op3"))
+    return pieces_of(staged_blocks(fit_packing.pack_documents(documents(spark, sf_dir)), "op3"))
 
 
 @query("op4_vector_packing")

@@ -6,6 +6,7 @@ import json
 import os
 from array import array
 from functools import lru_cache
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +16,7 @@ from tidemark.llm.pretokens import pretokens
 FILE = "byte_bpe_50k.json"
 END_ID = 1  # stands after each document
 MAX_PIECES = 1_000_000  # remembered pieces in one Python worker, about 200 MB
+MAX_BYTES = 160_000_000  # of them with their ids, where pieces are long
 
 
 # The bytes that byte-level vocabularies write as the character of the same number; the others follow from 256 on.
@@ -31,22 +33,23 @@ def byte_characters() -> dict[int, str]:
 class Pieces(dict):
     """The ids of pieces, each piece looked up in the library's model once while it is remembered.
 
-    There are two generations of at most MAX_PIECES / 2, so pieces that recur stay and memory is bounded.
+    There are two generations of at most MAX_PIECES / 2 and about MAX_BYTES / 2, so pieces that recur stay and memory is bounded.
     """
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.characters, self.older = model, byte_characters(), {}
+        self.model, self.characters, self.older, self.held = model, byte_characters(), {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES // 2:
-            self.older = dict(self)
+        if len(self) >= MAX_PIECES // 2 or self.held >= MAX_BYTES // 2:
+            self.older, self.held = dict(self), 0
             self.clear()
         ids = self.older.get(piece)
         if ids is None:
             written = piece.encode().decode("latin-1").translate(self.characters)
             ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
         self[piece] = ids
+        self.held += getsizeof(piece) + getsizeof(ids)
         return ids
 
 
