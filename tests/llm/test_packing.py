@@ -75,7 +75,7 @@ def test_matrix_and_resets(spark):
                 assert resets[row, a:z].tolist() == list(range(z - a))
 
 
-@pytest.mark.parametrize(("name", "module"), [("op3_fit_packing", fit_packing)])
+@pytest.mark.parametrize(("name", "module"), [("op3_fit_packing", fit_packing), ("op4_vector_packing", vector_packing)])
 def test_a_task_writes_and_reads_few_blocks_at_a_time(spark, tmp_path, monkeypatch, name, module):
     """All blocks of a task were one row group, in pages of 100 blocks."""
     from tidemark.llm.queries import QUERIES

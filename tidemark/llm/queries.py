@@ -47,7 +47,7 @@ def op3_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_vector_packing")
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed matrices are written to the shared folder; the pieces are read back from them."""
-    return pieces_of(staged(vector_packing.pack_documents(table(spark, sf_dir, "documents")), "op4"))
+    return pieces_of(staged_blocks(vector_packing.pack_documents(documents(spark, sf_dir)), "op4"))
 
 
 @query("op5_warc")
