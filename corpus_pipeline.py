@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, language, severity, vector_packing
-from tidemark.llm.common import dealt, shared_path, table
-from tidemark.llm.matrices import pieces_of, staged_blocks
+from tidemark.llm.common import dealt, shared_path, staged, table
+from tidemark.llm.matrices import WRITTEN, pieces_of
 
 SURE = 0.3  # corrected share of a text's n-grams that its language must hold
 
@@ -39,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 ids, read back from the written matrices."""
-    return pieces_of(staged_blocks(vector_packing.pack_documents(docs), "packed"))
+    return pieces_of(staged(vector_packing.pack_documents(docs), "packed", **WRITTEN))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
